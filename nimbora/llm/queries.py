@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nimbora.llm import media as _media
 from nimbora.llm import minhash as _near
+from nimbora.llm import mixing as _mix
+from nimbora.llm import packing as _pack
 from nimbora.llm import quality_rules as _rules
+from nimbora.llm import secret_scan as _secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +23,29 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", *[F.col(f"{out}.{n}").alias(n) for n in names])
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _, _ = _mix.replicate(documents(spark, sf_dir))
+    return out
+
+
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pack.pack_documents(documents(spark, sf_dir))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secrets.digest(_secrets.find_secrets(documents(spark, sf_dir)))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _media.media_digest(_media.text_media(documents(spark, sf_dir)))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_duplicates(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_mix_sources, op5_pack_sequences, op7_secret_scan, op8_media_columns, op10_minhash_dedup)}
 
 
 OP1_SQL = r"""
@@ -56,5 +77,18 @@ FROM w JOIN per_line USING (r) LEFT JOIN rep USING (r)
 """
 
 
+OP4_SQL = """
+WITH RECURSIVE n AS (SELECT source AS s, count(*) AS n FROM documents GROUP BY 1),
+total AS (SELECT sum(n) AS all_n, sum(w) AS all_w FROM (SELECT n, pow(n::DOUBLE, 0.5) AS w FROM n)),
+rate AS (SELECT s, pow(n::DOUBLE, 0.5) * all_n::DOUBLE * 1.0 / (all_w * n::DOUBLE) AS rate FROM n, total),
+cdf AS (SELECT s, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rate
+        UNION ALL SELECT s, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate)) + 40),
+u AS (SELECT *, ('0x' || substr(md5('13:' || coalesce(doc_id::VARCHAR, '') || ':1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+drawn AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, (SELECT count(*) FROM cdf WHERE cdf.s IS NOT DISTINCT FROM u.source AND cdf.c <= u.u) AS copies FROM u)
+SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, md5('13:order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key
+FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM drawn)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_mix_sources": OP4_SQL}
