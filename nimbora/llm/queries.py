@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nimbora.llm import factor_dedup as _factors
 from nimbora.llm import media as _media
 from nimbora.llm import minhash as _near
 from nimbora.llm import mixing as _mix
@@ -32,6 +33,10 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pack.pack_documents(documents(spark, sf_dir))
 
 
+def op6_factor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _factors.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _secrets.digest(_secrets.find_secrets(documents(spark, sf_dir)))
 
@@ -45,7 +50,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op4_mix_sources, op5_pack_sequences, op7_secret_scan, op8_media_columns, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_mix_sources, op5_pack_sequences, op6_factor_dedup, op7_secret_scan, op8_media_columns, op10_minhash_dedup)}
 
 
 OP1_SQL = r"""
@@ -90,5 +95,20 @@ FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM drawn)
 """
 
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50),
+win AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM s),
+low AS (SELECT h, min(doc_id) AS m FROM win GROUP BY 1),
+hit AS (SELECT doc_id, list(i) AS starts FROM win JOIN low USING (h) WHERE m < doc_id GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform(starts, lambda i: range(i, i + 50)))) AS p FROM hit),
+pos AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d),
+kept AS (SELECT pos.doc_id, count(*) FILTER (WHERE gone.p IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY pos.p) FILTER (WHERE gone.p IS NULL) AS t
+         FROM pos LEFT JOIN gone ON pos.doc_id = gone.doc_id AND pos.p = gone.p GROUP BY 1)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op4_mix_sources": OP4_SQL}
+    return {"op6_factor_dedup": OP6_SQL, "op1_quality_rules": OP1_SQL, "op4_mix_sources": OP4_SQL}
