@@ -10,6 +10,7 @@ from nimbora.llm import media as _media
 from nimbora.llm import minhash as _near
 from nimbora.llm import mixing as _mix
 from nimbora.llm import packing as _pack
+from nimbora.llm import pitman_yor as _lm
 from nimbora.llm import quality_rules as _rules
 from nimbora.llm import secret_scan as _secrets
 
@@ -45,12 +46,16 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _media.media_digest(_media.text_media(documents(spark, sf_dir)))
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm.score_documents(documents(spark, sf_dir))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_duplicates(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op4_mix_sources, op5_pack_sequences, op6_factor_dedup, op7_secret_scan, op8_media_columns, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_mix_sources, op5_pack_sequences, op6_factor_dedup, op7_secret_scan, op8_media_columns, op9_pitman_yor, op10_minhash_dedup)}
 
 
 OP1_SQL = r"""
