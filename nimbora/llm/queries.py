@@ -13,6 +13,8 @@ from nimbora.llm import packing as _pack
 from nimbora.llm import pitman_yor as _lm
 from nimbora.llm import quality_rules as _rules
 from nimbora.llm import secret_scan as _secrets
+from nimbora.llm import toxicity as _toxic
+from nimbora.llm import weak_quality as _weak
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", *[F.col(f"{out}.{n}").alias(n) for n in names])
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = _toxic.score_toxicity(documents(spark, sf_dir), labels, keep=remainder != 1)
+    return found.select("doc_id", (remainder == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weak.classify(documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _, _ = _mix.replicate(documents(spark, sf_dir))
     return out
@@ -55,7 +68,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op4_mix_sources, op5_pack_sequences, op6_factor_dedup, op7_secret_scan, op8_media_columns, op9_pitman_yor, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_weak_quality, op4_mix_sources, op5_pack_sequences, op6_factor_dedup, op7_secret_scan, op8_media_columns, op9_pitman_yor, op10_minhash_dedup)}
 
 
 OP1_SQL = r"""

@@ -14,6 +14,9 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation: for operators that look at bare words.
+PUNCTUATION = SPACE.copy()
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -70,10 +73,10 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def find_words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words:
+def find_words(data: np.ndarray, bounds: np.ndarray, lower: bool = False, gap: np.ndarray = SPACE) -> Words:
     """data: bytes of the texts one after another; bounds: len(texts) + 1 offsets."""
     n = len(data)
-    word = ~SPACE[data]
+    word = ~gap[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     before, after = np.zeros(n, bool), np.zeros(n, bool)
