@@ -3,9 +3,10 @@
 Plan. One pass over the texts writes, per document, the size and a 128-bit
 fingerprint of its shingle set, a 128-bit sketch and its band hashes. Documents of
 one fingerprint form a class, of which only the smallest doc_id goes on. Members of
-a band's bucket are compared with the bucket's smallest member, never pair by pair;
-what such stars leave in other components is compared in a second step with the
-members of its buckets. Every link is confirmed on full sets. No step brings a
+a band's bucket are compared with the bucket's smallest member, never pair by pair.
+What such stars leave in other components meets the rest of its bucket by what both
+differ in from one hub document, which leaves few pairs; no link can be lost by it.
+Every link is confirmed on full sets. No step brings a
 bucket, class or component into one task: buckets and classes are joined by
 sort-merge joins, which adaptive execution splits.
 """
@@ -33,7 +34,7 @@ class Near:
     percent: int = 80
     bands: int = 40
     rows: int = 5
-    min_agree: int = 92
+    min_agree: int = 96
     seed: int = 7
     #: Ids up to which the filter of documents is broadcast (8 MB of ids).
     broadcast_ids: int = 1_000_000
@@ -204,25 +205,59 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     store.drop("linked_one", "sets", "sets_ids")
     roots = store.save("roots", _stars(store, edges, "cc"))
 
-    # What a bucket holds outside of its center's component meets the bucket's members.
-    home = roots.select(F.col("node").alias("x"), "root")
-    tagged = members.join(home, members["rep"] == home["x"], "left").select("key", "rep", "center", F.coalesce("root", "rep").alias("comp"))
-    heads = tagged.filter("rep = center").select(F.col("key").alias("k"), F.col("comp").alias("main"))
-    tagged = store.save("tagged", tagged.join(heads, F.col("key") == F.col("k")).join(rep.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("key", "rep", "center", "comp", "main", "n", "sk_a", "sk_b"))
-    out = tagged.filter("comp <> main").select(F.col("key").alias("k"), F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sk_a").alias("xa"), F.col("sk_b").alias("xb"))
-    inn = tagged.filter("rep <> center")
+    # What a bucket holds outside of its main component meets the rest: only in buckets of
+    # two components or more, and by way of one reference document per bucket, the hub of
+    # the main component (its center of most links).
+    home = store.save("home", roots.select(F.col("node").alias("x"), "root"))
+    tagged = members.join(home, members["rep"] == home["x"], "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
+    groups = tagged.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mains = groups.groupBy("key").agg(F.max_by("comp", F.struct(F.col("n"), -F.col("comp"))).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    hubs = edges.groupBy("b").agg(F.count("*").alias("n")).join(home, F.col("b") == F.col("x"), "left")
+    hubs = hubs.groupBy(F.coalesce("root", "b").alias("c")).agg(F.max_by("b", F.struct(F.col("n"), -F.col("b"))).alias("hub"))
+    mains = mains.join(hubs, mains["main"] == hubs["c"], "left").select(F.col("key").alias("k"), "main", F.coalesce("hub", "main").alias("hub"))
+    tagged = store.save("tagged", tagged.join(mains, F.col("key") == F.col("k")).drop("k"))
+    to_hub = tagged.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "comp", "main").distinct()
+    near_hub = store.save("near_hub", to_hub.join(likely(to_hub.select("a", "b").distinct()), ["a", "b"]))
+    sets = sets_of(near_hub, "hub_sets")
+    own, ref = (sets.select(F.col("doc_id").alias(c + "_id"), F.col("items").alias(c + "_items")) for c in ("own", "ref"))
+    deltas = near_hub.join(own, F.col("a") == F.col("own_id")).join(ref, F.col("b") == F.col("ref_id"))
+    both = F.size("own_items") + F.size("ref_items")
+    deltas = deltas.select("a", "b", "comp", "main", both.alias("both"), F.array_except("own_items", "ref_items").alias("more"), F.array_sort(F.array_except("ref_items", "own_items")).alias("less"))
+    # J >= p % is: (100 + p) * |difference| <= (100 - p) * (sum of sizes).
+    linked = (100 + near.percent) * (F.size("more") + F.size("less")) <= (100 - near.percent) * F.col("both")
+    deltas = store.save("deltas", deltas.withColumn("linked", linked).drop("both"))
+    hub_links = deltas.filter("linked and comp <> main").select("a", "b", F.col("comp").alias("ca"), F.col("main").alias("cb"))
+    # A straggler has no link with its hub. With I items that a document M has and the hub
+    # lacks, and D that it lacks and the hub has, M links with a straggler only if they share
+    # more than (p I + 100 D) / (100 + p) of these items: hence one of those M has more, or
+    # else D > I and they share so many of those M lacks that one lies in a short prefix.
+    lost = deltas.filter("not linked and comp <> main")
+    sides = lambda e: (F.col("b").alias("h"), F.col("a").alias("sa"), F.col("comp").alias("sc"), F.explode(e).alias("item"))
+    least = F.floor((near.percent * F.size("more") + 100 * F.size("less")) / (100 + near.percent)) + 1
+    prefix = F.slice("less", 1, (F.size("less") - least + 1).cast("int"))
+    short = deltas.filter(F.size("less") > F.size("more"))
+    ways = []
+    for stragglers, others in ((lost.select(*sides("more")), deltas.select("a", "b", "comp", F.explode("more").alias("e"))), (lost.select(*sides("less")), short.select("a", "b", "comp", F.explode(prefix).alias("e")))):
+        met = others.join(stragglers, (F.col("b") == F.col("h")) & (F.col("e") == F.col("item")) & (F.col("comp") != F.col("sc")))
+        ways.append(met.select(F.least("a", "sa").alias("a"), F.greatest("a", "sa").alias("b"), F.when(F.col("a") < F.col("sa"), F.col("comp")).otherwise(F.col("sc")).alias("ca"), F.when(F.col("a") < F.col("sa"), F.col("sc")).otherwise(F.col("comp")).alias("cb")))
+    # Documents whose sketch is far from the hub's: theirs are compared with the bucket's.
+    wide = tagged.join(rep.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r")
+    far = wide.join(near_hub.select(F.col("a").alias("na_"), F.col("b").alias("nb_")).distinct(), (F.col("rep") == F.col("na_")) & (F.col("hub") == F.col("nb_")), "left_anti")
+    far = far.filter("rep <> hub").select(F.col("key").alias("k"), F.col("rep").alias("sa"), F.col("comp").alias("sc"), F.col("n").alias("sn"), F.col("sk_a").alias("xa"), F.col("sk_b").alias("xb"))
     agree = 128 - F.bit_count(F.col("sk_a").bitwiseXOR(F.col("xa"))) - F.bit_count(F.col("sk_b").bitwiseXOR(F.col("xb")))
-    fits = (F.col("ca") != F.col("comp")) & (100 * F.least("n", "na") >= near.percent * F.greatest("n", "na")) & (agree >= near.min_agree) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("rep")))
-    left = store.save("left", inn.join(out, (F.col("key") == F.col("k")) & fits).select("a", F.col("rep").alias("b"), "ca", F.col("comp").alias("cb")).distinct())
+    fits = (F.col("sc") != F.col("comp")) & (100 * F.least("n", "sn") >= near.percent * F.greatest("n", "sn")) & (agree >= near.min_agree)
+    apart = wide.join(far, (F.col("key") == F.col("k")) & fits)
+    ways.append(apart.select(F.least("rep", "sa").alias("a"), F.greatest("rep", "sa").alias("b"), F.when(F.col("rep") < F.col("sa"), F.col("comp")).otherwise(F.col("sc")).alias("ca"), F.when(F.col("rep") < F.col("sa"), F.col("sc")).otherwise(F.col("comp")).alias("cb")))
+    left = store.save("left", ways[0].union(ways[1]).union(ways[2]).distinct())
     final = roots
-    if left.limit(1).count():
+    if left.limit(1).count() or hub_links.limit(1).count():
         more = confirmed(left.select("a", "b"), sets_of(left.select("a", "b"), "more_sets"))
-        joined = store.save("joined", left.join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        joined = store.save("joined", left.join(more, ["a", "b"]).union(hub_links.select(*left.columns)).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         tops = _stars(store, joined, "top").select(F.col("node").alias("x"), F.col("root").alias("top"))
         tops = store.save("tops", tops)
         lifted = roots.join(tops, roots["root"] == tops["x"], "left").select("node", F.coalesce("top", "root").alias("root"))
         final = store.save("final", lifted.union(tops.select(F.col("x").alias("node"), F.col("top").alias("root"))))
-    store.drop("members", "tagged", "left", "more_sets", "more_sets_ids", "star")
+    store.drop("members", "tagged", "left", "more_sets", "more_sets_ids", "star", "near_hub", "hub_sets", "hub_sets_ids", "deltas", "home")
 
     named = classes.select("fp_a", "fp_b", "rep").join(final, F.col("rep") == F.col("node"), "left").select("fp_a", "fp_b", F.coalesce("root", "rep").alias("component_id"))
     named = store.save("named", named)
