@@ -22,13 +22,16 @@ from nimbora.llm.store import arrow_batches
 @dataclass(frozen=True)
 class Field:
     """``sample``: labelled training rows of each class that the model is fitted on, at most
-    (those of least hash). ``precision`` and ``support``: a lexicon feature occurs in that many
-    toxic sample documents, and at most in (1 - precision) of that rate of the clean ones."""
+    (those of least hash). ``precision``, ``support`` and ``support_share``: a lexicon feature explains that many
+    and that share of the toxic sample documents, after a different word in ``spread`` of them, and occurs in at most (1 - precision) of its
+    rate among the clean ones."""
 
     sample: int = 3000
-    buckets: int = 1 << 18
+    buckets: int = 1 << 22
     precision: float = 0.97
     support: int = 4
+    support_share: float = 0.025
+    spread: float = 0.25
     cover: int = 3
     segment: int = 32
     epochs: int = 25
@@ -152,20 +155,27 @@ def lexicon(feats: np.ndarray, first: np.ndarray, toxic: np.ndarray, field: Fiel
     """Buckets that explain the toxic texts: greedily the one that most texts still lack
     (each wants ``cover`` of them), among those precise enough."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    own = toxic[text]
+    before = np.where(np.append(True, text[1:] != text[:-1]), -1, np.roll(feats[:, 0], 1))
     pair = np.unique(text[:, None].astype(np.int64) * field.buckets + feats)
     text, bucket = pair // field.buckets, pair % field.buckets
     bad = toxic[text]
     n_bad, n_ok = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     hits, false = np.bincount(bucket[bad], minlength=field.buckets), np.bincount(bucket[~bad], minlength=field.buckets)
     good = (hits >= field.support) & (false / n_ok <= (1 - field.precision) * hits / n_bad)
+    # In copies of one text a word always has the same neighbour: such words don't count.
+    seen = good[feats] & own[:, None]
+    met = np.unique(feats[seen].astype(np.int64) * (field.buckets + 1) + np.broadcast_to(before[:, None], feats.shape)[seen] + 1)
+    good &= np.bincount(met // (field.buckets + 1), minlength=field.buckets) >= np.maximum(field.support, field.spread * hits)
     keep = bad & good[bucket]
     text, bucket = text[keep], bucket[keep]
     want = np.full(len(first) - 1, field.cover)
+    least = max(field.support, field.support_share * n_bad)
     out = []
     while len(text):
         gain = np.bincount(bucket, minlength=field.buckets)
         best = int(gain.argmax())
-        if gain[best] < field.support:
+        if gain[best] < least:
             break
         out.append(best)
         want[text[bucket == best]] -= 1
