@@ -68,10 +68,12 @@ def _gif(b: bytes, at: int) -> int:
 
 def _jpeg(b: bytes, at: int) -> int:
     pos = at + 2
-    while pos + 4 <= len(b) and b[pos] == 0xFF:
+    while pos + 2 <= len(b) and b[pos] == 0xFF:
         kind = b[pos + 1]
         if kind == 0xD9:
             return pos + 2 - at
+        if pos + 4 > len(b):
+            return 0
         size = int.from_bytes(b[pos + 2 : pos + 4], "big")
         if size < 2:
             return 0

@@ -1,0 +1,31 @@
+import random
+
+import corpus_pipeline as pipeline
+
+
+def test_stages_keep_their_contract(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(30)]
+    docs = [(i, t + (" token=abcdef123456" if i % 5 == 0 else ""), "en", f"s{i % 3}", 0) for i, t in enumerate(base)]
+    docs += [(100 + i, base[i] + " tail", "en", "s0", 0) for i in range(1, 5)] + [(200, "too short", "en", "s1", 0), (201, None, None, None, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    kept, step = {i for i in range(30)}, frame
+    for name, stage in pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == frame.columns, name
+        step.write.parquet(str(tmp_path / name))
+        step = spark.read.parquet(str(tmp_path / name))
+        ids = [r.doc_id for r in step.collect()]
+        if name == "quality_rules":
+            assert set(ids) == kept | {101, 102, 103, 104}
+        elif name == "near_dedup":
+            assert sorted(ids) == sorted(kept)
+        elif name == "secret_scans":
+            assert sorted(ids) == sorted(kept) and step.filter("text like '%token=%'").count() == 0
+        else:
+            copies = len(ids)
+            assert set(ids) <= kept
+    rows = pipeline.run(spark, str(tmp_path)).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) == copies
