@@ -26,13 +26,13 @@ class Field:
     and that share of the toxic sample documents, after a different word in ``spread`` of them, and occurs in at most (1 - precision) of its
     rate among the clean ones."""
 
-    sample: int = 3000
+    sample: int = 1500
     buckets: int = 1 << 22
-    precision: float = 0.97
-    support: int = 4
-    support_share: float = 0.025
+    precision: float = 0.95
+    support: int = 5
+    support_share: float = 0.012
     spread: float = 0.25
-    cover: int = 3
+    cover: int = 6
     segment: int = 32
     epochs: int = 25
     rate: float = 0.5
@@ -42,8 +42,9 @@ class Field:
 PARTS = 8
 
 
-def features(data: np.ndarray, bounds: np.ndarray, field: Field) -> tuple[W.Words, np.ndarray]:
-    """Bare words, and per word the buckets of: itself, its first 3 to 6 bytes, its last 3 to 5."""
+def features(data: np.ndarray, bounds: np.ndarray, field: Field) -> tuple[W.Words, np.ndarray, np.ndarray]:
+    """Bare words, and per word the buckets of: itself, its first 3 to 6 bytes, its last 3 to 5;
+    and 16 more bits of each, by which a scored feature is told from a trained one of its bucket."""
     words = W.find_words(data, bounds, lower=True, gap=W.PUNCTUATION)
     values = W.LOWER[data].astype(np.uint64) + np.uint64(1)
     up, down = W.powers(len(values))
@@ -52,11 +53,12 @@ def features(data: np.ndarray, bounds: np.ndarray, field: Field) -> tuple[W.Word
     spans = [(words.start, words.end)]
     spans += [(words.start, np.minimum(words.start + k, words.end)) for k in (3, 4, 5, 6)]
     spans += [(np.maximum(words.end - k, words.start), words.end) for k in (3, 4, 5)]
-    out = np.empty((len(words.start), PARTS), np.int32)
+    out, check = np.empty((len(words.start), PARTS), np.int32), np.empty((len(words.start), PARTS), np.uint16)
     for i, (a, b) in enumerate(spans):
         h = W.mix((total[b] - total[a]) * down[a] + np.uint64(i << 40))
         out[:, i] = (h % np.uint64(field.buckets)).astype(np.int32)
-    return words, out
+        check[:, i] = (h >> np.uint64(48)).astype(np.uint16)
+    return words, out, check
 
 
 def blocks(emission: np.ndarray, first: np.ndarray, size: int = 64):
@@ -151,33 +153,42 @@ def pair_marginals(e: np.ndarray, ok: np.ndarray, trans: np.ndarray, start: np.n
     return p, pairs
 
 
-def lexicon(feats: np.ndarray, first: np.ndarray, toxic: np.ndarray, field: Field) -> np.ndarray:
+def lexicon(parts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, field: Field) -> np.ndarray:
     """Buckets that explain the toxic texts: greedily the one that most texts still lack
-    (each wants ``cover`` of them), among those precise enough."""
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    own = toxic[text]
-    before = np.where(np.append(True, text[1:] != text[:-1]), -1, np.roll(feats[:, 0], 1))
-    pair = np.unique(text[:, None].astype(np.int64) * field.buckets + feats)
-    text, bucket = pair // field.buckets, pair % field.buckets
-    bad = toxic[text]
+    (each wants ``cover`` of them), among those precise enough. parts: (text, buckets) of the
+    words of some texts each; they are gone through one by one to keep memory small."""
     n_bad, n_ok = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    hits, false = np.bincount(bucket[bad], minlength=field.buckets), np.bincount(bucket[~bad], minlength=field.buckets)
-    good = (hits >= field.support) & (false / n_ok <= (1 - field.precision) * hits / n_bad)
+    least = max(field.support, field.support_share * n_bad)
+
+    def pairs(text: np.ndarray, feats: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = np.unique((text[:, None].astype(np.int64) * field.buckets + feats)[mask])
+        return found // field.buckets, found % field.buckets
+
+    hits, false = np.zeros(field.buckets, np.int32), np.zeros(field.buckets, np.int32)
+    for text, feats in parts:
+        hits += np.bincount(pairs(text, feats, np.broadcast_to(toxic[text][:, None], feats.shape))[1], minlength=field.buckets).astype(np.int32)
+    good = hits >= least
+    for text, feats in parts:
+        false += np.bincount(pairs(text, feats, good[feats] & ~toxic[text][:, None])[1], minlength=field.buckets).astype(np.int32)
+    good &= false / n_ok <= (1 - field.precision) * hits / n_bad
     # In copies of one text a word always has the same neighbour: such words don't count.
-    seen = good[feats] & own[:, None]
-    met = np.unique(feats[seen].astype(np.int64) * (field.buckets + 1) + np.broadcast_to(before[:, None], feats.shape)[seen] + 1)
+    met = []
+    for text, feats in parts:
+        before = np.where(np.append(True, text[1:] != text[:-1]), -1, np.roll(feats[:, 0], 1))
+        seen = good[feats] & toxic[text][:, None]
+        met.append(np.unique(feats[seen].astype(np.int64) * (field.buckets + 1) + np.broadcast_to(before[:, None], feats.shape)[seen] + 1))
+    met = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
     good &= np.bincount(met // (field.buckets + 1), minlength=field.buckets) >= np.maximum(field.support, field.spread * hits)
-    keep = bad & good[bucket]
-    text, bucket = text[keep], bucket[keep]
-    want = np.full(len(first) - 1, field.cover)
-    least = max(field.support, field.support_share * n_bad)
-    out = []
+    chosen = [pairs(text, feats, good[feats] & toxic[text][:, None]) for text, feats in parts]
+    text, bucket = (np.concatenate(x) for x in zip(*chosen, strict=True)) if chosen else (np.zeros(0, int), np.zeros(0, int))
+    name, bucket = np.unique(bucket, return_inverse=True)
+    want, out = np.full(len(toxic), field.cover), []
     while len(text):
-        gain = np.bincount(bucket, minlength=field.buckets)
+        gain = np.bincount(bucket, minlength=len(name))
         best = int(gain.argmax())
         if gain[best] < least:
             break
-        out.append(best)
+        out.append(name[best])
         want[text[bucket == best]] -= 1
         left = (bucket != best) & (want[text] > 0)
         text, bucket = text[left], bucket[left]
@@ -187,19 +198,24 @@ def lexicon(feats: np.ndarray, first: np.ndarray, toxic: np.ndarray, field: Fiel
 @dataclass
 class Model:
     weights: np.ndarray
+    check: np.ndarray
     trans: np.ndarray
     start: np.ndarray
     curve: np.ndarray
 
+    def emission(self, feats: np.ndarray, check: np.ndarray) -> np.ndarray:
+        return np.where(self.check[feats] == check, self.weights[feats], 0).sum(1, dtype=np.float64)
+
 
 def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per text: 1, greatest marginal, log(1 + expected toxic tokens), their share."""
+    """Per text: 1, greatest marginal, log(1 + mass), mass per token; mass is the sum of the
+    marginals from 0.5 on, so that a long clean text can't gather one from many small ones."""
     n = len(first) - 1
     counts = np.diff(first)
     text = np.repeat(np.arange(n), counts)
     top = np.zeros(n)
     np.maximum.at(top, text, p)
-    mass = np.bincount(text, p, n)
+    mass = np.bincount(text, np.where(p >= 0.5, p, 0.0), n)
     return np.stack([np.ones(n), top, np.log1p(mass), mass / np.maximum(counts, 1)], 1)
 
 
@@ -207,23 +223,34 @@ def fit(texts: pa.Array, toxic: np.ndarray, field: Field) -> Model | None:
     """None if either class is missing."""
     if not toxic.any() or toxic.all():
         return None
-    parts = [(features(d, b, field)) for _, _, d, b in W.slices(texts)]
-    feats = np.concatenate([f for _, f in parts])
-    first = np.concatenate([[0], np.cumsum(np.concatenate([w.counts for w, _ in parts]))])
+    parts, firsts, checks = [], [], []
+    for lo, _, data, bounds in W.slices(texts):
+        words, feats, check = features(data, bounds, field)
+        parts.append((lo + words.text_of(), feats))
+        firsts.append(words.first)
+        checks.append(check)
     listed = np.zeros(field.buckets, bool)
-    listed[lexicon(feats, first, toxic, field)] = True
-    text = np.repeat(np.arange(len(toxic)), np.diff(first))
-    label = listed[feats].any(1) & toxic[text]
-
-    _, at = blocks(np.zeros(len(feats)), first, field.segment)
-    ok = at >= 0
-    has = (label[at] & ok).any(1)
+    listed[lexicon(parts, toxic, field)] = True
+    # Segments with a toxic word, and some of the others.
     rng = np.random.default_rng(field.seed)
-    clean = np.flatnonzero(~has)
-    take = np.concatenate([np.flatnonzero(has), rng.choice(clean, min(len(clean), 3 * int(has.sum()) + 100), replace=False)])
-    at, ok = at[take], ok[take]
-    y = label[at] & ok
-    x = feats[at]
+    cut = []
+    for (text, feats), first in zip(parts, firsts, strict=True):
+        label = listed[feats].any(1) & toxic[text]
+        _, at = blocks(np.zeros(len(feats)), first, field.segment)
+        cut.append((label, at, (label[at] & (at >= 0)).any(1)))
+    some, rest = sum(int(has.sum()) for _, _, has in cut), sum(int((~has).sum()) for _, _, has in cut)
+    share = min(1.0, (3 * some + 100) / max(1, rest))
+    xs, ys, oks, seen = [], [], [], np.zeros(field.buckets, np.uint16)
+    for toxic_ones in (False, True):  # of two trained features in a bucket, the toxic one is told
+        for (_, feats), (label, _, _), check in zip(parts, cut, checks, strict=True):
+            seen[feats[label == toxic_ones]] = check[label == toxic_ones]
+    for (_, feats), (label, at, has) in zip(parts, cut, strict=True):
+        at = at[has | (rng.random(len(has)) < share)]
+        oks.append(at >= 0)
+        ys.append(label[at] & oks[-1])
+        xs.append(feats[at])
+    x, y, ok = np.concatenate(xs), np.concatenate(ys), np.concatenate(oks)
+    del xs, ys, oks, cut
     pairs = np.array([[(ok[:, 1:] & (y[:, :-1] == a) & (y[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
     begin = np.array([(~y[:, 0]).sum(), y[:, 0].sum()], float)
     w, trans, start = np.zeros(field.buckets, np.float64), np.zeros((2, 2)), np.zeros(2)
@@ -241,14 +268,16 @@ def fit(texts: pa.Array, toxic: np.ndarray, field: Field) -> Model | None:
         d = begin - np.array([(1 - p[:, 0]).sum(), p[:, 0].sum()])
         gs += d * d
         start += field.rate * d / np.sqrt(gs)
-    p = marginals(w[feats].sum(1), first, trans, start)
-    s, c, target = summary(p, first), np.zeros(4), toxic.astype(float)
+    model = Model(w.astype(np.float32), seen, trans, start, np.zeros(4))
+    s = np.concatenate([summary(marginals(model.emission(feats, check), first, trans, start), first) for (_, feats), first, check in zip(parts, firsts, checks, strict=True)])
+    c, target = np.zeros(4), toxic.astype(float)
     for _ in range(50):  # Newton's method with a small ridge
         q = 1 / (1 + np.exp(-np.clip(s @ c, -30, 30)))
         gradient = s.T @ (target - q) - 0.1 * c
         hessian = (s * (q * (1 - q))[:, None]).T @ s + 0.1 * np.eye(4)
         c = c + np.linalg.solve(hessian, gradient)
-    return Model(w.astype(np.float32), trans, start, c)
+    model.curve = c
+    return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, field: Field, keep) -> tuple[pa.Array, np.ndarray]:
@@ -275,8 +304,8 @@ def _score(model: Model | None, field: Field):
                 if model is None:
                     score = np.zeros(n)
                 else:
-                    words, feats = features(data, bounds, field)
-                    p = marginals(model.weights[feats].sum(1, dtype=np.float64), words.first, model.trans, model.start)
+                    words, feats, check = features(data, bounds, field)
+                    p = marginals(model.emission(feats, check), words.first, model.trans, model.start)
                     score = 1 / (1 + np.exp(-np.clip(summary(p, words.first) @ model.curve, -30, 30)))
                     hit = np.flatnonzero(p >= 0.5)
                     if len(hit):
