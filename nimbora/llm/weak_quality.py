@@ -108,10 +108,11 @@ def pattern_of(v: np.ndarray) -> np.ndarray:
 def em(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(posterior of good per pattern, P(vote | class) as labeller x class x vote, prior).
 
-    Starts from the majority vote; one pseudo-count per cell. Classes can't swap, since a
+    Starts from a vote in which bad counts threefold, as labellers call bad only what is
+    far off; one pseudo-count per cell. Classes can't swap, since a
     labeller's votes stay more likely in their own class."""
     v = patterns[:, None] // 3 ** np.arange(labellers) % 3 - 1
-    q = 1 / (1 + np.exp(-v.sum(1).astype(float)))
+    q = 1 / (1 + np.exp(3.0 * (v < 0).sum(1) - (v > 0).sum(1)))
     for _ in range(rounds):
         prior = float((q * counts).sum() + 1) / (counts.sum() + 2)
         table = np.empty((labellers, 2, 3))
@@ -198,7 +199,10 @@ def classify(docs: DataFrame, weak: Weak = Weak()) -> DataFrame:
     q, _, prior = em(patterns, counts, k, weak.rounds) if len(found) else (np.zeros(0), None, 0.5)
     lookup = dict(zip(patterns.tolist(), q.tolist(), strict=True))
     posterior = lambda p: np.array([lookup.get(int(x), prior) for x in p])
-    texts = plain.orderBy(F.xxhash64("doc_id", F.lit(weak.seed)), "doc_id").limit(weak.sample).select("text").toArrow().column("text").combine_chunks()
+    # Ids first, so that no task gathers texts: at most ``sample`` ids, then their texts.
+    picked = plain.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(weak.seed)), "doc_id").limit(weak.sample).select(F.col("doc_id").alias("picked")).distinct()
+    taken = plain.join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi").toArrow().sort_by("doc_id").slice(0, weak.sample)
+    texts = taken.column("text").combine_chunks()
     weights = fit_scorer(texts, posterior, weak)
     scored = plain.mapInArrow(_score(weights, weak), "doc_id long, pattern long, score double")
     table = spark.createDataFrame([(int(p), float(x)) for p, x in zip(patterns, q, strict=True)], "voted long, posterior double")
