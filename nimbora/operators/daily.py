@@ -18,8 +18,8 @@ def daily_aggregate(hourly: DataFrame, c: Climate = Climate()) -> DataFrame:
     invalid; their temperature and precipitation become null, the rest stays.
 
     Days are made per source year, so a local day across new year exists twice, unless
-    ``merge_year_boundary`` is set. Partitioned by station once, hours, days and features
-    need no further exchange.
+    ``merge_year_boundary`` is set. Every key contains the station: over observations that are
+    partitioned by it, hours, days and features need no exchange of their own.
     """
     keys = ([] if c.merge_year_boundary else ["source_year"]) + ["station_id"]
     known = hourly.withColumn("day", local_day(F.col("hour"), F.col("lon")))
