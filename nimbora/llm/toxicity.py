@@ -253,22 +253,36 @@ def fit(texts: pa.Array, toxic: np.ndarray, field: Field) -> Model | None:
     del xs, ys, oks, cut
     pairs = np.array([[(ok[:, 1:] & (y[:, :-1] == a) & (y[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
     begin = np.array([(~y[:, 0]).sum(), y[:, 0].sum()], float)
-    w, trans, start = np.zeros(field.buckets, np.float64), np.zeros((2, 2)), np.zeros(2)
-    gw, gt, gs = np.full(field.buckets, 1e-8), np.full((2, 2), 1e-8), np.full(2, 1e-8)
-    flat = x[ok].reshape(-1)
-    for _ in range(field.epochs):  # Adagrad over the whole sample
-        e = np.where(ok, w[x].sum(2), 0.0)
-        p, got = pair_marginals(e, ok, trans, start)
-        d = np.bincount(flat, np.repeat((y - p)[ok], PARTS), field.buckets) - 0.1 * w
-        gw += d * d
-        w += field.rate * d / np.sqrt(gw)
+    # Weights of the buckets that occur, numbered closely.
+    used = np.zeros(field.buckets, bool)
+    used[x] = True
+    names = np.flatnonzero(used)
+    number = np.zeros(field.buckets, np.int32)
+    number[names] = np.arange(len(names), dtype=np.int32)
+    x = number[x]
+    del used, number
+    v, trans, start = np.zeros(len(names)), np.zeros((2, 2)), np.zeros(2)
+    gv, gt, gs = np.full(len(names), 1e-8), np.full((2, 2), 1e-8), np.full(2, 1e-8)
+    for _ in range(field.epochs):  # Adagrad over the whole sample, some segments at a time
+        d, got, first_on = -0.1 * v, np.zeros((2, 2)), 0.0
+        for lo in range(0, len(x), 4096):
+            part = slice(lo, lo + 4096)
+            p, seen_pairs = pair_marginals(np.where(ok[part], v[x[part]].sum(2), 0.0), ok[part], trans, start)
+            got += seen_pairs
+            first_on += p[:, 0].sum()
+            d += np.bincount(x[part][ok[part]].reshape(-1), np.repeat((y[part] - p)[ok[part]], PARTS), len(names))
+        gv += d * d
+        v += field.rate * d / np.sqrt(gv)
         d = pairs - got
         gt += d * d
         trans += field.rate * d / np.sqrt(gt)
-        d = begin - np.array([(1 - p[:, 0]).sum(), p[:, 0].sum()])
+        d = begin - np.array([len(x) - first_on, first_on])
         gs += d * d
         start += field.rate * d / np.sqrt(gs)
-    model = Model(w.astype(np.float32), seen, trans, start, np.zeros(4))
+    w = np.zeros(field.buckets, np.float32)
+    w[names] = v
+    del x, y, ok
+    model = Model(w, seen, trans, start, np.zeros(4))
     s = np.concatenate([summary(marginals(model.emission(feats, check), first, trans, start), first) for (_, feats), first, check in zip(parts, firsts, checks, strict=True)])
     c, target = np.zeros(4), toxic.astype(float)
     for _ in range(50):  # Newton's method with a small ridge
