@@ -88,7 +88,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
     vote = lambda bad, good: np.where(bad, -1, np.where(good, 1, 0))
     x = m
     return np.stack([
-        vote(x["words"] < 10, (x["words"] >= 40) & (x["words"] < 20000)),
+        vote(x["words"] < 4, (x["words"] >= 40) & (x["words"] < 20000)),
         vote(x["symbols"] > 0.04, x["symbols"] < 0.005),
         vote(x["upper"] > 0.4, x["upper"] < 0.1),
         vote((x["word_length"] < 2.5) | (x["word_length"] > 12), (x["word_length"] > 3) & (x["word_length"] < 9)),
@@ -97,7 +97,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
         vote(x["repeated_lines"] > 0.3, (x["repeated_lines"] < 0.05) & (x["words"] > 0)),
         vote(x["letters"] < 0.6, x["letters"] > 0.75),
         vote(x["neighbours"] > 0.2, (x["neighbours"] < 0.05) & (x["words"] > 10)),
-        vote(x["pipes"] > 0.01, np.zeros(len(x["pipes"]), bool)),
+        vote(x["pipes"] > 0.01, x["pipes"] == 0),
     ], 1).astype(np.int8)
 
 
@@ -106,20 +106,22 @@ def pattern_of(v: np.ndarray) -> np.ndarray:
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """(posterior of good per pattern, P(vote | class) as labeller x class x vote, prior).
+    """(posterior of good per pattern, P(vote | class, it votes) as labeller x class x vote, prior).
 
-    Starts from a vote in which bad counts threefold, as labellers call bad only what is
+    Starts from a vote in which bad counts fivefold, as labellers call bad only what is
     far off; one pseudo-count per cell. Classes can't swap, since a
     labeller's votes stay more likely in their own class."""
     v = patterns[:, None] // 3 ** np.arange(labellers) % 3 - 1
-    q = 1 / (1 + np.exp(3.0 * (v < 0).sum(1) - (v > 0).sum(1)))
+    q = 1 / (1 + np.exp(5.0 * (v < 0).sum(1) - (v > 0).sum(1)))
     for _ in range(rounds):
         prior = float((q * counts).sum() + 1) / (counts.sum() + 2)
         table = np.empty((labellers, 2, 3))
         for c, weight in ((0, (1 - q) * counts), (1, q * counts)):
-            for s in (-1, 0, 1):
+            for s in (-1, 1):
                 table[:, c, s + 1] = ((v == s) * weight[:, None]).sum(0) + 1
+        table[:, :, 1] = 0
         table /= table.sum(2, keepdims=True)
+        table[:, :, 1] = 1  # not to vote says nothing, else short texts would count as bad
         good, bad = np.log(table[np.arange(labellers), 1, v + 1]).sum(1), np.log(table[np.arange(labellers), 0, v + 1]).sum(1)
         q = 1 / (1 + np.exp(-np.clip(good - bad + np.log(prior / (1 - prior)), -30, 30)))
     return q, table, prior
