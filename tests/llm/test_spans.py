@@ -107,6 +107,21 @@ def test_nested_layers_map_to_the_text():
     assert S.scan_text("%2541 plain %41 text aaaaaaaaaaaaaaaaaaaa")[1] == []
 
 
+def test_equal_layers_at_two_places_are_both_found(spark):
+    inner = f"id {KEY} end"
+    b64 = base64.b64encode(inner.encode()).decode()
+    url = "".join(f"%{b:02X}" for b in KEY.encode())
+    plain = base64.b64encode(KEY.encode()).decode()
+    for one, two in ((b64, b64), (url, plain), (url, url)):
+        text = f"é {one} and {two} z"
+        spans = [(2, 1, 2 + len(one)), (7 + len(one), 1, 7 + len(one) + len(two))]
+        assert S.scan_text(text)[1] == spans
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert [r.text for r in S.redact(frame).collect()] == ["é [secret] and [secret] z"]
+    outer = base64.b64encode(f"{b64} {b64}".encode()).decode()
+    assert S.scan_text(f"{outer} {outer}")[1] == [(0, 1, len(outer)), (len(outer) + 1, 1, 2 * len(outer) + 1)]
+
+
 def test_secret_rows_and_redaction(spark):
     docs = [(1, f"my {KEY} and token=abcdef"), (2, None), (3, ""), (1, f"my {KEY} and token=abcdef"), (None, "é" * 70_000 + " password: hunter22"), (5, "clean text")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("TEXT2", F.lit("t"))
