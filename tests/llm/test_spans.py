@@ -122,6 +122,22 @@ def test_equal_layers_at_two_places_are_both_found(spark):
     assert S.scan_text(f"{outer} {outer}")[1] == [(0, 1, len(outer)), (len(outer) + 1, 1, 2 * len(outer) + 1)]
 
 
+def test_escapes_that_do_not_decode_leave_the_rest_of_the_run():
+    tail = "token%3Dabcdef123456"
+    for bad in ("caf%E9", "%00", "%E9%26", "\\ud83d", "%C3", "caf%E9%41%00%42"):
+        text = f"see https://h/?q={bad}&{tail} x"
+        at = text.index(tail)
+        assert S.scan_text(text)[1] == [(at, 0, at + len(tail))], bad
+    for text, span in (
+        ("q=%E9%74%6F%6B%65%6E%3D%61%62%63%64%65%66 z", (5, 0, 41)),
+        ('{"a":"\\ud83d","b":"\\u0041KIAABCDEFGHIJKLMNOP"}', (19, 1, 19 + 6 + 19)),
+        ('"\\ud83d\\ud83d\\ude00\\x41KIAABCDEFGHIJKLMNOP"', (19, 1, 19 + 4 + 19)),
+    ):
+        assert S.scan_text(text)[1] == [span], text
+    for text in ("%E9%00 \\ud83d", "caf%E9 %FF%FE"):
+        assert S.scan_text(text) == ([], []) and not list(S.layers(text, S.Scan()))
+
+
 def test_secret_rows_and_redaction(spark):
     docs = [(1, f"my {KEY} and token=abcdef"), (2, None), (3, ""), (1, f"my {KEY} and token=abcdef"), (None, "é" * 70_000 + " password: hunter22"), (5, "clean text")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("TEXT2", F.lit("t"))
