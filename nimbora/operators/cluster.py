@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, KMeans
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -30,20 +32,81 @@ def relabel(labelled: DataFrame, by: str) -> DataFrame:
     return labelled.join(F.broadcast(order), F.col("label") == F.col("old")).withColumn("label", F.col("new")).drop("old", "new")  # as many rows as groups
 
 
-def gaussian_mixture(points: DataFrame, vector: str, k: int, dims: int, restarts: int = 3, seed: int = 42) -> tuple[DataFrame, float]:
-    """``points`` with ``label``, and the Bayesian information criterion."""
+def _mixture_sums(points: DataFrame, vector: str, center: np.ndarray, score) -> np.ndarray:
+    """Per group the weight, weighted sum and weighted products of the centered vectors, and the
+    log-likelihood, summed over all rows; ``score`` gives (weights of groups, log-likelihood) of a batch."""
+
+    def rows(batches):
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - center
+            r, fit = score(x)
+            one = np.concatenate([r.sum(0), (r.T @ x).ravel(), *[((x * w[:, None]).T @ x).ravel() for w in r.T], [fit]])
+            total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+
+    return points.select(vector).mapInArrow(rows, "sums binary").rdd.map(lambda r: np.frombuffer(bytes(r[0]))).treeReduce(lambda a, b: a + b)
+
+
+def _mixture_score(weights: np.ndarray, means: np.ndarray, covariances: np.ndarray):
+    """A batch's (responsibilities, log-likelihood), by logarithms, so that many dimensions don't underflow."""
+    roots = np.stack([np.linalg.inv(np.linalg.cholesky(c)).T for c in covariances])
+    ground = np.log(weights) + np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(1) - means.shape[1] / 2 * np.log(2 * np.pi)
+
+    def score(x):
+        logs = np.stack([g - (((x - m) @ root) ** 2).sum(1) / 2 for g, m, root in zip(ground, means, roots, strict=True)], 1)
+        top = logs.max(1, keepdims=True)
+        likely = np.exp(logs - top)
+        each = likely.sum(1, keepdims=True)
+        return likely / each, float((top + np.log(each)).sum())
+
+    return score
+
+
+def gaussian_mixture(points: DataFrame, vector: str, k: int, dims: int, restarts: int = 3, seed: int = 42, steps: int = 100, tol: float = 1e-3, ridge: float = 1e-6) -> tuple[DataFrame, float]:
+    """``points`` with ``label``, and the Bayesian information criterion.
+
+    Full covariances with ``ridge`` on their diagonals, started from k-means groups; expectation
+    and maximization until the mean log-likelihood gains less than ``tol``, the best of ``restarts``.
+    """
     data = _vectors(points, vector).persist()
-    fits = [GaussianMixture(k=k, seed=seed + i, maxIter=100).fit(data) for i in range(restarts)]
-    best = max(fits, key=lambda m: m.summary.logLikelihood)
+    n = data.count()
+    center = np.array(data.agg(F.array(*[F.avg(F.col(vector)[i]) for i in range(dims)])).first()[0], float)
+
+    def maximized(sums):
+        weight = sums[:k] + 10 * np.finfo(float).eps
+        means = sums[k : k + k * dims].reshape(k, dims) / weight[:, None]
+        products = sums[k + k * dims : -1].reshape(k, dims, dims) / weight[:, None, None]
+        return weight / weight.sum(), means, products - means[:, :, None] * means[:, None, :] + ridge * np.eye(dims)
+
+    def fitted(seed):
+        near = np.array(KMeans(k=k, seed=seed, maxIter=100, tol=1e-6).fit(data).clusterCenters()) - center
+        # Fewer centers than groups come from fewer distinct points.
+        start = lambda x: (np.eye(k)[((x[:, None, :] - near[None, :, :]) ** 2).sum(2).argmin(1)], 0.0)
+        model, last = maximized(_mixture_sums(data, vector, center, start)), -np.inf
+        for _ in range(steps):
+            sums = _mixture_sums(data, vector, center, _mixture_score(*model))
+            if abs(sums[-1] / n - last) < tol:
+                break
+            model, last = maximized(sums), sums[-1] / n
+        else:
+            sums = _mixture_sums(data, vector, center, _mixture_score(*model))
+        return float(sums[-1]), model
+
+    likelihood, model = max((fitted(seed + i) for i in range(restarts)), key=lambda f: f[0])
     free = k - 1 + k * dims + k * dims * (dims + 1) / 2
-    bic = -2 * best.summary.logLikelihood + free * float(np.log(max(1, data.count())))
-    return best.transform(data).withColumnRenamed("prediction", "label").drop("features", "probability"), bic
+    score = _mixture_score(*model)
+    label = F.pandas_udf(lambda v: pd.Series(score(np.stack(v.to_numpy()) - center)[0].argmax(1) if len(v) else [], dtype="int32"), "int")
+    return data.withColumn("label", label(vector)).drop("features"), -2 * likelihood + free * float(np.log(max(1, n)))
 
 
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     """Ward's agglomeration by nearest-neighbour chains with Lance-Williams updates."""
     n = len(x)
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+    d = np.stack([((x - row) ** 2).sum(1) for row in x])
     np.fill_diagonal(d, np.inf)
     size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
     while alive.sum() > 1:
@@ -99,13 +162,19 @@ def principal_components(points: DataFrame, id_: str, vector: str, k: int) -> tu
     return scores.select(id_, *[(F.col("p")[i] * float(sign[i])).alias(f"pc{i + 1}") for i in range(k)]), [float(v) for v in model.explainedVariance], loadings * sign
 
 
-def sweep(points: DataFrame, id_: str, vector: str, dims: int, ks: list[int], restarts: int = 3, seed: int = 42) -> list[tuple]:
-    """(algorithm, k, silhouette, calinski_harabasz, inertia, bic) for k-means, Ward and mixtures."""
+def sweep(points: DataFrame, id_: str, vector: str, dims: int, ks: list[int], restarts: int = 10, seed: int = 42, mixtures: int = 3, most: int = 5_000) -> list[tuple]:
+    """(algorithm, k, silhouette, calinski_harabasz, inertia, bic) for k-means, Ward and mixtures,
+    the best of ``restarts`` and ``mixtures`` fits; Ward's values are null where it refuses the points."""
     points = points.select(id_, vector).persist()
+    refused = points.count() > most
     out = []
     for k in ks:
-        mixed, bic = gaussian_mixture(points, vector, k, dims, restarts=1, seed=seed)
-        for name, labelled, b in (("kmeans", kmeans(points, vector, k, restarts, seed), None), ("ward", points.join(ward(points, id_, vector, k), id_), None), ("gmm", mixed, bic)):
+        mixed, bic = gaussian_mixture(points, vector, k, dims, mixtures, seed)
+        tree = None if refused else points.join(ward(points, id_, vector, k, most), id_)
+        for name, labelled, b in (("kmeans", kmeans(points, vector, k, restarts, seed), None), ("ward", tree, None), ("gmm", mixed, bic)):
+            if labelled is None:
+                out.append((name, k, None, None, None, None))
+                continue
             labelled = labelled.persist()
             ch = calinski_harabasz(labelled, vector, "label", dims).first()
             s = silhouette_samples(labelled, id_, vector, "label", dims).agg(F.avg("silhouette")).first()[0]

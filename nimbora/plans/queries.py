@@ -313,8 +313,7 @@ def health(spark, sf):
 
 
 def kmeans_sweep(spark, sf):
-    pts = A.vectors(spark, sf).select("vec_id", F.slice("v", 1, 8).alias("v")).filter("vec_id < 300")
-    return spark.createDataFrame(K.sweep(pts, "vec_id", "v", 8, [3, 4, 5], restarts=1), "algorithm string, k int, silhouette double, calinski_harabasz double, inertia double, bic double")
+    return spark.createDataFrame(K.sweep(A.vectors(spark, sf), "vec_id", "v", 64, list(range(3, 13))), "algorithm string, k int, silhouette double, calinski_harabasz double, inertia double, bic double")
 
 
 def ward_labels(spark, sf):

@@ -17,6 +17,7 @@ from nimbora.operators import pairs as P
 from nimbora.operators.daily import daily_aggregate, local_day
 from nimbora.operators.features import percentile_ranks, station_features, zscores
 from nimbora.plans import api
+from nimbora.plans import queries as Q
 from nimbora.sources import records as R
 
 
@@ -166,6 +167,37 @@ def test_models_find_blobs(spark):
         K.ward(frame, "id", "v", 3, most=10)
 
 
+def test_mixture_of_many_dimensions(spark):
+    """Densities of 64 dimensions leave the range of a double; a group may have fewer rows than dimensions."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, s, (40, 64)) + c for c, s in ((0, 1e-3), (3, 0.1), (-40, 1))])
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id int, v array<double>").repartition(3)
+    got, bic = K.gaussian_mixture(frame, "v", 3, 64)
+    labels = [r.label for r in got.orderBy("id").collect()]
+    assert [len(set(labels[i : i + 40])) for i in (0, 40, 80)] == [1, 1, 1] and len(set(labels)) == 3
+    want = -2 * sum(
+        -0.5 * (np.linalg.slogdet(c)[1] + 64 * math.log(2 * math.pi) + d @ np.linalg.solve(c, d)) + math.log(1 / 3)
+        for part in (x[:40], x[40:80], x[80:]) for c in [np.cov(part.T, bias=True) + 1e-6 * np.eye(64)] for d in part - part.mean(0)
+    ) + (2 + 3 * 64 + 3 * 64 * 65 / 2) * math.log(120)
+    assert bic == pytest.approx(want, rel=1e-6)
+
+
+def test_sweep_takes_whole_rows(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(K, "sweep", lambda points, id_, vector, dims, ks, **more: seen.update(n=points.count(), dims=dims, sizes={len(r[0]) for r in points.select(vector).collect()}, ks=ks, more=more) or [])
+    Q.kmeans_sweep(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert seen == {"n": n, "dims": 64, "sizes": {64}, "ks": list(range(3, 13)), "more": {}}
+
+
+def test_sweep_goes_on_where_ward_refuses(spark):
+    _, _, frame = blobs(spark)
+    rows = K.sweep(frame.drop("label"), "id", "v", 2, [3], restarts=2, mixtures=1, most=10)
+    assert [(r[0], r[1]) for r in rows] == [("kmeans", 3), ("ward", 3), ("gmm", 3)]
+    assert rows[1][2:] == (None, None, None, None) and rows[0][2] > 0.5 and rows[2][5] is not None
+    assert all(r[2] > 0.5 for r in K.sweep(frame.drop("label"), "id", "v", 2, [3], restarts=2, mixtures=1))
+
+
 def test_clue_check_and_lookups(spark):
     rows = [("It is 21 degrees in Chicago", "Chicago Ohare", "IL", 21.4), ("chicago is 7 off", "chicago", "IL", 21.4), ("about 21.4 and IL", "x", "IL", 21.4)]
     frame = spark.createDataFrame(rows, "text string, name string, state string, v double")
