@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import re
 
 import numpy as np
 import pytest
@@ -208,6 +209,28 @@ def test_clue_check_and_lookups(spark):
     assert api.search(stations, "k pA").count() == 1 and api.search(stations, "k").count() == 0
 
 
+def test_clue_verify_reads_whole_texts(spark, tmp_path):
+    """Held against brute force: what stands after 300 characters counts too."""
+    long = "word " * 100
+    docs = [
+        (1, long + "from WEB in 12.3 or 77 and -4", "en", "web", 123), (2, long + "only 12.3 and 12", "de", "Crawl ", 123), (3, "crawl 5", "deu", "crawl", 50), (4, long + "deu " + long + "9", "deu", None, 1090),
+        (5, "", "en", "web", 0), (6, None, "en", "web", 7), (7, long * 50 + "0.7 1 2", "en", "web", 7),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def wrong(text, tokens, x):
+        near = {float(round(x, 0)), float(round(x, 1))}
+        told = [t for t in ((t or "").strip().lower() for t in tokens) if len(t) >= 3 and t in text.lower()]
+        return len(told) + sum(not {float(n), float(round(float(n)))} & near for n in re.findall(r"-?\d+(?:\.\d+)?", text))
+
+    got = {r.doc_id: (r.ok, r.n_problems) for r in Q.clue_verify(spark, str(tmp_path)).collect()}
+    for i, text, lang, source, n in docs:
+        if text is not None:
+            many = wrong(text, (lang, source), n % 1000 / 10)
+            assert got[i] == (many == 0, many), i
+    assert got[1][1] == 3 and got[2] == (True, 0) and got[4][1] == 1
+
+
 def test_latency_and_documents(spark, tmp_path):
     log = spark.createDataFrame([(f"/api/round/{i}a", float(i)) for i in range(1, 11)], "path string, ms double")
     r = G.latency_summary(log).first()
