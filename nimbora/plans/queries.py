@@ -321,7 +321,7 @@ def ward_labels(spark, sf):
 
 
 def gmm_bic(spark, sf):
-    fit, bic = K.gaussian_mixture(A.vectors(spark, sf).select("vec_id", F.slice("v", 1, 4).alias("v")), "v", 3, 4, restarts=1)
+    fit, bic = K.gaussian_mixture(A.vectors(spark, sf).select("vec_id", "v"), "v", 3, 64)
     return fit.groupBy("label").agg(F.count("*").alias("n")).withColumn("bic", F.lit(bic))
 
 
@@ -330,14 +330,12 @@ def pca_scores(spark, sf):
 
 
 def stability_ari(spark, sf):
-    pts = A.vectors(spark, sf).select("vec_id", F.slice("v", 1, 8).alias("v"))
-    return spark.createDataFrame(K.stability(pts, "vec_id", "v", 8, 4, repeats=2), "kind string, mean double, deviation double")
+    return spark.createDataFrame(K.stability(A.vectors(spark, sf), "vec_id", "v", 64, 4), "kind string, mean double, deviation double")
 
 
 def feature_ablation(spark, sf):
-    names = [f"x{i}" for i in range(4)]
-    pts = A.vectors(spark, sf).select("vec_id", F.slice("v", 1, 4).alias("v"))
-    return spark.createDataFrame(K.feature_ablation(pts, "vec_id", "v", names, 4), "feature string, silhouette double, ari double")
+    names = [f"x{i}" for i in range(64)]
+    return spark.createDataFrame(K.feature_ablation(A.vectors(spark, sf), "vec_id", "v", names, 4), "feature string, silhouette double, ari double")
 
 
 def queries() -> dict:

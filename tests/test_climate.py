@@ -191,6 +191,24 @@ def test_sweep_takes_whole_rows(spark, monkeypatch):
     assert seen == {"n": n, "dims": 64, "sizes": {64}, "ks": list(range(3, 13)), "more": {}}
 
 
+def test_fitted_models_take_whole_vectors(spark, monkeypatch):
+    sf, seen = "/root/testdata/sf0.001", []
+
+    def note(points, *rest, **more):
+        seen.append((points.count(), {len(r.v) for r in points.select("v").collect()}, rest, more))
+        return []
+
+    monkeypatch.setattr(K, "gaussian_mixture", lambda points, *rest, **more: note(points, *rest, **more) or (points.withColumn("label", F.lit(0)), 0.0))
+    monkeypatch.setattr(K, "stability", note)
+    monkeypatch.setattr(K, "feature_ablation", note)
+    for q in (Q.gmm_bic, Q.stability_ari, Q.feature_ablation):
+        q(spark, sf)
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert [s[:2] for s in seen] == [(n, {64})] * 3
+    assert [s[2] for s in seen] == [("v", 3, 64), ("vec_id", "v", 64, 4), ("vec_id", "v", [f"x{i}" for i in range(64)], 4)]
+    assert all(s[3] == {} for s in seen)  # the operators' own restarts and repeats
+
+
 def test_sweep_goes_on_where_ward_refuses(spark):
     _, _, frame = blobs(spark)
     rows = K.sweep(frame.drop("label"), "id", "v", 2, [3], restarts=2, mixtures=1, most=10)
