@@ -5,8 +5,10 @@ fingerprint of its shingle set, a 128-bit sketch and its band hashes. Documents
 one fingerprint form a class, of which only the smallest doc_id goes on. Members of
 a band's bucket are compared with the bucket's smallest member, never pair by pair.
 What such stars leave in other components meets the rest of its bucket by what both
-differ in from one hub document, which leaves few pairs; no link can be lost by it.
-Every link is confirmed on full sets. No step brings a
+differ in from one hub document: two documents that link share a known number of these
+items, so one of the rarest of either's is common. Postings of such items that grow long
+are split by a second and a third item. No pair that shares a bucket is lost by it, and
+every link is confirmed on full sets. No step brings a
 bucket, class or component into one task: buckets and classes are joined by
 sort-merge joins, which adaptive execution splits.
 """
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.llm import words as W
-from nimbora.llm.store import Scratch, arrow_batches
+from nimbora.llm.store import Scratch, arrow_batches, numbered, take
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,13 @@ class Near:
     seed: int = 7
     #: Ids up to which the filter of documents is broadcast (8 MB of ids).
     broadcast_ids: int = 1_000_000
+    #: Pairs a posting row may meet before the posting is split, and items a key may have.
+    posting: int = 64
+    depth: int = 3
+    #: Entries of a table of item counts or of hot keys (16 MB); they order and split, nothing else.
+    table: int = 1_000_000
+    #: One document in ``order_by`` is looked at to order the items of documents far from a hub.
+    order_by: int = 4
 
 
 SIGNED = "doc_id long, n long, fp_a long, fp_b long, sk_a long, sk_b long, bands array<long>"
@@ -67,6 +76,12 @@ def _sum_runs(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def fingerprints(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set."""
+    sizes = np.diff(first).astype(np.uint64)
+    return tuple(W.mix(_sum_runs(W.mix(hashes ^ np.uint64(salt)), first) + sizes) for salt in (0x51ED270B, 0xB5297A4D3F84D5B5))
+
+
 def sign(near: Near):
     """Arrow function from (doc_id, text) to SIGNED."""
     rng = np.random.default_rng(near.seed)
@@ -81,7 +96,7 @@ def sign(near: Near):
                 hashes, first = _sets(data, bounds, near.shingle)
                 sizes = np.diff(first)
                 some = np.flatnonzero(sizes)
-                fp_a, fp_b = (W.mix(_sum_runs(W.mix(hashes ^ np.uint64(salt)), first) + sizes.astype(np.uint64)) for salt in (0x51ED270B, 0xB5297A4D3F84D5B5))
+                fp_a, fp_b = fingerprints(hashes, first)
                 low = (hashes >> np.uint64(32)).astype(np.uint32)
                 least = np.zeros((len(sizes), k), np.uint32)
                 if len(some):
@@ -106,13 +121,73 @@ def sign(near: Near):
 
 
 def shingle_sets(near: Near):
-    """Arrow function from (doc_id, text) to (doc_id, items): the full sets."""
+    """Arrow function from (doc_id, text) to (fp_a, fp_b, items): the full sets and their fingerprints."""
 
     def rows(batches):
         for batch in batches:
-            for lo, hi, data, bounds in W.slices(batch.column(1)):
+            for _, _, data, bounds in W.slices(batch.column(1)):
                 hashes, first = _sets(data, bounds, near.shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), W.as_long(hashes))], names=["doc_id", "items"])
+                fp_a, fp_b = fingerprints(hashes, first)
+                yield pa.RecordBatch.from_arrays([W.as_long(fp_a), W.as_long(fp_b), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), W.as_long(hashes))], names=["fp_a", "fp_b", "items"])
+
+    return rows
+
+
+class Order:
+    """A global order of items, rare ones first: by their counts in a bounded table, then by hash.
+
+    Any order gives the same links; a good one gives short postings."""
+
+    def __init__(self, counted: list[tuple[int, int]]):
+        counted = sorted(counted)
+        self.item = np.array([x for x, _ in counted], np.int64)
+        self.count = np.array([n for _, n in counted], np.int64)
+
+    def sort(self, items: np.ndarray) -> np.ndarray:
+        if not len(self.item):
+            return np.sort(items)
+        at = np.minimum(np.searchsorted(self.item, items), len(self.item) - 1)
+        return items[np.lexsort((items, np.where(self.item[at] == items, self.count[at], 0)))]
+
+
+def signatures(items: np.ndarray, least: int, group: int, hot: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of one set (in the global order) such that two sets of a group that share as many
+    items as either's ``least`` have a key in common.
+
+    The first shared item lies in the first len - least + 1 items of both. A key in ``hot``
+    gives way to the keys of it with each later item that can be the next shared one; a set
+    that may have to share no more than the items of the hot key keeps the hot key as well.
+    """
+    n, out = len(items), []
+
+    def emit(base: int, start: int, level: int) -> None:
+        end = n - max(least, level) + level
+        if start >= end:
+            return
+        keys = W.mix(items[start:end].view(np.uint64) ^ np.uint64(base))
+        long = np.isin(keys, hot) if level < depth and len(hot) else np.zeros(len(keys), bool)
+        out.append(keys if least <= level else keys[~long])
+        for i in np.flatnonzero(long):
+            emit(int(keys[i]), start + int(i) + 1, level + 1)
+
+    emit(int(W.mix(np.array([group], np.int64).view(np.uint64))[0]), 0, 1)
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def postings(order: Order, hot: np.ndarray, depth: int):
+    """Arrow function from (id, comp, grp, side, least, items) to (key, id, comp, side)."""
+
+    def rows(batches):
+        for batch in batches:
+            ids, comps, groups, sides, leasts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            lists = batch.column(5)
+            bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            keys = [signatures(order.sort(values[bounds[i] : bounds[i + 1]]), int(leasts[i]), int(groups[i]), hot, depth) for i in range(len(ids))]
+            of = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays(
+                [W.as_long(np.concatenate(keys) if keys else np.zeros(0, np.uint64)), pa.array(ids[of]), pa.array(comps[of]), pa.array(sides[of].astype(np.int32))],
+                names=["key", "id", "comp", "side"],
+            )
 
     return rows
 
@@ -146,21 +221,53 @@ def _stars(store: Scratch, edges: DataFrame, label: str, rounds: int = 60) -> Da
     raise RuntimeError("components did not settle")
 
 
+def overlaps(store: Scratch, name: str, table: DataFrame, order: Order, near: Near) -> DataFrame:
+    """Pairs (a, b, ca, cb) of different comp that share a signature, a of side 0 and b of side 1.
+
+    ``table``: id, comp, grp, side, least, items. A key whose two postings would give more
+    than ``posting`` pairs a row is split by the next item, up to ``depth`` items."""
+    hot = np.zeros(0, np.uint64)
+    for level in range(1, near.depth + 1):
+        posts = store.save(f"{name}{level}", table.mapInArrow(postings(order, hot, near.depth), "key long, id long, comp long, side int"))
+        if level == near.depth:
+            break
+        sides = posts.groupBy("key").agg(F.sum("side").alias("s"), F.count("*").alias("n"))
+        long = sides.filter(F.col("s") * (F.col("n") - F.col("s")) > near.posting * F.col("n")).orderBy(F.desc("n"), "key").limit(near.table)
+        found = np.array([r["key"] for r in long.select("key").collect()], np.int64).view(np.uint64)
+        new = np.setdiff1d(found, hot)
+        if not len(new):
+            break
+        hot = np.union1d(hot, new)
+        store.drop(f"{name}{level}")
+    left, right = (posts.filter(F.col("side") == i).select("key", F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for i, x in ((0, "a"), (1, "b")))
+    return left.join(right, "key").filter("ca <> cb").select("a", "b", "ca", "cb").distinct()
+
+
+def counted(items: DataFrame, near: Near) -> Order:
+    """Order by counts of the items that occur twice or more in ``items`` (one column), at most ``table`` of them."""
+    often = items.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).filter("n > 1")
+    return Order([(r["item"], r["n"]) for r in often.orderBy(F.desc("n"), "item").limit(near.table).collect()])
+
+
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    Reads ``doc_id`` (integer) and ``text``; other columns don't matter. A null or empty
-    text has an empty set: linked with nothing, its own component, kept. A null doc_id is
-    linked with nothing; its component is null and it is kept. Rows that repeat a doc_id
-    share their component. An empty table gives an empty result.
+    Reads ``doc_id`` (integer) and ``text``; other columns don't matter, whatever their names.
+    A null or empty text has an empty set: linked with nothing, its own component, kept. A null
+    doc_id is linked with nothing; its component is null and it is kept. Rows that repeat a
+    doc_id are one document with several texts: they share their component, and a link of any
+    of the texts counts. Ties do not arise: a component is named by its smallest doc_id. Very
+    long texts are taken whole. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     store = Scratch(spark, "minhash")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = store.save("signed", plain.mapInArrow(sign(near), SIGNED))
     full = signed.filter("n > 0 and doc_id is not null")
-    classes = store.save("classes", full.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sk_a").alias("sk_a"), F.first("sk_b").alias("sk_b"), F.first("bands").alias("bands")))
+    # A class holds all rows of one set. Its number is written with the table, so it never changes.
+    classes = full.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sk_a").alias("sk_a"), F.first("sk_b").alias("sk_b"), F.first("bands").alias("bands"))
+    classes = store.save("classes", classes.withColumn("rep", F.monotonically_increasing_id()))
     rep = classes.select("rep", "n", "sk_a", "sk_b")
 
     # Buckets of two or more; each remembers its smallest member.
@@ -176,19 +283,21 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         return met.filter((100 * F.least("n_a", "n_b") >= near.percent * F.greatest("n_a", "n_b")) & (agree >= near.min_agree)).select("a", "b")
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        ids = store.save(f"{name}_ids", ids)
-        if ids.count() <= near.broadcast_ids:
+        """(rep, items) of the classes in ``pairs``, from one document of each."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct().join(classes.select("rep", "low", "fp_a", "fp_b"), F.col("r") == F.col("rep")).drop("r")
+        wanted = store.save(f"{name}_ids", wanted)
+        ids = wanted.select(F.col("low").alias("wanted_id")).distinct()
+        if wanted.count() <= near.broadcast_ids:
             ids = F.broadcast(ids)
-        met = plain.join(ids, plain["doc_id"] == ids["rep"], "left_semi")
-        # Rows that repeat a doc_id: any one of those whose set is the class's would do; keep one of each id.
-        return store.save(name, met.mapInArrow(shingle_sets(near), "doc_id long, items array<long>").groupBy("doc_id").agg(F.first("items").alias("items")))
+        met = plain.join(ids, plain["doc_id"] == ids["wanted_id"], "left_semi").mapInArrow(shingle_sets(near), "fp_a long, fp_b long, items array<long>")
+        # Rows that repeat a doc_id may hold several sets, or one several times.
+        return store.save(name, met.join(wanted.select("rep", "fp_a", "fp_b"), ["fp_a", "fp_b"]).groupBy("rep").agg(F.first("items").alias("items")))
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("doc_id").alias(s + "_id"), F.col("items").alias(s + "_items")) for s in "ab")
+        a, b = (sets.select(F.col("rep").alias(s + "_id"), F.col("items").alias(s + "_items")) for s in "ab")
         met = pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id"))
         both = F.size(F.array_intersect("a_items", "b_items"))
-        return met.filter(100 * both >= near.percent * (F.size("a_items") + F.size("b_items") - both)).select("a", "b")
+        return met.filter(100 * both >= near.percent * (F.size("a_items") + F.size("b_items") - both)).select(*pairs.columns)
 
     # Stars: each member with the smallest centers of its buckets, its least one first.
     star = members.filter("rep <> center").groupBy(F.col("rep").alias("a"), F.col("center").alias("b")).agg(F.count("*").alias("bands_shared")).select("a", "b")
@@ -201,7 +310,14 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     rest = star.join(one.withColumnRenamed("b", "b1"), "a").filter("b <> b1").select("a", "b")
     rest = rest.join(at, rest["a"] == at["x"], "left").select("a", "b", F.coalesce("to", "a").alias("ra"))
     rest = rest.join(at, rest["b"] == at["x"], "left").filter(F.col("ra") != F.coalesce("to", "b")).select("a", "b")
-    edges = store.save("edges", linked.union(confirmed(rest, sets)))
+    # The classes of one doc_id belong together.
+    texts = full.groupBy("doc_id").agg(F.min(F.struct("fp_a", "fp_b")).alias("p"), F.max(F.struct("fp_a", "fp_b")).alias("q")).filter("p <> q").select("doc_id")
+    edges = linked.union(confirmed(rest, sets))
+    if texts.limit(1).count():
+        named = full.select("doc_id", "fp_a", "fp_b").join(texts, "doc_id").join(classes.select("fp_a", "fp_b", "rep"), ["fp_a", "fp_b"])
+        firsts = named.groupBy("doc_id").agg(F.min("rep").alias("b"))
+        edges = edges.union(named.join(firsts, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
+    edges = store.save("edges", edges)
     store.drop("linked_one", "sets", "sets_ids")
     roots = store.save("roots", _stars(store, edges, "cc"))
 
@@ -215,52 +331,58 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     hubs = edges.groupBy("b").agg(F.count("*").alias("n")).join(home, F.col("b") == F.col("x"), "left")
     hubs = hubs.groupBy(F.coalesce("root", "b").alias("c")).agg(F.max_by("b", F.struct(F.col("n"), -F.col("b"))).alias("hub"))
     mains = mains.join(hubs, mains["main"] == hubs["c"], "left").select(F.col("key").alias("k"), "main", F.coalesce("hub", "main").alias("hub"))
-    tagged = store.save("tagged", tagged.join(mains, F.col("key") == F.col("k")).drop("k"))
-    to_hub = tagged.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "comp", "main").distinct()
-    near_hub = store.save("near_hub", to_hub.join(likely(to_hub.select("a", "b").distinct()), ["a", "b"]))
-    sets = sets_of(near_hub, "hub_sets")
-    own, ref = (sets.select(F.col("doc_id").alias(c + "_id"), F.col("items").alias(c + "_items")) for c in ("own", "ref"))
-    deltas = near_hub.join(own, F.col("a") == F.col("own_id")).join(ref, F.col("b") == F.col("ref_id"))
-    both = F.size("own_items") + F.size("ref_items")
-    deltas = deltas.select("a", "b", "comp", "main", both.alias("both"), F.array_except("own_items", "ref_items").alias("more"), F.array_sort(F.array_except("ref_items", "own_items")).alias("less"))
-    # J >= p % is: (100 + p) * |difference| <= (100 - p) * (sum of sizes).
-    linked = (100 + near.percent) * (F.size("more") + F.size("less")) <= (100 - near.percent) * F.col("both")
-    deltas = store.save("deltas", deltas.withColumn("linked", linked).drop("both"))
-    hub_links = deltas.filter("linked and comp <> main").select("a", "b", F.col("comp").alias("ca"), F.col("main").alias("cb"))
-    # A straggler has no link with its hub. With I items that a document M has and the hub
-    # lacks, and D that it lacks and the hub has, M links with a straggler only if they share
-    # more than (p I + 100 D) / (100 + p) of these items: hence one of those M has more, or
-    # else D > I and they share so many of those M lacks that one lies in a short prefix.
-    lost = deltas.filter("not linked and comp <> main")
-    sides = lambda e: (F.col("b").alias("h"), F.col("a").alias("sa"), F.col("comp").alias("sc"), F.explode(e).alias("item"))
-    least = F.floor((near.percent * F.size("more") + 100 * F.size("less")) / (100 + near.percent)) + 1
-    prefix = F.slice("less", 1, (F.size("less") - least + 1).cast("int"))
-    short = deltas.filter(F.size("less") > F.size("more"))
+    to_hub = tagged.join(mains, F.col("key") == F.col("k")).filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "comp", "main").distinct()
+    to_hub = store.save("to_hub", to_hub)
+    sets = sets_of(to_hub, "hub_sets")
+    own, ref = (sets.select(F.col("rep").alias(c + "_id"), F.col("items").alias(c + "_items")) for c in ("own", "ref"))
+    met = to_hub.join(own, F.col("a") == F.col("own_id")).join(ref, F.col("b") == F.col("ref_id"))
+    delta = F.concat(F.array_except("own_items", "ref_items"), F.array_except("ref_items", "own_items"))
+    met = met.select("a", "b", "comp", "main", F.size("own_items").alias("own"), F.size("ref_items").alias("ref"), delta.alias("items"))
+    # J >= p % is: (100 + p) * |difference| <= (100 - p) * (sum of sizes). With each
+    # document's difference from the hub and weight = (100 + p) * |difference| - (100 - p) * size,
+    # two documents link if their differences share (sum of weights) / (2 * (100 + p)) items.
+    p, q = near.percent, 100 - near.percent
+    met = met.withColumn("weight", (100 + p) * F.size("items") - q * F.col("own"))
+    # Far: so far from the hub that no document linked with the hub can link with it, as 1 - J is a metric.
+    inter = (F.col("own") + F.col("ref") - F.size("items")) / 2
+    far = 100 * inter < (2 * p - 100) * (inter + F.size("items"))
+    kind = F.when(F.col("weight") <= q * F.col("ref"), "core").when(far, "far").otherwise("ring")
+    met = store.save("deltas", met.withColumn("kind", kind).withColumn("items", F.when(F.col("kind") != "far", F.col("items"))))
+    hub_links = met.filter("kind = 'core' and comp <> main").select(F.col("comp").alias("ca"), F.col("main").alias("cb"))
+
+    # First way: a straggler (in the ring, of another component) and any document near the same hub.
+    straggler = met.filter("kind = 'ring' and comp <> main")
     ways = []
-    for stragglers, others in ((lost.select(*sides("more")), deltas.select("a", "b", "comp", F.explode("more").alias("e"))), (lost.select(*sides("less")), short.select("a", "b", "comp", F.explode(prefix).alias("e")))):
-        met = others.join(stragglers, (F.col("b") == F.col("h")) & (F.col("e") == F.col("item")) & (F.col("comp") != F.col("sc")))
-        ways.append(met.select(F.least("a", "sa").alias("a"), F.greatest("a", "sa").alias("b"), F.when(F.col("a") < F.col("sa"), F.col("comp")).otherwise(F.col("sc")).alias("ca"), F.when(F.col("a") < F.col("sa"), F.col("sc")).otherwise(F.col("comp")).alias("cb")))
-    # Documents whose sketch is far from the hub's: theirs are compared with the bucket's.
-    wide = tagged.join(rep.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r")
-    far = wide.join(near_hub.select(F.col("a").alias("na_"), F.col("b").alias("nb_")).distinct(), (F.col("rep") == F.col("na_")) & (F.col("hub") == F.col("nb_")), "left_anti")
-    far = far.filter("rep <> hub").select(F.col("key").alias("k"), F.col("rep").alias("sa"), F.col("comp").alias("sc"), F.col("n").alias("sn"), F.col("sk_a").alias("xa"), F.col("sk_b").alias("xb"))
-    agree = 128 - F.bit_count(F.col("sk_a").bitwiseXOR(F.col("xa"))) - F.bit_count(F.col("sk_b").bitwiseXOR(F.col("xb")))
-    fits = (F.col("sc") != F.col("comp")) & (100 * F.least("n", "sn") >= near.percent * F.greatest("n", "sn")) & (agree >= near.min_agree)
-    apart = wide.join(far, (F.col("key") == F.col("k")) & fits)
-    ways.append(apart.select(F.least("rep", "sa").alias("a"), F.greatest("rep", "sa").alias("b"), F.when(F.col("rep") < F.col("sa"), F.col("comp")).otherwise(F.col("sc")).alias("ca"), F.when(F.col("rep") < F.col("sa"), F.col("sc")).otherwise(F.col("comp")).alias("cb")))
-    left = store.save("left", ways[0].union(ways[1]).union(ways[2]).distinct())
+    if straggler.limit(1).count():
+        of = lambda frame, side, least: frame.select(F.col("a").alias("id"), "comp", F.col("b").alias("grp"), F.lit(side).alias("side"), F.greatest(F.lit(1), least).cast("long").alias("least"), "items")
+        near_hub = of(met.filter("kind <> 'far'"), 1, F.floor((F.col("weight") + q * F.col("ref")) / (2 * (100 + p))) + 1)
+        table = of(straggler, 0, F.ceil((F.col("weight") - q * F.col("ref")) / 200)).union(near_hub).filter("least <= size(items)")
+        ways.append(overlaps(store, "near_posts", table, counted(straggler.select("items"), near), near))
+    # Second way: a document far from its hub and any in the ring or far: by their sets themselves.
+    outer = met.filter("kind <> 'core'").groupBy("a", "comp").agg(F.max(F.when(F.col("kind") == "far", 1).otherwise(0)).alias("far"))
+    hubs_far = met.filter("kind = 'far'").select(F.col("b").alias("fb")).distinct()
+    beside = met.filter("kind = 'ring'").join(hubs_far, F.col("b") == F.col("fb")).select("a").distinct().withColumn("beside", F.lit(1))
+    outer = store.save("outer", outer.join(beside, "a", "left").filter("far = 1 or beside = 1").select("a", "comp", "far"))
+    if outer.filter("far = 1").limit(1).count():
+        whole = outer.join(sets, F.col("a") == F.col("rep")).select(F.col("a").alias("id"), "comp", F.lit(0).cast("long").alias("grp"), "far", F.ceil(p * F.size("items") / 100).cast("long").alias("least"), "items")
+        table = whole.filter("far = 1").withColumn("far", F.lit(0)).union(whole.withColumn("far", F.lit(1))).withColumnRenamed("far", "side")
+        sampled = whole.filter(F.pmod(F.xxhash64("id"), F.lit(near.order_by)) == 0).select("items")
+        ways.append(overlaps(store, "far_posts", table, counted(sampled, near), near))
+    joined = hub_links
+    for way in ways:
+        joined = joined.union(confirmed(way, sets).select("ca", "cb"))
+    joined = store.save("joined", joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     final = roots
-    if left.limit(1).count() or hub_links.limit(1).count():
-        more = confirmed(left.select("a", "b"), sets_of(left.select("a", "b"), "more_sets"))
-        joined = store.save("joined", left.join(more, ["a", "b"]).union(hub_links.select(*left.columns)).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        tops = _stars(store, joined, "top").select(F.col("node").alias("x"), F.col("root").alias("top"))
-        tops = store.save("tops", tops)
+    if joined.limit(1).count():
+        tops = store.save("tops", _stars(store, joined, "top").select(F.col("node").alias("x"), F.col("root").alias("top")))
         lifted = roots.join(tops, roots["root"] == tops["x"], "left").select("node", F.coalesce("top", "root").alias("root"))
         final = store.save("final", lifted.union(tops.select(F.col("x").alias("node"), F.col("top").alias("root"))))
-    store.drop("members", "tagged", "left", "more_sets", "more_sets_ids", "star", "near_hub", "hub_sets", "hub_sets_ids", "deltas", "home")
+    store.drop("members", "star", "to_hub", "hub_sets", "hub_sets_ids", "deltas", "home", "outer", *[f"{w}_posts{i}" for w in ("near", "far") for i in range(1, near.depth + 1)])
 
-    named = classes.select("fp_a", "fp_b", "rep").join(final, F.col("rep") == F.col("node"), "left").select("fp_a", "fp_b", F.coalesce("root", "rep").alias("component_id"))
-    named = store.save("named", named)
+    named = classes.select("fp_a", "fp_b", "low", "rep").join(final, F.col("rep") == F.col("node"), "left").select("fp_a", "fp_b", "low", F.coalesce("root", "rep").alias("root"))
+    # Only components of two classes or more need the least of their ids.
+    lows = named.filter("root is not null").groupBy("root").agg(F.min("low").alias("component_id"))
+    named = store.save("named", named.join(lows, "root").select("fp_a", "fp_b", "component_id"))
     some = signed.select("doc_id", "n", "fp_a", "fp_b").filter("n > 0 and doc_id is not null").join(named, ["fp_a", "fp_b"])
     none = signed.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     every = some.select("doc_id", "n", "component_id").union(none)
@@ -268,15 +390,24 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, with all columns of ``docs``."""
-    store = Scratch(docs.sparkSession, "near-kept")
-    found = near_duplicates(docs, near).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    found = store.save("kept", found)
-    mark = "kept_doc_id"
-    ids = found.filter("doc_id is not null").select(F.col("doc_id").alias(mark), "rows")
-    kept = docs.join(ids.select(mark), docs["doc_id"] == ids[mark], "left_semi").union(docs.filter(docs["doc_id"].isNull()))
-    if not ids.filter("rows > 1").limit(1).count():
-        return kept
-    twice = ids.filter("rows > 1").select(mark)
-    single = kept.join(twice, kept["doc_id"] == twice[mark], "left_anti")
-    return single.union(kept.join(twice, kept["doc_id"] == twice[mark], "left_semi").dropDuplicates(["doc_id"]))
+    """The rows of ``docs`` that stay: one of each group, with all columns of ``docs``.
+
+    Of rows that repeat the kept doc_id, the one of the smallest text stays (null last; equal
+    texts: any one, they are alike in what the operator reads). Null and empty texts, and rows
+    with a null doc_id, stay. Very long texts are compared whole. An empty table gives an empty
+    result. Other columns, also those whose names differ in case only, pass through.
+    """
+    spark = docs.sparkSession
+    store = Scratch(spark, "near-kept")
+    names, plain = numbered(docs)
+    id_ = names[docs.columns.index("doc_id")]
+    text = names[docs.columns.index("text")]
+    found = store.save("kept", near_duplicates(docs, near).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")))
+    ids = found.select(F.col("doc_id").alias("kept_doc_id"))
+    kept = plain.join(ids, F.col(id_).cast("long") == F.col("kept_doc_id"), "left_semi").union(plain.filter(F.col(id_).isNull()))
+    twice = found.filter("times > 1").select(F.col("doc_id").alias("kept_doc_id"))
+    if twice.limit(1).count():
+        repeats = kept.join(twice, F.col(id_).cast("long") == F.col("kept_doc_id"), "left_semi")
+        first = repeats.groupBy(F.col(id_).cast("long").alias("g")).agg(F.min_by(F.struct(*names), F.struct(F.col(text).isNull(), text)).alias("row")).select("row.*")
+        kept = kept.join(twice, F.col(id_).cast("long") == F.col("kept_doc_id"), "left_anti").union(first)
+    return kept.toDF(*docs.columns)

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -88,6 +89,14 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
-def column(frame: DataFrame, name: str):
-    """A column by its exact name, dots and all, also beside one that differs in case only."""
-    return frame[f"`{name}`"]
+def numbered(frame: DataFrame) -> tuple[list[str], DataFrame]:
+    """Names c0, c1, ... and ``frame`` under these: columns can be addressed whatever they were
+    called, dots and names that differ in case only included. ``toDF`` gives the old names back."""
+    names = [f"c{i}" for i in range(len(frame.columns))]
+    return names, frame.toDF(*names)
+
+
+def take(frame: DataFrame, *wanted: str) -> DataFrame:
+    """The columns of exactly these names, whatever else ``frame`` has."""
+    names, plain = numbered(frame)
+    return plain.select(*[F.col(names[frame.columns.index(w)]).alias(w) for w in wanted])
