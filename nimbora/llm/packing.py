@@ -10,6 +10,8 @@ salted groups, each finds its sequence by rank in a table of the patterns.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nimbora.llm.store import Scratch, arrow_batches
+from nimbora.llm.store import Scratch, arrow_batches, take
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -29,13 +31,14 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 @dataclass(frozen=True)
 class Pack:
     """``tokenizer``: path of a byte-level BPE for ``tokenizers``; empty: the public
-    byte_bpe_50k.json where it is installed. ``rounds`` and ``gap`` end the column
-    generation; they change how full sequences are, never which pieces there are."""
+    byte_bpe_50k.json where it is installed. Column generation ends within ``gap`` of a lower
+    bound (of the tokens over ``size``, or Farley's); ``rounds`` only guards against cycling.
+    Both change how full sequences are, never which pieces there are."""
 
     tokenizer: str = ""
     size: int = 2048
     end_id: int = 1
-    rounds: int = 100
+    rounds: int = 100_000
     gap: float = 5e-4
     #: Pieces a ranking group holds on average, for lengths that many pieces have.
     group_rows: int = 5_000
@@ -43,13 +46,28 @@ class Pack:
 
 _encoders: dict[str, object] = {}
 
+# A longer run of white space is beyond the stack of tiktoken's regular expressions.
+LONG_SPACE = re.compile(r"\s{4096}")
+
+
+def same_splits(spec: dict) -> bool:
+    """Whether tiktoken with SPLIT and the file's ids as ranks does what the file describes: a
+    byte-level BPE without normaliser, prefix space or word marks, whose merges are in the order of their ids."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    plain = plain and model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain:
+        return False
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [model["vocab"].get("".join(p), -1) for p in pairs]
+    return all(len(p) == 2 for p in pairs) and all(a < b for a, b in zip(made, made[1:])) and len({*model["vocab"]} - {x["content"] for x in spec.get("added_tokens", [])}) == len(made) + 256
+
 
 def encoder(path: str):
-    """text -> ids, as ``tokenizers`` gives them with add_special_tokens=False. Texts without
-    a special token's string go through tiktoken with the same vocabulary, which is faster."""
+    """text -> ids, as ``tokenizers`` gives them with add_special_tokens=False. Where the file
+    allows it, texts without a special token's string or an endless run of white space go
+    through tiktoken with the same vocabulary, which is faster and gives the same ids."""
     if path not in _encoders:
-        import json
-
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -62,18 +80,24 @@ def encoder(path: str):
         slow = Tokenizer.from_file(str(path_))
         with open(path_, encoding="utf-8") as f:
             spec = json.load(f)
-        special = [x["content"] for x in spec.get("added_tokens", [])]
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in shown)}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-
-        def encode(text: str) -> np.ndarray:
-            if any(s in text for s in special):
-                return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-            return np.array(fast.encode_to_numpy(text), np.uint32)
-
-        _encoders[path] = encode
+
+        def exact(text: str) -> np.ndarray:
+            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+        _encoders[path] = exact
+        if same_splits(spec):
+            special = [x["content"] for x in spec.get("added_tokens", [])]
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in shown)}
+            ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+            fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+            def encode(text: str) -> np.ndarray:
+                if any(s in text for s in special) or LONG_SPACE.search(text):
+                    return exact(text)
+                return np.array(fast.encode_to_numpy(text), np.uint32)
+
+            _encoders[path] = encode
     return _encoders[path]
 
 
@@ -147,8 +171,9 @@ def _best_pattern(lengths: np.ndarray, values: np.ndarray, size: int) -> tuple[f
     return float(best[size]), pattern
 
 
-def cut_patterns(lengths: np.ndarray, counts: np.ndarray, pack: Pack) -> list[tuple[dict[int, int], int]]:
-    """Integer pattern counts that cover ``counts`` pieces of ``lengths`` (ascending) exactly.
+def cut_patterns(lengths: np.ndarray, counts: np.ndarray, pack: Pack) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """Integer pattern counts that cover ``counts`` pieces of ``lengths`` (ascending) exactly,
+    and a lower bound of the number of sequences.
 
     The first basis comes from a fractional longest-first packing: each of its patterns
     uses up one length, so the columns are triangular and the basis regular. Each round
@@ -156,7 +181,7 @@ def cut_patterns(lengths: np.ndarray, counts: np.ndarray, pack: Pack) -> list[tu
     """
     m = len(lengths)
     if not m:
-        return []
+        return [], 0.0
     columns, pivots, gone, left = [], [], set(), counts.astype(float).copy()
     for pattern, times in _greedy(lengths, counts.astype(float), pack.size):
         for i, n in pattern.items():
@@ -182,10 +207,14 @@ def cut_patterns(lengths: np.ndarray, counts: np.ndarray, pack: Pack) -> list[tu
                 inverse[j] -= n * inverse[k]
         inverse[j] /= columns[j][pivots[j]]
     x = (inverse * counts).sum(1)
+    bound = float((lengths * counts).sum() / pack.size)
     for _ in range(pack.rounds):
+        if x.sum() <= (1 + pack.gap) * bound:
+            break
         duals = inverse.sum(0)
         value, pattern = _best_pattern(lengths, duals, pack.size)
-        if value <= 1 + pack.gap:
+        bound = max(bound, float(x.sum()) / max(value, 1.0))
+        if value <= 1 + 1e-9:
             break
         step = sum(n * inverse[:, i] for i, n in pattern.items())
         ok = step > 1e-9
@@ -207,41 +236,61 @@ def cut_patterns(lengths: np.ndarray, counts: np.ndarray, pack: Pack) -> list[tu
             out.append((pattern, times))
             for i, n in pattern.items():
                 left[i] -= times * n
-    return out + [(p, int(t)) for p, t in _greedy(lengths, left, pack.size)]
+    return out + [(p, int(t)) for p, t in _greedy(lengths, left, pack.size)], bound
 
 
-def placement(lengths: np.ndarray, patterns: list[tuple[dict[int, int], int]]) -> dict[int, list[tuple]]:
-    """length -> (first rank, pieces per sequence, first sequence, first offset), by rank."""
-    table: dict[int, list[tuple]] = {}
+def placement(lengths: np.ndarray, patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
+    """(length, first rank, pieces per sequence, first sequence, first offset) of each pattern's
+    use of a length, by length and rank: a few thousand rows, whatever the input."""
+    table: list[tuple[int, int, int, int, int]] = []
     ranks = dict.fromkeys(range(len(lengths)), 0)
     sequence = 0
     for pattern, times in patterns:
         offset = 0
         for i in sorted(pattern, reverse=True):
             n = pattern[i]
-            table.setdefault(int(lengths[i]), []).append((ranks[i], n, sequence, offset))
+            table.append((int(lengths[i]), ranks[i], n, sequence, offset))
             ranks[i] += n * times
             offset += n * int(lengths[i])
         sequence += times
-    return table
+    return np.array(sorted(table), np.int64).reshape(-1, 5)
+
+
+PLACED = PIECES + ", sequence_id long, offset long"
+
+
+def place(table: np.ndarray):
+    """Arrow function from PIECES and a rank to PLACED, by binary search in the table."""
+
+    def rows(batches):
+        keys = (table[:, 0] << 44) + table[:, 1]
+        for batch in batches:
+            length, rank = batch.column(2).to_numpy(), batch.column(5).to_numpy()
+            spot = table[np.searchsorted(keys, (length << 44) + rank, "right") - 1]
+            at = rank - spot[:, 1]
+            new = [pa.array(spot[:, 3] + at // spot[:, 2]), pa.array(spot[:, 4] + at % spot[:, 2] * length)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *new], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+
+    return rows
 
 
 def pack_documents(docs: DataFrame, pack: Pack = Pack()) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Reads ``doc_id`` and ``text``; other columns don't matter. A null or empty text has
-    the end id only. Each row is a document, also one that repeats a doc_id; a null doc_id
-    stays null. An empty table gives an empty result.
+    Reads ``doc_id`` and ``text``; other columns don't matter, whatever their names. A null or
+    empty text has the end id only. Each row is a document, also one that repeats a doc_id; a
+    null doc_id stays null. A very long text is tokenised whole, its row's ids in one worker.
+    Pieces of one length that tie in doc_id, start and ids are alike; which of them goes
+    where is left open. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     arrow_batches(spark, rows=500)
     store = Scratch(spark, "pack")
-    cut = store.save("pieces", docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces(pack), PIECES))
+    plain = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cut = store.save("pieces", plain.mapInArrow(pieces(pack), PIECES))
     histogram = sorted((r["length"], r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect())  # at most pack.size rows
     lengths, counts = np.array([x for x, _ in histogram], int), np.array([n for _, n in histogram], np.int64)
-    table = placement(lengths, cut_patterns(lengths, counts, pack))
-    spots = [(n, [list(map(int, t)) for t in rows]) for n, rows in table.items()]
-    lookup = spark.createDataFrame(spots, "len long, spots array<array<long>>")
+    table = placement(lengths, cut_patterns(lengths, counts, pack)[0])
 
     groups = max(1, -(-int(counts.sum()) // pack.group_rows)) if len(counts) else 1
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
@@ -250,12 +299,4 @@ def pack_documents(docs: DataFrame, pack: Pack = Pack()) -> DataFrame:
     base = sizes.select(F.col("length").alias("len_"), F.col("salt").alias("salt_"), before.alias("base"))
     local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = salted.withColumn("local", local).join(base, (F.col("length") == F.col("len_")) & (F.col("salt") == F.col("salt_")))
-    ranked = ranked.select(*cut.columns, (F.col("base") + F.col("local")).alias("rank"))
-    # The table of patterns has a row per length: at most pack.size, whatever the input.
-    met = ranked.join(F.broadcast(lookup), F.col("length") == F.col("len"))
-    spot = F.element_at(F.filter("spots", lambda s: s[0] <= F.col("rank")), -1)
-    met = met.select(*cut.columns, "rank", spot.alias("spot"))
-    at = F.col("rank") - F.col("spot")[0]
-    sequence = F.col("spot")[2] + F.floor(at / F.col("spot")[1])
-    offset = F.col("spot")[3] + F.pmod(at, F.col("spot")[1]) * F.col("length")
-    return met.select(*cut.columns, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+    return ranked.select(*cut.columns, (F.col("base") + F.col("local")).alias("rank")).mapInArrow(place(table), PLACED)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nimbora.llm.mixing import Mix, mixed, replicate
-from nimbora.llm.packing import Pack, cut_patterns, encoder, pack_documents
+from nimbora.llm.packing import Pack, cut_patterns, encoder, pack_documents, same_splits
 
 
 def u(seed, doc, draw):
@@ -60,19 +60,52 @@ def test_patterns_cover_all_and_fit(n):
     rng = np.random.default_rng(n)
     lengths, counts = np.unique(np.minimum(2048, 1 + (np.exp(rng.normal(5.5, 1.2, n))).astype(int)), return_counts=True)
     used, sequences = np.zeros(len(lengths), int), 0
-    for pattern, times in cut_patterns(lengths, counts, Pack(rounds=30)):
+    patterns, bound = cut_patterns(lengths, counts, Pack())
+    for pattern, times in patterns:
         assert sum(lengths[i] * k for i, k in pattern.items()) <= 2048
         sequences += times
         for i, k in pattern.items():
             used[i] += k * times
     assert (used == counts).all()
+    assert (lengths * counts).sum() / 2048 <= bound + 1e-9 and bound <= sequences + 1e-9
     if n >= 400:
-        assert (lengths * counts).sum() / 2048 / sequences > 0.97
+        assert sequences <= 1.001 * bound + 2
+
+
+def test_patterns_where_lengths_do_not_fill_a_sequence():
+    """Two of 700 leave 648 free: the bound of the tokens is out of reach, Farley's is met."""
+    lengths, counts = np.array([700, 1100]), np.array([100, 10])
+    patterns, bound = cut_patterns(lengths, counts, Pack())
+    assert sum(t for _, t in patterns) == 55 and 54.9 < bound <= 55
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, " \n" * 500_000, "x" * 300_000 + "\u3000" * 5000 + "y", "ab" * 200_000])
+def test_endless_runs_are_encoded(text):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    assert encoder("")(text).tolist() == Tokenizer.from_file(path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_are_not_taken_for_plain_byte_level_ones():
+    import json
+
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    with open(path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert same_splits(spec)
+    assert not same_splits({**spec, "normalizer": {"type": "Lowercase"}})
+    assert not same_splits({**spec, "pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}})
+    assert not same_splits({**spec, "model": {**spec["model"], "merges": spec["model"]["merges"][1:] + spec["model"]["merges"][:1]}})
+    other = path("word_bpe_49k.json")
+    assert encoder(other)("It's A  test").tolist() == Tokenizer.from_file(other).encode("It's A  test", add_special_tokens=False).ids
 
 
 def test_pieces_round_trip(spark):
-    texts = ["a b c", "", None, "  two  spaces\n\n", "word " * 5000, "<|endoftext|> inside", "Üß ñ 漢字 🙂", "x" * 9000, *[f"copy number {i % 3}" for i in range(60)]]
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, "a b c"), (None, "n")], "doc_id long, text string").withColumn("start", F.lit("x"))
+    texts = ["a b c", "", None, "  two  spaces\n\n", "word " * 5000, "<|endoftext|> inside", "Üß ñ 漢字 🙂", "x" * 9000, " \n" * 300_000, *[f"copy number {i % 3}" for i in range(60)]]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, "a b c"), (None, "n")], "doc_id long, text string").withColumn("start", F.lit("x")).selectExpr("*", "'q' as TEXT")
     rows = pack_documents(frame, Pack(group_rows=4)).collect()
     from public_tokenizers import path
     from tokenizers import Tokenizer
