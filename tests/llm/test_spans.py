@@ -1,11 +1,14 @@
 """Substring dedup, secrets and media."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import struct
+import time
 import zipfile
 import zlib
 from io import BytesIO
@@ -135,12 +138,112 @@ def test_escapes_that_do_not_decode_leave_the_rest_of_the_run():
     ):
         assert S.scan_text(text)[1] == [span], text
     for text in ("%E9%00 \\ud83d", "caf%E9 %FF%FE"):
-        assert S.scan_text(text) == ([], []) and not list(S.layers(text, S.Scan()))
+        assert S.scan_text(text) == ([], []) and not list(S.layers(S.Layer(text), S.Scan()))
+
+
+def brute_spans(text):
+    """All spans by whole copies of each layer, with two lists of an integer a character."""
+
+    def undo(chars, starts, ends, pattern, decode):
+        out, at, any_ = ([], [], []), 0, False
+        for m in re.finditer(pattern, chars):
+            new = decode(m[0])
+            if new is None:
+                continue
+            any_ = True
+            for o, part, fill in zip(out, (chars, starts, ends), (new, [starts[m.start()]] * len(new), [ends[m.end() - 1]] * len(new)), strict=True):
+                o.extend([*part[at : m.start()], *fill])
+            at = m.end()
+        for o, part in zip(out, (chars, starts, ends), strict=True):
+            o.extend(part[at:])
+        return [("".join(out[0]), out[1], out[2])] if any_ else []
+
+    def ascii_only(escapes):  # the texts of this test escape single bytes only
+        raw = bytes.fromhex(escapes.replace("%", ""))
+        return raw.decode() if raw.isascii() and raw.decode().isprintable() else None
+
+    work, seen, found = [(text, list(range(len(text))), list(range(1, len(text) + 1)))], set(), set()
+    while work:
+        chars, starts, ends = work.pop()
+        if (key := (chars, tuple(starts), tuple(ends))) in seen:
+            continue
+        seen.add(key)
+        found.update((starts[s], k, ends[e - 1]) for s, k, e in base(chars))
+        work += undo(chars, starts, ends, "%[0-9A-Fa-f]{2}", ascii_only)
+        work += undo(chars, starts, ends, r"\\u00[0-7][0-9A-Fa-f]", lambda x: chr(int(x[2:], 16)))
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}={0,2}", chars):
+            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+            raw = base64.b64decode((body[:-1] if len(body) % 4 == 1 else body) + "==")
+            for begins, open_ in ((b"\x1f\x8b", zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor()), (b"x\x9c", zlib.decompressobj())):
+                try:  # what can be read of damaged data counts
+                    if raw.startswith(begins):
+                        raw = open_.decompress(raw) + (open_.flush() if hasattr(open_, "flush") else b"")
+                        break
+                except (OSError, zlib.error):
+                    raw = b""
+            new = raw.decode("latin-1")
+            work.append((new, [starts[m.start()]] * len(new), [ends[m.end() - 1]] * len(new)))
+    return sorted(found)
+
+
+def test_spans_of_nested_layers_equal_brute_force():
+    rng = random.Random(6)
+    url = lambda t: "".join(f"%{ord(c):02X}" if rng.random() < 0.3 and c.isascii() else c for c in t)
+    escape = lambda t: "".join(f"\\u{ord(c):04x}" if rng.random() < 0.2 and c.isascii() else c for c in t)
+    b64 = lambda t: base64.b64encode(t.encode()).decode()
+    packed = lambda t: base64.b64encode(rng.choice([gzip.compress, bz2.compress, zlib.compress])(t.encode())).decode()
+    bits = [KEY, "token=abcdef99", "password: 'hunter2222'", "0123456789abcdef" * 2, "plain words", "caf%E9", "%", "\\", "\n", "é", "x" * 20]
+    more = 0
+    for _ in range(300):
+        text = ""
+        for _ in range(rng.randrange(1, 5)):
+            part = " ".join(rng.choice(bits) for _ in range(rng.randrange(1, 4)))
+            for _ in range(rng.randrange(0, 4)):
+                part = rng.choice([url, escape, b64, packed])(part)
+            text += rng.choice([" ", "\t", "é"]) + part
+        got = S.scan_text(text)
+        assert got == (base(text), brute_spans(text)), text
+        more += len(got[1]) > len(got[0])
+    assert more > 60
+
+
+def test_wrapped_lines_members_and_encodings():
+    line = b"one plain line of text that says nothing\n"
+    for raw in (
+        gzip.compress(b"abc def") + gzip.compress(KEY.encode()), bz2.compress(b"abc def") + bz2.compress(KEY.encode()), lzma.compress(b"a") + lzma.compress(KEY.encode()),
+        f"café {KEY} ÿ".encode("latin-1"), KEY.encode("utf-16-le"), KEY.encode("utf-16-be"), bytes(range(256)) + KEY.encode(),
+        gzip.compress(line * 900_000 + KEY.encode()), gzip.compress(bytes(30_000_000) + KEY.encode()), gzip.compress((line * 500 + KEY.encode()) * 3)[:-40],
+    ):
+        one = base64.b64encode(raw).decode()
+        assert (2, 1, 2 + len(one)) in S.scan_text(f"q {one} z")[1]
+        many = base64.encodebytes(raw).decode().strip()
+        assert (2, 1, 2 + len(many)) in S.scan_text(f"q {many} z")[1]
+    assert S.scan_text("password%3D abc1234%32")[1] == [(0, 0, 22)]
+
+
+@pytest.mark.parametrize("text", ["a%" + "g" * 1_000_000, "\\" + "g" * 1_000_000, "g" * 999_999 + "%", "%41" * 200_000, ("Z" * 20 + "\n") * 40_000, "token " * 150_000, "%FF" * 200_000])
+def test_long_runs_take_seconds(text):
+    began = time.monotonic()
+    assert S.scan_text(text)[0] == []
+    assert time.monotonic() - began < 20
+
+
+def test_windows_lose_nothing():
+    """A secret across the end of a window, and a run longer than a window."""
+    scan = S.Scan(window=64, longest=256)
+    for pad in range(0, 140, 3):
+        inner = "word " * 30 + "x" * pad + " token = 'abcdef123' " + "word " * 30
+        one = base64.b64encode(gzip.compress(inner.encode())).decode()
+        assert (0, 0, len(one)) in S.scan_text(one, scan)[1]
+        inner = "word " * 30 + base64.b64encode(f"{'pad ' * pad} {KEY}".encode()).decode()[:2000] + " end"
+        if pad < 20:
+            one = base64.b64encode(gzip.compress(inner.encode())).decode()
+            assert (0, 1, len(one)) in S.scan_text(one, scan)[1]
 
 
 def test_secret_rows_and_redaction(spark):
     docs = [(1, f"my {KEY} and token=abcdef"), (2, None), (3, ""), (1, f"my {KEY} and token=abcdef"), (None, "é" * 70_000 + " password: hunter22"), (5, "clean text")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("TEXT2", F.lit("t"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit(1)).selectExpr("*", "'t' as TEXT")
     rows = sorted(S.digest(S.find_secrets(frame)).collect(), key=lambda r: r.doc_id or -1)
     for r, (i, t) in zip(rows, sorted(docs, key=lambda d: d[0] or -1), strict=True):
         want = S.name(base(t or ""))
@@ -148,7 +251,7 @@ def test_secret_rows_and_redaction(spark):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for _, k, _ in base(t or "")) for x in range(3)]
     clean = S.redact(frame)
     assert clean.columns == frame.columns
-    texts = [r.text for r in clean.collect()]
+    texts = [r[1] for r in clean.collect()]
     assert texts.count("my [secret] and [secret]") == 2 and None in texts and "" in texts and "clean text" in texts
     assert S.digest(S.find_secrets(frame.limit(0))).collect() == [] and S.redact(frame.limit(0)).collect() == []
 
