@@ -3,12 +3,11 @@
 Plan. One pass over the texts writes, per document, the size and a 128-bit
 fingerprint of its shingle set, a 128-bit sketch and its band hashes. Documents of
 one fingerprint form a class, of which only the smallest doc_id goes on. Members of
-a band's bucket are compared with the bucket's smallest member, never pair by pair.
+a band's bucket are compared with the bucket's most central member, never pair by pair.
 What such stars leave in other components meets the rest of its bucket by what both
 differ in from one hub document: two documents that link share a known number of these
-items, so one of the rarest of either's is common. Postings of such items that grow long
-are split by a second and a third item. No pair that shares a bucket is lost by it, and
-every link is confirmed on full sets. No step brings a
+items, so one of the rarest of either's is common. No pair that shares a bucket is lost
+by it, and every link is confirmed on full sets. No step brings a
 bucket, class or component into one task: buckets and classes are joined by
 sort-merge joins, which adaptive execution splits.
 """
@@ -40,13 +39,8 @@ class Near:
     seed: int = 7
     #: Ids up to which the filter of documents is broadcast (8 MB of ids).
     broadcast_ids: int = 1_000_000
-    #: Pairs a posting row may meet before the posting is split, and items a key may have.
-    posting: int = 64
-    depth: int = 3
-    #: Entries of a table of item counts or of hot keys (16 MB); they order and split, nothing else.
-    table: int = 1_000_000
-    #: One document in ``order_by`` is looked at to order the items of documents far from a hub.
-    order_by: int = 4
+    #: Bounds of the classes of weight (see ``straggling``), in sizes of the hub times 100 - percent.
+    classes: tuple[float, ...] = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0)
 
 
 SIGNED = "doc_id long, n long, fp_a long, fp_b long, sk_a long, sk_b long, bands array<long>"
@@ -133,65 +127,6 @@ def shingle_sets(near: Near):
     return rows
 
 
-class Order:
-    """A global order of items, rare ones first: by their counts in a bounded table, then by hash.
-
-    Any order gives the same links; a good one gives short postings."""
-
-    def __init__(self, counted: list[tuple[int, int]]):
-        counted = sorted(counted)
-        self.item = np.array([x for x, _ in counted], np.int64)
-        self.count = np.array([n for _, n in counted], np.int64)
-
-    def sort(self, items: np.ndarray) -> np.ndarray:
-        if not len(self.item):
-            return np.sort(items)
-        at = np.minimum(np.searchsorted(self.item, items), len(self.item) - 1)
-        return items[np.lexsort((items, np.where(self.item[at] == items, self.count[at], 0)))]
-
-
-def signatures(items: np.ndarray, least: int, group: int, hot: np.ndarray, depth: int) -> np.ndarray:
-    """Keys of one set (in the global order) such that two sets of a group that share as many
-    items as either's ``least`` have a key in common.
-
-    The first shared item lies in the first len - least + 1 items of both. A key in ``hot``
-    gives way to the keys of it with each later item that can be the next shared one; a set
-    that may have to share no more than the items of the hot key keeps the hot key as well.
-    """
-    n, out = len(items), []
-
-    def emit(base: int, start: int, level: int) -> None:
-        end = n - max(least, level) + level
-        if start >= end:
-            return
-        keys = W.mix(items[start:end].view(np.uint64) ^ np.uint64(base))
-        long = np.isin(keys, hot) if level < depth and len(hot) else np.zeros(len(keys), bool)
-        out.append(keys if least <= level else keys[~long])
-        for i in np.flatnonzero(long):
-            emit(int(keys[i]), start + int(i) + 1, level + 1)
-
-    emit(int(W.mix(np.array([group], np.int64).view(np.uint64))[0]), 0, 1)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-
-
-def postings(order: Order, hot: np.ndarray, depth: int):
-    """Arrow function from (id, comp, grp, side, least, items) to (key, id, comp, side)."""
-
-    def rows(batches):
-        for batch in batches:
-            ids, comps, groups, sides, leasts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            lists = batch.column(5)
-            bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            keys = [signatures(order.sort(values[bounds[i] : bounds[i + 1]]), int(leasts[i]), int(groups[i]), hot, depth) for i in range(len(ids))]
-            of = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays(
-                [W.as_long(np.concatenate(keys) if keys else np.zeros(0, np.uint64)), pa.array(ids[of]), pa.array(comps[of]), pa.array(sides[of].astype(np.int32))],
-                names=["key", "id", "comp", "side"],
-            )
-
-    return rows
-
-
 def _stars(store: Scratch, edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) that isn't its component's smallest:
     large-star and small-star in turn, each a minimum per node and a join, until nothing moves."""
@@ -221,32 +156,46 @@ def _stars(store: Scratch, edges: DataFrame, label: str, rounds: int = 60) -> Da
     raise RuntimeError("components did not settle")
 
 
-def overlaps(store: Scratch, name: str, table: DataFrame, order: Order, near: Near) -> DataFrame:
-    """Pairs (a, b, ca, cb) of different comp that share a signature, a of side 0 and b of side 1.
+def straggling(store: Scratch, deltas: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, b, ca, cb) of ``deltas`` that link, at least one of them of another component
+    than the hub's, found by the items in which both differ from their hub.
 
-    ``table``: id, comp, grp, side, least, items. A key whose two postings would give more
-    than ``posting`` pairs a row is split by the next item, up to ``depth`` items."""
-    hot = np.zeros(0, np.uint64)
-    for level in range(1, near.depth + 1):
-        posts = store.save(f"{name}{level}", table.mapInArrow(postings(order, hot, near.depth), "key long, id long, comp long, side int"))
-        if level == near.depth:
-            break
-        sides = posts.groupBy("key").agg(F.sum("side").alias("s"), F.count("*").alias("n"))
-        long = sides.filter(F.col("s") * (F.col("n") - F.col("s")) > near.posting * F.col("n")).orderBy(F.desc("n"), "key").limit(near.table)
-        found = np.array([r["key"] for r in long.select("key").collect()], np.int64).view(np.uint64)
-        new = np.setdiff1d(found, hot)
-        if not len(new):
-            break
-        hot = np.union1d(hot, new)
-        store.drop(f"{name}{level}")
-    left, right = (posts.filter(F.col("side") == i).select("key", F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for i, x in ((0, "a"), (1, "b")))
-    return left.join(right, "key").filter("ca <> cb").select("a", "b", "ca", "cb").distinct()
-
-
-def counted(items: DataFrame, near: Near) -> Order:
-    """Order by counts of the items that occur twice or more in ``items`` (one column), at most ``table`` of them."""
-    often = items.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).filter("n > 1")
-    return Order([(r["item"], r["n"]) for r in often.orderBy(F.desc("n"), "item").limit(near.table).collect()])
+    ``deltas``: hub, id, comp, main, n (size), ref (the hub's size), items (the difference),
+    weight = (100 + p) * |items| - (100 - p) * n. As J >= p % is (100 + p) * |difference| <=
+    (100 - p) * (sum of sizes), two documents link if their differences share at least
+    (sum of weights) / (2 * (100 + p)) items. With items in one order, rarest first, the first
+    that both share lies in a prefix of either. Prefixes are cut by the least weight of the
+    other's class, and a pair goes on only if enough items are left behind the shared one.
+    Items that one document of a hub alone has come first and meet nothing; they aren't even joined.
+    """
+    p, q = near.percent, 100 - near.percent
+    edges = F.array(*[F.lit(float(c)) for c in near.classes])
+    unit = q * F.col("ref")
+    other = F.col("comp") != F.col("main")
+    table = deltas.select("hub", "id", "comp", "n", "ref", "weight", "items", other.alias("other"), F.size(F.filter(edges, lambda c: F.col("weight") >= c * unit)).alias("cls"))
+    found = table.groupBy("hub").agg(F.collect_set("cls").alias("any_cls"), F.collect_set(F.when(F.col("other"), F.col("cls"))).alias("other_cls")).filter("size(other_cls) > 0")
+    table = store.save("table", table.join(found, "hub"))
+    each = table.select("hub", "id", F.explode("items").alias("item"))
+    often = each.groupBy("hub", "item").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = each.join(often, ["hub", "item"]).groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("times", "item"))).alias("shared"))
+    # No weight is below -unit, so that is the least of the first class.
+    low = F.when(F.col("partner") == 0, -unit).otherwise(F.element_at(edges, F.greatest("partner", F.lit(1))) * unit)
+    need = F.greatest(F.lit(1), F.ceil((F.col("weight") + low) / (2 * (100 + p))))
+    alone = F.size("items") - F.size("shared")
+    posts = table.join(shared, ["hub", "id"]).withColumn("partner", F.explode(F.when(F.col("other"), F.col("any_cls")).otherwise(F.col("other_cls"))))
+    posts = posts.withColumn("alone", alone).withColumn("reach", F.size("items") - need + 1 - F.col("alone")).filter("reach > 0")
+    posts = posts.select("hub", "id", "comp", "other", "weight", "cls", "partner", F.size("items").alias("size"), "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("reach").cast("int"))).alias("at", "entry"))
+    # What stays of the document's items from this one on.
+    posts = posts.select("hub", F.col("entry.item").alias("item"), "cls", "partner", "id", "comp", "other", "weight", (F.col("size") - F.col("alone") - F.col("at")).alias("rest"))
+    posts = store.save("posts", posts)
+    x = posts.filter("other").select("hub", "item", F.col("cls").alias("c1"), F.col("partner").alias("c2"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("weight").alias("wa"), F.col("rest").alias("ra"))
+    y = posts.select("hub", "item", F.col("partner").alias("c1"), F.col("cls").alias("c2"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("weight").alias("wb"), F.col("rest").alias("rb"), "other")
+    able = (F.col("ca") != F.col("cb")) & (~F.col("other") | (F.col("a") < F.col("b"))) & (2 * (100 + p) * F.least("ra", "rb") >= F.col("wa") + F.col("wb"))
+    pairs = x.join(y, ["hub", "item", "c1", "c2"]).filter(able).select("hub", "a", "b", "ca", "cb").distinct()
+    mine, his = (table.select("hub", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("items").alias(f"items_{i}")) for i in "ab")
+    met = pairs.join(mine, ["hub", "a"]).join(his, ["hub", "b"])
+    apart = F.size("items_a") + F.size("items_b") - 2 * F.size(F.array_intersect("items_a", "items_b"))
+    return met.filter((100 + p) * apart <= q * (F.col("na") + F.col("nb"))).select("a", "b", "ca", "cb")
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -265,15 +214,25 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     plain = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = store.save("signed", plain.mapInArrow(sign(near), SIGNED))
     full = signed.filter("n > 0 and doc_id is not null")
-    # A class holds all rows of one set. Its number is written with the table, so it never changes.
-    classes = full.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sk_a").alias("sk_a"), F.first("sk_b").alias("sk_b"), F.first("bands").alias("bands"))
-    classes = store.save("classes", classes.withColumn("rep", F.monotonically_increasing_id()))
+    # A class holds all rows of one set and is known by its smallest doc_id. Where one doc_id
+    # has several texts, its further classes get numbers beyond all ids, written with the table.
+    found = full.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sk_a").alias("sk_a"), F.first("sk_b").alias("sk_b"), F.first("bands").alias("bands"))
+    classes = store.save("found", found.withColumn("low", F.col("rep")))
+    both = classes.groupBy("low").agg(F.count("*").alias("k"), F.min(F.struct("fp_a", "fp_b")).alias("one")).filter("k > 1").select("low", "one")
+    if both.limit(1).count():
+        further = F.col("one").isNotNull() & (F.struct("fp_a", "fp_b") != F.col("one"))
+        classes = classes.join(both, "low", "left").withColumn("rep", F.when(further, F.lit(1 << 62) + F.monotonically_increasing_id()).otherwise(F.col("low"))).drop("one")
+        classes = store.save("classes", classes)
     rep = classes.select("rep", "n", "sk_a", "sk_b")
 
-    # Buckets of two or more; each remembers its smallest member.
+    # Buckets of two or more. Its center is the member that meets most others in all its buckets.
     rows = classes.select(F.explode("bands").alias("key"), "rep")
-    centers = rows.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).filter("size > 1").select("key", "center")
-    members = store.save("members", rows.join(centers, "key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = store.save("members", rows.join(sizes, "key"))
+    central = store.save("central", members.groupBy("rep").agg(F.sum("size").alias("central")))
+    most = lambda x: F.max_by(x, F.struct(F.col("central"), -F.col(x)))
+    centers = members.join(central, "rep").groupBy("key").agg(most("rep").alias("center"))
+    pairs = members.join(centers, "key").filter("rep <> center")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of about equal size whose sketches agree enough."""
@@ -299,8 +258,8 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         both = F.size(F.array_intersect("a_items", "b_items"))
         return met.filter(100 * both >= near.percent * (F.size("a_items") + F.size("b_items") - both)).select(*pairs.columns)
 
-    # Stars: each member with the smallest centers of its buckets, its least one first.
-    star = members.filter("rep <> center").groupBy(F.col("rep").alias("a"), F.col("center").alias("b")).agg(F.count("*").alias("bands_shared")).select("a", "b")
+    # Stars: each member with the centers of its buckets, its least one first.
+    star = pairs.groupBy(F.col("rep").alias("a"), F.col("center").alias("b")).agg(F.count("*").alias("bands_shared")).select("a", "b")
     star = store.save("star", likely(star))
     sets = sets_of(star, "sets")
     one = star.groupBy("a").agg(F.min("b").alias("b"))
@@ -323,66 +282,36 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
     # What a bucket holds outside of its main component meets the rest: only in buckets of
     # two components or more, and by way of one reference document per bucket, the hub of
-    # the main component (its center of most links).
+    # the main component (its most central member).
     home = store.save("home", roots.select(F.col("node").alias("x"), "root"))
     tagged = members.join(home, members["rep"] == home["x"], "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
     groups = tagged.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mains = groups.groupBy("key").agg(F.max_by("comp", F.struct(F.col("n"), -F.col("comp"))).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    hubs = edges.groupBy("b").agg(F.count("*").alias("n")).join(home, F.col("b") == F.col("x"), "left")
-    hubs = hubs.groupBy(F.coalesce("root", "b").alias("c")).agg(F.max_by("b", F.struct(F.col("n"), -F.col("b"))).alias("hub"))
-    mains = mains.join(hubs, mains["main"] == hubs["c"], "left").select(F.col("key").alias("k"), "main", F.coalesce("hub", "main").alias("hub"))
+    hubs = central.join(home, central["rep"] == home["x"], "left").groupBy(F.coalesce("root", "rep").alias("c")).agg(most("rep").alias("hub"))
+    mains = mains.join(hubs, mains["main"] == hubs["c"]).select(F.col("key").alias("k"), "main", "hub")
     to_hub = tagged.join(mains, F.col("key") == F.col("k")).filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "comp", "main").distinct()
     to_hub = store.save("to_hub", to_hub)
     sets = sets_of(to_hub, "hub_sets")
     own, ref = (sets.select(F.col("rep").alias(c + "_id"), F.col("items").alias(c + "_items")) for c in ("own", "ref"))
     met = to_hub.join(own, F.col("a") == F.col("own_id")).join(ref, F.col("b") == F.col("ref_id"))
     delta = F.concat(F.array_except("own_items", "ref_items"), F.array_except("ref_items", "own_items"))
-    met = met.select("a", "b", "comp", "main", F.size("own_items").alias("own"), F.size("ref_items").alias("ref"), delta.alias("items"))
-    # J >= p % is: (100 + p) * |difference| <= (100 - p) * (sum of sizes). With each
-    # document's difference from the hub and weight = (100 + p) * |difference| - (100 - p) * size,
-    # two documents link if their differences share (sum of weights) / (2 * (100 + p)) items.
-    p, q = near.percent, 100 - near.percent
-    met = met.withColumn("weight", (100 + p) * F.size("items") - q * F.col("own"))
-    # Far: so far from the hub that no document linked with the hub can link with it, as 1 - J is a metric.
-    inter = (F.col("own") + F.col("ref") - F.size("items")) / 2
-    far = 100 * inter < (2 * p - 100) * (inter + F.size("items"))
-    kind = F.when(F.col("weight") <= q * F.col("ref"), "core").when(far, "far").otherwise("ring")
-    met = store.save("deltas", met.withColumn("kind", kind).withColumn("items", F.when(F.col("kind") != "far", F.col("items"))))
-    hub_links = met.filter("kind = 'core' and comp <> main").select(F.col("comp").alias("ca"), F.col("main").alias("cb"))
-
-    # First way: a straggler (in the ring, of another component) and any document near the same hub.
-    straggler = met.filter("kind = 'ring' and comp <> main")
-    ways = []
-    if straggler.limit(1).count():
-        of = lambda frame, side, least: frame.select(F.col("a").alias("id"), "comp", F.col("b").alias("grp"), F.lit(side).alias("side"), F.greatest(F.lit(1), least).cast("long").alias("least"), "items")
-        near_hub = of(met.filter("kind <> 'far'"), 1, F.floor((F.col("weight") + q * F.col("ref")) / (2 * (100 + p))) + 1)
-        table = of(straggler, 0, F.ceil((F.col("weight") - q * F.col("ref")) / 200)).union(near_hub).filter("least <= size(items)")
-        ways.append(overlaps(store, "near_posts", table, counted(straggler.select("items"), near), near))
-    # Second way: a document far from its hub and any in the ring or far: by their sets themselves.
-    outer = met.filter("kind <> 'core'").groupBy("a", "comp").agg(F.max(F.when(F.col("kind") == "far", 1).otherwise(0)).alias("far"))
-    hubs_far = met.filter("kind = 'far'").select(F.col("b").alias("fb")).distinct()
-    beside = met.filter("kind = 'ring'").join(hubs_far, F.col("b") == F.col("fb")).select("a").distinct().withColumn("beside", F.lit(1))
-    outer = store.save("outer", outer.join(beside, "a", "left").filter("far = 1 or beside = 1").select("a", "comp", "far"))
-    if outer.filter("far = 1").limit(1).count():
-        whole = outer.join(sets, F.col("a") == F.col("rep")).select(F.col("a").alias("id"), "comp", F.lit(0).cast("long").alias("grp"), "far", F.ceil(p * F.size("items") / 100).cast("long").alias("least"), "items")
-        table = whole.filter("far = 1").withColumn("far", F.lit(0)).union(whole.withColumn("far", F.lit(1))).withColumnRenamed("far", "side")
-        sampled = whole.filter(F.pmod(F.xxhash64("id"), F.lit(near.order_by)) == 0).select("items")
-        ways.append(overlaps(store, "far_posts", table, counted(sampled, near), near))
-    joined = hub_links
-    for way in ways:
-        joined = joined.union(confirmed(way, sets).select("ca", "cb"))
+    met = met.select(F.col("b").alias("hub"), F.col("a").alias("id"), "comp", "main", F.size("own_items").alias("n"), F.size("ref_items").alias("ref"), delta.alias("items"))
+    met = met.withColumn("weight", (100 + near.percent) * F.size("items") - (100 - near.percent) * F.col("n"))
+    met = store.save("deltas", met.withColumn("linked", F.col("weight") <= (100 - near.percent) * F.col("ref")))
+    joined = met.filter("linked and comp <> main").select(F.col("comp").alias("ca"), F.col("main").alias("cb"))
+    # Whoever links with the hub is of its component by now.
+    now = met.withColumn("comp", F.when(F.col("linked"), F.col("main")).otherwise(F.col("comp")))
+    joined = joined.union(straggling(store, now, near).select("ca", "cb"))
     joined = store.save("joined", joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     final = roots
     if joined.limit(1).count():
         tops = store.save("tops", _stars(store, joined, "top").select(F.col("node").alias("x"), F.col("root").alias("top")))
         lifted = roots.join(tops, roots["root"] == tops["x"], "left").select("node", F.coalesce("top", "root").alias("root"))
         final = store.save("final", lifted.union(tops.select(F.col("x").alias("node"), F.col("top").alias("root"))))
-    store.drop("members", "star", "to_hub", "hub_sets", "hub_sets_ids", "deltas", "home", "outer", *[f"{w}_posts{i}" for w in ("near", "far") for i in range(1, near.depth + 1)])
+    store.drop("members", "central", "star", "to_hub", "hub_sets", "hub_sets_ids", "deltas", "table", "posts", "home")
 
-    named = classes.select("fp_a", "fp_b", "low", "rep").join(final, F.col("rep") == F.col("node"), "left").select("fp_a", "fp_b", "low", F.coalesce("root", "rep").alias("root"))
-    # Only components of two classes or more need the least of their ids.
-    lows = named.filter("root is not null").groupBy("root").agg(F.min("low").alias("component_id"))
-    named = store.save("named", named.join(lows, "root").select("fp_a", "fp_b", "component_id"))
+    named = classes.select("fp_a", "fp_b", "rep").join(final, F.col("rep") == F.col("node"), "left").select("fp_a", "fp_b", F.coalesce("root", "rep").alias("component_id"))
+    named = store.save("named", named)
     some = signed.select("doc_id", "n", "fp_a", "fp_b").filter("n > 0 and doc_id is not null").join(named, ["fp_a", "fp_b"])
     none = signed.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     every = some.select("doc_id", "n", "component_id").union(none)

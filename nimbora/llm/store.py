@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +101,20 @@ def take(frame: DataFrame, *wanted: str) -> DataFrame:
     """The columns of exactly these names, whatever else ``frame`` has."""
     names, plain = numbered(frame)
     return plain.select(*[F.col(names[frame.columns.index(w)]).alias(w) for w in wanted])
+
+
+def gather(frame: DataFrame, order: list, rows: int, size: int) -> pa.Table:
+    """At most ``rows`` rows of ``frame`` (doc_id, text, ...), first in ``order``, whose whole texts
+    have at most ``size`` bytes together: a text that doesn't fit any more is passed over. Equal
+    rows are taken once. Ties in ``order`` go by doc_id and the text's hash. The lists go to the
+    driver first, so that no task and no driver ever gathers more."""
+    marked = frame.withColumn("text_hash", F.xxhash64("text"))
+    length = F.octet_length(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("length")
+    left, chosen = size, []
+    for r in marked.orderBy(*order, "doc_id", "text_hash").select("doc_id", "text_hash", length).limit(rows).collect():
+        if r["length"] <= left:
+            left -= r["length"]
+            chosen.append((r["doc_id"], r["text_hash"]))
+    ids = frame.sparkSession.createDataFrame(chosen, "id_ long, hash_ long")
+    met = marked.join(F.broadcast(ids), (F.col("doc_id") == F.col("id_")) & (F.col("text_hash") == F.col("hash_")), "left_semi")
+    return met.dropDuplicates(["doc_id", "text_hash"]).toArrow().sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])

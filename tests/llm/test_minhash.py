@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from nimbora.llm.minhash import Near, Order, keep_one, near_duplicates, sign, signatures
+from nimbora.llm.minhash import Near, keep_one, near_duplicates, sign
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -66,7 +66,7 @@ def test_equals_brute_force_on_families_with_stragglers(spark):
     assert got == {i: (n, c, c == i) for i, (n, c) in want.items()}
 
 
-@pytest.mark.parametrize("near", [Near(), Near(posting=1, depth=3), Near(posting=2, depth=2, table=20)])
+@pytest.mark.parametrize("near", [Near(), Near(classes=(1.0,))])
 def test_one_large_group_of_near_copies(spark, near):
     """Copies of one text with a tenth to two fifths of the words edited, so that many lie about the limit."""
     rng = random.Random(8)
@@ -87,22 +87,6 @@ def test_one_large_group_of_near_copies(spark, near):
     assert got == {i: c for i, (_, c) in want.items()}
 
 
-def test_signatures_meet_whenever_enough_is_shared():
-    rng = np.random.default_rng(4)
-    order = Order([(int(i), int(n)) for i, n in zip(range(40), rng.integers(2, 9, 40), strict=True)])
-    hot = np.zeros(0, np.uint64)
-    for depth in (1, 2, 3):
-        for _ in range(400):
-            a, b = (np.unique(rng.integers(0, 60, rng.integers(1, 25))) for _ in range(2))
-            shared = len(np.intersect1d(a, b))
-            if not shared:
-                continue
-            la, lb = (int(rng.integers(1, shared + 1)) for _ in range(2))
-            x, y = (signatures(order.sort(s.astype(np.int64)), n, 3, hot, depth) for s, n in ((a, la), (b, lb)))
-            assert len(np.intersect1d(x, y))
-            hot = np.unique(np.concatenate([hot, rng.choice(x, 1)]))[-200:]
-
-
 def test_rows_of_one_doc_id_with_several_texts(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "pq")
     rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, "other words here")]
