@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.llm import words as W
-from nimbora.llm.store import Scratch, arrow_batches
+from nimbora.llm.store import Scratch, arrow_batches, take
 
 
 @dataclass(frozen=True)
@@ -147,7 +147,9 @@ def remove_repeats(docs: DataFrame, f: Factors = Factors()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text, factors.
 
     A word goes if a window that covers it also starts in a document of smaller doc_id.
-    Reads ``doc_id`` and ``text``; other columns don't matter. A null text has no words. A
+    Reads ``doc_id`` and ``text``; other columns don't matter, whatever their names. A null or
+    empty text has no words. Very long texts are parsed whole; a document's hits (at most one
+    per window) meet in one row. Of reference documents that tie, the smallest id is named. A
     document with a null doc_id is compared with none. Rows that repeat a doc_id are one
     document: neither removes from the other. An empty table gives an empty result.
 
@@ -158,7 +160,7 @@ def remove_repeats(docs: DataFrame, f: Factors = Factors()) -> DataFrame:
     spark = docs.sparkSession
     arrow_batches(spark)
     store = Scratch(spark, "factors")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    plain = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     known = plain.filter("doc_id is not null")
     tagged = known.select("doc_id", "text", F.xxhash64("text").alias("th"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbora.llm.store import arrow_batches
+from nimbora.llm.store import arrow_batches, take
 
 # Magic bytes, the offset at which they stand in a file, and media types.
 MAGIC = [
@@ -109,8 +109,9 @@ def _riff(b: bytes, at: int) -> int:
         kind, n = struct.unpack("<4sI", b[pos : pos + 8])
         chunks.add(kind)
         pos += 8 + n + (n & 1)
-    need = {b"fmt ", b"data"} if b[at + 8 : at + 12] == b"WAVE" else {b"LIST"} if b[at + 8 : at + 12] == b"AVI " else set()
-    return size if pos == end and chunks and need <= chunks else 0
+    form = b[at + 8 : at + 12]
+    sound = {b"fmt ", b"data"} <= chunks if form == b"WAVE" else b"LIST" in chunks if form == b"AVI " else bool({b"VP8 ", b"VP8L", b"VP8X"} & chunks)
+    return size if pos == end and sound else 0
 
 
 def _pdf(b: bytes, at: int) -> int:
@@ -121,32 +122,58 @@ def _pdf(b: bytes, at: int) -> int:
     return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, start, note = struct.unpack("<IIH", b[end + 12 : end + 22])
-    return end + 22 + note - at if at + start + size == end and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b) else 0
+def _zips(b: bytes) -> dict[int, int]:
+    """First byte -> length of every archive, from the records at their ends."""
+    found: dict[int, int] = {}
+    end = b.find(b"PK\x05\x06")
+    while 0 <= end <= len(b) - 22:
+        size, start, note = struct.unpack("<IIH", b[end + 12 : end + 22])
+        at = end - size - start
+        if at >= 0 and b[at : at + 4] == b"PK\x03\x04" and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
+            found.setdefault(at, end + 22 + note - at)
+        end = b.find(b"PK\x05\x06", end + 4)
+    return found
 
 
 def _gzip(b: bytes, at: int) -> int:
-    job = zlib.decompressobj(31)
+    job, pos = zlib.decompressobj(31), at
     try:
-        rest = b[at:]
-        while not job.eof and rest:
-            job.decompress(rest, 1 << 20)
-            rest = job.unconsumed_tail
+        while not job.eof and pos < len(b):
+            rest = b[pos : pos + (1 << 16)]
+            pos += len(rest)
+            while rest and not job.eof:
+                job.decompress(rest, 1 << 20)
+                rest = job.unconsumed_tail
     except zlib.error:
         return 0
-    return len(b) - at - len(job.unused_data) if job.eof else 0
+    return pos - at - len(job.unused_data) if job.eof else 0
+
+
+def _ogg_crc(page: bytes) -> int:
+    """The checksum of an Ogg page, whose own field counts as zeros: polynomial 0x04C11DB7, high bit first."""
+    if not _OGG:
+        for i in range(256):
+            r = i << 24
+            for _ in range(8):
+                r = (r << 1 ^ 0x04C11DB7 if r & 0x80000000 else r << 1) & 0xFFFFFFFF
+            _OGG.append(r)
+    crc = 0
+    for x in page[:22] + bytes(4) + page[26:]:
+        crc = (crc << 8 & 0xFFFFFFFF) ^ _OGG[crc >> 24 ^ x]
+    return crc
+
+
+_OGG: list[int] = []
 
 
 def _ogg(b: bytes, at: int) -> int:
     pos, pages, last = at, 0, False
+    if b[at + 5 : at + 6] not in (b"\x02", b"\x06") or b[at + 18 : at + 22] != bytes(4):  # a stream begins with its page 0
+        return 0
     while pos + 27 <= len(b) and b[pos : pos + 5] == b"OggS\x00" and not last:
         n = b[pos + 26]
         end = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
-        if end > len(b):
+        if end > len(b) or _ogg_crc(b[pos:end]) != int.from_bytes(b[pos + 22 : pos + 26], "little"):
             return 0
         last, pos, pages = bool(b[pos + 5] & 4), end, pages + 1
     return pos - at if pages and last else 0
@@ -198,7 +225,7 @@ def _tiff(b: bytes, at: int) -> int:
     return far if seen and at + far <= len(b) else 0
 
 
-VALID = {"png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bmp, "wav": _riff, "webp": _riff, "avi": _riff, "pdf": _pdf, "zip": _zip, "gzip": _gzip, "ogg": _ogg, "flac": _flac, "mp4": _mp4, "tiff": _tiff}
+VALID = {"png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bmp, "wav": _riff, "webp": _riff, "avi": _riff, "pdf": _pdf, "gzip": _gzip, "ogg": _ogg, "flac": _flac, "mp4": _mp4, "tiff": _tiff}
 
 
 _automaton = None
@@ -218,10 +245,17 @@ def _machine():
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(format, start, length) of every confirmed medium, outermost first: what lies inside
     of another stays out, as its bytes are that one's content."""
-    found, covered = [], -1
+    found, covered, zips = [], -1, None
     hits = sorted({(end + 1 - size - offset, kind) for end, (kind, offset, size) in _machine().iter(data.decode("latin-1"))})
     for start, kind in hits:
-        if start >= max(0, covered) and (size := VALID[kind](data, start)):
+        if start < max(0, covered):
+            continue
+        if kind == "zip":
+            zips = _zips(data) if zips is None else zips
+            size = zips.get(start, 0)
+        else:
+            size = VALID[kind](data, start)
+        if size:
             found.append((kind, start, size))
             covered = start + size
     return found
@@ -253,7 +287,9 @@ def correct_types(frame: DataFrame, media: str = "media", declared: str = "decla
     (detected, or else declared), and the embedded media (array of type, start, length).
 
     Null bytes count as empty and give the declared type; a null declaration stays null where
-    nothing is detected. Repeated rows give equal rows, other columns don't matter.
+    nothing is detected. Repeated rows give equal rows; other columns don't matter, whatever
+    their names. Very long bytes are read whole. Of formats that tie for a start, the first by
+    name counts. An empty table gives an empty result.
     """
     arrow_batches(frame.sparkSession, rows=100)
 
@@ -269,12 +305,14 @@ def correct_types(frame: DataFrame, media: str = "media", declared: str = "decla
             item = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array(fixed, pa.string()), pa.array(inner, item)], names=["key", "detected", "corrected", "embedded"])
 
-    kind = frame.schema[key].dataType.simpleString()
-    return frame.select(F.col(key).alias("key"), F.col(media).alias("media"), F.col(declared).cast("string").alias("declared")).mapInArrow(rows, f"key {kind}, detected string, corrected string, embedded array<{MEDIUM}>")
+    plain = take(frame, key, media, declared).toDF("key", "media", "declared")
+    kind = plain.schema["key"].dataType.simpleString()
+    return plain.withColumn("declared", F.col("declared").cast("string")).mapInArrow(rows, f"key {kind}, detected string, corrected string, embedded array<{MEDIUM}>")
 
 
 def carve(frame: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
-    """A row per embedded medium: key, type, start, bytes."""
+    """A row per embedded medium: key, type, start, bytes. Null and empty bytes give none; the rest
+    as in ``correct_types``."""
     spark = frame.sparkSession
     arrow_batches(spark, rows=100)
 
@@ -283,13 +321,16 @@ def carve(frame: DataFrame, media: str = "media", key: str = "doc_id") -> DataFr
             out = [(k, TYPES[f], s, b[s : s + n]) for k, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for b in [m.as_py() or b""] for f, s, n in sniff(b) if s]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.schema.field(0).type), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.binary())], names=["key", "type", "start", "bytes"])
 
-    kind = frame.schema[key].dataType.simpleString()
-    return frame.select(F.col(key).alias("key"), F.col(media).alias("media")).mapInArrow(rows, f"key {kind}, type string, start long, bytes binary")
+    plain = take(frame, key, media).toDF("key", "media")
+    kind = plain.schema["key"].dataType.simpleString()
+    return plain.mapInArrow(rows, f"key {kind}, type string, start long, bytes binary")
 
 
 def text_media(docs: DataFrame, unit: int = 192) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a WAV of 8-bit samples, padded with spaces to a
-    positive multiple of ``unit`` bytes. A null text is empty."""
+    positive multiple of ``unit`` bytes. A null text is empty; a null doc_id stays null; repeated
+    rows give equal rows; very long texts are stored whole; other columns don't matter, whatever
+    their names; an empty table gives an empty result."""
     arrow_batches(docs.sparkSession)
 
     def rows(batches):
@@ -298,11 +339,14 @@ def text_media(docs: DataFrame, unit: int = 192) -> DataFrame:
             media = [to_wav(b + b" " * (max(unit, -(-len(b) // unit) * unit) - len(b))) for b in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_bytes long, media binary")
+    return take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_bytes long, media binary")
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """Reads the stored bytes back: sniffed type, payload digests and sample features."""
+    """Reads the stored bytes of ``text_media`` back: sniffed type, payload digests, sample
+    features, the payload's own type (declared text/plain, corrected where a format is confirmed
+    at its start) and the media carved from it (type:start:length:crc32). A row per row; equal texts give
+    equal values; an empty table gives an empty result."""
     arrow_batches(media.sparkSession)
 
     def rows(batches):
@@ -316,10 +360,12 @@ def media_digest(media: DataFrame) -> DataFrame:
                 inside = sniff(payload)
                 turns = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128)))
                 feature = f"{TYPES[found[0][0]]};samples={len(x)};min={x.min()};max={x.max()};sum={x.sum()};power={int((x * x).sum())};crossings={turns};embedded={len(inside)}"
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(b), hashlib.sha256(b).hexdigest(), feature))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                kind = TYPES[inside[0][0]] if inside and inside[0][1] == 0 else None
+                carved = ",".join(f"{TYPES[k]}:{s}:{n}:{zlib.crc32(payload[s : s + n])}" for k, s, n in inside if s)
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(b), hashlib.sha256(b).hexdigest(), feature, kind or "text/plain", carved))
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "payload_type", "carved"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "n_bytes", *names])
 
-    return media.mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, payload_type string, carved string")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.llm.quality_rules import let
-from nimbora.llm.store import Scratch, free_name
+from nimbora.llm.store import Scratch, free_name, numbered
 
 
 @dataclass(frozen=True)
@@ -60,32 +60,37 @@ def replicate(docs: DataFrame, by: str = "source", mix: Mix = Mix()) -> tuple[Da
     """A row for each copy, in a global random order, and the names of the two columns that
     are new: the copy's number from 1, and the key of the order.
 
-    Needs ``doc_id`` and ``by``; all columns stay, whatever their names. The number of copies
+    Needs ``doc_id`` and ``by``; all columns stay, whatever their names, texts of any length and
+    null or empty ones too. The number of copies
     is the quantile, at a hash of (seed, doc_id, draw), of the Poisson distribution of the
     source's rate: it depends on nothing else, so a lost task gives the same copies again.
     A null source is a source; a null doc_id hashes as an empty string; rows that repeat a
-    doc_id get as many copies each. An empty table gives an empty result.
+    doc_id get as many copies each; copies that tie in the order's key are equal up to their
+    text and lie in any order. An empty table gives an empty result.
     """
-    names = docs.columns
-    copy, key = free_name(names, "copy"), free_name(names, "shuffle_key")
-    s, d, c = (free_name(names, x) for x in ("mix_s", "mix_draws", "mix_cdf"))
+    given = docs.columns
+    names, docs = numbered(docs)
+    copy, key = free_name(given, "copy"), free_name(given, "shuffle_key")
+    by, id_ = names[given.index(by)], F.col(names[given.index("doc_id")])
+    s, d, c = "mix_s", "mix_draws", "mix_cdf"
     table = Scratch(docs.sparkSession, "mix").save("rates", rates(docs, by, mix)).select(F.col("s").alias(s), F.col("draws").alias(d), F.col("cdf").alias(c))
     if table.count() <= mix.broadcast_sources:
         table = F.broadcast(table)
-    met = docs.join(table, F.col(f"`{by}`").eqNullSafe(F.col(s)))
+    met = docs.join(table, F.col(by).eqNullSafe(F.col(s)))
     below = lambda u: F.size(F.filter(F.col(c), lambda x: x <= u))
-    draws = F.transform(F.sequence(F.lit(1), F.col(d)), lambda j: let(uniform(mix.seed, F.col("doc_id"), j), below))
+    draws = F.transform(F.sequence(F.lit(1), F.col(d)), lambda j: let(uniform(mix.seed, id_, j), below))
     count = F.aggregate(draws, F.lit(0), lambda a, x: a + x)
     copies = let(count, lambda n: F.when(n > 0, F.sequence(F.lit(1), n)))
-    out = met.select(*[F.col(f"`{x}`") for x in names], F.explode(copies).alias(copy))
-    out = out.withColumn(key, F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(copy))))
+    out = met.select(*names, F.explode(copies).alias("copy"))
+    out = out.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.lit("order"), F.coalesce(id_.cast("string"), F.lit("")), F.col("copy"))))
     # The key's hash says where a copy goes and the key in which order it lies there: a random
     # permutation in one exchange, without the sampling pass of a range partitioning.
-    ties = [F.xxhash64("text")] if "text" in names else []
-    return out.repartition(F.col(key), *ties).sortWithinPartitions(key), copy, key
+    ties = [F.xxhash64(names[given.index("text")])] if "text" in given else []
+    return out.repartition(F.col("key"), *ties).sortWithinPartitions("key").toDF(*given, copy, key), copy, key
 
 
 def mixed(docs: DataFrame, by: str = "source", mix: Mix = Mix()) -> DataFrame:
-    """The copies with the columns of ``docs`` only, in their random order."""
-    out, copy, key = replicate(docs, by, mix)
-    return out.drop(copy, key)
+    """The copies with the columns of ``docs`` only, in their random order. Nulls, ties, repeated
+    rows, very long texts, clashing names and empty tables as in ``replicate``."""
+    names, out = numbered(replicate(docs, by, mix)[0])
+    return out.select(*names[:-2]).toDF(*docs.columns)

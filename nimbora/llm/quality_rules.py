@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nimbora.llm.store import Scratch, free_name
+from nimbora.llm.store import Scratch, free_name, numbered
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -73,16 +73,14 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     return F.when(F.size(words) >= width, let(hashed, lambda h: let(windows(h), twice))).otherwise(none)
 
 
-def frequent_lines(docs: DataFrame, host: str, limits: LineLimits) -> DataFrame:
-    """(host, key) of the boilerplate lines. Each row counts as one document, and a line
-    once in it; counts combine before the shuffle, so a hot host or line is no hot task."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def line_counts(docs: DataFrame, host: str, text: Column) -> DataFrame:
+    """(host, key, n): documents of each host that hold a line. Each row counts as one document, and
+    a line once in it; counts combine before the shuffle, so a hot host or line is no hot task."""
     keys = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), line_key), lambda k: k.isNotNull()))
     one = docs.select(F.col(host).alias("host"), keys.alias("keys"))
     # A null key stands for the document itself: one pass counts lines and documents.
     rows = one.select("host", F.explode(F.concat(F.col("keys"), F.array(F.lit(None).cast("long")))).alias("key"))
-    counts = rows.groupBy("host", "key").agg(F.count("*").alias("n"))
-    return counts
+    return rows.groupBy("host", "key").agg(F.count("*").alias("n"))
 
 
 def _above(counts: DataFrame, limits: LineLimits) -> DataFrame:
@@ -99,19 +97,21 @@ def quality_rules(docs: DataFrame, host: str = "source", limits: LineLimits = Li
     base_failed, n_removed_lines, n_left_words (longs), kept, clean_text.
 
     Needs the columns ``text`` and ``host``; any others pass through, clashing names
-    too. A null text counts as empty: no words, base_failed, not kept. A null host is
-    a host of its own. Repeated rows are documents of their own and get equal results.
-    An empty table gives an empty result.
+    too, also those that differ in case only. A null text counts as empty: no words,
+    base_failed, not kept. A null host is a host of its own. Repeated rows are documents
+    of their own and get equal results. Very long texts are taken whole, at n log n. A
+    line at exactly a limit is boilerplate. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     store = Scratch(spark, "quality")
-    counts = store.save("line_counts", frequent_lines(docs, host, limits))
+    given = docs.columns
+    names, docs = numbered(docs)
+    host, text = names[given.index(host)], F.coalesce(F.col(names[given.index("text")]), F.lit(""))
+    counts = store.save("line_counts", line_counts(docs, host, text))
     bad = store.save("frequent", _above(counts, limits))
     store.drop("line_counts")
     rows, widest = bad.groupBy("host").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    names = docs.columns
-    mark = free_name(names, "bad_keys")
-    text = F.coalesce(F.col("text"), F.lit(""))
+    mark = "bad_keys"
     if rows <= limits.broadcast_rows and widest <= limits.broadcast_host_rows:
         per_host = bad.groupBy(F.col("host").alias(mark + "h")).agg(F.collect_set("key").alias(mark))
         marked = docs.join(F.broadcast(per_host), F.col(host).eqNullSafe(F.col(mark + "h")), "left").drop(mark + "h")
@@ -150,13 +150,18 @@ def quality_rules(docs: DataFrame, host: str = "source", limits: LineLimits = Li
 
         return let(parts, verdict)
 
-    out = free_name(names, "rules")
+    out = free_name(given, "rules")
     # The outer lambda binds the words once for all measures.
-    return marked.withColumn(out, let(words_of(text), fields)).drop(mark), out
+    return marked.withColumn("rules", let(words_of(text), fields)).drop(mark).toDF(*given, out), out
 
 
 def keep_clean(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """The documents kept, with boilerplate lines out of their texts; columns as in ``docs``."""
-    ruled, out = quality_rules(docs, host, limits)
-    kept = ruled.filter(F.col(f"{out}.kept"))
-    return kept.select(*[F.col(f"{out}.clean_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    """The documents kept, with boilerplate lines out of their texts; columns as in ``docs``.
+
+    Null and empty texts go, as they have no words. Repeated rows stay or go together. Ties, very
+    long texts, clashing names and empty tables as in ``quality_rules``."""
+    ruled, _ = quality_rules(docs, host, limits)
+    names, plain = numbered(ruled)
+    text, rules = docs.columns.index("text"), names[-1]
+    kept = plain.filter(F.col(f"{rules}.kept"))
+    return kept.select(*[F.col(f"{rules}.clean_text") if i == text else F.col(n) for i, n in enumerate(names[:-1])]).toDF(*docs.columns)

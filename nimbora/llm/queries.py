@@ -15,6 +15,7 @@ from nimbora.llm import quality_rules as _rules
 from nimbora.llm import secret_scan as _secrets
 from nimbora.llm import toxicity as _toxic
 from nimbora.llm import weak_quality as _weak
+from nimbora.llm.store import take
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled, out = _rules.quality_rules(documents(spark, sf_dir))
+    ruled = take(ruled, "doc_id", out)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "n_left_words")
     return ruled.select("doc_id", *[F.col(f"{out}.{n}").alias(n) for n in names])
 
@@ -31,7 +33,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = _toxic.score_toxicity(documents(spark, sf_dir), labels, keep=remainder != 1)
-    return found.select("doc_id", (remainder == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    spot = lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))
+    offsets = F.array_join(F.transform("spans", spot), ",").alias("offsets")
+    # A null doc_id hashes as an empty string (crc32 0), so it is never held out.
+    return found.select("doc_id", (F.coalesce(remainder, F.lit(0)) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), offsets)
 
 
 def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

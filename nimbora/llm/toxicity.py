@@ -16,17 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.llm import words as W
-from nimbora.llm.store import arrow_batches
+from nimbora.llm.store import arrow_batches, gather, take
 
 
 @dataclass(frozen=True)
 class Field:
     """``sample``: labelled training rows of each class that the model is fitted on, at most
-    (those of least hash). ``precision``, ``support`` and ``support_share``: a lexicon feature explains that many
+    (those of least hash), and ``sample_bytes``: bytes of all their whole texts, at most. Of their
+    segments (of ``segment`` words), the field itself is trained on all that hold a toxic word and
+    on a random share of the others, three to one: a part of the bounded sample. ``precision``, ``support`` and ``support_share``: a lexicon feature explains that many
     and that share of the toxic sample documents, after a different word in ``spread`` of them, and occurs in at most (1 - precision) of its
     rate among the clean ones."""
 
     sample: int = 1500
+    sample_bytes: int = 1 << 24
     buckets: int = 1 << 22
     precision: float = 0.95
     support: int = 5
@@ -298,11 +301,13 @@ def sample(docs: DataFrame, labels: DataFrame, field: Field, keep) -> tuple[pa.A
     """Texts and labels of at most 2 * ``field.sample`` labelled rows that ``keep`` admits."""
     one = labels.filter(keep & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = [F.xxhash64("doc_id", F.lit(field.seed)), F.col("doc_id")]
-    picked = one.filter("toxic = 1").orderBy(*order).limit(field.sample).union(one.filter("toxic = 0").orderBy(*order).limit(field.sample))
-    picked = picked.select(F.col("doc_id").alias("labelled"), "toxic")
-    met = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "toxic")
-    rows = met.toArrow().sort_by("doc_id")
-    return rows.column("text").combine_chunks(), rows.column("toxic").to_numpy() == 1
+    found = []
+    for kind in (0, 1):
+        picked = one.filter(F.col("toxic") == kind).orderBy(*order).limit(field.sample).select(F.col("doc_id").alias("labelled"))
+        met = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled"), "left_semi")
+        found.append(gather(met, order[:1], field.sample, field.sample_bytes // 2).column("text").combine_chunks())
+    texts = pa.concat_arrays([x.cast(pa.large_string()) for x in found])
+    return texts, np.repeat([False, True], [len(x) for x in found])
 
 
 RESULT = "doc_id long, score double, spans array<struct<start: long, end: long>>"
@@ -341,11 +346,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, field: Field = Field(), k
     """One row per row of ``docs``: doc_id, score, spans (code points, end exclusive).
 
     Reads ``doc_id`` and ``text``, and ``doc_id`` and ``toxic`` of the labels, where ``keep`` (a
-    condition on the labels' columns) holds; other columns don't matter. A null text is empty.
+    condition on these two) holds; other columns don't matter, whatever their names. A null text
+    is empty; a null doc_id is scored and never learnt from. Very long texts are scored whole.
     Without labels of both classes every score is 0. Rows that repeat a doc_id get a row each;
-    of several labels of a document, the greater counts. An empty table gives an empty result.
+    of several labels of a document, the greater counts; rows that tie for the sample's last
+    place are taken by doc_id. An empty table gives an empty result.
     """
     arrow_batches(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    labels = take(labels, "doc_id", "toxic")
     model = fit(*sample(plain, labels, field, F.lit(True) if keep is None else keep), field)
     return plain.mapInArrow(_score(model, field), RESULT)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.llm import words as W
-from nimbora.llm.store import Scratch, arrow_batches
+from nimbora.llm.store import arrow_batches, gather, take
 
 # Frequent function words of English, German, French and Spanish.
 STOP = "the of and to in is that for it as with der die das und ist nicht mit von den zu le la les de des et est une que pour dans el los las y en un no por se para"
@@ -24,9 +24,11 @@ STOP = "the of and to in is that for it as with der die das und ist nicht mit vo
 
 @dataclass(frozen=True)
 class Weak:
-    """``sample``: documents the linear scorer is fitted on, at most (those of least hash)."""
+    """``sample``, ``sample_bytes``: documents the linear scorer is fitted on, at most (those of
+    least hash), and bytes of their whole texts, at most."""
 
     sample: int = 6000
+    sample_bytes: int = 1 << 25
     buckets: int = 1 << 16
     rounds: int = 60
     epochs: int = 40
@@ -188,12 +190,13 @@ def fit_scorer(texts: pa.Array, posterior, weak: Weak) -> np.ndarray:
 def classify(docs: DataFrame, weak: Weak = Weak()) -> DataFrame:
     """One row per row of ``docs``: doc_id, posterior (of its votes), score, kept.
 
-    Reads ``doc_id`` and ``text``; other columns don't matter. A null text is empty. Repeated
-    rows get equal rows; a null doc_id stays null. An empty table gives an empty result.
+    Reads ``doc_id`` and ``text``; other columns don't matter, whatever their names. A null text
+    is empty. Repeated rows get equal rows; a null doc_id stays null. Very long texts are
+    measured whole. A score of exactly ``keep`` is kept. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     k = len(LABELLERS)
     counted = plain.mapInArrow(_votes, "doc_id long, pattern long").groupBy("pattern").agg(F.count("*").alias("n"))
     found = sorted((r["pattern"], r["n"]) for r in counted.collect())  # at most 3 ** 10 rows
@@ -201,10 +204,8 @@ def classify(docs: DataFrame, weak: Weak = Weak()) -> DataFrame:
     q, _, prior = em(patterns, counts, k, weak.rounds) if len(found) else (np.zeros(0), None, 0.5)
     lookup = dict(zip(patterns.tolist(), q.tolist(), strict=True))
     posterior = lambda p: np.array([lookup.get(int(x), prior) for x in p])
-    # Ids first, so that no task gathers texts: at most ``sample`` ids, then their texts.
-    picked = plain.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(weak.seed)), "doc_id").limit(weak.sample).select(F.col("doc_id").alias("picked")).distinct()
-    taken = plain.join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi").toArrow().sort_by("doc_id").slice(0, weak.sample)
-    texts = taken.column("text").combine_chunks()
+    known = plain.filter("doc_id is not null")
+    texts = gather(known, [F.xxhash64("doc_id", F.lit(weak.seed))], weak.sample, weak.sample_bytes).column("text").combine_chunks()
     weights = fit_scorer(texts, posterior, weak)
     scored = plain.mapInArrow(_score(weights, weak), "doc_id long, pattern long, score double")
     table = spark.createDataFrame([(int(p), float(x)) for p, x in zip(patterns, q, strict=True)], "voted long, posterior double")

@@ -27,17 +27,17 @@ def quantile(x, rate):
 
 def test_copies_are_poisson_quantiles(spark):
     docs = [(i, f"text {i}", "hot" if i % 3 else f"s{i % 7}") for i in range(600)] + [(None, None, None)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("copy", F.lit(9)).withColumn("s", F.lit("x"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "9 as copy", "'x' as s", "'q' as TEXT", "'p' as `Source`", "1 as `a.b`")
     out, copy, key = replicate(frame)
     assert (copy, key) == ("copy_", "shuffle_key") and out.columns == [*frame.columns, copy, key]
-    got = Counter(r.doc_id for r in out.collect())
+    got = Counter(r.doc_id for r in out.select("doc_id").collect())
     n = Counter(s for _, _, s in docs)
     total = sum(math.sqrt(x) for x in n.values())
     for i, _, s in docs:
         rate = math.sqrt(n[s]) * len(docs) / (total * n[s])
         assert got.get(i, 0) == quantile(u(13, "" if i is None else i, 1), rate)
     assert out.groupBy("doc_id", copy).count().filter("count > 1").count() == 0
-    order = [r.doc_id for r in out.collect()]
+    order = [r.doc_id for r in out.select("doc_id").collect()]
     assert order != sorted(order, key=lambda x: x or -1)
     assert mixed(frame).columns == frame.columns
 
@@ -51,6 +51,13 @@ def test_high_rates_split_into_draws_and_weights(spark):
     assert spread == replicate(frame)[0].count()
 
 
+def test_repeated_rows_and_long_texts_are_copied_whole(spark):
+    long = "word " * 100_000
+    frame = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (2, None, "x"), (3, "", None)], "doc_id long, text string, source string")
+    got = Counter((r.doc_id, r.text) for r in mixed(frame, mix=Mix(size=6.0)).collect())
+    assert got[1, long] % 2 == 0 and got[1, long] > 0 and set(got) <= {(1, long), (2, None), (3, "")}
+
+
 def test_mixing_nothing(spark):
     assert replicate(spark.createDataFrame([], "doc_id long, text string, source string"))[0].collect() == []
 

@@ -56,7 +56,7 @@ def corpus():
 @pytest.mark.parametrize("broadcast", [0, 1000])
 def test_equals_brute_force(spark, broadcast):
     limits, rows = LineLimits(broadcast_rows=broadcast), corpus()
-    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rules", F.lit(1)).withColumn("kept", F.lit("x")).withColumn("h", F.lit(2))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as rules", "'x' as kept", "2 as h", "'q' as TEXT", "'p' as `Source`", "1 as `a.b`")
     found, out = quality_rules(frame, limits=limits)
     assert found.columns[:-1] == frame.columns and out == "rules_"
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_lines", "n_left_words", "kept", "clean_text")

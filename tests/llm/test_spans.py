@@ -56,7 +56,7 @@ def test_factors_equal_brute_force(spark, broadcast):
         docs.append((i, rng.choice([" ", "\n", " \t"]).join(words)))
     docs += [(90, docs[5][1]), (91, docs[5][1]), (92, None), (93, ""), (94, " ".join(passages[6] * 3)), (95, "x " * 20_000), (96, "x " * 10_000)]
     rng.shuffle(docs)
-    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("ref", F.lit(1)).withColumn("place", F.lit("q"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as ref", "'q' as place", "'t' as TEXT")
     rows = remove_repeats(frame, Factors(broadcast_anchors=broadcast)).collect()
     want = brute(docs)
     assert sum(n for _, n, _ in want.values()) > 1000
@@ -261,6 +261,22 @@ def png():
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
 
 
+def ogg():
+    """One page of one segment; the checksum is worked out bit by bit."""
+    page = bytearray(b"OggS\0\x06" + bytes(8) + struct.pack("<III", 1, 0, 0) + b"\x01\x05hello")
+    value = int.from_bytes(page, "big") << 32
+    for i in range(8 * len(page) + 31, 31, -1):
+        if value >> i & 1:
+            value ^= 0x104C11DB7 << (i - 32)
+    page[22:26] = value.to_bytes(4, "little")
+    return bytes(page)
+
+
+def riff(form, kind, data):
+    body = form + kind + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
 def samples():
     z = BytesIO()
     with zipfile.ZipFile(z, "w") as f:
@@ -269,7 +285,7 @@ def samples():
     gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02D\x01\x00;"
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd12\xff\x00\xff\xd034\xff\xd9"
     tiff = b"II*\0" + struct.pack("<IHHHIII", 8, 1, 256, 3, 1, 1, 0)
-    return {"png": png(), "zip": z.getvalue(), "bmp": bmp, "gif": gif, "jpeg": jpeg, "gzip": gzip.compress(b"x" * 50), "wav": M.to_wav(b"abc"), "tiff": tiff, "pdf": b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF"}
+    return {"png": png(), "zip": z.getvalue(), "bmp": bmp, "gif": gif, "jpeg": jpeg, "gzip": gzip.compress(b"x" * 50), "wav": M.to_wav(b"abc"), "tiff": tiff, "pdf": b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF", "ogg": ogg(), "webp": riff(b"WEBP", b"VP8L", b"abcd"), "avi": riff(b"AVI ", b"LIST", b"ab")}
 
 
 def test_every_format_is_found_alone_and_embedded():
@@ -280,9 +296,19 @@ def test_every_format_is_found_alone_and_embedded():
     assert M.wav_samples(M.to_wav(b"abc")) == b"abc"
 
 
+def test_damaged_media_and_texts_full_of_magic_bytes():
+    bad = bytearray(ogg())
+    bad[-1] ^= 1
+    assert M.sniff(bytes(bad)) == [] and M.sniff(riff(b"WEBP", b"JUNK", b"abcd")) == []
+    began = time.monotonic()
+    for magic in (b"PK\x03\x04", b"PK\x03\x04PK\x05\x06", b"%PDF-1.", b"\x1f\x8b\x08", b"OggS\0", b"RIFF    WAVE", b"BM", b"\xff\xd8\xff"):
+        M.sniff(magic * 50_000)
+    assert time.monotonic() - began < 30
+
+
 def test_types_and_carving(spark):
     rows = [(1, bytearray(png()), "image/gif"), (2, bytearray(b"text" + png() + b"x"), "text/plain"), (3, None, None), (4, bytearray(b""), "a/b")]
-    frame = spark.createDataFrame(rows, "doc_id long, media binary, declared_type string").withColumn("key", F.lit(5))
+    frame = spark.createDataFrame(rows, "doc_id long, media binary, declared_type string").selectExpr("*", "5 as key", "6 as Media", "7 as DOC_ID")
     got = {r.key: (r.detected, r.corrected, [(e.type, e.start, e.length) for e in r.embedded]) for r in M.correct_types(frame).collect()}
     assert got == {1: ("image/png", "image/png", []), 2: (None, "text/plain", [("image/png", 4, len(png()))]), 3: (None, None, []), 4: (None, "a/b", [])}
     assert [(r.key, r.type, bytes(r.bytes)) for r in M.carve(frame).collect()] == [(2, "image/png", png())]
@@ -290,12 +316,13 @@ def test_types_and_carving(spark):
 
 def test_text_media_round_trip(spark):
     docs = [(1, "héllo"), (2, None), (3, "x" * 192), (4, "y" * 100_001), (1, "héllo"), (None, "BM RIFF %PDF-1.4")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("media", F.lit(1))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as media", "'t' as TEXT")
     rows = sorted(M.media_digest(M.text_media(frame)).collect(), key=lambda r: r.doc_id or -1)
     for r, (i, t) in zip(rows, sorted(docs, key=lambda d: d[0] or -1), strict=True):
         raw = (t or "").encode()
         payload = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
         media = M.to_wav(payload)
         assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert r.payload_type == "text/plain" and r.carved == ""
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and r.feature.startswith("audio/wav;")
     assert M.media_digest(M.text_media(frame.limit(0))).collect() == []
