@@ -34,6 +34,7 @@ BOUNDS = {
     "temp_c": (-60.0, 60.0), "dewpoint_c": (-70.0, 40.0), "wind_speed_ms": (0.0, 75.0), "slp_hpa": (900.0, 1090.0), "visibility_m": (0.0, 160000.0),
     "ceiling_m": (0.0, 22000.0), "precip_mm": (0.0, 500.0), "snow_depth_cm": (0.0, 500.0), "sky_cover_oktas": (0.0, 8.0),
 }
+# Variables that are averaged by hour, and report types that count, padded as in the files.
 CONTINUOUS = ["temp_c", "dewpoint_c", "wind_speed_ms", "slp_hpa", "visibility_m", "ceiling_m", "sky_cover_oktas"]
 REPORT_TYPES = ["FM-12", "FM-13", "FM-15", "FM-16", "CRN05", "MESOW", "SY-MT", "SY-SA", "SAO", "SAOSP", "AUTO", "AERO"]
 
@@ -55,6 +56,7 @@ FEATURES = {
     "mean_wind_mph": ("Mean wind speed", "mph", "wind"),
 }
 FEATURE_NAMES = list(FEATURES)
+# Features that need a gauge.
 PRECIP_FEATURES = ["annual_precip_in", "wet_days_per_year", "summer_precip_fraction", "frozen_precip_days_per_year"]
 
 

@@ -49,7 +49,7 @@ def problems(text: Column, tokens: list[Column], values: Column) -> Column:
     numbers = F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1))
     known = lambda n: F.array_contains(allowed, n) | F.array_contains(allowed, F.rint(n))
     wrong = F.filter(numbers, lambda n: ~F.coalesce(known(n.cast("double")), F.lit(False)))
-    return F.concat(F.transform(told, lambda t: F.concat(F.lit("mentions identifying token '"), t, F.lit("'"))), F.transform(wrong, lambda n: F.concat(F.lit("number "), n, F.lit(" not in structured profile"))))
+    return F.concat(F.transform(told, lambda t: F.concat(F.lit("gives away: "), t)), F.transform(wrong, lambda n: F.concat(F.lit("unknown number: "), n)))
 
 
 def verify(rows: DataFrame, text: str, tokens: list[str], values: Column) -> DataFrame:

@@ -85,3 +85,17 @@ def identity_holds(account: DataFrame, hourly: DataFrame) -> DataFrame:
 def finite(names: list[str]) -> Column:
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     return reduce(lambda a, b: a & b, map(ok, names))
+
+
+def grand_totals(account: DataFrame) -> DataFrame:
+    """(kind, total): each kind of counter summed over all variables."""
+    kinds = ("raw", "qc", "range", "clean")
+    total = lambda k: reduce(lambda a, b: a + b, [F.col(c) for c in account.columns if c.startswith(f"{k}_") and c != "raw_n"], F.lit(0))
+    return account.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), total(k).cast("long").alias("total")) for k in kinds])).alias("x")).select("x.*")
+
+
+def percent_left(account: DataFrame) -> DataFrame:
+    """(variable, pct): values left after cleaning in percent of the rows of kept types, one decimal."""
+    kept = account.select((F.col("n_raw") - F.col("n_dropped")).alias("kept"))
+    met = by_variable(account, "clean").crossJoin(F.broadcast(kept))  # one row
+    return met.select("variable", F.round(F.try_divide(100 * F.col("n"), F.col("kept")), 1).alias("pct"))

@@ -23,6 +23,7 @@ def kmeans(points: DataFrame, vector: str, k: int, restarts: int = 10, seed: int
     data = _vectors(points, vector).persist()
     fits = [KMeans(k=k, seed=seed + i, maxIter=100, tol=1e-6).fit(data) for i in range(restarts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
+    data.unpersist()
     return best.transform(data).withColumnRenamed("prediction", "label").drop("features")
 
 
@@ -106,7 +107,9 @@ def gaussian_mixture(points: DataFrame, vector: str, k: int, dims: int, restarts
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     """Ward's agglomeration by nearest-neighbour chains with Lance-Williams updates."""
     n = len(x)
-    d = np.stack([((x - row) ** 2).sum(1) for row in x])
+    x = x - x.mean(0)
+    norm = (x * x).sum(1)
+    d = np.maximum(norm[:, None] + norm[None] - 2 * (x @ x.T), 0)  # Gram matrix: n x n, whatever the dimensions
     np.fill_diagonal(d, np.inf)
     size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
     while alive.sum() > 1:

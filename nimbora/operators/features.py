@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.config import FEATURE_NAMES, PRECIP_FEATURES, Climate
 from nimbora.functions.units import c_to_f, m_to_mi, mm_to_in, ms_to_mph
 from nimbora.operators.clean import finite
+from nimbora.operators.ranks import grouped_ranks, holds
 
 
 def station_features(days: DataFrame, c: Climate = Climate()) -> DataFrame:
@@ -87,10 +88,26 @@ def zscores(features: DataFrame, names: list[str] = FEATURE_NAMES) -> DataFrame:
 
 
 def percentile_ranks(features: DataFrame, names: list[str] = FEATURE_NAMES) -> DataFrame:
-    """station_id and pct_*: average rank in percent. Long form, so that each feature is a
-    window partition of its own; nulls have no rank."""
+    """station_id and pct_*: average rank in percent, by ranks over range partitions of
+    (feature, value), so any number of tasks share the work; nulls have no rank."""
     long = features.unpivot("station_id", names, "feature", "value").filter("value is not null")
-    w = Window.partitionBy("feature")
-    rank = F.rank().over(w.orderBy("value")) + (F.count("*").over(Window.partitionBy("feature", "value")) - 1) / F.lit(2.0)
-    ranked = long.withColumn("pct", rank * 100 / F.count("*").over(w))
-    return ranked.groupBy("station_id").agg(*[F.max(F.when(F.col("feature") == n, F.col("pct"))).alias(f"pct_{n}") for n in names])
+    ranked = grouped_ranks(long, "feature", "value")
+    pct = ranked.select("feature", "value", ((F.col("before") + (F.col("n") + 1) / F.lit(2.0)) * 100 / F.col("total")).alias("pct"))
+    met = long.join(pct, ["feature", "value"])
+    return met.groupBy("station_id").agg(*[F.max(F.when(F.col("feature") == n, F.col("pct"))).alias(f"pct_{n}") for n in names])
+
+
+def describe(features: DataFrame, names: list[str] = FEATURE_NAMES) -> DataFrame:
+    """(feature, count, nulls, mean, std, min, p25, p50, p75, max): the sample deviation, quartiles at
+    the nearest index of the sorted values; found by ranks, so no column is gathered in one task."""
+    long = features.unpivot([], names, "feature", "value")
+    moments = long.groupBy("feature").agg(F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    ranked = grouped_ranks(long.filter("value is not null"), "feature", "value")
+    spot = lambda p: F.rint(F.lit(p) * (F.col("total") - 1))
+    parts = ranked.groupBy("feature").agg(*[F.max(F.when(holds(spot(p)), F.col("value"))).alias(f"p{int(100 * p)}") for p in (0.25, 0.5, 0.75)])
+    return moments.join(parts, "feature", "left").select("feature", "count", "nulls", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def vectors32(points: DataFrame, vector: str = "z") -> DataFrame:
+    """The vectors in single precision, as they are stored for serving."""
+    return points.withColumn(vector, F.col(vector).cast("array<float>"))

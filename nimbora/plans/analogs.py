@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbora.config import FEATURE_NAMES, Climate
-from nimbora.operators.features import keep_filter, station_features, with_stations, zscores
+from nimbora.operators.features import keep_filter, percentile_ranks, station_features, with_stations, zscores
+from nimbora.plans.api import neighbor_edges
+from nimbora.sources.scratch import Scratch
 
 #: What is sparse in the test tables gets smaller limits; everything else keeps its default.
 SPARSE = Climate(window_years=7.0, min_days_fraction=0.14)
@@ -93,18 +96,45 @@ def station_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table made once per application and input, and read from the shared folder by all lookups."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = Scratch(spark, "lookup").save(name, make())
+    return _stored[key]
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per station, so kept in memory for the many lookups over it."""
-    return station_features(station_days(spark, sf_dir), SPARSE).persist()
+    """A row per station."""
+    return stored(spark, sf_dir, "features", lambda: station_features(station_days(spark, sf_dir), SPARSE))
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep_filter(with_stations(features(spark, sf_dir), stations(spark, sf_dir)), SPARSE).persist()
+    return stored(spark, sf_dir, "kept", lambda: keep_filter(with_stations(features(spark, sf_dir), stations(spark, sf_dir)), SPARSE))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """station_id and z of the kept stations."""
-    return zscores(kept(spark, sf_dir), FEATURE_NAMES).persist()
+    return stored(spark, sf_dir, "points", lambda: zscores(kept(spark, sf_dir), FEATURE_NAMES))
+
+
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept stations with z, percentiles of features cut to five places, and a fixed grouping: their nation's number modulo 4."""
+
+    def make() -> DataFrame:
+        k = kept(spark, sf_dir)
+        exact = k.select("station_id", *[(F.round(F.col(n) + 1.7e-8, 5) + 0.0).alias(n) for n in FEATURE_NAMES])
+        group = F.substring("station_id", 8, 5).cast("int") % 4
+        return k.withColumn("cluster", group).join(points(spark, sf_dir), "station_id").join(percentile_ranks(exact), "station_id")
+
+    return stored(spark, sf_dir, "grouped", make)
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "edges", lambda: neighbor_edges(points(spark, sf_dir), kept(spark, sf_dir), SPARSE))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.config import FEATURE_NAMES, FEATURES, Climate
+from nimbora.functions.clue import facts
 from nimbora.functions.geo import distance_score, haversine_mi
 from nimbora.operators.diagnostics import top_per_group
 from nimbora.operators.features import percentile_ranks
-from nimbora.operators.pairs import all_pairs, global_rank, nearest, squared
+from nimbora.operators.pairs import counts_below, knn, similarity_of, squared
+from nimbora.sources.scratch import Scratch
 
 
 def extremes(features: DataFrame, feature: str, direction: str = "high", k: int = 10) -> DataFrame:
@@ -38,15 +41,11 @@ def search(stations: DataFrame, text: str, k: int = 12) -> DataFrame:
 def neighbor_edges(points: DataFrame, places: DataFrame, c: Climate = Climate()) -> DataFrame:
     """(station_id, neighbor_id, rank, climate_distance, similarity_pct, geo_distance_mi)."""
     dims = len(FEATURE_NAMES)
-    pairs = all_pairs(points, "station_id", "z", dims)
-    ranked = global_rank(pairs, "d")
-    total = pairs.agg(F.count("*").alias("total"))
-    scored = ranked.crossJoin(F.broadcast(total)).select("a", "b", "d", (100 * (1 - F.col("below") / F.col("total"))).alias("s"))  # one row
-    both = scored.union(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", "s"))
-    near = nearest(both, c.neighbors)
+    near = Scratch(points.sparkSession, "edges").save("near", knn(points, "station_id", "z", dims, c.neighbors))
+    near = similarity_of(near, points, "station_id", "z", dims)
     spot = lambda x: places.select(F.col("station_id").alias(x), F.col("lat").alias(f"lat_{x}"), F.col("lon").alias(f"lon_{x}"))
     met = near.join(spot("a"), "a").join(spot("b"), "b")
-    return met.select(F.col("a").alias("station_id"), F.col("b").alias("neighbor_id"), "rank", F.col("d").alias("climate_distance"), F.col("s").alias("similarity_pct"), haversine_mi("lat_a", "lon_a", "lat_b", "lon_b", c).alias("geo_distance_mi"))
+    return met.select(F.col("a").alias("station_id"), F.col("b").alias("neighbor_id"), "rank", F.col("d").alias("climate_distance"), "similarity_pct", haversine_mi("lat_a", "lon_a", "lat_b", "lon_b", c).alias("geo_distance_mi"))
 
 
 def twins(edges: DataFrame, places: DataFrame, least_mi: float = 1000.0, k: int = 20) -> DataFrame:
@@ -57,11 +56,16 @@ def twins(edges: DataFrame, places: DataFrame, least_mi: float = 1000.0, k: int
     return named.join(side("a"), "a").join(side("b"), "b")
 
 
-def nearest_stations(guesses: DataFrame, stations: DataFrame) -> DataFrame:
-    """(guess_id, station_id, distance_mi): the least distance, ties to the smaller id. Guesses
-    are the small side: each station meets all of them, and minima combine before the shuffle."""
+def nearest_stations(guesses: DataFrame, stations: DataFrame, few: int = 10_000) -> DataFrame:
+    """(guess_id, station_id, distance_mi): the least distance, ties to the smaller id. Up to ``few``
+    guesses meet each station as a broadcast; more are dealt into blocks, and blocks meet blocks
+    of stations by key. Minima combine before the shuffle."""
     g = guesses.select("guess_id", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"))
-    met = stations.select("station_id", "lat", "lon").crossJoin(F.broadcast(g)).withColumn("d", haversine_mi("g_lat", "g_lon", "lat", "lon"))
+    n = g.limit(few + 1).count()
+    blocks = 1 if n <= few else -(-g.count() // few)
+    g = g.withColumn("part", F.pmod(F.xxhash64("guess_id"), F.lit(blocks)).cast("int"))
+    every = stations.select("station_id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
+    met = every.join(F.broadcast(g) if blocks == 1 else g, "part").withColumn("d", haversine_mi("g_lat", "g_lon", "lat", "lon"))
     best = met.groupBy("guess_id").agg(F.min(F.struct("d", "station_id")).alias("m"))
     return best.select("guess_id", F.col("m.station_id").alias("station_id"), F.col("m.d").alias("distance_mi"))
 
@@ -69,13 +73,17 @@ def nearest_stations(guesses: DataFrame, stations: DataFrame) -> DataFrame:
 def pair_similarity(points: DataFrame, places: DataFrame, a: str, b: str) -> DataFrame:
     """Climate distance, share of pairs at least as far apart, and miles, of two stations."""
     dims = len(FEATURE_NAMES)
-    pairs = all_pairs(points, "station_id", "z", dims)
     lo, hi = sorted((a, b))
-    one = pairs.filter((F.col("a") == lo) & (F.col("b") == hi)).select("a", "b", F.col("d").alias("climate_distance"))
-    counted = pairs.crossJoin(F.broadcast(one.select(F.col("climate_distance").alias("x")))).agg(F.count_if(F.col("d") < F.col("x")).alias("below"), F.count("*").alias("total"))
+    found = {r["station_id"]: r["z"] for r in points.filter(F.col("station_id").isin(lo, hi)).select("station_id", "z").collect()}
+    spark = points.sparkSession
+    if lo == hi or len(found) < 2:
+        return spark.createDataFrame([], "a string, b string, climate_distance double, similarity_pct double, geo_distance_mi double")
+    d = float(np.sqrt(((np.array(found[lo]) - np.array(found[hi])) ** 2).sum()))
+    below, total = counts_below(points, "station_id", "z", dims, np.array([d]))
+    one = spark.createDataFrame([(lo, hi, d, 100 * (1 - int(below[0]) / total))], "a string, b string, climate_distance double, similarity_pct double")
     spot = lambda x: places.select(F.col("station_id").alias(x), F.col("lat").alias(f"lat_{x}"), F.col("lon").alias(f"lon_{x}"))
-    met = one.join(spot("a"), "a").join(spot("b"), "b").crossJoin(F.broadcast(counted))  # one row
-    return met.select("a", "b", "climate_distance", (100 * (1 - F.col("below") / F.col("total"))).alias("similarity_pct"), haversine_mi("lat_a", "lon_a", "lat_b", "lon_b").alias("geo_distance_mi"))
+    met = one.join(spot("a"), "a").join(spot("b"), "b")
+    return met.select("a", "b", "climate_distance", "similarity_pct", haversine_mi("lat_a", "lon_a", "lat_b", "lon_b").alias("geo_distance_mi"))
 
 
 def guess_report(points: DataFrame, places: DataFrame, guesses: DataFrame, target: str | None = None) -> DataFrame:
@@ -89,24 +97,58 @@ def guess_report(points: DataFrame, places: DataFrame, guesses: DataFrame, targe
     return met.select("guess_id", F.col("t").alias("target"), miles.alias("distance_mi"), distance_score(miles).alias("score"), F.col("station_id").alias("nearest"), F.sqrt(squared(F.col("z"), F.col("tz"), len(FEATURE_NAMES))).alias("climate_distance"))
 
 
+def guess_answer(locations: DataFrame, edges: DataFrame, guesses: DataFrame, target: str) -> DataFrame:
+    """All that is told after a guess. ``locations`` has the features, pct_*, z and cluster of each
+    place. Per guess: guess_id, target, distance_mi, score, nearest, same_cluster, climate_distance,
+    similarity_pct; gaps (feature, label, unit, the values, percentiles and z of both places, z_gap;
+    the widest gap first), facts of the target, and the target's neighbours.
+    """
+    spark, dims = locations.sparkSession, len(FEATURE_NAMES)
+    goal = locations.filter(F.col("station_id") == target)
+    near = nearest_stations(guesses, locations).join(guesses.withColumnsRenamed({"lat": "g_lat", "lon": "g_lon"}), "guess_id")
+    each = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(FEATURES[n][0]).alias("label"), F.lit(FEATURES[n][1]).alias("unit"), F.col(n).alias("value"), F.col(f"pct_{n}").alias("percentile"), F.col("z")[i].alias("z")) for i, n in enumerate(FEATURE_NAMES)])
+    mine = locations.select("station_id", "z", F.col("cluster").alias("n_cluster"), each.alias("n_cells"))
+    his = goal.select(F.col("station_id").alias("t"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), F.col("z").alias("tz"), F.col("cluster"), each.alias("t_cells"), facts().alias("facts"))
+    met = near.join(mine, "station_id").crossJoin(F.broadcast(his))  # the target is one row
+    met = met.withColumn("d", F.sqrt(squared(F.col("z"), F.col("tz"), dims)))
+    # As few distances as there are guesses: each pair of places counts against them.
+    limits = np.array(sorted({r["d"] for r in met.select("d").distinct().collect()}), float)
+    below, total = counts_below(locations, "station_id", "z", dims, limits) if len(limits) else (limits, 1)
+    share = spark.createDataFrame([(float(d), 100 * (1 - int(b) / total)) for d, b in zip(limits, below, strict=True)], "d double, similarity_pct double")
+    gap = F.zip_with("n_cells", "t_cells", lambda n, t: F.struct((-F.abs(n["z"] - t["z"])).alias("order"), t["feature"].alias("feature"), t["label"].alias("label"), t["unit"].alias("unit"), n["value"].alias("guess_value"), t["value"].alias("target_value"), n["percentile"].alias("guess_percentile"), t["percentile"].alias("target_percentile"), F.abs(n["z"] - t["z"]).alias("z_gap")))
+    miles = F.round(haversine_mi("g_lat", "g_lon", "t_lat", "t_lon"), 6)
+    around = with_neighbors(edges.filter(F.col("station_id") == target), locations)
+    around = around.agg(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id", "name", "state", "climate_distance", "similarity_pct", "geo_distance_mi"))).alias("neighbors"))  # at most as many as neighbours are kept
+    met = met.join(F.broadcast(share), "d", "left").crossJoin(F.broadcast(around))  # one row
+    return met.select(
+        "guess_id", F.col("t").alias("target"), miles.alias("distance_mi"), distance_score(miles).alias("score"), F.col("station_id").alias("nearest"), (F.col("n_cluster") == F.col("cluster")).alias("same_cluster"), "cluster",
+        F.col("d").alias("climate_distance"), F.coalesce("similarity_pct", F.lit(100.0)).alias("similarity_pct"), F.transform(F.array_sort(gap), lambda x: x.dropFields("order")).alias("gaps"), "facts", "neighbors",
+    )
+
+
+def location_answer(locations: DataFrame, edges: DataFrame, station_id: str) -> DataFrame:
+    """One place with nested features, percentiles, z, coverage, its cluster and its neighbours; no
+    row if it is unknown. ``locations`` as in ``guess_answer``, with the coverage columns."""
+    one = locations.filter(F.col("station_id") == station_id)
+    around = with_neighbors(edges.filter(F.col("station_id") == station_id), locations)
+    around = around.groupBy("station_id").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id", "name", "state", "lat", "lon", "cluster", "climate_distance", "similarity_pct", "geo_distance_mi"))).alias("neighbors"))
+    nested = {"features": F.struct(*FEATURE_NAMES), "percentiles": F.struct(*[F.col(f"pct_{n}").alias(n) for n in FEATURE_NAMES]), "z": F.struct(*[F.col("z")[i].alias(n) for i, n in enumerate(FEATURE_NAMES)]), "coverage": F.struct(*COVERAGE)}
+    return one.join(around, "station_id", "left").select("station_id", "name", "state", "lat", "lon", "elev_m", "cluster", *[v.alias(k) for k, v in nested.items()], "neighbors")
+
+
+COVERAGE = ["n_hourly_reports", "n_days_with_data", "n_valid_days", "valid_day_fraction", "first_day", "last_day", "n_years", "n_temp_days", "n_dewpoint_days", "n_wind_days", "n_visibility_days", "n_days_with_precip_report", "n_precip_24h_days"]
+
+
 def location_rows(kept: DataFrame) -> DataFrame:
     """Public columns of all places, with features and percentiles flattened for tables."""
     exact = kept.select("station_id", "name", "state", "lat", "lon", "elev_m", "n_hourly_reports", "n_valid_days", F.col("first_day").cast("string").alias("first_day"), *[(F.round(F.col(n) + 1.7e-8, 5) + 0.0).alias(n) for n in FEATURE_NAMES])
     return exact.join(percentile_ranks(exact), "station_id")
 
 
-def location(kept: DataFrame, station_id: str) -> DataFrame:
-    """One place with nested features, percentiles and coverage; no row if it is unknown."""
-    pct = percentile_ranks(kept)
-    met = kept.join(pct, "station_id").filter(F.col("station_id") == station_id)
-    cover = ["n_hourly_reports", "n_days_with_data", "n_valid_days", "valid_day_fraction", "first_day", "last_day", "n_years", "n_temp_days", "n_dewpoint_days", "n_wind_days", "n_visibility_days", "n_days_with_precip_report", "n_precip_24h_days"]
-    nested = {"features": F.struct(*FEATURE_NAMES), "percentiles": F.struct(*[F.col(f"pct_{n}").alias(n) for n in FEATURE_NAMES]), "coverage": F.struct(*cover)}
-    return met.select("station_id", "name", "state", "lat", "lon", "elev_m", *[v.alias(k) for k, v in nested.items()])
-
-
 def with_neighbors(edges: DataFrame, places: DataFrame) -> DataFrame:
     """Edges with what is known of the neighbour; an edge without a match stays."""
-    return edges.join(places.select(F.col("station_id").alias("neighbor_id"), "name", "state", "lat", "lon"), "neighbor_id", "left")
+    known = [c for c in ("name", "state", "lat", "lon", "cluster") if c in places.columns]
+    return edges.join(places.select(F.col("station_id").alias("neighbor_id"), *known), "neighbor_id", "left")
 
 
 def feature_gaps(points: DataFrame, a: str, b: str) -> DataFrame:
@@ -118,11 +160,13 @@ def feature_gaps(points: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def cluster_summary(grouped: DataFrame) -> DataFrame:
-    """Per cluster: size, centre on the map, feature means, and mean squared distance to the centroid in z."""
+    """Per cluster: size, centre on the map, feature means, and mean squared distance to the centroid
+    in z; mean z (z_*) too, and the mean silhouette where ``grouped`` has a column of it."""
     dims = len(FEATURE_NAMES)
     sums = grouped.groupBy("cluster").agg(
         F.count("*").alias("size"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), *[F.avg(n).alias(n) for n in FEATURE_NAMES],
         reduce(lambda a, b: a + b, [F.var_pop(F.col("z")[i]) for i in range(dims)]).alias("within_variance"),
+        *[F.avg(F.col("z")[i]).alias(f"z_{n}") for i, n in enumerate(FEATURE_NAMES)], *([F.avg("silhouette").alias("silhouette")] if "silhouette" in grouped.columns else []),
     )
     return sums
 

@@ -120,6 +120,12 @@ def cap(f: str) -> str:
 
 
 GROUPED = Z + ", grouped AS (SELECT k.*, z.* EXCLUDE (station_id), (substr(k.station_id, 8, 5)::INT % 4) AS cluster FROM kept k JOIN z USING (station_id))"
+GSIL = f"""gm AS (SELECT a.station_id AS a, a.cluster AS la, b.cluster AS lb, avg({dist()}) AS mean FROM grouped a JOIN grouped b ON a.station_id <> b.station_id GROUP BY 1, 2, 3),
+gw AS (SELECT g.station_id, max(mean) FILTER (WHERE lb = g.cluster) AS w, min(mean) FILTER (WHERE lb <> g.cluster) AS b FROM grouped g LEFT JOIN gm ON g.station_id = gm.a GROUP BY 1),
+gsil AS (SELECT station_id, CASE WHEN w IS NULL OR b IS NULL THEN 0 ELSE coalesce((b - w) / nullif(greatest(b, w), 0), 0) END AS silhouette FROM gw)"""
+REPORT = EDGES + f""", exact AS (SELECT station_id, {rn(N)} FROM kept), prof AS (SELECT station_id, {', '.join(pct('exact', n) for n in N)} FROM exact), t AS (SELECT min(station_id) AS t FROM kept),
+locs AS (SELECT k.*, p.* EXCLUDE (station_id), z.* EXCLUDE (station_id), (substr(k.station_id, 8, 5)::INT % 4) AS cluster FROM kept k JOIN prof p USING (station_id) JOIN z USING (station_id))"""
+GAPS = REPORT + f""", {GUESS}, {best('kept')}, gap AS (""" + " UNION ALL ".join(f"SELECT guess_id, '{n}' AS feature, {quote(FEATURES[n][0])} AS label, {quote(FEATURES[n][1])} AS unit, a.{n} AS guess_value, b.{n} AS target_value, a.pct_{n} AS guess_percentile, b.pct_{n} AS target_percentile, abs(a.z{i} - b.z{i}) AS z_gap FROM best JOIN locs a USING (station_id) JOIN t ON true JOIN locs b ON b.station_id = t.t" for i, n in enumerate(N)) + ")"
 VEC = "vec AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 VPAIRS = VEC + ", x AS (SELECT vec_id, unnest(v) AS c, generate_subscripts(v, 1) AS j FROM vec), vp AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS d FROM vec a, vec b WHERE a.vec_id <> b.vec_id)"
 SIL = VPAIRS + """, m AS (SELECT a, vec.label AS lb, avg(d) AS mean FROM vp JOIN vec ON b = vec_id GROUP BY 1, 2),
@@ -187,7 +193,7 @@ def oracle_sql() -> dict[str, str]:
         "distance_score": f"WITH {STATIONS}, {GUESS}, {best('stations')} SELECT guess_id, {score('round(d, 6)')} AS score FROM best",
         "climate_clue": f"WITH {PROFILES} SELECT station_id, 'This place has ' || {band('summer_mean_temp_f')} || ' and ' || {band('winter_mean_temp_f')} || '; ' || {band('summer_dewpoint_f')} || '. ' || {cap('annual_precip_in')} || ', and ' || {band('summer_precip_fraction')} || '. ' || {cap('frozen_precip_days_per_year')} || '. ' || {cap('mean_wind_mph')} || ', with ' || {band('diurnal_temp_range_f')} || '.' AS clue FROM prof",
         "clue_facts": f"WITH {PROFILES} " + " UNION ALL ".join(f"SELECT station_id, '{f}' AS feature, {quote(FEATURES[f][0])} AS label, {f} AS value, {quote(FEATURES[f][1])} AS unit, {r(f'round(pct_{f}, 1)')} AS percentile, {band(f)} AS phrase FROM prof" for f in PHRASES),
-        "clue_verify": r"""WITH d AS (SELECT doc_id, lower(lang) AS a, lower(source) AS b, (n_chars % 1000) / 10.0::DOUBLE AS x, substr(text, 1, 300) AS s FROM documents),
+        "clue_verify": r"""WITH d AS (SELECT doc_id, lower(lang) AS a, lower(source) AS b, (n_chars % 1000) / 10.0::DOUBLE AS x, text AS s FROM documents),
           p AS (SELECT doc_id, (length(a) >= 3 AND contains(lower(s), a))::INT + (length(b) >= 3 AND contains(lower(s), b))::INT AS named,
           len(list_filter(regexp_extract_all(s, '-?\d+(?:\.\d+)?'), lambda n: NOT (n::DOUBLE IN (round_even(x, 0), round_even(x, 1)) OR round_even(n::DOUBLE, 0) IN (round_even(x, 0), round_even(x, 1))))) AS wrong FROM d)
           SELECT doc_id, named + wrong = 0 AS ok, (named + wrong)::INT AS n_problems FROM p""",
@@ -199,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "pair_similarity": f"WITH {RANKED}, two AS (SELECT station_id, row_number() OVER (ORDER BY station_id) AS i FROM kept) SELECT p.a, p.b, {r('p.d')} AS climate_distance, {r('p.s')} AS similarity_pct, {r(HAV('x.lat', 'x.lon', 'y.lat', 'y.lon'))} AS geo_distance_mi FROM ranked p JOIN two u ON p.a = u.station_id AND u.i = 1 JOIN two v ON p.b = v.station_id AND v.i = 2 JOIN kept x ON p.a = x.station_id JOIN kept y ON p.b = y.station_id",
         "guess_report": f"WITH {Z}, {GUESS}, {best('kept')}, t AS (SELECT * FROM kept ORDER BY station_id LIMIT 1), m AS (SELECT b0.guess_id, t.station_id AS target, round({HAV('b0.g_lat', 'b0.g_lon', 't.lat', 't.lon')}, 6) AS mi, b0.station_id AS nearest, {dist(DIMS, 'a', 'b')} AS cd FROM best b0 CROSS JOIN t JOIN z a ON a.station_id = b0.station_id JOIN z b ON b.station_id = t.station_id) SELECT guess_id, target, {r('mi')} AS distance_mi, {score('mi')} AS score, nearest, {r('cd')} AS climate_distance FROM m",
         "location_profile": f"WITH {PROFILES} {profile}",
-        "cluster_summary": f"WITH {GROUPED} SELECT cluster, count(*)::BIGINT AS size, {r('avg(lat)')} AS lat, {r('avg(lon)')} AS lon, {', '.join(f'{r(f"avg({n})")} AS {n}' for n in N)}, {r(' + '.join(f'var_pop(z{i})' for i in DIMS))} AS within_variance FROM grouped GROUP BY 1",
+        "cluster_summary": f"WITH {GROUPED}, {GSIL} SELECT cluster, count(*)::BIGINT AS size, {r('avg(lat)')} AS lat, {r('avg(lon)')} AS lon, {', '.join(f'{r(f"avg({n})")} AS {n}' for n in N)}, {r(' + '.join(f'var_pop(z{i})' for i in DIMS))} AS within_variance, {', '.join(f'{r(f"avg(z{i})")} AS z_{n}' for i, n in enumerate(N))}, {r('avg(silhouette)')} AS silhouette FROM grouped JOIN gsil USING (station_id) GROUP BY 1",
         "cluster_states_top6": f"WITH {GROUPED}, t AS (SELECT cluster, state, count(*)::BIGINT AS n FROM grouped GROUP BY 1, 2) SELECT cluster, state, n, (row_number() OVER (PARTITION BY cluster ORDER BY n DESC, state))::INT AS rank FROM t QUALIFY rank <= 6",
         "cluster_traits_top4": f"WITH {GROUPED}, t AS ({traits}) SELECT cluster, (row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, feature))::INT AS rank, feature, (CASE WHEN z > 0 THEN 'high ' ELSE 'low ' END) || label || ' (' || printf('%+.1f', z) || ' sd)' AS trait FROM t QUALIFY rank <= 4",
         "calinski_harabasz": f"WITH {CENT}, g AS (SELECT j, avg(c) AS m FROM x GROUP BY 1), s AS (SELECT label, count(*) AS n FROM vec GROUP BY 1), w AS (SELECT sum((x.c - c.m) * (x.c - c.m)) AS w FROM x JOIN cent c USING (label, j)), b AS (SELECT sum(s.n * (c.m - g.m) * (c.m - g.m)) AS b FROM cent c JOIN g USING (j) JOIN s USING (label)), k AS (SELECT count(*) AS k, sum(n) AS n FROM s) SELECT k::BIGINT AS k, {r('w')} AS inertia, {r('(b / (k - 1)) / (w / (n - k))')} AS calinski_harabasz FROM w, b, k",
@@ -212,6 +218,23 @@ def oracle_sql() -> dict[str, str]:
         "latency_summary": "WITH t AS (SELECT '/api/' || event_type || '/{id}' AS endpoint, value AS ms FROM events), s AS (SELECT endpoint, ms, row_number() OVER (PARTITION BY endpoint ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY endpoint) AS n FROM t) SELECT endpoint, n::BIGINT AS n, round(max(ms) FILTER (WHERE i = n // 2), 2) AS p50, round(max(ms) FILTER (WHERE i = least(n - 1, n * 95 // 100)), 2) AS p95, round(max(ms), 2) AS max FROM s GROUP BY endpoint, n",
         "ingest_summary": "WITH t AS (SELECT o_orderkey::VARCHAR AS f, CASE WHEN o_orderkey % 97 = 0 THEN 'missing' WHEN o_orderstatus = 'O' THEN 'cached' ELSE 'downloaded' END AS status, floor(o_totalprice)::BIGINT AS b FROM orders) SELECT status, count(*)::BIGINT AS n_files, sum(b)::BIGINT AS bytes, (count(*) FILTER (WHERE status = 'missing'))::INT AS n_missing, coalesce(string_agg(f, ',' ORDER BY f) FILTER (WHERE status = 'missing'), '') AS missing FROM t GROUP BY 1",
         "clipped_scale": f"WITH {FEATS}, x AS (SELECT station_id, {r('annual_mean_temp_f')} AS x FROM kept), s AS (SELECT list_sort(list(x)) AS s FROM x), q AS (SELECT s[1 + floor(0.02::DOUBLE * (len(s) - 1))::INT] AS lo, s[1 + floor(0.98::DOUBLE * (len(s) - 1))::INT] AS hi FROM s) SELECT station_id, {r('greatest(0, least(1, (x - lo) / (CASE WHEN hi = lo THEN 1 ELSE hi - lo END)))')} AS shade FROM x, q",
+        "guess_answer": f"WITH {GAPS}, m AS (SELECT guess_id, b.station_id AS target, round({HAV('best.g_lat', 'best.g_lon', 'b.lat', 'b.lon')}, 6) AS mi, a.station_id AS nearest, a.cluster = b.cluster AS same_cluster, b.cluster AS cluster, {dist()} AS cd FROM best JOIN locs a USING (station_id) JOIN t ON true JOIN locs b ON b.station_id = t.t) SELECT guess_id, target, {r('mi')} AS distance_mi, {score('mi')} AS score, nearest, same_cluster, cluster, {r('cd')} AS climate_distance, {r('coalesce(s, 100)')} AS similarity_pct, {r('(SELECT max(z_gap) FROM gap WHERE gap.guess_id = m.guess_id)')} AS widest_gap, {len(PHRASES)}::INT AS n_facts, (SELECT count(*) FROM edges WHERE station_id = m.target)::INT AS n_neighbors FROM m LEFT JOIN ranked ON ranked.a = least(target, nearest) AND ranked.b = greatest(target, nearest)",
+        "guess_gaps": f"WITH {GAPS} SELECT guess_id, feature, label, unit, {rn(['guess_value', 'target_value', 'guess_percentile', 'target_percentile', 'z_gap'])} FROM gap",
+        "feature_gaps": f"WITH {Z}, two AS (SELECT *, row_number() OVER (ORDER BY station_id) AS i FROM z) " + " UNION ALL ".join(f"SELECT '{n}' AS feature, {r(f'abs(a.z{i} - b.z{i})')} AS z_gap FROM two a JOIN two b ON a.i = 1 AND b.i = 2" for i, n in enumerate(N)),
+        "location_answer": f"WITH {REPORT} SELECT station_id, name, state, {rn(['lat', 'lon', 'elev_m'])}, cluster, {rn(N)}, {rn(['pct_' + n for n in N])}, {', '.join(f'{r(f"z{i}")} AS z_{n}' for i, n in enumerate(N))}, n_valid_days, n_years, first_day::VARCHAR AS first_day, (SELECT count(*) FROM edges e WHERE e.station_id = locs.station_id)::INT AS n_neighbors FROM locs JOIN t ON station_id = t.t",
+        "location_neighbors": f"WITH {REPORT} SELECT e.station_id, rank, neighbor_id, k.name, k.state, {rn(['lat', 'lon'], prefix='k.')}, k.cluster, {rn(['climate_distance', 'similarity_pct', 'geo_distance_mi'])} FROM edges e JOIN t ON e.station_id = t.t JOIN locs k ON k.station_id = e.neighbor_id",
+        "describe_features": f"WITH {FEATS}, exact AS (SELECT {rn(N)} FROM kept) " + " UNION ALL ".join(f"SELECT '{n}' AS feature, count({n})::BIGINT AS count, (count(*) - count({n}))::BIGINT AS nulls, {r(f'avg({n})')} AS mean, {r(f'stddev_samp({n})')} AS std, {r(f'min({n})')} AS min, " + ", ".join(f"{r(f'list_sort(list({n}))[1 + round_even({p}::DOUBLE * (count({n}) - 1), 0)::INT]')} AS p{int(100 * p)}" for p in (0.25, 0.5, 0.75)) + f", {r(f'max({n})')} AS max FROM exact" for n in N),
+        "counter_totals": f"WITH {OBS} " + " UNION ALL ".join(f"SELECT '{k}' AS kind, (" + " + ".join(f"count(*) FILTER (WHERE {KEPT_TYPE} AND {cond(n)})" for n in QC_OF) + ")::BIGINT AS total FROM obs" for k, cond in (("raw", lambda n: f"{n} IS NOT NULL"), ("qc", lambda n: FLAG[n]), ("range", lambda n: f"{WIDE[n]} AND NOT {FLAG[n]}"), ("clean", lambda n: f"{n} IS NOT NULL AND NOT {FLAG[n]} AND NOT {WIDE[n]}"))),
+        "percent_left": f"WITH {OBS} " + " UNION ALL ".join(f"SELECT '{n}' AS variable, round(100.0::DOUBLE * (count(*) FILTER (WHERE {KEPT_TYPE} AND {n} IS NOT NULL AND NOT {FLAG[n]} AND NOT {WIDE[n]})) / (count(*) FILTER (WHERE {KEPT_TYPE})), 1) AS pct FROM obs" for n in QC_OF),
+        "vectors_float32": f"WITH {Z} SELECT station_id, {', '.join(f'{r(f"z{i}::FLOAT::DOUBLE", 4)} AS {n}' for i, n in enumerate(N))} FROM z",
+        "history_csv": f"WITH {STATIONS} SELECT station_id, substr(station_id, 1, 6) AS usaf, substr(station_id, 8, 5) AS wban, name, country, state, icao, {rn(['lat', 'lon'])}, CASE WHEN k % 3 <> 0 THEN {r('elev_m')} END AS elev_m, begin_year, end_year FROM stations",
+        "gzip_lines": f"WITH {LINES} SELECT year(ts)::INT AS source_year, {ID('u', 'u % 25')} AS station_id, count(*)::BIGINT AS n, count(*) FILTER (WHERE k <> 99)::BIGINT AS n_temp, {r('sum((i * 37 % 360)::DOUBLE)')} AS wind_dir, min(date_trunc('minute', ts))::VARCHAR AS first_time FROM e WHERE i % 10 <> 0 GROUP BY 1, 2",
+        "multi_line_json": "SELECT n_nationkey::INT AS n_nationkey, n_name FROM nation",
+        "build_tables": f"WITH {DAILY}, {Z}, c AS (SELECT count(*) AS n FROM kept) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS part, ({q})::BIGINT AS n" for p, q in {
+            "hourly": "SELECT count(*) FROM hourly", "daily": "SELECT count(*) FROM daily", "features": "SELECT count(DISTINCT station_id) FROM daily", "locations": "SELECT n FROM c", "neighbors": "SELECT n * least(10, n - 1) FROM c", "vectors": "SELECT n FROM c",
+            "sweep": "SELECT 12", "diagnostics": "SELECT 29", "quantiles": "SELECT 7", "correlation": "SELECT 105", "f_ratios": "SELECT 14", "ablation": "SELECT 14", "loadings": "SELECT 70", "clustered": "SELECT n FROM c",
+            "stats_n_raw": "SELECT count(*) FROM obs", "stats_variables": f"SELECT {len(QC_OF)}", "told_sweep": "SELECT 12", "told_k_is_clusters": "SELECT 1",
+        }.items()) + ")",
         "station_search": f"WITH {STATIONS} SELECT station_id, name, state FROM stations WHERE contains(lower(name || ' ' || state || ' ' || station_id), 'on_1') ORDER BY station_id LIMIT 12",
         "health": f"WITH {GROUPED} SELECT count(*)::BIGINT AS locations, count(DISTINCT cluster)::BIGINT AS clusters FROM grouped",
     }

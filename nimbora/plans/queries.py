@@ -17,7 +17,9 @@ from nimbora.operators import features as E
 from nimbora.operators import pairs as P
 from nimbora.plans import analogs as A
 from nimbora.plans import api
+from nimbora.plans import build as B
 from nimbora.sources import records as R
+from nimbora.sources.scratch import Scratch
 
 DIMS = len(FEATURE_NAMES)
 GUESSES = [(float(lat), float(lon)) for lat in range(25, 50, 4) for lon in range(-124, -66, 8)]
@@ -136,11 +138,11 @@ def _pairs(spark, sf):
 
 
 def pairwise_quantiles(spark, sf):
-    return rounded(P.quantiles(_pairs(spark, sf), [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9]))
+    return rounded(P.quantiles(A.points(spark, sf), "station_id", "z", DIMS, [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9]))
 
 
 def knn10(spark, sf):
-    edges = G.knn(A.vectors(spark, sf), "vec_id", "v", 64, 10)
+    edges = P.knn(A.vectors(spark, sf), "vec_id", "v", 64, 10)
     return rounded(edges.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbor_id"), "rank", F.col("d").alias("distance")))
 
 
@@ -148,12 +150,8 @@ def similarity_pct(spark, sf):
     return rounded(P.similarity(_pairs(spark, sf)))
 
 
-def _edges(spark, sf):
-    return api.neighbor_edges(A.points(spark, sf), A.kept(spark, sf), A.SPARSE)
-
-
 def neighbor_edges(spark, sf):
-    return rounded(_edges(spark, sf))
+    return rounded(A.edges(spark, sf))
 
 
 def haversine_pairs(spark, sf):
@@ -218,7 +216,7 @@ def outliers(spark, sf):
 
 def climate_twins(spark, sf):
     places = A.kept(spark, sf).select("station_id", "name", "state")
-    return rounded(api.twins(_edges(spark, sf), places, 500.0, 20).select("a", "b", "a_name", "b_name", "climate_distance", "geo_distance_mi"))
+    return rounded(api.twins(A.edges(spark, sf), places, 500.0, 20).select("a", "b", "a_name", "b_name", "climate_distance", "geo_distance_mi"))
 
 
 def pair_similarity(spark, sf):
@@ -236,21 +234,18 @@ def location_profile(spark, sf):
     return rounded(api.location_rows(A.kept(spark, sf)))
 
 
-def _grouped(spark, sf):
-    """Kept stations with a fixed grouping: their nation's number modulo 4."""
-    return A.kept(spark, sf).withColumn("cluster", (F.substring("station_id", 8, 5).cast("int") % 4)).join(A.points(spark, sf), "station_id")
-
-
 def cluster_summary(spark, sf):
-    return rounded(api.cluster_summary(_grouped(spark, sf)))
+    g = A.grouped(spark, sf)
+    s = G.silhouette_samples(g, "station_id", "z", "cluster", DIMS).select("station_id", "silhouette")
+    return rounded(api.cluster_summary(g.join(s, "station_id")))
 
 
 def cluster_states_top6(spark, sf):
-    return api.cluster_states(_grouped(spark, sf))
+    return api.cluster_states(A.grouped(spark, sf))
 
 
 def cluster_traits_top4(spark, sf):
-    return api.cluster_traits(_grouped(spark, sf))
+    return api.cluster_traits(A.grouped(spark, sf))
 
 
 def calinski_harabasz(spark, sf):
@@ -263,7 +258,7 @@ def adjusted_rand(spark, sf):
 
 
 def f_ratio(spark, sf):
-    return rounded(G.f_ratio(_grouped(spark, sf), FEATURE_NAMES, "cluster"))
+    return rounded(G.f_ratio(A.grouped(spark, sf), FEATURE_NAMES, "cluster"))
 
 
 def correlation_matrix(spark, sf):
@@ -298,7 +293,7 @@ def ingest_summary(spark, sf):
 
 def clipped_scale(spark, sf):
     k = A.kept(spark, sf).select("station_id", (F.round(F.col("annual_mean_temp_f") + 1.7e-8, 5) + 0.0).alias("x"))
-    q = k.agg(G.lower_quantiles(k, "x", [0.02, 0.98]).alias("q"))
+    q = G.lower_quantiles(k, "x", [0.02, 0.98])
     met = k.crossJoin(F.broadcast(q))  # the right side is one row
     return rounded(met.select("station_id", color_scale(F.col("x"), F.col("q")[0], F.col("q")[1]).alias("shade")))
 
@@ -308,7 +303,7 @@ def station_search(spark, sf):
 
 
 def health(spark, sf):
-    g = _grouped(spark, sf)
+    g = A.grouped(spark, sf)
     return g.agg(F.count("*").alias("locations"), F.count_distinct("cluster").alias("clusters"))
 
 
@@ -338,6 +333,111 @@ def feature_ablation(spark, sf):
     return spark.createDataFrame(K.feature_ablation(A.vectors(spark, sf), "vec_id", "v", names, 4), "feature string, silhouette double, ari double")
 
 
+def _first(spark, sf) -> str:
+    """The station that reports are about: the first by id; none where none is kept."""
+    row = A.kept(spark, sf).agg(F.min("station_id")).first()
+    return row[0] or ""
+
+
+def guess_answer(spark, sf):
+    """The whole report of each guess, with the widest gap; its lists are told by the next two."""
+    found = api.guess_answer(A.grouped(spark, sf), A.edges(spark, sf), _guesses(spark), _first(spark, sf))
+    top = F.round(F.get("gaps", 0)["z_gap"] + 1.7e-8, 5) + 0.0
+    return rounded(found.select("guess_id", "target", "distance_mi", "score", "nearest", "same_cluster", "cluster", "climate_distance", "similarity_pct", top.alias("widest_gap"), F.size("facts").alias("n_facts"), F.size("neighbors").alias("n_neighbors")))
+
+
+def guess_gaps(spark, sf):
+    found = api.guess_answer(A.grouped(spark, sf), A.edges(spark, sf), _guesses(spark), _first(spark, sf))
+    return rounded(found.select("guess_id", F.explode("gaps").alias("g")).select("guess_id", "g.*"))
+
+
+def feature_gaps(spark, sf):
+    ids = [r[0] for r in A.kept(spark, sf).select("station_id").orderBy("station_id").limit(2).collect()] + ["", ""]
+    return rounded(api.feature_gaps(A.points(spark, sf), ids[0], ids[1]))
+
+
+def location_answer(spark, sf):
+    one = api.location_answer(A.grouped(spark, sf), A.edges(spark, sf), _first(spark, sf))
+    flat = [F.col("features")[n].alias(n) for n in FEATURE_NAMES] + [F.col("percentiles")[n].alias(f"pct_{n}") for n in FEATURE_NAMES] + [F.col("z")[n].alias(f"z_{n}") for n in FEATURE_NAMES]
+    return rounded(one.select("station_id", "name", "state", "lat", "lon", "elev_m", "cluster", *flat, "coverage.n_valid_days", "coverage.n_years", "coverage.first_day", F.size("neighbors").alias("n_neighbors")))
+
+
+def location_neighbors(spark, sf):
+    one = api.location_answer(A.grouped(spark, sf), A.edges(spark, sf), _first(spark, sf))
+    return rounded(one.select("station_id", F.explode("neighbors").alias("n")).select("station_id", "n.*"))
+
+
+def describe_features(spark, sf):
+    k = A.kept(spark, sf).select(*[(F.round(F.col(n) + 1.7e-8, 5) + 0.0).alias(n) for n in FEATURE_NAMES])
+    return rounded(E.describe(k))
+
+
+def counter_totals(spark, sf):
+    return C.grand_totals(C.accounting(A.observations(spark, sf), A.EVENTS))
+
+
+def percent_left(spark, sf):
+    return C.percent_left(C.accounting(A.observations(spark, sf), A.EVENTS))
+
+
+def vectors_float32(spark, sf):
+    """Written in single precision and read back."""
+    path = f"{Scratch(spark, 'vectors').dir}/z"
+    R.write_table(E.vectors32(A.points(spark, sf)), path, 1)
+    back = spark.read.parquet(path)
+    return rounded(back.select("station_id", *[F.col("z")[i].cast("double").alias(n) for i, n in enumerate(FEATURE_NAMES)]), 4)
+
+
+def history_csv(spark, sf):
+    """The station list as the CSV file it comes in, read back."""
+    path = f"{Scratch(spark, 'history').dir}/csv"
+    s = A.stations(spark, sf)
+    day = lambda c: F.concat(F.col(c).cast("string"), F.lit("0101"))
+    raw = s.select(F.substring("station_id", 1, 6), F.substring("station_id", 8, 5), "name", "country", "state", "icao", F.col("lat").cast("string"), F.col("lon").cast("string"), F.when(F.col("k") % 3 == 0, "+bad").otherwise(F.col("elev_m").cast("string")), day("begin_year"), day("end_year"))
+    raw.toDF(*R.HISTORY).write.option("header", True).csv(path)
+    return rounded(R.read_history(spark, path).select("station_id", "usaf", "wban", "name", "country", "state", "icao", "lat", "lon", "elev_m", "begin_year", "end_year"))
+
+
+def gzip_lines(spark, sf):
+    """Records as gzipped Latin-1 text in folders by year, some lines too short, read back and parsed."""
+    path = f"{Scratch(spark, 'lines').dir}/raw"
+    lines = A.lines(spark, sf).join(A.table(spark, sf, "events").select("event_id", F.year("ts").alias("y")), "event_id")
+    short = F.when(F.col("event_id") % 10 == 0, F.substring("value", 1, 104)).otherwise(F.col("value"))
+    for y in [r[0] for r in lines.select("y").distinct().orderBy("y").collect()]:  # as many as there are years
+        lines.filter(F.col("y") == y).select(short.alias("value")).write.option("compression", "gzip").text(f"{path}/{y}")
+    parsed = R.parse_records(R.read_lines(spark, path))
+    return rounded(parsed.groupBy("source_year", "station_id").agg(F.count("*").alias("n"), F.count("temp_c").alias("n_temp"), F.sum("wind_dir").alias("wind_dir"), F.min("obs_time").alias("first_time")))
+
+
+def multi_line_json(spark, sf):
+    """A document over many lines, read by its schema, beside one that isn't there."""
+    path = Scratch(spark, "document").dir
+    d = A.table(spark, sf, "nation").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
+    text = F.regexp_replace(F.to_json(F.struct("*")), ",", ",\n  ")
+    d.select(text.alias("value")).coalesce(1).write.text(f"{path}/doc")
+    schema = "nations array<struct<n_nationkey: int, n_name: string>>"
+    both = R.read_document(spark, f"{path}/doc", schema, lines=False).union(R.read_document(spark, f"{path}/none", schema))
+    return both.select(F.explode("nations").alias("n")).select("n.*")
+
+
+SMALL = B.Model(ks=(3, 4, 5, 6), restarts=3, final_restarts=5, mixtures=1, repeats=3)
+
+
+def build_tables(spark, sf):
+    """The build end to end: (part, n) of what it writes. The model's part starts from the features of
+    the station-days, as the events make too few days of one station; its sizes are SMALL."""
+    root = Scratch(spark, "build").dir
+    B.build_features(A.observations(spark, sf), A.stations(spark, sf), f"{root}/events", A.EVENTS)
+    R.write_table(E.with_stations(A.features(spark, sf), A.stations(spark, sf)), f"{root}/model/features")
+    B.build_model(f"{root}/model", spark, A.SPARSE, SMALL)
+    parts = {n: B.table(spark, f"{root}/events", n).count() for n in ("hourly", "daily", "features")}
+    parts |= {n: B.table(spark, f"{root}/model", n).count() for n in ("locations", "neighbors", "vectors", "sweep", "diagnostics", "quantiles", "correlation", "f_ratios", "ablation", "loadings")}
+    clusters = B.table(spark, f"{root}/model", "clusters").agg(F.sum("size"), F.count("*")).first()
+    stats, told = B.stats(spark, f"{root}/events").first(), B.diagnostics(spark, f"{root}/model").first()
+    parts |= {"clustered": clusters[0], "stats_n_raw": stats["n_raw"], "stats_variables": len(stats["clean_values"]), "told_sweep": len(told["sweep"]), "told_k_is_clusters": int(told["k"] == clusters[1])}
+    return spark.createDataFrame([(k, int(v)) for k, v in parts.items()], "part string, n long")
+
+
 def queries() -> dict:
     found = [
         station_select, fixed_width_parse, regex_sections, report_type_counts, qc_null_counts, range_null_counts, clean_value_counts, cleaning_accounting, hour_collapse, wind_vector_mean, precip_period_max,
@@ -345,5 +445,6 @@ def queries() -> dict:
         pairwise_quantiles, knn10, similarity_pct, neighbor_edges, haversine_pairs, nearest_station, distance_score_, climate_clue, clue_facts, clue_verify, extremes_high, extremes_low, outliers, climate_twins,
         pair_similarity, guess_report, location_profile, cluster_summary, cluster_states_top6, cluster_traits_top4, silhouette_samples, calinski_harabasz, adjusted_rand, f_ratio, correlation_matrix,
         geo_signal_5nn, geo_signal_ablation, centroid_separation, latency_summary, ingest_summary, clipped_scale, station_search, health, kmeans_sweep, ward_labels, gmm_bic, pca_scores, stability_ari, feature_ablation,
+        guess_answer, guess_gaps, feature_gaps, location_answer, location_neighbors, describe_features, counter_totals, percent_left, vectors_float32, history_csv, gzip_lines, multi_line_json, build_tables,
     ]
     return {f.__name__.rstrip("_"): f for f in found}

@@ -77,9 +77,11 @@ def write_document(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON document; an absent one is an empty frame."""
+def read_document(spark: SparkSession, path: str, schema: str | None = None, lines: bool = True) -> DataFrame:
+    """A JSON document, a line an object or (``lines`` false) one over many lines; an absent one is
+    an empty frame. Without a schema, the document's own is taken."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
+        return spark.createDataFrame([], schema or "value string")
+    read = spark.read.option("multiLine", not lines)
+    return (read.schema(schema) if schema else read).json(path)
