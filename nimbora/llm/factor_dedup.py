@@ -29,8 +29,8 @@ class Factors:
 
     width: int = 50
     anchor: int = 25
-    #: Shared anchors up to which they are broadcast (8 MB of hashes); more are joined.
-    broadcast_anchors: int = 1_000_000
+    #: Shared anchors, or documents with hits, up to which they are broadcast (up to 16 MB as measured); more are joined.
+    broadcast_anchors: int = 250_000
 
 
 def least_of(values: np.ndarray, span: int) -> np.ndarray:

@@ -1,78 +1,14 @@
-"""Tables in the folder that driver and executors share, used to cut lineage."""
+"""What the operators share: Arrow batches, columns by position, bounded samples."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``.
-
-    Only a single-process ``local`` session without that setting gets a
-    temporary folder; a cluster without it is refused, because a machine-local
-    folder is invisible to the other machines.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="nimbora-")
-    return _LOCAL_ROOTS[app]
-
-
-class Scratch:
-    """Named tables of one operator run.
-
-    A table survives the loss of executors, since it lies in shared storage. The
-    returned frames read it lazily, so the last tables stay until the caller
-    drops them or clears the shared folder.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.dir = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def save(self, name: str, frame: DataFrame) -> DataFrame:
-        path = f"{self.dir}/{name}"
-        frame.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-_shipped: set[str] = set()
-
+from nimbora.sources.scratch import Scratch, ship
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parent.parent
-    handle, path = tempfile.mkstemp(prefix="nimbora-", suffix=".zip")  # the driver serves it to the executors
-    os.close(handle)
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
+__all__ = ["Scratch", "arrow_batches", "free_name", "gather", "numbered", "take"]
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
