@@ -113,7 +113,8 @@ def guess_answer(locations: DataFrame, edges: DataFrame, guesses: DataFrame, tar
     met = met.withColumn("d", F.sqrt(squared(F.col("z"), F.col("tz"), dims)))
     # As few distances as there are guesses: each pair of places counts against them.
     limits = np.array(sorted({r["d"] for r in met.select("d").distinct().collect()}), float)
-    below, total = counts_below(locations, "station_id", "z", dims, limits) if len(limits) else (limits, 1)
+    # A pair isn't nearer than itself, though its distance was summed in another order there.
+    below, total = counts_below(locations, "station_id", "z", dims, limits * (1 - 1e-12)) if len(limits) else (limits, 1)
     share = spark.createDataFrame([(float(d), 100 * (1 - int(b) / total)) for d, b in zip(limits, below, strict=True)], "d double, similarity_pct double")
     gap = F.zip_with("n_cells", "t_cells", lambda n, t: F.struct((-F.abs(n["z"] - t["z"])).alias("order"), t["feature"].alias("feature"), t["label"].alias("label"), t["unit"].alias("unit"), n["value"].alias("guess_value"), t["value"].alias("target_value"), n["percentile"].alias("guess_percentile"), t["percentile"].alias("target_percentile"), F.abs(n["z"] - t["z"]).alias("z_gap")))
     miles = F.round(haversine_mi("g_lat", "g_lon", "t_lat", "t_lon"), 6)
