@@ -3,28 +3,24 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nimbora.operators.diagnostics import adjusted_rand, calinski_harabasz, silhouette_samples
+from nimbora.operators.fits import Fit, by_centers, by_mixture, hashed, kmeans_fits, labelled, limits, mixture_fits, reduced, spread, view
+from nimbora.operators.pairs import silhouette_means
 
 
 def _vectors(points: DataFrame, vector: str) -> DataFrame:
     return points.withColumn("features", array_to_vector(F.col(vector)))
 
 
-def kmeans(points: DataFrame, vector: str, k: int, restarts: int = 10, seed: int = 42) -> DataFrame:
-    """``points`` with ``label``: the restart of least cost."""
-    data = _vectors(points, vector).persist()
-    fits = [KMeans(k=k, seed=seed + i, maxIter=100, tol=1e-6).fit(data) for i in range(restarts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    data.unpersist()
-    return best.transform(data).withColumnRenamed("prediction", "label").drop("features")
+def kmeans(points: DataFrame, vector: str, k: int, restarts: int = 10, seed: int = 42, id_: str = "") -> DataFrame:
+    """``points`` with ``label``: the restart of least cost. All restarts share their passes over the points."""
+    fits = [Fit(k, seed + i) for i in range(restarts)]
+    centers, _ = min(kmeans_fits(points, id_ or points.columns[0], vector, fits), key=lambda f: f[1])
+    return labelled(points, vector, [by_centers(centers)]).withColumn("label", F.col("labels")[0]).drop("labels")
 
 
 def relabel(labelled: DataFrame, by: str) -> DataFrame:
@@ -33,79 +29,24 @@ def relabel(labelled: DataFrame, by: str) -> DataFrame:
     return labelled.join(F.broadcast(order), F.col("label") == F.col("old")).withColumn("label", F.col("new")).drop("old", "new")  # as many rows as groups
 
 
-def _mixture_sums(points: DataFrame, vector: str, center: np.ndarray, score) -> np.ndarray:
-    """Per group the weight, weighted sum and weighted products of the centered vectors, and the
-    log-likelihood, summed over all rows; ``score`` gives (weights of groups, log-likelihood) of a batch."""
-
-    def rows(batches):
-        total = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - center
-            r, fit = score(x)
-            one = np.concatenate([r.sum(0), (r.T @ x).ravel(), *[((x * w[:, None]).T @ x).ravel() for w in r.T], [fit]])
-            total = one if total is None else total + one
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
-
-    return points.select(vector).mapInArrow(rows, "sums binary").rdd.map(lambda r: np.frombuffer(bytes(r[0]))).treeReduce(lambda a, b: a + b)
-
-
-def _mixture_score(weights: np.ndarray, means: np.ndarray, covariances: np.ndarray):
-    """A batch's (responsibilities, log-likelihood), by logarithms, so that many dimensions don't underflow."""
-    roots = np.stack([np.linalg.inv(np.linalg.cholesky(c)).T for c in covariances])
-    ground = np.log(weights) + np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(1) - means.shape[1] / 2 * np.log(2 * np.pi)
-
-    def score(x):
-        logs = np.stack([g - (((x - m) @ root) ** 2).sum(1) / 2 for g, m, root in zip(ground, means, roots, strict=True)], 1)
-        top = logs.max(1, keepdims=True)
-        likely = np.exp(logs - top)
-        each = likely.sum(1, keepdims=True)
-        return likely / each, float((top + np.log(each)).sum())
-
-    return score
-
-
-def gaussian_mixture(points: DataFrame, vector: str, k: int, dims: int, restarts: int = 3, seed: int = 42, steps: int = 100, tol: float = 1e-3, ridge: float = 1e-6) -> tuple[DataFrame, float]:
-    """``points`` with ``label``, and the Bayesian information criterion.
-
-    Full covariances with ``ridge`` on their diagonals, started from k-means groups; expectation
-    and maximization until the mean log-likelihood gains less than ``tol``, the best of ``restarts``.
-    """
-    data = _vectors(points, vector).persist()
-    n = data.count()
-    center = np.array(data.agg(F.array(*[F.avg(F.col(vector)[i]) for i in range(dims)])).first()[0], float)
-
-    def maximized(sums):
-        weight = sums[:k] + 10 * np.finfo(float).eps
-        means = sums[k : k + k * dims].reshape(k, dims) / weight[:, None]
-        products = sums[k + k * dims : -1].reshape(k, dims, dims) / weight[:, None, None]
-        return weight / weight.sum(), means, products - means[:, :, None] * means[:, None, :] + ridge * np.eye(dims)
-
-    def fitted(seed):
-        near = np.array(KMeans(k=k, seed=seed, maxIter=100, tol=1e-6).fit(data).clusterCenters()) - center
-        # Fewer centers than groups come from fewer distinct points.
-        start = lambda x: (np.eye(k)[((x[:, None, :] - near[None, :, :]) ** 2).sum(2).argmin(1)], 0.0)
-        model, last = maximized(_mixture_sums(data, vector, center, start)), -np.inf
-        for _ in range(steps):
-            sums = _mixture_sums(data, vector, center, _mixture_score(*model))
-            if abs(sums[-1] / n - last) < tol:
-                break
-            model, last = maximized(sums), sums[-1] / n
-        else:
-            sums = _mixture_sums(data, vector, center, _mixture_score(*model))
-        return float(sums[-1]), model
-
-    likelihood, model = max((fitted(seed + i) for i in range(restarts)), key=lambda f: f[0])
+def criterion(likelihood: float, n: int, k: int, dims: int) -> float:
+    """The Bayesian information criterion of a mixture of ``k`` groups with full covariances."""
     free = k - 1 + k * dims + k * dims * (dims + 1) / 2
-    score = _mixture_score(*model)
-    label = F.pandas_udf(lambda v: pd.Series(score(np.stack(v.to_numpy()) - center)[0].argmax(1) if len(v) else [], dtype="int32"), "int")
-    return data.withColumn("label", label(vector)).drop("features"), -2 * likelihood + free * float(np.log(max(1, n)))
+    return -2 * likelihood + free * float(np.log(max(1, n)))
+
+
+def gaussian_mixture(points: DataFrame, vector: str, k: int, dims: int, restarts: int = 3, seed: int = 42, id_: str = "", **more) -> tuple[DataFrame, float]:
+    """``points`` with ``label``, and the Bayesian information criterion, of the best of ``restarts`` fits."""
+    likelihood, model = max(mixture_fits(points, id_ or points.columns[0], vector, [Fit(k, seed + i) for i in range(restarts)], **more), key=lambda f: f[0])
+    return labelled(points, vector, [by_mixture(model)]).withColumn("label", F.col("labels")[0]).drop("labels"), criterion(likelihood, points.count(), k, dims)
 
 
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
-    """Ward's agglomeration by nearest-neighbour chains with Lance-Williams updates."""
+    return cut_tree(ward_merges(x), len(x), k)
+
+
+def ward_merges(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """Ward's agglomeration by nearest-neighbour chains with Lance-Williams updates: (height, a, b)."""
     n = len(x)
     x = x - x.mean(0)
     norm = (x * x).sum(1)
@@ -130,6 +71,11 @@ def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
         d[a], d[:, a], alive[b] = new, new, False
         d[a, a] = np.inf
         size[a] += size[b]
+    return merges
+
+
+def cut_tree(merges: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray:
+    """Labels of the ``k`` groups that are left after the lowest merges."""
     up = list(range(n))
 
     def top(i: int) -> int:
@@ -144,15 +90,22 @@ def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     return label
 
 
-def ward(points: DataFrame, id_: str, vector: str, k: int, most: int = 5_000) -> DataFrame:
-    """(id, label). The method needs all distances at once: more than ``most`` points are refused."""
+def ward_many(points: DataFrame, id_: str, vector: str, ks: list[int], most: int = 5_000) -> DataFrame:
+    """(id, labels): the groups for each k, of one tree. The method needs all distances at once: more
+    than ``most`` points (an n x n matrix of 200 MB) are refused."""
     rows = points.select(id_, vector).orderBy(id_).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"Ward's method is quadratic in memory; {most} points at most")
     if not rows:
-        return points.select(id_, F.lit(0).alias("label")).limit(0)
-    labels = ward_labels(np.array([r[1] for r in rows], float), k)
-    return points.sparkSession.createDataFrame([(r[0], int(x)) for r, x in zip(rows, labels, strict=True)], f"{id_} {points.schema[id_].dataType.simpleString()}, label int")
+        return points.select(id_, F.array(F.lit(0)).alias("labels")).limit(0)
+    merges = ward_merges(np.array([r[1] for r in rows], float))
+    labels = np.stack([cut_tree(merges, len(rows), k) for k in ks], 1)
+    return points.sparkSession.createDataFrame([(r[0], [int(v) for v in x]) for r, x in zip(rows, labels, strict=True)], f"{id_} {points.schema[id_].dataType.simpleString()}, labels array<int>")
+
+
+def ward(points: DataFrame, id_: str, vector: str, k: int, most: int = 5_000) -> DataFrame:
+    """(id, label) of ``k`` groups by Ward's method."""
+    return ward_many(points, id_, vector, [k], most).select(id_, F.col("labels")[0].alias("label"))
 
 
 def principal_components(points: DataFrame, id_: str, vector: str, k: int) -> tuple[DataFrame, list[float], np.ndarray]:
@@ -167,23 +120,32 @@ def principal_components(points: DataFrame, id_: str, vector: str, k: int) -> tu
 
 def sweep(points: DataFrame, id_: str, vector: str, dims: int, ks: list[int], restarts: int = 10, seed: int = 42, mixtures: int = 3, most: int = 5_000) -> list[tuple]:
     """(algorithm, k, silhouette, calinski_harabasz, inertia, bic) for k-means, Ward and mixtures,
-    the best of ``restarts`` and ``mixtures`` fits; Ward's values are null where it refuses the points."""
-    points = points.select(id_, vector).persist()
-    refused = points.count() > most
-    out = []
-    for k in ks:
-        mixed, bic = gaussian_mixture(points, vector, k, dims, mixtures, seed)
-        tree = None if refused else points.join(ward(points, id_, vector, k, most), id_)
-        for name, labelled, b in (("kmeans", kmeans(points, vector, k, restarts, seed), None), ("ward", tree, None), ("gmm", mixed, bic)):
-            if labelled is None:
-                out.append((name, k, None, None, None, None))
-                continue
-            labelled = labelled.persist()
-            ch = calinski_harabasz(labelled, vector, "label", dims).first()
-            s = silhouette_samples(labelled, id_, vector, "label", dims).agg(F.avg("silhouette")).first()[0]
-            out.append((name, k, s, ch["calinski_harabasz"], ch["inertia"], b))
-            labelled.unpersist()
-    return out
+    the best of ``restarts`` and ``mixtures`` fits; Ward's values are null where it refuses the points.
+
+    All fits of a kind share their passes, and all groupings one pass over the pairs."""
+    points = points.select(id_, vector)
+    n = points.count()
+    refused = n > most
+    jobs = [(k, i) for k in ks for i in range(restarts)]
+    means = kmeans_fits(points, id_, vector, [Fit(k, seed + i) for k, i in jobs])
+    mixed = mixture_fits(points, id_, vector, [Fit(k, seed + i) for k in ks for i in range(mixtures)])
+    best = [min(means[i * restarts : (i + 1) * restarts], key=lambda f: f[1])[0] for i in range(len(ks))]
+    likely = [max(mixed[i * mixtures : (i + 1) * mixtures], key=lambda f: f[0]) for i in range(len(ks))]
+    table = labelled(points, vector, [by_centers(c) for c in best] + [by_mixture(m) for _, m in likely])
+    groups, names = [*ks, *ks], [("kmeans", k) for k in ks] + [("gmm", k) for k in ks]
+    if not refused:
+        trees = ward_many(points, id_, vector, ks, most).withColumnRenamed("labels", "trees")
+        table = table.join(trees, id_).withColumn("labels", F.concat("labels", "trees")).drop("trees")
+        groups, names = [*groups, *ks], names + [("ward", k) for k in ks]
+    table = table.persist()
+    try:
+        outlines = silhouette_means(table, id_, vector, dims, [None] * len(groups))
+        found = {x: (s, c, w) for x, s, (w, c) in zip(names, outlines, spread(table, vector, groups), strict=True)}
+    finally:
+        table.unpersist()
+    none = (None, None, None)
+    bic = {k: criterion(like, n, k, dims) for k, (like, _) in zip(ks, likely, strict=True)}
+    return [(a, k, *found.get((a, k), none), bic[k] if a == "gmm" else None) for k in ks for a in ("kmeans", "ward", "gmm")]
 
 
 def choose_k(results: list[tuple], least: int = 5) -> int:
@@ -193,28 +155,56 @@ def choose_k(results: list[tuple], least: int = 5) -> int:
 
 def stability(points: DataFrame, id_: str, vector: str, dims: int, k: int, repeats: int = 25, share: float = 0.8, noise: float = 0.1, seed: int = 42) -> list[tuple]:
     """(kind, mean, population deviation) of the adjusted Rand index of refits on subsamples and
-    on noisy copies against the first fit."""
-    points = points.select(id_, vector).persist()
-    base = kmeans(points, vector, k, 3, seed).select(id_, F.col("label").alias("first")).persist()
-    n = points.count()
-    found: dict[str, list[float]] = {"subsample": [], "noise": []}
-    for i in range(repeats):
-        part = points.orderBy(F.xxhash64(id_, F.lit(seed + i))).limit(int(share * n))
-        moved = points.withColumn(vector, F.array(*[F.col(vector)[j] + noise * F.randn(seed * 1000 + i * dims + j) for j in range(dims)]))
-        for kind, data in (("subsample", part), ("noise", moved)):
-            fit = kmeans(data, vector, k, 1, seed + i).select(id_, "label")
-            found[kind].append(adjusted_rand(fit.join(base, id_), "label", "first").first()["ari"])
-    return [(kind, float(np.mean(x)), float(np.std(x))) for kind, x in found.items()]
-
-
-def feature_ablation(points: DataFrame, id_: str, vector: str, names: list[str], k: int, seed: int = 42) -> list[tuple]:
-    """(feature left out, silhouette, adjusted Rand index against the full fit)."""
-    points = points.select(id_, vector).persist()
-    base = kmeans(points, vector, k, 2, seed).select(id_, F.col("label").alias("first")).persist()
-    out = []
-    for i, name in enumerate(names):
-        rest = [F.col(vector)[j] for j in range(len(names)) if j != i]
-        fit = kmeans(points.select(id_, F.array(*rest).alias(vector)), vector, k, 2, seed).persist()
-        s = silhouette_samples(fit, id_, vector, "label", len(rest)).agg(F.avg("silhouette")).first()[0]
-        out.append((name, s, adjusted_rand(fit.select(id_, "label").join(base, id_), "label", "first").first()["ari"]))
-    return out
+    on noisy copies against the first fit; subsamples are judged on the points they hold. All
+    refits share their passes."""
+    points = points.select(id_, vector)
+    parts = [Fit(k, seed + i, share=share) for i in range(repeats)]
+    moved = [Fit(k, seed + 1000 + i, noise=noise) for i in range(repeats)]
+    found = kmeans_fits(points, id_, vector, [Fit(k, seed + i) for i in range(3)] + parts + moved)
+    base = min(found[:3], key=lambda f: f[1])[0]
+    data = hashed(points, id_, vector).persist()
+    try:
+        bounds = limits(data, parts + moved)
+        refits = [(f, lim, c) for f, lim, (c, _) in zip(parts + moved, bounds, found[3:], strict=True)]
+
+        def fold(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+            out, first = [], by_centers(base)(x)
+            for f, lim, c in refits:
+                y = view(f, x, h, lim)
+                mark = view(Fit(f.k, f.seed, share=f.share), np.stack([first, first], 1), h, lim)[:, 0].astype(int)
+                out.append(np.bincount(mark * k + by_centers(c)(y), minlength=k * k).astype(float))
+            return np.concatenate(out)
+
+        tables = reduced(data, fold).reshape(-1, k, k)
+    finally:
+        data.unpersist()
+    scores = [rand_of(t) for t in tables]
+    return [(kind, float(np.mean(x)), float(np.std(x))) for kind, x in (("subsample", scores[:repeats]), ("noise", scores[repeats:]))]
+
+
+def rand_of(table: np.ndarray) -> float:
+    """The adjusted Rand index of a contingency table."""
+    pairs = lambda n: float((n * (n - 1) / 2).sum())
+    both, rows, columns, every = pairs(table), pairs(table.sum(1)), pairs(table.sum(0)), pairs(table.sum())
+    expected = rows * columns / every if every else 0.0
+    return (both - expected) / ((rows + columns) / 2 - expected) if (rows + columns) / 2 != expected else 1.0
+
+
+def feature_ablation(points: DataFrame, id_: str, vector: str, names: list[str], k: int, seed: int = 42, restarts: int = 2) -> list[tuple]:
+    """(feature left out, silhouette, adjusted Rand index against the full fit), the best of
+    ``restarts`` fits each; all fits share their passes, and all groupings one over the pairs."""
+    dims = len(names)
+    points = points.select(id_, vector)
+    uses = [None] + [tuple(j for j in range(dims) if j != i) for i in range(dims)]
+    found = kmeans_fits(points, id_, vector, [Fit(k, seed + r, u) for u in uses for r in range(restarts)])
+    best = [min(found[i * restarts : (i + 1) * restarts], key=lambda f: f[1])[0] for i in range(len(uses))]
+    table = labelled(points, vector, [by_centers(c, u) for c, u in zip(best, uses, strict=True)]).persist()
+    try:
+        outlines = silhouette_means(table, id_, vector, dims, [list(u) if u else None for u in uses])
+        cells = table.select(F.col("labels")[0].alias("one"), F.posexplode("labels").alias("which", "two")).groupBy("which", "one", "two").agg(F.count("*").alias("n")).collect()  # k * k per feature at most
+    finally:
+        table.unpersist()
+    counts = np.zeros((len(uses), k, k))
+    for r in cells:
+        counts[r["which"], r["one"], r["two"]] = r["n"]
+    return [(name, outlines[i + 1], rand_of(counts[i + 1])) for i, name in enumerate(names)]

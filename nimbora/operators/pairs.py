@@ -127,6 +127,42 @@ def label_means(points: DataFrame, id_: str, vector: str, label: str, dims: int)
     return sums.groupBy("a", "lb").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
+def silhouette_means(points: DataFrame, id_: str, vector: str, dims: int, use: list[list[int] | None]) -> list[float]:
+    """Mean silhouette of each entry of ``labels`` (array), by the dimensions in ``use`` (none: all), in
+    one pass over the pairs. 0 for a point alone in its group or with one group."""
+
+    def rows(batches):
+        for same, (ids_a, a, la), (ids_b, b, lb) in _sides(batches, dims):
+            width = len(use)
+            la, lb = (x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for x in (la, lb))
+            for own, x, other, y in ([(ids_a, a, lb, b)] if same else [(ids_a, a, lb, b), (ids_b, b, la, a)]):
+                known: tuple = (None, None)
+                for i, some in enumerate(use):
+                    n = np.bincount(other[:, i])
+                    one = np.eye(len(n))[other[:, i]]
+                    if known[0] != (some,):
+                        known = ((some,), [d for _, d in _strips(x[:, some] if some else x, y[:, some] if some else y)])
+                    at = 0
+                    for d in known[1]:
+                        total, times = d @ one, np.tile(n, (len(d), 1))
+                        if same:
+                            times[np.arange(len(d)), other[at : at + len(d), i]] -= 1
+                        r, c = np.nonzero(times)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), i, np.int32)), own.take(pa.array(at + r)), pa.array(c.astype(np.int32)), pa.array(total[r, c]), pa.array(times[r, c].astype(np.int64))], names=["which", "a", "lb", "s", "n"])
+                        at += len(d)
+
+    kind = points.schema[id_].dataType.simpleString()
+    sums = block_pairs(points, id_, vector, "labels").mapInArrow(rows, f"which int, a {kind}, lb int, s double, n long")
+    mean = sums.groupBy("which", "a", "lb").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    own = points.select(F.col(id_).alias("a"), F.posexplode("labels").alias("which", "la"))
+    met = own.join(mean, ["which", "a"], "left")
+    both = met.groupBy("which", "a", "la").agg(F.max(F.when(F.col("lb") == F.col("la"), F.col("mean"))).alias("within"), F.min(F.when(F.col("lb") != F.col("la"), F.col("mean"))).alias("beside"))
+    s = F.coalesce(F.try_divide(F.col("beside") - F.col("within"), F.greatest("within", "beside")), F.lit(0.0))
+    s = F.when(F.col("within").isNull() | F.col("beside").isNull(), 0.0).otherwise(s)
+    found = {r["which"]: r["m"] for r in both.groupBy("which").agg(F.avg(s).alias("m")).collect()}
+    return [float(found.get(i, 0.0)) for i in range(len(use))]
+
+
 def _counted(points: DataFrame, id_: str, vector: str, dims: int, size: int, add: Callable[[np.ndarray, np.ndarray], None]) -> np.ndarray:
     """Counters of ``size``, to which ``add(counters, distances)`` adds every pair of points once."""
 

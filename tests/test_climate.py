@@ -14,7 +14,9 @@ from nimbora.functions.geo import color_scale, distance_score, haversine_mi
 from nimbora.operators import clean as C
 from nimbora.operators import cluster as K
 from nimbora.operators import diagnostics as G
+from nimbora.operators import fits as V
 from nimbora.operators import pairs as P
+from nimbora.operators.ranks import grouped_ranks
 from nimbora.operators.daily import daily_aggregate, local_day
 from nimbora.operators.features import percentile_ranks, station_features, zscores
 from nimbora.plans import api
@@ -277,3 +279,86 @@ def test_hours_over_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.temp_c, r.n_reports) for r in spark.table("hours").collect()] == [(2.0, 2)]
+
+
+def test_shared_passes_equal_numpy(spark):
+    """Every fit is a fixed point of Lloyd's step on what it sees; costs, spreads and outlines follow from it."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(230, 5)) + 4 * rng.integers(0, 3, (230, 1))
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id int, v array<double>").repartition(3)
+    h = np.array([r.h for r in frame.select("id", F.xxhash64("id").alias("h")).orderBy("id").collect()], np.int64).view(np.uint64)
+    fits = [V.Fit(3, 1), V.Fit(4, 2, dims=(0, 2, 3)), V.Fit(3, 3, share=0.8), V.Fit(3, 4, noise=0.1), V.Fit(300, 5)]
+    bounds = V.limits(V.hashed(frame, "id", "v"), fits)
+    for fit, bound, (centers, cost) in zip(fits, bounds, V.kmeans_fits(frame, "id", "v", fits), strict=True):
+        y = V.view(fit, x, h, bound)
+        d = ((y[:, None] - centers[None]) ** 2).sum(2)
+        assert cost == pytest.approx(d.min(1).sum(), abs=1e-6)
+        for k in np.unique(d.argmin(1)):
+            assert np.allclose(centers[k], y[d.argmin(1) == k].mean(0), atol=1e-5)
+    assert abs(len(V.view(fits[2], x, h, bounds[2])) - 184) <= 1
+    moved = V.view(fits[3], x, h, bounds[3]) - x
+    assert abs(moved.mean()) < 0.01 and abs(moved.std() - 0.1) < 0.01
+
+    rows = {(r[0], r[1]): r for r in K.sweep(frame, "id", "v", 5, [2, 3], restarts=3, mixtures=2)}
+    table = V.labelled(frame, "v", [V.by_centers(V.kmeans_fits(frame, "id", "v", [V.Fit(3, 42)])[0][0])]).withColumn("label", F.col("labels")[0]).drop("labels")
+    assert rows["kmeans", 3][3] == pytest.approx(G.calinski_harabasz(table, "v", "label", 5).first().calinski_harabasz, rel=1e-9)
+    assert rows["kmeans", 3][2] == pytest.approx(G.silhouette_samples(table, "id", "v", "label", 5).agg(F.avg("silhouette")).first()[0], rel=1e-9)
+    assert K.choose_k(list(rows.values()), 2) == 3
+
+    # Ward against the definition: each merge adds the least to the sum of squares.
+    small = x[:25]
+    groups = [[i] for i in range(25)]
+    ss = lambda g: ((small[g] - small[g].mean(0)) ** 2).sum()
+    while len(groups) > 4:
+        _, a, b = min((ss(groups[a] + groups[b]) - ss(groups[a]) - ss(groups[b]), a, b) for a in range(len(groups)) for b in range(a))
+        groups[b] += groups[a]
+        del groups[a]
+    label = K.ward_labels(small, 4)
+    assert sorted(sorted(g) for g in groups) == sorted(sorted(np.flatnonzero(label == k).tolist()) for k in range(4))
+
+    scores, ratio, loadings = K.principal_components(frame, "id", "v", 3)
+    _, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(ratio, (s**2 / (s**2).sum())[:3]) and np.allclose(np.abs(loadings), np.abs(vt[:3].T))
+
+    table = np.array([[10.0, 2, 0], [1, 20, 3], [0, 0, 9]])
+    long = [(a, b) for a in range(3) for b in range(3) for _ in range(int(table[a, b]))]
+    assert K.rand_of(table) == pytest.approx(G.adjusted_rand(spark.createDataFrame(long, "a int, b int"), "a", "b").first().ari)
+    found = dict((k, (m, d)) for k, m, d in K.stability(frame, "id", "v", 5, 3, repeats=4))
+    assert found["noise"][0] > 0.8 and found["subsample"][0] > 0.5
+    gone = K.feature_ablation(frame, "id", "v", list("abcde"), 3)
+    assert [g[0] for g in gone] == list("abcde") and all(0 < g[1] < 1 and g[2] > 0.5 for g in gone)
+
+
+def test_ranks_and_distances_by_position(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(v)) for g, v in zip(rng.choice(["a", "b", None], 400), rng.integers(0, 40, 400), strict=True)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for r in grouped_ranks(frame, "g", "v").collect():
+        own = [v for g, v in rows if g == r.g]
+        assert (r.n, r.before, r.total) == (own.count(r.v), sum(v < r.v for v in own), len(own))
+    x = rng.normal(size=(90, 3))
+    points = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id int, v array<double>")
+    d = np.sort([np.sqrt(((x[i] - x[j]) ** 2).sum()) for i in range(90) for j in range(i)])
+    at = [0, 1, 17, 2000, len(d) - 1]
+    old, P.BLOCK = P.BLOCK, 20  # several blocks
+    try:
+        assert np.allclose(P.distance_at(points, "id", "v", 3, at), d[at], rtol=1e-12)
+        q = {r.p: r.d for r in P.quantiles(points, "id", "v", 3, [0.0, 0.1, 0.5, 1.0]).collect()}
+        assert np.allclose(list(q.values()), np.quantile(d, list(q)))
+        near = P.knn(points, "id", "v", 3, 4).collect()
+        full = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag([np.inf] * 90)
+        assert {(r.a, r["rank"]): r.b for r in near} == {(i, k + 1): int(np.argsort(full[i])[k]) for i in range(90) for k in range(4)}
+        edges = P.knn(points, "id", "v", 3, 2)
+        some = P.similarity_of(edges, points, "id", "v", 3).collect()
+        assert all(r.similarity_pct == pytest.approx(100 * (1 - np.sum(d < r.d - 1e-12) / len(d))) for r in some)
+    finally:
+        P.BLOCK = old
+
+
+def test_nearest_by_blocks_and_documents_of_many_lines(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    places = spark.createDataFrame([(f"s{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(20, 60, (70, 2)))], "station_id string, lat double, lon double")
+    guesses = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(20, 60, (50, 2)))], "guess_id int, lat double, lon double")
+    assert sorted(api.nearest_stations(guesses, places, few=7).collect()) == sorted(api.nearest_stations(guesses, places).collect())
+    (tmp_path / "doc.json").write_text('{\n "a": 1,\n "b": [2,\n 3]}\n')
+    assert R.read_document(spark, str(tmp_path / "doc.json"), "a int, b array<int>", lines=False).first().b == [2, 3]
