@@ -250,7 +250,7 @@ def spread(points: DataFrame, vector: str, groups: list[int]) -> list[tuple[floa
             at += k + k * d
             between = float(((total**2).sum(1) / np.maximum(size, 1)).sum())
             inside, some = float(sums[-1]) - between, int((size > 0).sum())
-            found.append((inside, between / (some - 1) / (inside / (n - some)) if some > 1 and n > some and inside > 0 else None))
+            found.append((inside, float(between / (some - 1) / (inside / (n - some))) if some > 1 and n > some and inside > 0 else None))
         return found
     finally:
         data.unpersist()
