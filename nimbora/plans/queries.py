@@ -101,7 +101,8 @@ def valid_day_nulling(spark, sf):
 
 
 def station_features(spark, sf):
-    return rounded(A.features(spark, sf))
+    """Made anew, as it is the build that counts here; lookups read the stored table."""
+    return rounded(E.station_features(A.station_days(spark, sf), A.SPARSE))
 
 
 def precip_gauge_rule(spark, sf):
@@ -151,7 +152,8 @@ def similarity_pct(spark, sf):
 
 
 def neighbor_edges(spark, sf):
-    return rounded(A.edges(spark, sf))
+    """Made anew, like the features."""
+    return rounded(api.neighbor_edges(A.points(spark, sf), A.kept(spark, sf), A.SPARSE))
 
 
 def haversine_pairs(spark, sf):
