@@ -46,8 +46,11 @@ def gather(frame: DataFrame, order: list, rows: int, size: int) -> pa.Table:
     driver first, so that no task and no driver ever gathers more."""
     marked = frame.withColumn("text_hash", F.xxhash64("text"))
     length = F.octet_length(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("length")
+    keys = [f"order_{i}" for i in range(len(order))]
+    # Without the texts before the sort: every task sends its first rows to the driver.
+    slim = marked.select(*[x.alias(k) for x, k in zip(order, keys, strict=True)], "doc_id", "text_hash", length)
     left, chosen = size, []
-    for r in marked.orderBy(*order, "doc_id", "text_hash").select("doc_id", "text_hash", length).limit(rows).collect():
+    for r in slim.orderBy(*keys, "doc_id", "text_hash").select("doc_id", "text_hash", "length").limit(rows).collect():
         if r["length"] <= left:
             left -= r["length"]
             chosen.append((r["doc_id"], r["text_hash"]))
