@@ -185,3 +185,8 @@ def cluster_traits(grouped: DataFrame, k: int = 4) -> DataFrame:
     top = top_per_group(exact, "cluster", [F.abs("z").desc(), F.col("feature")], k)
     side = F.when(F.col("z") > 0, "high ").otherwise("low ")
     return top.select("cluster", "rank", "feature", F.concat(side, label[F.col("feature")], F.lit(" ("), F.format_string("%+.1f", "z"), F.lit(" sd)")).alias("trait"))
+
+
+def top_loadings(loadings: DataFrame, k: int = 4) -> DataFrame:
+    """(component, feature, loading, rank) of the k greatest loadings of each component, by size."""
+    return top_per_group(loadings, "component", [F.abs("loading").desc(), F.col("feature")], k)

@@ -2,9 +2,62 @@
 
 from __future__ import annotations
 
-from nimbora.config import BOUNDS, CONTINUOUS, FEATURE_NAMES, FEATURES, PRECIP_FEATURES, QC_OF
-from nimbora.functions.clue import PHRASES
-from nimbora.plans.queries import GUESSES
+# Fixed values, spelled out once more, so that a wrong one under test does not pass.
+BOUNDS = {
+    "temp_c": (-60.0, 60.0),
+    "dewpoint_c": (-70.0, 40.0),
+    "wind_speed_ms": (0.0, 75.0),
+    "slp_hpa": (900.0, 1090.0),
+    "visibility_m": (0.0, 160000.0),
+    "ceiling_m": (0.0, 22000.0),
+    "precip_mm": (0.0, 500.0),
+    "snow_depth_cm": (0.0, 500.0),
+    "sky_cover_oktas": (0.0, 8.0),
+}
+QC_OF = {
+    "temp_c": "temp_qc",
+    "dewpoint_c": "dewpoint_qc",
+    "wind_dir": "wind_dir_qc",
+    "wind_speed_ms": "wind_speed_qc",
+    "slp_hpa": "slp_qc",
+    "visibility_m": "visibility_qc",
+    "ceiling_m": "ceiling_qc",
+    "precip_mm": "precip_qc",
+    "snow_depth_cm": "snow_depth_qc",
+    "sky_cover_oktas": "sky_cover_qc",
+}
+CONTINUOUS = ["temp_c", "dewpoint_c", "wind_speed_ms", "slp_hpa", "visibility_m", "ceiling_m", "sky_cover_oktas"]
+PRECIP_FEATURES = ["annual_precip_in", "wet_days_per_year", "summer_precip_fraction", "frozen_precip_days_per_year"]
+#: Feature: label, unit.
+FEATURES = {
+    "annual_mean_temp_f": ("Annual mean temperature", "°F"),
+    "winter_mean_temp_f": ("Winter (DJF) mean temperature", "°F"),
+    "summer_mean_temp_f": ("Summer (JJA) mean temperature", "°F"),
+    "seasonal_temp_range_f": ("Seasonal range (summer - winter)", "°F"),
+    "diurnal_temp_range_f": ("Mean diurnal range (daily max - min)", "°F"),
+    "hot_days_per_year": ("Days >= 90°F per year", "days/yr"),
+    "freeze_days_per_year": ("Days with min <= 32°F per year", "days/yr"),
+    "annual_precip_in": ("Annual precipitation", "in"),
+    "wet_days_per_year": ("Wet days (>= 0.04 in) per year", "days/yr"),
+    "summer_precip_fraction": ("Share of precipitation falling in JJA", "fraction"),
+    "frozen_precip_days_per_year": ("Frozen-precipitation days per year (proxy for snow days)", "days/yr"),
+    "summer_dewpoint_f": ("Summer (JJA) mean dew point", "°F"),
+    "annual_dewpoint_depression_f": ("Mean dew-point depression (T - Td)", "°F"),
+    "mean_wind_mph": ("Mean wind speed", "mph"),
+}
+PHRASES = {
+    "summer_mean_temp_f": ("cool summers", "mild summers", "warm summers", "hot summers", "very hot summers"),
+    "winter_mean_temp_f": ("long, frigid winters", "cold winters", "cool winters", "mild winters", "winters that barely register"),
+    "summer_dewpoint_f": ("summer air is bone dry", "summer air is fairly dry", "summer humidity is moderate", "summers are humid", "summers are oppressively humid"),
+    "annual_precip_in": ("it is one of the driest places in our table", "it is drier than most of the country", "it gets about average annual precipitation", "it is wetter than most of the country", "it is among the wettest places in our table"),
+    "frozen_precip_days_per_year": ("frozen precipitation is essentially unknown", "frozen precipitation is rare", "there are some frozen-precipitation days each winter", "frozen precipitation is frequent in winter", "frozen precipitation is a regular part of winter"),
+    "mean_wind_mph": ("winds are calm", "winds are light", "winds are moderate", "it is breezy", "it is persistently windy"),
+    "diurnal_temp_range_f": ("almost no day-night temperature swing", "small day-night temperature swings", "typical day-night swings", "large day-night temperature swings", "huge day-night temperature swings"),
+    "summer_precip_fraction": ("summers are the dry season", "most rain falls outside summer", "rain is spread through the year", "summer is the wettest season", "rain is heavily concentrated in summer"),
+}
+#: Guessed places: latitudes 25, 29, ... and longitudes -124, -116, ...
+GUESSES = [(float(lat), float(lon)) for lat in range(25, 50, 4) for lon in range(-124, -66, 8)]
+FEATURE_NAMES = list(FEATURES)
 
 N = FEATURE_NAMES
 DIMS = range(len(N))

@@ -20,6 +20,7 @@ from nimbora.operators.ranks import grouped_ranks
 from nimbora.operators.daily import daily_aggregate, local_day
 from nimbora.operators.features import percentile_ranks, station_features, zscores
 from nimbora.plans import api
+from nimbora.plans import build as B
 from nimbora.plans import queries as Q
 from nimbora.sources import records as R
 
@@ -355,6 +356,33 @@ def test_ranks_and_distances_by_position(spark):
         P.BLOCK = old
 
 
+def test_top_loadings(spark):
+    rows = [("pc1", "a", 0.2), ("pc1", "b", -0.9), ("pc1", "c", 0.2), ("pc2", "a", 1.0)]
+    got = api.top_loadings(spark.createDataFrame(rows, "component string, feature string, loading double"), 2).collect()
+    assert sorted((r.component, r["rank"], r.feature) for r in got) == [("pc1", 1, "b"), ("pc1", 2, "a"), ("pc2", 1, "a")]
+
+
+def test_build_reads_what_it_wrote(spark, tmp_path):
+    """Documents before and after, and the tables of the model's part, from features of known groups."""
+    assert B.stats(spark, str(tmp_path)).collect() == [] and B.diagnostics(spark, str(tmp_path)).collect() == []
+    rng = np.random.default_rng(4)
+    rows = [(f"{i:06d}-00001", f"p{i}", "S%d" % (i % 3), 30.0 + i, -100.0 + i, 5.0, 1.0, *map(float, rng.normal(10 * (i % 3), 1, len(FEATURE_NAMES)))) for i in range(24)]
+    frame = spark.createDataFrame(rows, "station_id string, name string, state string, lat double, lon double, elev_m double, valid_day_fraction double, " + ", ".join(f"{n} double" for n in FEATURE_NAMES))
+    R.write_table(frame, str(tmp_path / "features"))
+    B.build_model(str(tmp_path), spark, Climate(neighbors=3), B.Model(ks=(2, 3), least_k=2, restarts=3, final_restarts=3, mixtures=1, repeats=2))
+    places = B.table(spark, str(tmp_path), "locations")
+    by = {}
+    for r in places.collect():
+        by.setdefault(r.cluster, set()).add(int(r.station_id[:6]) % 3)
+    assert {k: len(v) for k, v in by.items()} == {0: 1, 1: 1, 2: 1}
+    means = [r.m for r in places.groupBy("cluster").agg(F.avg("annual_mean_temp_f").alias("m")).orderBy("cluster").collect()]
+    assert means == sorted(means)
+    told = B.diagnostics(spark, str(tmp_path)).first()
+    assert told.k == 3 and len(told.sweep) == 6 and len(told.geo_signal) == 29 and told.silhouette > 0.5
+    assert {f.name: f.dataType.simpleString() for f in B.table(spark, str(tmp_path), "vectors").schema}["z"] == "array<float>"
+    assert B.table(spark, str(tmp_path), "neighbors").count() == 72
+
+
 def test_nearest_by_blocks_and_documents_of_many_lines(spark, tmp_path):
     rng = np.random.default_rng(2)
     places = spark.createDataFrame([(f"s{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(20, 60, (70, 2)))], "station_id string, lat double, lon double")
