@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.llm import words as W
-from nimbora.llm.store import arrow_batches, gather, take
+from nimbora.llm.store import Scratch, arrow_batches, gather, take
 
 
 @dataclass(frozen=True)
@@ -301,11 +301,11 @@ def sample(docs: DataFrame, labels: DataFrame, field: Field, keep) -> tuple[pa.A
     """Texts and labels of at most 2 * ``field.sample`` labelled rows that ``keep`` admits."""
     one = labels.filter(keep & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = [F.xxhash64("doc_id", F.lit(field.seed)), F.col("doc_id")]
-    found = []
-    for kind in (0, 1):
-        picked = one.filter(F.col("toxic") == kind).orderBy(*order).limit(field.sample).select(F.col("doc_id").alias("labelled"))
-        met = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled"), "left_semi")
-        found.append(gather(met, order[:1], field.sample, field.sample_bytes // 2).column("text").combine_chunks())
+    picked = one.filter("toxic = 0").orderBy(*order).limit(field.sample).union(one.filter("toxic = 1").orderBy(*order).limit(field.sample))
+    picked = picked.select(F.col("doc_id").alias("labelled"), "toxic")
+    # One pass over the documents; all else reads the few that are labelled and picked.
+    few = Scratch(docs.sparkSession, "toxic").save("labelled", docs.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled")).drop("labelled"))
+    found = [gather(few.filter(F.col("toxic") == kind).drop("toxic"), order[:1], field.sample, field.sample_bytes // 2).column("text").combine_chunks() for kind in (0, 1)]
     texts = pa.concat_arrays([x.cast(pa.large_string()) for x in found])
     return texts, np.repeat([False, True], [len(x) for x in found])
 

@@ -218,6 +218,9 @@ def test_wrapped_lines_members_and_encodings():
         assert (2, 1, 2 + len(one)) in S.scan_text(f"q {one} z")[1]
         many = base64.encodebytes(raw).decode().strip()
         assert (2, 1, 2 + len(many)) in S.scan_text(f"q {many} z")[1]
+    for start in ("hb ", "hC ", "x\x9c", "BZh", "\x1f\x8b"):  # what only looks compressed is read as it is
+        one = base64.b64encode(start.encode("latin-1") + KEY.encode()).decode()
+        assert S.scan_text(f"q {one} z")[1] == [(2, 1, 2 + len(one))], start
     assert S.scan_text("password%3D abc1234%32")[1] == [(0, 0, 22)]
 
 
