@@ -29,8 +29,8 @@ class Factors:
 
     width: int = 50
     anchor: int = 25
-    #: Shared anchors, or documents with hits, up to which they are broadcast (up to 16 MB as measured); more are joined.
-    broadcast_anchors: int = 250_000
+    #: Ids of documents up to which they are broadcast (8 MB), to leave other texts unshuffled; more are joined.
+    broadcast_ids: int = 1_000_000
 
 
 def least_of(values: np.ndarray, span: int) -> np.ndarray:
@@ -84,12 +84,13 @@ def _sliced(batch, index: int):
         yield lo, hi, data, W.find_words(data, bounds)
 
 
-SPOT = "anchor long, doc_id long, th long, place int, run long, windows array<long>"
+SPOT = "anchor long, doc_id long, place int, run long, n int"
+WINDOW = 0x8EBC6AF09C88C6E3
 
 
 def _spots(f: Factors, full: bool):
-    """(doc_id, text, th) -> a row per run of consecutive windows of one anchor: with ``full``
-    the run's first window, the hash of all its words, and its windows' hashes."""
+    """(doc_id, text), and th without ``full`` -> a row per run of consecutive windows of one anchor: with ``full``
+    the run's first window, the hash of all its words, and its number of windows."""
 
     def rows(batches):
         for batch in batches:
@@ -100,16 +101,32 @@ def _spots(f: Factors, full: bool):
                 new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
                 first = np.flatnonzero(new)
                 row = pa.array(lo + text[first], pa.int64())
-                cols = [W.as_long(hashes[first]), batch.column(2).take(row)]
+                anchors = W.as_long(hashes[first])
                 if not full:
-                    yield pa.RecordBatch.from_arrays(cols, names=["anchor", "th"])
+                    yield pa.RecordBatch.from_arrays([anchors, batch.column(2).take(row)], names=["anchor", "th"])
                     continue
                 bounds = np.append(first, len(at))
                 ends = at[bounds[1:] - 1] + f.width if len(first) else first
                 run = W.run_hashes(words.hash, at[first], ends, 0x589965CC75374CC3)
-                windows = W.run_hashes(words.hash, at, at + f.width, 0x8EBC6AF09C88C6E3)
                 place = pa.array((at[first] - words.first[text[first]]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([cols[0], batch.column(0).take(row), cols[1], place, W.as_long(run), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), W.as_long(windows))], names=["anchor", "doc_id", "th", "place", "run", "windows"])
+                yield pa.RecordBatch.from_arrays([anchors, batch.column(0).take(row), place, W.as_long(run), pa.array(np.diff(bounds).astype(np.int32))], names=["anchor", "doc_id", "place", "run", "n"])
+
+    return rows
+
+
+def _windows_at(f: Factors):
+    """(doc_id, text, spans of place and n) -> a row per window of the spans: its words' hash, doc_id and place."""
+
+    def rows(batches):
+        for batch in batches:
+            for lo, hi, _, words in _sliced(batch, 1):
+                for i in range(hi - lo):
+                    first, last = int(words.first[i]), int(words.first[i + 1])
+                    spans = batch.column(2)[lo + i].as_py()
+                    at = np.unique(np.concatenate([np.arange(x["place"], x["place"] + x["n"]) for x in spans]))
+                    at = at[at <= last - first - f.width]  # of rows that repeat a doc_id, another may be longer
+                    windows = W.run_hashes(words.hash, first + at, first + at + f.width, WINDOW)
+                    yield pa.RecordBatch.from_arrays([W.as_long(windows), batch.column(0)[lo + i : lo + i + 1].take(pa.array(np.zeros(len(at), np.int64))), W.as_long(at)], names=["window", "doc_id", "place"])
 
     return rows
 
@@ -167,19 +184,24 @@ def remove_repeats(docs: DataFrame, f: Factors = Factors()) -> DataFrame:
     # Anchors of two different texts at least; copies of one text are matched by the text.
     index = tagged.mapInArrow(_spots(f, False), "anchor long, th long").groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi"))
     index = store.save("index", index.filter("lo <> hi").select(F.col("anchor").alias("shared")))
-    if index.count() <= f.broadcast_anchors:
-        index = F.broadcast(index)
-    spots = tagged.mapInArrow(_spots(f, True), SPOT)
-    spots = store.save("spots", spots.join(index, spots["anchor"] == index["shared"], "left_semi").drop("th"))
+    spots = known.mapInArrow(_spots(f, True), SPOT)
+    spots = store.save("spots", spots.join(index, spots["anchor"] == index["shared"], "left_semi"))
 
     classes = spots.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "place")).alias("low"))
     classes = store.save("classes", classes.select(F.col("anchor").alias("ca"), F.col("run").alias("cr"), F.col("low.doc_id").alias("ref"), F.col("low.place").alias("ref_place")))
     same = (F.col("anchor") == F.col("ca")) & (F.col("run") == F.col("cr"))
-    n = F.size("windows").alias("n")
-    whole_runs = spots.select("anchor", "run", "doc_id", "place", n).join(classes, same).filter("doc_id > ref").select("doc_id", "place", "n", "ref", "ref_place")
+    whole_runs = spots.join(classes, same).filter("doc_id > ref").select("doc_id", "place", "n", "ref", "ref_place")
     mixed = classes.groupBy("ca").agg(F.count("*").alias("runs")).filter("runs > 1").select(F.col("ca").alias("ma"))
     heads = spots.join(classes.join(mixed, F.col("ca") == F.col("ma")), same & (F.col("doc_id") == F.col("ref")))
-    single = store.save("single", heads.select("doc_id", "place", F.posexplode("windows").alias("i", "window")).select("window", "doc_id", (F.col("place") + F.col("i")).alias("place")))
+    wanted = store.save("wanted", heads.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans")).withColumnRenamed("doc_id", "head"))
+
+    def with_texts(ids: DataFrame, name: str) -> DataFrame:
+        """The rows of ``plain`` with these ids: only their texts are shuffled."""
+        one = ids.select(name)
+        return plain.join(F.broadcast(one) if one.count() <= f.broadcast_ids else one, plain["doc_id"] == one[name], "left_semi")
+
+    texts = with_texts(wanted, "head").join(wanted, F.col("doc_id") == F.col("head")).select("doc_id", "text", "spans")
+    single = store.save("single", texts.mapInArrow(_windows_at(f), "window long, doc_id long, place long"))
     least = single.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("low"))
     least = least.select(F.col("window").alias("w"), F.col("low.doc_id").alias("ref"), F.col("low.place").alias("ref_place"))
     one_by_one = single.join(least, F.col("window") == F.col("w")).filter("doc_id > ref").select("doc_id", "place", F.lit(1).alias("n"), "ref", "ref_place")
@@ -192,11 +214,10 @@ def remove_repeats(docs: DataFrame, f: Factors = Factors()) -> DataFrame:
     # A document's hits are at most its windows.
     hits = whole_runs.union(one_by_one).union(copies)
     hits = store.save("hits", hits.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "ref", "ref_place")).alias("hits")))
-    store.drop("index", "spots", "classes", "single")
-    ids = hits.select(F.col("doc_id").alias("hit"))
-    if ids.count() <= f.broadcast_anchors:
-        ids = F.broadcast(ids)
-    # Only texts with hits are shuffled.
-    found = plain.join(ids, plain["doc_id"] == ids["hit"], "left_semi").join(hits.withColumnRenamed("doc_id", "hit"), F.col("doc_id") == F.col("hit")).select("doc_id", "text", "hits")
+    store.drop("index", "spots", "classes", "wanted", "single")
+    hits = hits.withColumnRenamed("doc_id", "hit")
+    found = with_texts(hits, "hit").join(hits, F.col("doc_id") == F.col("hit")).select("doc_id", "text", "hits")
+    ids = hits.select("hit")
+    ids = F.broadcast(ids) if ids.count() <= f.broadcast_ids else ids
     rest = plain.join(ids, plain["doc_id"] == ids["hit"], "left_anti").select("doc_id", "text", F.lit(None).cast(hits.schema["hits"].dataType).alias("hits"))
     return found.union(rest).mapInArrow(_apply(f), RESULT)

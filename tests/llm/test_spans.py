@@ -57,7 +57,7 @@ def test_factors_equal_brute_force(spark, broadcast):
     docs += [(90, docs[5][1]), (91, docs[5][1]), (92, None), (93, ""), (94, " ".join(passages[6] * 3)), (95, "x " * 20_000), (96, "x " * 10_000)]
     rng.shuffle(docs)
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as ref", "'q' as place", "'t' as TEXT")
-    rows = remove_repeats(frame, Factors(broadcast_anchors=broadcast)).collect()
+    rows = remove_repeats(frame, Factors(broadcast_ids=broadcast)).collect()
     want = brute(docs)
     assert sum(n for _, n, _ in want.values()) > 1000
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == want
