@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbora.llm import factor_dedup as _factors
+from nimbora.llm import fingerprints as _prints
 from nimbora.llm import media as _media
+from nimbora.llm import merkle as _merkle
 from nimbora.llm import minhash as _near
 from nimbora.llm import mixing as _mix
 from nimbora.llm import packing as _pack
@@ -14,7 +16,9 @@ from nimbora.llm import pitman_yor as _lm
 from nimbora.llm import quality_rules as _rules
 from nimbora.llm import secret_scan as _secrets
 from nimbora.llm import toxicity as _toxic
+from nimbora.llm import vector_codes as _codes
 from nimbora.llm import weak_quality as _weak
+from nimbora.llm.oracle import OP11_SQL, codes_sql, fingerprint_sql
 from nimbora.llm.store import take
 
 
@@ -72,8 +76,24 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merkle.digest(_merkle.manifest(documents(spark, sf_dir)))
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prints.compare_edits(documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes.digest(_codes.encode_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_weak_quality, op4_mix_sources, op5_pack_sequences, op6_factor_dedup, op7_secret_scan, op8_media_columns, op9_pitman_yor, op10_minhash_dedup)}
+    found = (
+        op1_quality_rules, op2_toxicity, op3_weak_quality, op4_mix_sources, op5_pack_sequences, op6_factor_dedup, op7_secret_scan, op8_media_columns, op9_pitman_yor, op10_minhash_dedup,
+        op11_merkle_manifest, op12_winnowing, op13_vector_codes,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP1_SQL = r"""
@@ -134,4 +154,8 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_factor_dedup": OP6_SQL, "op1_quality_rules": OP1_SQL, "op4_mix_sources": OP4_SQL}
+    w, c = _prints.Winnow(), _codes.Codes()
+    return {
+        "op6_factor_dedup": OP6_SQL, "op1_quality_rules": OP1_SQL, "op4_mix_sources": OP4_SQL, "op11_merkle_manifest": OP11_SQL,
+        "op12_winnowing": fingerprint_sql(w.gram, w.window, _prints.BASE, _prints.DROPPED), "op13_vector_codes": codes_sql(c.parts, c.entries, c.rounds, c.scale),
+    }
