@@ -1,19 +1,20 @@
-"""All pairs of points, neighbours, and ranks of distances, without a single-task step.
+"""All pairs of points and sums over them, without a single-task step.
 
 Points are dealt into blocks of about ``BLOCK``; each pair of blocks is one row of a join, and
-a task reduces its distances at once (nearest ones, sums by label, counts), so that pairs are
-rows only where all pairs are the result.
+a task reduces its distances at once (sums by label), so that pairs are rows only where all
+pairs are the result. What bounds can settle is in ``metric`` and ``distance_ranks``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nimbora.operators.metric import strips as _strips
 from nimbora.sources.scratch import Scratch, ship
 
 BLOCK = 1_000
@@ -65,45 +66,6 @@ def _sides(batches, dims: int) -> Iterator[tuple[bool, list, list]]:
             yield batch.column(0)[r].as_py(), *sides
 
 
-def _strips(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, distances of some rows of ``a`` to all of ``b``), a few MB at a time."""
-    a, b = np.ascontiguousarray(a), np.ascontiguousarray(b)  # sums in one order, whichever side a point is on
-    step = max(1, (1 << 21) // max(1, b.size))
-    for lo in range(0, len(a), step):
-        yield lo, np.sqrt(((a[lo : lo + step, None, :] - b[None]) ** 2).sum(2))
-
-
-def _nearest_in(d: np.ndarray, k: int, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k least of each row; of equals the first columns. ``skip``: a column per row."""
-    if skip is not None:
-        d = d.copy()
-        d[np.arange(len(d)), skip] = np.inf
-    k = min(k, d.shape[1] - (skip is not None))
-    order = np.argsort(d, 1, kind="stable")[:, :k]
-    return np.repeat(np.arange(len(d)), k), order.reshape(-1)
-
-
-def knn(points: DataFrame, id_: str, vector: str, dims: int, k: int, variants: dict[str, list[int]] | None = None) -> DataFrame:
-    """(a, b, d, rank): directed k-nearest edges; a point itself is left out by its id, ties go to
-    the smaller id. With ``variants`` (name -> dimensions used) also a column ``variant``."""
-    use = {n: np.array(v) for n, v in (variants or {"": list(range(dims))}).items()}
-
-    def rows(batches):
-        for same, (ids_a, a), (ids_b, b) in _sides(batches, dims):
-            for own, x, other, y in ([(ids_a, a, ids_b, b)] if same else [(ids_a, a, ids_b, b), (ids_b, b, ids_a, a)]):
-                for name, dim in use.items():
-                    for lo, d in _strips(x[:, dim], y[:, dim]):
-                        r, c = _nearest_in(d, k, np.arange(lo, lo + len(d)) if same else None)
-                        if len(r):
-                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(r)), own.take(pa.array(lo + r)), other.take(pa.array(c)), pa.array(d[r, c])], names=["variant", "a", "b", "d"])
-
-    kind = points.schema[id_].dataType.simpleString()
-    near = block_pairs(points, id_, vector).mapInArrow(rows, f"variant string, a {kind}, b {kind}, d double")
-    w = Window.partitionBy("variant", "a").orderBy("d", "b")
-    near = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return near if variants else near.drop("variant")
-
-
 def label_means(points: DataFrame, id_: str, vector: str, label: str, dims: int) -> DataFrame:
     """(a, lb, mean): mean distance of each point to the others of each label."""
 
@@ -163,57 +125,6 @@ def silhouette_means(points: DataFrame, id_: str, vector: str, dims: int, use: l
     return [float(found.get(i, 0.0)) for i in range(len(use))]
 
 
-def _counted(points: DataFrame, id_: str, vector: str, dims: int, size: int, add: Callable[[np.ndarray, np.ndarray], None]) -> np.ndarray:
-    """Counters of ``size``, to which ``add(counters, distances)`` adds every pair of points once."""
-
-    def rows(batches):
-        total = np.zeros(size, np.int64)
-        for same, (_, a), (_, b) in _sides(batches, dims):
-            for lo, d in _strips(a, b):
-                add(total, d[np.arange(len(a))[lo : lo + len(d), None] < np.arange(len(b))[None]] if same else d.reshape(-1))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
-
-    out = np.zeros(size, np.int64)
-    for r in block_pairs(points, id_, vector).mapInArrow(rows, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows
-        out[r["at"]] = r["n"]
-    return out
-
-
-def counts_below(points: DataFrame, id_: str, vector: str, dims: int, limits: np.ndarray) -> tuple[np.ndarray, int]:
-    """How many of all pairs are nearer than each limit (ascending), and how many pairs there are."""
-
-    def add(total: np.ndarray, d: np.ndarray) -> None:
-        total += np.bincount(np.searchsorted(limits, d, "right"), minlength=len(limits) + 1)
-
-    n = _counted(points, id_, vector, dims, len(limits) + 1, add)
-    return np.cumsum(n)[:-1], int(n.sum())
-
-
-def distance_at(points: DataFrame, id_: str, vector: str, dims: int, positions: list[int]) -> list[float]:
-    """The distances of all pairs at 0-based positions of their order, exactly: in four passes,
-    each of which counts the next 16 bits of those that share the bits found so far."""
-    found = np.zeros(len(positions), np.uint64)
-    left = np.array(positions, np.int64)
-    for shift in (48, 32, 16, 0):
-        heads = np.unique(found)
-
-        def add(total: np.ndarray, d: np.ndarray, shift=shift, heads=heads) -> None:
-            bits = np.abs(d).view(np.uint64)
-            head = bits >> np.uint64(shift + 16) if shift < 48 else np.zeros(len(bits), np.uint64)
-            at = np.minimum(np.searchsorted(heads, head), len(heads) - 1)
-            ok = heads[at] == head
-            total += np.bincount(at[ok] * 65536 + ((bits[ok] >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64), minlength=len(total))
-
-        table = _counted(points, id_, vector, dims, 65536 * len(heads), add).reshape(len(heads), 65536)
-        for i, head in enumerate(np.searchsorted(heads, found)):
-            before = np.cumsum(table[head])
-            digit = int(np.searchsorted(before, left[i], "right"))
-            left[i] -= before[digit - 1] if digit else 0
-            found[i] = found[i] << np.uint64(16) | np.uint64(digit)
-    return found.view(np.float64).tolist()
-
-
 def global_rank(rows: DataFrame, by: str, name: str = "below") -> DataFrame:
     """``rows`` with the number of rows whose ``by`` is strictly smaller.
 
@@ -238,29 +149,3 @@ def similarity(pairs: DataFrame) -> DataFrame:
     total = ranked.agg(F.count("*").alias("total"))
     met = ranked.crossJoin(F.broadcast(total))  # the right side is one row
     return met.select("a", "b", "d", (100 * (1 - F.col("below") / F.col("total"))).alias("similarity_pct"))
-
-
-def similarity_of(edges: DataFrame, points: DataFrame, id_: str, vector: str, dims: int, most: int = 2_000_000) -> DataFrame:
-    """``edges`` (with a distance ``d``) and ``similarity_pct``: pairs are only counted, against the
-    edges' distances (16 MB at ``most``); more edges than that are ranked among all pairs as rows."""
-    spark = edges.sparkSession
-    if edges.count() <= most:
-        limits = np.array(sorted(r["d"] for r in edges.select("d").distinct().collect()), float)
-        below, total = counts_below(points, id_, vector, dims, limits) if len(limits) else (limits, 0)
-        table = spark.createDataFrame([(float(d), 100 * (1 - int(b) / total)) for d, b in zip(limits, below, strict=True)], "d double, similarity_pct double")
-        return edges.join(F.broadcast(table), "d")
-    table = similarity(all_pairs(points, id_, vector, dims)).select("d", "similarity_pct").distinct()
-    return edges.join(table, "d")
-
-
-def quantiles(points: DataFrame, id_: str, vector: str, dims: int, probabilities: list[float]) -> DataFrame:
-    """(p, d): quantiles of the distances of all pairs, by linear interpolation between neighbours."""
-    n = points.count()
-    pairs = n * (n - 1) // 2
-    if not pairs:
-        return points.sparkSession.createDataFrame([], "p double, d double")
-    spots = [p * (pairs - 1) for p in probabilities]
-    at = sorted({min(int(s) + i, pairs - 1) for s in spots for i in (0, 1)})
-    value = dict(zip(at, distance_at(points, id_, vector, dims, at), strict=True))
-    out = [(p, value[int(s)] + (s - int(s)) * (value[min(int(s) + 1, pairs - 1)] - value[int(s)])) for p, s in zip(probabilities, spots, strict=True)]
-    return points.sparkSession.createDataFrame(out, "p double, d double")

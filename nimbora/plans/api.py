@@ -12,8 +12,11 @@ from nimbora.config import FEATURE_NAMES, FEATURES, Climate
 from nimbora.functions.clue import facts
 from nimbora.functions.geo import distance_score, haversine_mi
 from nimbora.operators.diagnostics import top_per_group
+from nimbora.operators.distance_ranks import shares, similarity_of
 from nimbora.operators.features import percentile_ranks
-from nimbora.operators.pairs import counts_below, knn, similarity_of, squared
+from nimbora.operators.metric import knn
+from nimbora.operators.pairs import squared
+from nimbora.operators.sphere import nearest_places
 from nimbora.sources.scratch import Scratch
 
 
@@ -42,7 +45,7 @@ def neighbor_edges(points: DataFrame, places: DataFrame, c: Climate = Climate())
     """(station_id, neighbor_id, rank, climate_distance, similarity_pct, geo_distance_mi)."""
     dims = len(FEATURE_NAMES)
     near = Scratch(points.sparkSession, "edges").save("near", knn(points, "station_id", "z", dims, c.neighbors))
-    near = similarity_of(near, points, "station_id", "z", dims)
+    near = similarity_of(near, points, "station_id", "z")
     spot = lambda x: places.select(F.col("station_id").alias(x), F.col("lat").alias(f"lat_{x}"), F.col("lon").alias(f"lon_{x}"))
     met = near.join(spot("a"), "a").join(spot("b"), "b")
     return met.select(F.col("a").alias("station_id"), F.col("b").alias("neighbor_id"), "rank", F.col("d").alias("climate_distance"), "similarity_pct", haversine_mi("lat_a", "lon_a", "lat_b", "lon_b", c).alias("geo_distance_mi"))
@@ -56,20 +59,6 @@ def twins(edges: DataFrame, places: DataFrame, least_mi: float = 1000.0, k: int
     return named.join(side("a"), "a").join(side("b"), "b")
 
 
-def nearest_stations(guesses: DataFrame, stations: DataFrame, few: int = 10_000) -> DataFrame:
-    """(guess_id, station_id, distance_mi): the least distance, ties to the smaller id. Up to ``few``
-    guesses meet each station as a broadcast; more are dealt into blocks, and blocks meet blocks
-    of stations by key. Minima combine before the shuffle."""
-    g = guesses.select("guess_id", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"))
-    n = g.limit(few + 1).count()
-    blocks = 1 if n <= few else -(-g.count() // few)
-    g = g.withColumn("part", F.pmod(F.xxhash64("guess_id"), F.lit(blocks)).cast("int"))
-    every = stations.select("station_id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
-    met = every.join(F.broadcast(g) if blocks == 1 else g, "part").withColumn("d", haversine_mi("g_lat", "g_lon", "lat", "lon"))
-    best = met.groupBy("guess_id").agg(F.min(F.struct("d", "station_id")).alias("m"))
-    return best.select("guess_id", F.col("m.station_id").alias("station_id"), F.col("m.d").alias("distance_mi"))
-
-
 def pair_similarity(points: DataFrame, places: DataFrame, a: str, b: str) -> DataFrame:
     """Climate distance, share of pairs at least as far apart, and miles, of two stations."""
     dims = len(FEATURE_NAMES)
@@ -79,8 +68,9 @@ def pair_similarity(points: DataFrame, places: DataFrame, a: str, b: str) -> Dat
     if lo == hi or len(found) < 2:
         return spark.createDataFrame([], "a string, b string, climate_distance double, similarity_pct double, geo_distance_mi double")
     d = float(np.sqrt(((np.array(found[lo]) - np.array(found[hi])) ** 2).sum()))
-    below, total = counts_below(points, "station_id", "z", dims, np.array([d]))
-    one = spark.createDataFrame([(lo, hi, d, 100 * (1 - int(below[0]) / total))], "a string, b string, climate_distance double, similarity_pct double")
+    limit = spark.createDataFrame([(lo, hi, d)], "a string, b string, climate_distance double")
+    share = (100 * (1 - F.col("below") / F.col("total"))).alias("similarity_pct")
+    one = limit.join(F.broadcast(shares(points, "station_id", "z", limit, "climate_distance").select("d", share)), F.col("climate_distance") == F.col("d"))  # one row
     spot = lambda x: places.select(F.col("station_id").alias(x), F.col("lat").alias(f"lat_{x}"), F.col("lon").alias(f"lon_{x}"))
     met = one.join(spot("a"), "a").join(spot("b"), "b")
     return met.select("a", "b", "climate_distance", "similarity_pct", haversine_mi("lat_a", "lon_a", "lat_b", "lon_b").alias("geo_distance_mi"))
@@ -91,7 +81,7 @@ def guess_report(points: DataFrame, places: DataFrame, guesses: DataFrame, targe
     first = places.agg(F.min("station_id").alias("t")) if target is None else places.sparkSession.createDataFrame([(target,)], "t string")
     z = points.select(F.col("station_id").alias("zid"), "z")
     goal = places.join(F.broadcast(first), F.col("station_id") == F.col("t")).select("t", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")).join(z, F.col("t") == F.col("zid")).select("t", "t_lat", "t_lon", F.col("z").alias("tz"))
-    near = nearest_stations(guesses, places).join(guesses.withColumnsRenamed({"lat": "g_lat", "lon": "g_lon"}), "guess_id").join(z, F.col("station_id") == F.col("zid"))
+    near = nearest_places(guesses, places).join(guesses.withColumnsRenamed({"lat": "g_lat", "lon": "g_lon"}), "guess_id").join(z, F.col("station_id") == F.col("zid"))
     met = near.crossJoin(F.broadcast(goal))  # the target is one row
     miles = F.round(haversine_mi("g_lat", "g_lon", "t_lat", "t_lon"), 6)
     return met.select("guess_id", F.col("t").alias("target"), miles.alias("distance_mi"), distance_score(miles).alias("score"), F.col("station_id").alias("nearest"), F.sqrt(squared(F.col("z"), F.col("tz"), len(FEATURE_NAMES))).alias("climate_distance"))
@@ -105,25 +95,22 @@ def guess_answer(locations: DataFrame, edges: DataFrame, guesses: DataFrame, tar
     """
     spark, dims = locations.sparkSession, len(FEATURE_NAMES)
     goal = locations.filter(F.col("station_id") == target)
-    near = nearest_stations(guesses, locations).join(guesses.withColumnsRenamed({"lat": "g_lat", "lon": "g_lon"}), "guess_id")
+    near = nearest_places(guesses, locations).join(guesses.withColumnsRenamed({"lat": "g_lat", "lon": "g_lon"}), "guess_id")
     each = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(FEATURES[n][0]).alias("label"), F.lit(FEATURES[n][1]).alias("unit"), F.col(n).alias("value"), F.col(f"pct_{n}").alias("percentile"), F.col("z")[i].alias("z")) for i, n in enumerate(FEATURE_NAMES)])
     mine = locations.select("station_id", "z", F.col("cluster").alias("n_cluster"), each.alias("n_cells"))
     his = goal.select(F.col("station_id").alias("t"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), F.col("z").alias("tz"), F.col("cluster"), each.alias("t_cells"), facts().alias("facts"))
     met = near.join(mine, "station_id").crossJoin(F.broadcast(his))  # the target is one row
     met = met.withColumn("d", F.sqrt(squared(F.col("z"), F.col("tz"), dims)))
-    # As few distances as there are guesses: each pair of places counts against them.
-    limits = np.array(sorted({r["d"] for r in met.select("d").distinct().collect()}), float)
     # A pair isn't nearer than itself, though its distance was summed in another order there.
-    below, total = counts_below(locations, "station_id", "z", dims, limits * (1 - 1e-12)) if len(limits) else (limits, 1)
-    share = spark.createDataFrame([(float(d), 100 * (1 - int(b) / total)) for d, b in zip(limits, below, strict=True)], "d double, similarity_pct double")
+    met = similarity_of(met.withColumn("limit", F.col("d") * (1 - 1e-12)), locations, "station_id", "z", "limit")
     gap = F.zip_with("n_cells", "t_cells", lambda n, t: F.struct((-F.abs(n["z"] - t["z"])).alias("order"), t["feature"].alias("feature"), t["label"].alias("label"), t["unit"].alias("unit"), n["value"].alias("guess_value"), t["value"].alias("target_value"), n["percentile"].alias("guess_percentile"), t["percentile"].alias("target_percentile"), F.abs(n["z"] - t["z"]).alias("z_gap")))
     miles = F.round(haversine_mi("g_lat", "g_lon", "t_lat", "t_lon"), 6)
     around = with_neighbors(edges.filter(F.col("station_id") == target), locations)
     around = around.agg(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id", "name", "state", "climate_distance", "similarity_pct", "geo_distance_mi"))).alias("neighbors"))  # at most as many as neighbours are kept
-    met = met.join(F.broadcast(share), "d", "left").crossJoin(F.broadcast(around))  # one row
+    met = met.crossJoin(F.broadcast(around))  # one row
     return met.select(
         "guess_id", F.col("t").alias("target"), miles.alias("distance_mi"), distance_score(miles).alias("score"), F.col("station_id").alias("nearest"), (F.col("n_cluster") == F.col("cluster")).alias("same_cluster"), "cluster",
-        F.col("d").alias("climate_distance"), F.coalesce("similarity_pct", F.lit(100.0)).alias("similarity_pct"), F.transform(F.array_sort(gap), lambda x: x.dropFields("order")).alias("gaps"), "facts", "neighbors",
+        F.col("d").alias("climate_distance"), "similarity_pct", F.transform(F.array_sort(gap), lambda x: x.dropFields("order")).alias("gaps"), "facts", "neighbors",
     )
 
 

@@ -18,8 +18,8 @@ from nimbora.operators import clean as C
 from nimbora.operators import cluster as K
 from nimbora.operators import diagnostics as G
 from nimbora.operators import features as E
-from nimbora.operators import pairs as P
 from nimbora.operators.daily import daily_aggregate
+from nimbora.operators.distance_ranks import quantiles
 from nimbora.plans import api
 from nimbora.sources.records import read_document, write_document, write_hourly, write_table
 
@@ -98,7 +98,7 @@ def build_model(root: str, spark: SparkSession, c: Climate = Climate(), m: Model
     every = list(range(DIMS))
     variants = {"all": every} | {f"without {n}": [j for j in every if j != i] for i, n in enumerate(FEATURE_NAMES)} | {f"only {n}": [i] for i, n in enumerate(FEATURE_NAMES)}
     write_table(G.geo_signal(points, locations, "station_id", "z", DIMS, variants), f"{root}/diagnostics", 1)
-    write_table(P.quantiles(points, "station_id", "z", DIMS, [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9]), f"{root}/quantiles", 1)
+    write_table(quantiles(points, "station_id", "z", [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9]), f"{root}/quantiles", 1)
     write_table(G.correlation(locations, FEATURE_NAMES), f"{root}/correlation", 1)
     write_table(G.f_ratio(locations, FEATURE_NAMES, "cluster"), f"{root}/f_ratios", 1)
     write_table(spark.createDataFrame(K.feature_ablation(points, "station_id", "z", FEATURE_NAMES, k, c.seed), "feature string, silhouette double, ari double"), f"{root}/ablation", 1)

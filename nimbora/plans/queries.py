@@ -13,8 +13,11 @@ from nimbora.operators import clean as C
 from nimbora.operators import cluster as K
 from nimbora.operators import daily as D
 from nimbora.operators import diagnostics as G
+from nimbora.operators import distance_ranks
 from nimbora.operators import features as E
+from nimbora.operators import metric as M
 from nimbora.operators import pairs as P
+from nimbora.operators.sphere import nearest_places
 from nimbora.plans import analogs as A
 from nimbora.plans import api
 from nimbora.plans import build as B
@@ -139,11 +142,11 @@ def _pairs(spark, sf):
 
 
 def pairwise_quantiles(spark, sf):
-    return rounded(P.quantiles(A.points(spark, sf), "station_id", "z", DIMS, [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9]))
+    return rounded(distance_ranks.quantiles(A.points(spark, sf), "station_id", "z", [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9]))
 
 
 def knn10(spark, sf):
-    edges = P.knn(A.vectors(spark, sf), "vec_id", "v", 64, 10)
+    edges = M.knn(A.vectors(spark, sf), "vec_id", "v", 64, 10)
     return rounded(edges.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbor_id"), "rank", F.col("d").alias("distance")))
 
 
@@ -167,11 +170,11 @@ def _guesses(spark):
 
 
 def nearest_station(spark, sf):
-    return rounded(api.nearest_stations(_guesses(spark), A.stations(spark, sf)))
+    return rounded(nearest_places(_guesses(spark), A.stations(spark, sf)))
 
 
 def distance_score_(spark, sf):
-    return api.nearest_stations(_guesses(spark), A.stations(spark, sf)).select("guess_id", distance_score(F.round(F.col("distance_mi"), 6)).alias("score"))
+    return nearest_places(_guesses(spark), A.stations(spark, sf)).select("guess_id", distance_score(F.round(F.col("distance_mi"), 6)).alias("score"))
 
 
 def _profiles(spark, sf):

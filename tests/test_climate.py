@@ -337,23 +337,6 @@ def test_ranks_and_distances_by_position(spark):
     for r in grouped_ranks(frame, "g", "v").collect():
         own = [v for g, v in rows if g == r.g]
         assert (r.n, r.before, r.total) == (own.count(r.v), sum(v < r.v for v in own), len(own))
-    x = rng.normal(size=(90, 3))
-    points = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id int, v array<double>")
-    d = np.sort([np.sqrt(((x[i] - x[j]) ** 2).sum()) for i in range(90) for j in range(i)])
-    at = [0, 1, 17, 2000, len(d) - 1]
-    old, P.BLOCK = P.BLOCK, 20  # several blocks
-    try:
-        assert np.allclose(P.distance_at(points, "id", "v", 3, at), d[at], rtol=1e-12)
-        q = {r.p: r.d for r in P.quantiles(points, "id", "v", 3, [0.0, 0.1, 0.5, 1.0]).collect()}
-        assert np.allclose(list(q.values()), np.quantile(d, list(q)))
-        near = P.knn(points, "id", "v", 3, 4).collect()
-        full = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag([np.inf] * 90)
-        assert {(r.a, r["rank"]): r.b for r in near} == {(i, k + 1): int(np.argsort(full[i])[k]) for i in range(90) for k in range(4)}
-        edges = P.knn(points, "id", "v", 3, 2)
-        some = P.similarity_of(edges, points, "id", "v", 3).collect()
-        assert all(r.similarity_pct == pytest.approx(100 * (1 - np.sum(d < r.d - 1e-12) / len(d))) for r in some)
-    finally:
-        P.BLOCK = old
 
 
 def test_top_loadings(spark):
@@ -383,10 +366,6 @@ def test_build_reads_what_it_wrote(spark, tmp_path):
     assert B.table(spark, str(tmp_path), "neighbors").count() == 72
 
 
-def test_nearest_by_blocks_and_documents_of_many_lines(spark, tmp_path):
-    rng = np.random.default_rng(2)
-    places = spark.createDataFrame([(f"s{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(20, 60, (70, 2)))], "station_id string, lat double, lon double")
-    guesses = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(20, 60, (50, 2)))], "guess_id int, lat double, lon double")
-    assert sorted(api.nearest_stations(guesses, places, few=7).collect()) == sorted(api.nearest_stations(guesses, places).collect())
+def test_documents_of_many_lines(spark, tmp_path):
     (tmp_path / "doc.json").write_text('{\n "a": 1,\n "b": [2,\n 3]}\n')
     assert R.read_document(spark, str(tmp_path / "doc.json"), "a int, b array<int>", lines=False).first().b == [2, 3]
