@@ -7,6 +7,12 @@ scanned and decoded in turn until nothing new appears; a layer already seen at t
 place is not taken again, so cycles end, and equal secrets at two places are both found.
 The worklist is depth first, and inflated data are read window by window, so no more is
 held than a window of each layer on the way down.
+
+Depth costs nothing by itself: an escaped escape sign is decoded together with what follows it, in
+one step however often it is escaped, and a layer of escapes has only the stretches around what
+was decoded, up to characters that stand in no secret and no encoding. A run of base64 letters may
+begin with others (a path, a name, a key), so it is decoded at all four alignments, and compressed
+data are also looked for inside of what comes out.
 """
 
 from __future__ import annotations
@@ -20,7 +26,6 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +41,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A greedy run of 24 or more starts where the run of any length would.
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-URL_PART = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_PART = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-UNICODE_ONE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
-SURROGATE = re.compile("[\ud800-\udfff]")
+# An escape, its sign escaped any number of times.
+URL_ONE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+URL_PART = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+_UNICODE = r"\\(?:u005[Cc]|x5[Cc])*(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|u\{[0-9A-Fa-f]{1,8}\}|U[0-9A-Fa-f]{8})|%(?:u0025)*u[0-9A-Fa-f]{4}"
+UNICODE_ONE = re.compile(_UNICODE)
+UNICODE_PART = re.compile(f"(?:{_UNICODE})+")
+UNICODE_CODE = re.compile(r"[uUx]\{?([0-9A-Fa-f]+)\}?$")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 # The same over several lines. It starts where a run does, so each run is read once.
 BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)+={0,2}")
-#: What stands in no secret and no encoding: a window of inflated data ends there.
-OUTSIDE = re.compile(rb"[^A-Za-z0-9+/_.=\-%\\\"' :\r\n]|\n\r?\n")
+#: What stands in no secret and no encoding: windows of inflated data and stretches of a layer end there.
+OUTSIDE = re.compile(rb"[^A-Za-z0-9+/_.=\-%\\\"' :\r\n{}]|\n\r?\n")
+OUTSIDE_TEXT = re.compile(OUTSIDE.pattern.decode())
+#: Compressed data that can't be taken for others, wherever they begin, and where zlib's two bytes are believed.
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
+SEPARATOR = re.compile(r"[/_+-]")
 
 
 @dataclass(frozen=True)
@@ -78,12 +90,13 @@ class Layer:
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         """The span of the document that characters start to end (exclusive) came from."""
-        if self.parent is None:
-            return start, end
-        first, from_, _, even = self.pieces[bisect_right(self.firsts, start) - 1]
-        low = from_ + start - first if even else from_
-        first, from_, to, even = self.pieces[bisect_right(self.firsts, end - 1) - 1]
-        return self.parent.span(low, from_ + end - first if even else to)
+        layer = self
+        while layer.parent is not None:
+            first, from_, _, even = layer.pieces[bisect_right(layer.firsts, start) - 1]
+            low = from_ + start - first if even else from_
+            first, from_, to, even = layer.pieces[bisect_right(layer.firsts, end - 1) - 1]
+            start, end, layer = low, from_ + end - first if even else to, layer.parent
+        return start, end
 
 
 def _inflaters(raw: bytes):
@@ -99,9 +112,9 @@ def _inflaters(raw: bytes):
     return None
 
 
-def _parts(raw: bytes, step: int) -> Iterator[bytes]:
+def _parts(raw: bytes, step: int, left: list[int] | None = None) -> Iterator[bytes]:
     """What all members of compressed ``raw`` hold, up to ``step`` bytes at a time. Damaged data
-    end where they can't be read any further."""
+    end where they can't be read any further. ``left`` is told how many bytes come after a member."""
     while (make := _inflaters(raw)) is not None:
         engine, is_zlib = make(), False
         is_zlib = hasattr(engine, "unconsumed_tail")
@@ -117,6 +130,8 @@ def _parts(raw: bytes, step: int) -> Iterator[bytes]:
         except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
             return
         raw = engine.unused_data.lstrip(b"\0")  # xz pads its members
+        if left is not None and engine.eof:
+            left[:] = [len(raw)]
 
 
 def _windows(parts: Iterator[bytes], scan: Scan) -> Iterator[bytes]:
@@ -141,58 +156,83 @@ def _windows(parts: Iterator[bytes], scan: Scan) -> Iterator[bytes]:
 
 def _unquote(part: str) -> list[tuple[int, str | None]]:
     """(length in ``part``, decoded character) of URL escapes; None for what is no UTF-8 or a control."""
-    chars = unquote_to_bytes(part).decode("utf-8", "surrogateescape")
-    return [(3 * len(c.encode("utf-8", "surrogateescape")), c if c.isprintable() or c in "\t\n\r" else None) for c in chars]
+    ones = [(m.end() - m.start(), int(m[1], 16)) for m in URL_ONE.finditer(part)]
+    out, at = [], 0
+    for c in bytes(v for _, v in ones).decode("utf-8", "surrogateescape"):
+        n = len(c.encode("utf-8", "surrogateescape"))
+        out.append((sum(w for w, _ in ones[at : at + n]), c if c.isprintable() or c in "\t\n\r" else None))
+        at += n
+    return out
 
 
 def _unescape(part: str) -> list[tuple[int, str | None]]:
-    """The same of Unicode escapes; None for lone surrogates."""
-    codes = UNICODE_ONE.findall(part)
-    chars = b"".join(int(c[2:], 16).to_bytes(2, "big") for c in codes).decode("utf-16-be", "surrogatepass")
-    out, at = [], 0
-    for c in chars:
-        width = 2 if c > "\uffff" else 1
-        out.append((sum(map(len, codes[at : at + width])), None if SURROGATE.match(c) else c))
-        at += width
+    """The same of Unicode escapes; None for lone surrogates and what is no code point."""
+    ones = [(len(x), int(UNICODE_CODE.search(x)[1], 16)) for x in UNICODE_ONE.findall(part)]
+    out, i = [], 0
+    while i < len(ones):
+        width, code = ones[i]
+        i += 1
+        if 0xD800 <= code < 0xDC00 and i < len(ones) and 0xDC00 <= ones[i][1] < 0xE000:
+            width, code = width + ones[i][0], 0x10000 + (code - 0xD800 << 10) + ones[i][1] - 0xDC00
+            i += 1
+        out.append((width, None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code)))
     return out
 
 
 def _unescaped(layer: Layer, part: re.Pattern, decode) -> Iterator[Layer]:
-    """The layer with all escapes of one kind decoded, if any can be; the others stay as they stand."""
-    text, chars, pieces, at, size = layer.text, [], [], 0, 0
-
-    def keep(stop: int) -> None:
-        nonlocal at, size
-        if stop > at:
-            pieces.append((size, at, stop, True))
-            chars.append(text[at:stop])
-            size += stop - at
-            at = stop
-
+    """Layers of the stretches in which escapes of one kind can be decoded, with all of these decoded;
+    other escapes stay as they stand."""
+    text, new = layer.text, []
     for m in part.finditer(text):
         here = m.start()
-        for width, new in decode(m[0]):
-            if new is not None:
-                keep(here)
-                pieces.append((size, here, here + width, False))
-                chars.append(new)
-                size += len(new)
-                at = here + width
+        for width, char in decode(m[0]):
+            if char is not None:
+                new.append((here, here + width, char))
             here += width
-    if pieces:
-        keep(len(text))
+    if not new:
+        return
+    cuts = [m.span() for m in OUTSIDE_TEXT.finditer(text)]
+    ends, i = [c[1] for c in cuts], 0
+    while i < len(new):
+        k = bisect_right(ends, new[i][0])
+        at = ends[k - 1] if k else 0
+        stop = cuts[k][0] if k < len(cuts) else len(text)
+        chars, pieces, size = [], [], 0
+        while i < len(new) and new[i][0] < max(stop, at + 1):
+            start, end, char = new[i]
+            if start > at:
+                pieces.append((size, at, start, True))
+                chars.append(text[at:start])
+                size += start - at
+            pieces.append((size, start, end, False))
+            chars.append(char)
+            size, at, i = size + len(char), end, i + 1
+            stop = max(stop, end)
+        if stop > at:
+            pieces.append((size, at, stop, True))
+            chars.append(text[at:stop])
         yield Layer("".join(chars), layer, pieces)
 
 
-def _flat(layer: Layer, raw: bytes, start: int, end: int, scan: Scan) -> Iterator[Layer]:
+def _flat(layer: Layer, raw: bytes, start: int, end: int, scan: Scan, begins: list[int] = ()) -> Iterator[Layer]:
     """Layers of the bytes of one encoded run. All patterns are ASCII and the whole run is their
-    place, so the bytes' encoding doesn't matter; two-byte encodings are read without their zeros."""
+    place, so the bytes' encoding doesn't matter; two-byte encodings are read without their zeros.
+    ``begins``: bytes of ``raw`` before which a separator stood in the run."""
     read = False
     for part in _windows(_parts(raw, scan.window), scan):
         read = True
         yield from _bytes(layer, part, start, end)
-    if not read:  # not compressed, or only what looks like it
-        yield from _bytes(layer, raw, start, end)
+    if read:
+        return
+    yield from _bytes(layer, raw, start, end)  # not compressed, or only what looks like it
+    weak = [b for b in begins if 0 < b < len(raw) - 2 and raw[b] & 15 == 8 and (raw[b] << 8 | raw[b + 1]) % 31 == 0]
+    past = 0
+    for at in sorted({m.start() for m in PACKED.finditer(raw, 1)} | set(weak)):
+        if at >= past:
+            left: list[int] = []
+            for part in _windows(_parts(raw[at:], scan.window, left), scan):
+                yield from _bytes(layer, part, start, end)
+            past = len(raw) - left[0] if left else past  # what was read to its end isn't looked into again
 
 
 def _bytes(layer: Layer, part: bytes, start: int, end: int) -> Iterator[Layer]:
@@ -206,16 +246,23 @@ def layers(layer: Layer, scan: Scan) -> Iterator[Layer]:
     text = layer.text
     if "%" in text:
         yield from _unescaped(layer, URL_PART, _unquote)
-    if "\\" in text:
+    if "\\" in text or "%u" in text:
         yield from _unescaped(layer, UNICODE_PART, _unescape)
     for pattern in (BASE64_RUN, BASE64_LINES):
         for m in pattern.finditer(text):
-            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+            run = m[0].rstrip("=")
             if pattern is BASE64_LINES:
-                body = body.replace("\r", "").replace("\n", "")
-            if len(body) % 4 == 1:
-                body = body[:-1]
-            yield from _flat(layer, base64.b64decode(body + "=" * (-len(body) % 4)), m.start(), m.end(), scan)
+                run = run.replace("\r", "").replace("\n", "")
+            splits = [s.end() for s in SEPARATOR.finditer(run)]
+            letters = run.replace("-", "+").replace("_", "/")
+            for first in range(4):
+                body = letters[first:]
+                if len(body) % 4 == 1:
+                    body = body[:-1]
+                if first and len(body) < 16:
+                    break
+                begins = [(s - first) // 4 * 3 for s in splits if (s - first) % 4 == 0]
+                yield from _flat(layer, base64.b64decode(body + "=" * (-len(body) % 4)), m.start(), m.end(), scan, begins)
 
 
 def scan_text(text: str, scan: Scan = Scan()) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

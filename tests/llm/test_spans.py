@@ -158,10 +158,14 @@ def brute_spans(text):
             o.extend(part[at:])
         return [("".join(out[0]), out[1], out[2])] if any_ else []
 
-    def ascii_only(escapes):  # the texts of this test escape single bytes only
-        raw = bytes.fromhex(escapes.replace("%", ""))
+    def ascii_only(escape):  # the texts of this test escape single bytes only; escaped signs in one step
+        raw = bytes.fromhex(escape[-2:])
         return raw.decode() if raw.isascii() and raw.decode().isprintable() else None
 
+    def code_point(escape):
+        code = int(re.search(r"[uUx]\{?([0-9A-Fa-f]+)\}?$", escape)[1], 16)
+        return chr(code) if code < 128 else None
+
     work, seen, found = [(text, list(range(len(text))), list(range(1, len(text) + 1)))], set(), set()
     while work:
         chars, starts, ends = work.pop()
@@ -169,27 +173,43 @@ def brute_spans(text):
             continue
         seen.add(key)
         found.update((starts[s], k, ends[e - 1]) for s, k, e in base(chars))
-        work += undo(chars, starts, ends, "%[0-9A-Fa-f]{2}", ascii_only)
-        work += undo(chars, starts, ends, r"\\u00[0-7][0-9A-Fa-f]", lambda x: chr(int(x[2:], 16)))
+        work += undo(chars, starts, ends, "%(?:25)*[0-9A-Fa-f]{2}", ascii_only)
+        work += undo(chars, starts, ends, r"\\(?:u005c)*(?:u00[0-7][0-9A-Fa-f]|u\{[0-9A-Fa-f]+\}|U[0-9A-Fa-f]{8})|%(?:u0025)*u[0-9A-Fa-f]{4}", code_point)
         for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}={0,2}", chars):
-            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            raw = base64.b64decode((body[:-1] if len(body) % 4 == 1 else body) + "==")
-            for begins, open_ in ((b"\x1f\x8b", zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor()), (b"x\x9c", zlib.decompressobj())):
-                try:  # what can be read of damaged data counts
-                    if raw.startswith(begins):
-                        raw = open_.decompress(raw) + (open_.flush() if hasattr(open_, "flush") else b"")
+            for skip in range(4):
+                body = m[0].rstrip("=").replace("-", "+").replace("_", "/")[skip:]
+                if skip and len(body) < 16:
+                    continue
+                raw = base64.b64decode((body[:-1] if len(body) % 4 == 1 else body) + "==")
+                parts = []
+                for at in range(len(raw)):  # compressed data at the start, or clearly so inside, or zlib's behind a separator
+                    clear = re.match(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY", raw[at:])
+                    spot = skip + at // 3 * 4
+                    weak = at % 3 == 0 and m[0][spot - 1] in "/_+-" and raw[at] & 15 == 8 and len(raw) > at + 2 and (raw[at] << 8 | raw[at + 1]) % 31 == 0
+                    for begins, open_ in ((b"\x1f\x8b", zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor()), (b"", zlib.decompressobj())):
+                        if not raw[at:].startswith(begins or b"x\x9c" if not weak else begins) or (at and not clear and not weak):
+                            continue
+                        try:  # what can be read of damaged data counts
+                            parts.append((at, open_.decompress(raw[at:]) + (open_.flush() if hasattr(open_, "flush") else b"")))
+                        except (OSError, zlib.error):
+                            pass
                         break
-                except (OSError, zlib.error):
-                    raw = b""
-            new = raw.decode("latin-1")
-            work.append((new, [starts[m.start()]] * len(new), [ends[m.end() - 1]] * len(new)))
+                if not any(at == 0 and part for at, part in parts):
+                    parts.append((0, raw))
+                else:
+                    parts = parts[:1]
+                for _, part in parts:
+                    new = part.decode("latin-1")
+                    if new:
+                        work.append((new, [starts[m.start()]] * len(new), [ends[m.end() - 1]] * len(new)))
     return sorted(found)
 
 
 def test_spans_of_nested_layers_equal_brute_force():
     rng = random.Random(6)
     url = lambda t: "".join(f"%{ord(c):02X}" if rng.random() < 0.3 and c.isascii() else c for c in t)
-    escape = lambda t: "".join(f"\\u{ord(c):04x}" if rng.random() < 0.2 and c.isascii() else c for c in t)
+    forms = ["\\u{:04x}", "\\u{{{:x}}}", "\\U{:08x}", "%u{:04x}"]
+    escape = lambda t: "".join(rng.choice(forms).format(ord(c)) if rng.random() < 0.2 and c.isascii() else c for c in t)
     b64 = lambda t: base64.b64encode(t.encode()).decode()
     packed = lambda t: base64.b64encode(rng.choice([gzip.compress, bz2.compress, zlib.compress])(t.encode())).decode()
     bits = [KEY, "token=abcdef99", "password: 'hunter2222'", "0123456789abcdef" * 2, "plain words", "caf%E9", "%", "\\", "\n", "é", "x" * 20]
@@ -200,13 +220,49 @@ def test_spans_of_nested_layers_equal_brute_force():
             part = " ".join(rng.choice(bits) for _ in range(rng.randrange(1, 4)))
             for _ in range(rng.randrange(0, 4)):
                 part = rng.choice([url, escape, b64, packed])(part)
-            text += rng.choice([" ", "\t", "é"]) + part
+            text += rng.choice([" ", "\t", "é", " https://h/a/", " x_", " data-", " key/", " v="]) + part
         got = S.scan_text(text)
         assert got == (base(text), brute_spans(text)), text
         more += len(got[1]) > len(got[0])
     assert more > 60
 
 
+def test_codes_behind_other_letters():
+    """A path, a name or a key in front of a code, at every alignment, also of compressed data."""
+    for front in ("", "/", "/h/a/", "x_", "data-", "ab", "abc", "abcd", "k/e-y_"):
+        for inner in (b"token=abcdef123456", KEY.encode(), gzip.compress(KEY.encode()), zlib.compress(b"some words " * 4 + KEY.encode()), bz2.compress(KEY.encode()), lzma.compress(KEY.encode())):
+            if inner[:1] == b"x" and front[-1:].isalpha():
+                continue  # zlib's two bytes are believed after a separator only
+            code = base64.b64encode(inner).decode()
+            text = f"see {front}{code} end"
+            assert any(4 <= s < e <= 4 + len(front + code) for s, _, e in S.scan_text(text)[1]), (front, inner)
+
+
+def test_every_form_of_unicode_escapes():
+    tail = KEY[1:]
+    for one in ("\\u0041", "\\x41", "\\u{41}", "\\u{000041}", "\\U00000041", "%u0041", "\\u005cu0041", "\\u005Cu005cx41", "%u0025u0041", "%25u0041", "%2525u0041", "%5Cu{41}"):
+        assert (3, 1, 3 + len(one + tail)) in S.scan_text(f"ab {one}{tail} x")[1], one
+    for one in ("\\u{110000}", "\\UFFFFFFFF", "%ud800"):
+        assert S.scan_text(f"ab {one}{tail} x")[1] == [], one
+    assert S.scan_text(f"q \\ud83d\\ude00 {KEY}")[1] == [(15, 1, 15 + len(KEY))]
+
+
+def test_depth_costs_nothing(spark):
+    """Escapes of escapes by the ten thousand, kinds in turn by the hundred, a long text behind them."""
+    tail = KEY[1:]
+    for text in ("%" + "25" * 100_000 + "41" + tail, "\\" + "u005c" * 40_000 + "u0041" + tail, "%" + "u0025" * 40_000 + "u0041" + tail):
+        began = time.monotonic()
+        assert (0, 1, len(text)) in S.scan_text(text)[1] and time.monotonic() - began < 10
+    sign = "A"
+    for i in range(600):  # each sign of an escape escaped in the other kind
+        sign = f"%{ord('A'):02X}" if i == 0 else sign.replace("%", "\\u0025") if i % 2 else sign.replace("\\", "%5C")
+    text = sign + tail + ", " + "plain words of a long text, " * 8_000
+    began = time.monotonic()
+    assert (0, 1, len(sign + tail)) in S.scan_text(text)[1] and time.monotonic() - began < 10
+    frame = spark.createDataFrame([(1, "%" + "25" * 1200 + "41" + tail)], "doc_id long, text string")
+    assert [r.text for r in S.redact(frame).collect()] == ["[secret]"] and S.find_secrets(frame).count() == 1
+
+
 def test_wrapped_lines_members_and_encodings():
     line = b"one plain line of text that says nothing\n"
     for raw in (
