@@ -104,7 +104,7 @@ def ranked(rows: DataFrame, store: Scratch, c: Tree) -> DataFrame:
     if crowded:
         mark = rows.sparkSession.createDataFrame(crowded, "g string, b long").withColumn("_hit", F.lit(True))
         digits = F.shiftleft(F.coalesce(F.col("id").bitwiseAND((1 << LOW) - 1), F.lit(0)).cast("long"), 20) + F.conv(F.substring(F.hex("leaf"), 1, 5), 16, 10).cast("long")
-        rows = rows.join(F.broadcast(mark), ["g", "b"], "left").withColumn("d", F.when("_hit", digits).otherwise(F.col("d"))).drop("_hit")
+        rows = rows.join(F.broadcast(mark), ["g", "b"], "left").withColumn("d", F.when(F.col("_hit"), digits).otherwise(F.col("d"))).drop("_hit")
     levels = -(-(64 - LOW) // DIGIT)
     buckets = before(counts, ["g"], "b", levels)
     sizes = counts.groupBy("g").agg(F.sum("n").alias("size"))
