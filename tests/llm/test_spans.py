@@ -336,6 +336,25 @@ def riff(form, kind, data):
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+def bitwise_crc(data, poly, bits):
+    value = int.from_bytes(data, "big") << bits
+    for i in range(8 * len(data) + bits - 1, bits - 1, -1):
+        if value >> i & 1:
+            value ^= (1 << bits | poly) << (i - bits)
+    return value.to_bytes(bits // 8, "big")
+
+
+def flac(frames=3, known=True):
+    """Frames of 192 samples whose bodies hold what looks like a frame's first bytes."""
+    info = struct.pack(">HH", 192, 192) + bytes(6) + (0x0AC442F0 << 32 | (192 * frames if known else 0)).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC\x00\x00\x00\x22" + info + b"\x81\x00\x00\x04note"
+    for i in range(frames):
+        head = b"\xff\xf8\x19\x08" + bytes([i])
+        frame = head + bitwise_crc(head, 0x07, 8) + b"body \xff\xf8 %d" % i + bytes(20)
+        out += frame + bitwise_crc(frame, 0x8005, 16)
+    return out
+
+
 def samples():
     z = BytesIO()
     with zipfile.ZipFile(z, "w") as f:
@@ -344,7 +363,7 @@ def samples():
     gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02D\x01\x00;"
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd12\xff\x00\xff\xd034\xff\xd9"
     tiff = b"II*\0" + struct.pack("<IHHHIII", 8, 1, 256, 3, 1, 1, 0)
-    return {"png": png(), "zip": z.getvalue(), "bmp": bmp, "gif": gif, "jpeg": jpeg, "gzip": gzip.compress(b"x" * 50), "wav": M.to_wav(b"abc"), "tiff": tiff, "pdf": b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF", "ogg": ogg(), "webp": riff(b"WEBP", b"VP8L", b"abcd"), "avi": riff(b"AVI ", b"LIST", b"ab")}
+    return {"png": png(), "zip": z.getvalue(), "bmp": bmp, "gif": gif, "jpeg": jpeg, "gzip": gzip.compress(b"x" * 50), "wav": M.to_wav(b"abc"), "tiff": tiff, "pdf": b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF", "ogg": ogg(), "webp": riff(b"WEBP", b"VP8L", b"abcd"), "avi": riff(b"AVI ", b"LIST", b"ab"), "flac": flac(), "mp4": b"\0\0\0\x10ftypisom\0\0\2\0\0\0\0\x0cmdatabcd"}
 
 
 def test_every_format_is_found_alone_and_embedded():
@@ -365,6 +384,59 @@ def test_damaged_media_and_texts_full_of_magic_bytes():
     assert time.monotonic() - began < 30
 
 
+@pytest.mark.parametrize("kind", sorted(samples()))
+def test_a_megabyte_of_magic_takes_seconds(kind):
+    """Of each format its first bytes, alone and with what goes on a little, over and over."""
+    data = samples()[kind]
+    for part in (*(m for k, m, _ in M.MAGIC if k == kind), data[:12], data[: len(data) // 2], data[:-1]):
+        began = time.monotonic()
+        M.sniff_all(part * (1_000_000 // len(part)))
+        assert time.monotonic() - began < 15, part[:40]
+
+
+def test_walks_that_never_end_are_walked_once():
+    for part in (b"GIF89aAAAAAAA!", b"GIF89a" + bytes(4) + b"\x00\x00\x00!\xfe", b"OggS\0\x02" + bytes(20) + b"\xff" * 20, b"\x1f\x8b\x08\x18names", b"\xff\xd8\xff\xda\x00\x02", png()[:40]):
+        began = time.monotonic()
+        assert M.sniff_all(part * (500_000 // len(part))) == []
+        assert time.monotonic() - began < 20, part
+    long = png()[:33] + struct.pack(">I", 3_000_000) + b"tEXt"  # chunks that reach over most of the bytes, from many places
+    began = time.monotonic()
+    assert M.sniff_all(long * 70_000) == [] and time.monotonic() - began < 40
+
+
+def test_checksums_of_parts():
+    data, memo = random.Random(3).randbytes(400_000), M.Memo()
+    for start, end in ((0, 400_000), (5, 399_999), (65_536, 262_144), (70_000, 300_001), (7, 9)):
+        assert M._crc(data, start, end, memo) == zlib.crc32(data[start:end])
+
+
+def test_prose_is_no_medium_and_flac_needs_frames():
+    for text in (b"see GIF89a 123456; and more", b"GIF89a 123456;", b"GIF89a" + bytes(7) + b"!\xfe\x02ab\0;"):
+        assert M.sniff(text) == []
+    assert M.sniff(flac() + b"tail of other bytes") == [("flac", 0, len(flac()))]
+    assert M.sniff(flac(known=False) + b"tail of other bytes") == [("flac", 0, len(flac()))]
+    assert M.sniff(flac(0)) == [] and M.sniff(flac()[:-1]) == [] and M.sniff(flac(3)[:60] + b"\xff" * 40) == []
+
+
+def test_media_within_media(spark):
+    z = BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.png", png())
+        f.writestr("b.gif", samples()["gif"])
+    data = b"text " + z.getvalue() + b" and " + M.to_wav(b"12" + png())
+    found = M.sniff_all(data)
+    wav = len(b"text " + z.getvalue() + b" and ")
+    assert [(k, p) for k, _, _, p in found] == [("zip", -1), ("png", 5), ("gif", 5), ("wav", -1), ("png", wav)]
+    assert [f[0] for f in M.sniff(data)] == ["zip", "wav"]
+    for k, s, n, _ in found:
+        assert k not in ("png", "gif") or data[s : s + n] == samples()[k]
+    chain = samples()["mp4"] * 5  # its own later parts are no media of their own
+    assert M.sniff_all(chain) == [("mp4", 0, len(chain), -1)]
+    frame = spark.createDataFrame([(1, bytearray(data), "a/b")], "doc_id long, media binary, declared_type string")
+    assert [(e.type, e.parent) for e in M.correct_types(frame).first().embedded] == [(M.TYPES[k], p if p >= 0 else None) for k, _, _, p in found]
+    assert sorted((r.type, bytes(r.bytes)) for r in M.carve(frame).collect()) == sorted((M.TYPES[k], data[s : s + n]) for k, s, n, _ in found)
+
+
 def test_types_and_carving(spark):
     rows = [(1, bytearray(png()), "image/gif"), (2, bytearray(b"text" + png() + b"x"), "text/plain"), (3, None, None), (4, bytearray(b""), "a/b")]
     frame = spark.createDataFrame(rows, "doc_id long, media binary, declared_type string").selectExpr("*", "5 as key", "6 as Media", "7 as DOC_ID")
@@ -383,5 +455,7 @@ def test_text_media_round_trip(spark):
         media = M.to_wav(payload)
         assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert r.payload_type == "text/plain" and r.carved == ""
-        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and r.feature.startswith("audio/wav;")
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) 
+        turns = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:]))
+        assert r.feature == f"audio/wav;samples={len(payload)};min={min(payload)};max={max(payload)};sum={sum(payload)};power={sum(x * x for x in payload)};crossings={turns};embedded=0"
     assert M.media_digest(M.text_media(frame.limit(0))).collect() == []
