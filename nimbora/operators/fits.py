@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nimbora.sources.scratch import ship
@@ -41,15 +41,19 @@ def _draw(h: np.ndarray, seed: int, stream: int = 0) -> np.ndarray:
     return _mixed(_mixed(h + np.uint64((seed * 0x9E3779B97F4A7C15) % (1 << 64))) + np.uint64(stream * 0xD1342543DE82EF95 % (1 << 64)))
 
 
-def view(fit: Fit, x: np.ndarray, h: np.ndarray, limit: int) -> np.ndarray:
-    """What ``fit`` sees of points ``x`` with hashes ``h``; ``limit`` bounds the top 16 bits of its draw."""
+def seen(fit: Fit, x: np.ndarray, h: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``fit`` sees of points ``x`` with hashes ``h``, and its hashes; ``limit`` bounds the top 16 bits of its draw."""
     if fit.share < 1:
         ok = (_draw(h, fit.seed) >> np.uint64(48)).astype(np.int64) < limit
         x, h = x[ok], h[ok]
     if fit.noise:
         u, w = (((_draw(h[:, None] + np.arange(x.shape[1], dtype=np.uint64), fit.seed, s) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53) for s in (1, 2))
         x = x + fit.noise * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * w)  # Box and Muller's normal deviates
-    return x if fit.dims is None else x[:, fit.dims]
+    return (x if fit.dims is None else x[:, fit.dims]), h
+
+
+def view(fit: Fit, x: np.ndarray, h: np.ndarray, limit: int) -> np.ndarray:
+    return seen(fit, x, h, limit)[0]
 
 
 def reduced(data: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
@@ -85,34 +89,100 @@ def limits(data: DataFrame, fits: list[Fit]) -> list[int]:
     return [int(np.searchsorted(table[f.seed], f.share * table[f.seed][-1], "right")) if f.share < 1 else 1 << 16 for f in fits]
 
 
-def _start(x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Centers by k-means++."""
-    rng = np.random.default_rng(seed)
-    out = [x[rng.integers(len(x))]]
-    near = ((x - out[0]) ** 2).sum(1)
-    while len(out) < k:
-        total = near.sum()
-        out.append(x[rng.choice(len(x), p=near / total)] if total > 0 else x[rng.integers(len(x))])
-        near = np.minimum(near, ((x - out[-1]) ** 2).sum(1))
-    return np.stack(out)
-
-
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None], 0)
 
 
-def kmeans_fits(points: DataFrame, id_: str, vector: str, fits: list[Fit], steps: int = 100, tol: float = 1e-6, sample: int = 4096) -> list[tuple[np.ndarray, float]]:
-    """(centers, cost) of each fit: Lloyd's iterations from k-means++ on at most ``sample`` points
-    (those of least hash); each iteration is one pass for all fits. A center without points stays."""
+def _drawn(data: DataFrame, fits: list[Fit], bounds: list[int], have: list[np.ndarray], counts: list[int], turn: int) -> list[np.ndarray]:
+    """For each fit ``counts`` of the points it sees, drawn without replacement in proportion to their
+    squared distances to the nearest of ``have`` (all alike where it has none yet).
+
+    A point's key is an exponential deviate, made of its hash, over its weight; the points of the least
+    keys are such a draw, in each task as in the whole, so few rows leave a task.
+    """
+    jobs = list(zip(fits, bounds, have, counts, strict=True))
+
+    def rows(batches):
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            h = batch.column(1).to_numpy().view(np.uint64)
+            for j, (f, lim, c, n) in enumerate(jobs):
+                y, g = seen(f, x, h, lim)
+                weight = _squares(y, c).min(1) if len(c) else np.ones(len(y))
+                u = ((_draw(g, f.seed, 16 + turn) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+                ok = np.flatnonzero(weight > 0)
+                keys, y = -np.log(u[ok]) / weight[ok], y[ok]
+                if j in best:
+                    keys, y = np.concatenate([best[j][0], keys]), np.concatenate([best[j][1], y])
+                at = np.argsort(keys, kind="stable")[:n]
+                best[j] = keys[at], y[at]
+        for j, (keys, y) in best.items():
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array([j] * len(keys), pa.int32()), pa.array(keys), pa.array(list(y), pa.list_(pa.float64()))], names=["fit", "key", "v"])
+
+    table = data.mapInArrow(rows, "fit int, key double, v array<double>")
+    n = F.element_at(F.array(*map(F.lit, counts)), F.col("fit") + 1)
+    first = table.withColumn("r", F.row_number().over(Window.partitionBy("fit").orderBy("key"))).filter(F.col("r") <= max(counts)).filter(F.col("r") <= n)
+    found: list[list] = [[] for _ in fits]
+    for r in first.select("fit", "v", "r").orderBy("fit", "r").collect():  # at most ``counts`` a fit
+        found[r["fit"]].append(r["v"])
+    return [np.array(v, float) if v else np.zeros((0, 0)) for v in found]
+
+
+def _starts(data: DataFrame, fits: list[Fit], bounds: list[int], rounds: int) -> list[np.ndarray]:
+    """Centers by k-means||: a first point, then in each round 2 k points drawn by their squared distances
+    to those so far, over all points; what was drawn, weighted by the points nearest to it, is
+    reduced to k centers. Each round is one pass for all fits."""
+    have = _drawn(data, fits, bounds, [np.zeros((0, 0))] * len(fits), [1] * len(fits), 0)
+    if not all(map(len, have)):  # a share of few points may be none of them: these start from all
+        bounds = [lim if len(c) else 1 << 16 for lim, c in zip(bounds, have, strict=True)]
+        have = _drawn(data, fits, bounds, [np.zeros((0, 0))] * len(fits), [1] * len(fits), 0)
+    for turn in range(1, rounds + 1):
+        more = _drawn(data, fits, bounds, have, [2 * f.k for f in fits], turn)
+        have = [np.concatenate([c, m]) if len(m) else c for c, m in zip(have, more, strict=True)]
+
+    def fold(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        out = []
+        for f, lim, c in zip(fits, bounds, have, strict=True):
+            y = view(f, x, h, lim)
+            out.append(np.bincount(_squares(y, c).argmin(1), minlength=len(c)).astype(float) if len(y) else np.zeros(len(c)))
+        return np.concatenate(out)
+
+    weights = np.split(reduced(data, fold), np.cumsum([len(c) for c in have])[:-1])
+    return [_reduced_to(c, w, f.k, f.seed) for f, c, w in zip(fits, have, weights, strict=True)]
+
+
+def _reduced_to(x: np.ndarray, weight: np.ndarray, k: int, seed: int, steps: int = 20) -> np.ndarray:
+    """k centers of a few weighted points: k-means++ and some iterations, the best of five."""
+    rng = np.random.default_rng(seed)
+    best, least = x[:1].repeat(k, 0), np.inf
+    pick = lambda p: x[rng.choice(len(x), p=p / p.sum())] if p.sum() > 0 else x[rng.integers(len(x))]
+    for _ in range(5):
+        c = pick(weight)[None]
+        while len(c) < k:
+            c = np.concatenate([c, pick(weight * ((x[:, None] - c[None]) ** 2).sum(2).min(1))[None]])
+        for _ in range(steps):
+            d = ((x[:, None] - c[None]) ** 2).sum(2)
+            one = np.eye(k)[d.argmin(1)] * weight[:, None]
+            c = np.where(one.sum(0)[:, None] > 0, one.T @ x / np.maximum(one.sum(0), 1e-300)[:, None], c)
+        cost = (weight * ((x[:, None] - c[None]) ** 2).sum(2).min(1)).sum()
+        if cost < least:
+            best, least = c, cost
+    return best
+
+
+def kmeans_fits(points: DataFrame, id_: str, vector: str, fits: list[Fit], steps: int = 100, tol: float = 1e-6, rounds: int = 4) -> list[tuple[np.ndarray, float]]:
+    """(centers, cost) of each fit: Lloyd's iterations from k-means|| starts of so many rounds; each
+    round and each iteration is one pass over all points for all fits. A center without points stays."""
     data = hashed(points, id_, vector).persist()
     try:
-        some = data.orderBy("h").limit(sample).collect()
-        if not some:
+        if data.isEmpty():
             return [(np.zeros((0, 0)), 0.0) for _ in fits]
-        x, h = np.array([r["v"] for r in some], float), np.array([r["h"] for r in some], np.int64).view(np.uint64)
         bounds = limits(data, fits)
-        seen = [view(f, x, h, lim) for f, lim in zip(fits, bounds, strict=True)]
-        centers = [_start(s if len(s) else view(Fit(f.k, f.seed, f.dims), x, h, 1 << 16), f.k, f.seed) for f, s in zip(fits, seen, strict=True)]
+        centers = _starts(data, fits, bounds, rounds)
         cost, live = [0.0] * len(fits), list(range(len(fits)))
         for _ in range(steps):
             now = [(fits[j], bounds[j], centers[j]) for j in live]
