@@ -40,9 +40,9 @@ def report_type_counts(observations: DataFrame) -> DataFrame:
     return observations.groupBy("report_type").agg(F.count("*").alias("n"))
 
 
-def accounting(observations: DataFrame, c: Climate = Climate()) -> DataFrame:
+def accounting(observations: DataFrame, c: Climate = Climate(), by: list[str] | None = None) -> DataFrame:
     """All counters in one pass: rows, dropped rows, and per variable: values, flag failures,
-    range failures (of values that passed their flag), values left."""
+    range failures (of values that passed their flag), values left; a row, or one for each ``by``."""
     names = [n for n in QC_OF if n in observations.columns]
     kept = kept_type(c)
     parts = [F.count("*").alias("n_raw"), F.count_if(~kept).alias("n_dropped")]
@@ -51,7 +51,7 @@ def accounting(observations: DataFrame, c: Climate = Climate()) -> DataFrame:
         wide = out_of_range(n, c) & ~flag if n in c.bounds else F.lit(False)
         parts += [F.count_if(kept & F.col(n).isNotNull()).alias(f"raw_{n}"), F.count_if(kept & flag).alias(f"qc_{n}"), F.count_if(kept & wide).alias(f"range_{n}")]
         parts.append(F.count_if(kept & F.col(n).isNotNull() & ~flag & ~wide).alias(f"clean_{n}"))
-    return observations.agg(*parts)
+    return observations.groupBy(*by or []).agg(*parts)
 
 
 def by_variable(account: DataFrame, what: str) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from nimbora.config import FEATURE_NAMES, Climate
 from nimbora.operators.features import keep_filter, percentile_ranks, station_features, with_stations, zscores
-from nimbora.plans.api import neighbor_edges
+from nimbora.operators.text_index import postings
+from nimbora.plans.api import neighbor_edges, search_text
+from nimbora.sources.records import write_clustered
 from nimbora.sources.scratch import Scratch
 
 #: What is sparse in the test tables gets smaller limits; everything else keeps its default.
@@ -45,9 +47,11 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports from events: one pass, no shuffle."""
+def observations(spark: SparkSession, sf_dir: str, years: int = 1) -> DataFrame:
+    """Reports from events: one pass, no shuffle. With ``years``, every n-th event lies n years back."""
     e = table(spark, sf_dir, "events")
+    if years > 1:
+        e = e.withColumn("ts", F.expr(f"ts - make_interval(cast(event_id % {years} as int))"))
     k, i, u = F.regexp_extract("props", "([0-9]+)", 1).cast("int"), F.col("event_id"), F.col("user_id")
     kind = F.when(F.col("event_type") == "signup", "SOD  ").when(F.col("event_type") == "view", "FM-15").when(F.col("event_type") == "click", "FM-16").when(F.col("event_type") == "purchase", "CRN05").otherwise("FM-12")
     digit = lambda x: (F.floor(x) % 10).cast("string")
@@ -137,5 +141,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "edges", lambda: neighbor_edges(points(spark, sf_dir), kept(spark, sf_dir), SPARSE))
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character n-grams of the stations' names, stored in their order."""
+    key = (spark.sparkContext.applicationId, sf_dir, "search_index")
+    if key not in _stored:
+        path = f"{Scratch(spark, 'lookup').dir}/search_index"
+        write_clustered(postings(search_text(stations(spark, sf_dir)), "station_id", "text"), path, "gram")
+        _stored[key] = spark.read.parquet(path)
+    return _stored[key]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")

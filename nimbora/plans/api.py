@@ -17,6 +17,7 @@ from nimbora.operators.features import percentile_ranks
 from nimbora.operators.metric import knn
 from nimbora.operators.pairs import squared
 from nimbora.operators.sphere import nearest_places
+from nimbora.operators.text_index import holders
 from nimbora.sources.scratch import Scratch
 
 
@@ -33,12 +34,22 @@ def outliers(silhouettes: DataFrame, id_: str, k: int = 15) -> DataFrame:
     return silhouettes.withColumn("silhouette", F.round("silhouette", 6)).orderBy("silhouette", id_).limit(k)
 
 
-def search(stations: DataFrame, text: str, k: int = 12) -> DataFrame:
-    """First k stations whose name, state or id has the text, in any case; two characters at least."""
+def search_text(stations: DataFrame) -> DataFrame:
+    """``stations`` with what a search looks at, as ``text``."""
+    return stations.withColumn("text", F.lower(F.concat_ws(" ", "name", "state", "station_id")))
+
+
+def search(stations: DataFrame, text: str, k: int = 12, index: DataFrame | None = None) -> DataFrame:
+    """First k stations whose name, state or id has the text, in any case; two characters at least.
+    With an ``index`` (``text_index.postings`` of ``search_text``) only stations that have all n-grams of
+    the text are looked at."""
+    rows = stations.select("station_id", "name", "state")
     if len(text) < 2:
-        return stations.select("station_id", "name", "state").limit(0)
-    found = F.lower(F.concat_ws(" ", "name", "state", "station_id")).contains(text.lower())
-    return stations.filter(found).select("station_id", "name", "state").orderBy("station_id").limit(k)
+        return rows.limit(0)
+    if index is not None:
+        rows = rows.join(holders(index, "station_id", text.lower()), "station_id", "left_semi")
+    found = search_text(rows).filter(F.col("text").contains(text.lower()))
+    return found.select("station_id", "name", "state").orderBy("station_id").limit(k)
 
 
 def neighbor_edges(points: DataFrame, places: DataFrame, c: Climate = Climate()) -> DataFrame:
@@ -116,9 +127,12 @@ def guess_answer(locations: DataFrame, edges: DataFrame, guesses: DataFrame, tar
 
 def location_answer(locations: DataFrame, edges: DataFrame, station_id: str) -> DataFrame:
     """One place with nested features, percentiles, z, coverage, its cluster and its neighbours; no
-    row if it is unknown. ``locations`` as in ``guess_answer``, with the coverage columns."""
+    row if it is unknown. ``locations`` as in ``guess_answer``, with the coverage columns. Both tables
+    are asked for single keys only, so clustered ones (``write_clustered``) are hardly read."""
     one = locations.filter(F.col("station_id") == station_id)
-    around = with_neighbors(edges.filter(F.col("station_id") == station_id), locations)
+    mine = edges.filter(F.col("station_id") == station_id)
+    ids = [r[0] for r in mine.select("neighbor_id").collect()]  # as many as neighbours are kept
+    around = with_neighbors(mine, locations.filter(F.col("station_id").isin(ids)))
     around = around.groupBy("station_id").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id", "name", "state", "lat", "lon", "cluster", "climate_distance", "similarity_pct", "geo_distance_mi"))).alias("neighbors"))
     nested = {"features": F.struct(*FEATURE_NAMES), "percentiles": F.struct(*[F.col(f"pct_{n}").alias(n) for n in FEATURE_NAMES]), "z": F.struct(*[F.col("z")[i].alias(n) for i, n in enumerate(FEATURE_NAMES)]), "coverage": F.struct(*COVERAGE)}
     return one.join(around, "station_id", "left").select("station_id", "name", "state", "lat", "lon", "elev_m", "cluster", *[v.alias(k) for k, v in nested.items()], "neighbors")

@@ -21,7 +21,7 @@ from nimbora.operators import features as E
 from nimbora.operators.daily import daily_aggregate
 from nimbora.operators.distance_ranks import quantiles
 from nimbora.plans import api
-from nimbora.sources.records import read_document, write_document, write_hourly, write_table
+from nimbora.sources.records import read_document, write_clustered, write_document, write_hourly, write_table
 
 DIMS = len(FEATURE_NAMES)
 
@@ -87,9 +87,9 @@ def build_model(root: str, spark: SparkSession, c: Climate = Climate(), m: Model
     write_table(grouped.join(parts, "station_id"), f"{root}/grouped")
     grouped = table(spark, root, "grouped")
     outline = G.silhouette_samples(grouped, "station_id", "z", "cluster", DIMS).select("station_id", "silhouette")
-    write_table(grouped.join(outline, "station_id"), f"{root}/locations")
+    write_clustered(grouped.join(outline, "station_id"), f"{root}/locations", "station_id")
     locations = table(spark, root, "locations")
-    write_table(api.neighbor_edges(points, locations, c), f"{root}/neighbors")
+    write_clustered(api.neighbor_edges(points, locations, c), f"{root}/neighbors", "station_id")
 
     write_table(api.cluster_summary(locations), f"{root}/clusters", 1)
     write_table(api.cluster_states(locations), f"{root}/cluster_states", 1)

@@ -214,7 +214,7 @@ def oracle_sql() -> dict[str, str]:
     traits = " UNION ALL ".join(f"SELECT cluster, '{n}' AS feature, {quote(FEATURES[n][0].lower())} AS label, round(avg(z{i}), 9) AS z FROM grouped GROUP BY 1" for i, n in enumerate(N))
     f_rows = " UNION ALL ".join(f"SELECT '{n}' AS feature, sum(n * pow(m - g, 2)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))) AS f FROM (SELECT *, sum(n * m) OVER () / sum(n) OVER () AS g FROM (SELECT cluster, count({n}) AS n, avg({n}) AS m, var_pop({n}) AS v FROM grouped GROUP BY 1))" for n in N)
     choose = lambda n: f"({n}) * (({n}) - 1) / 2.0::DOUBLE"
-    return {
+    found = {
         "station_select": f"WITH {STATIONS} SELECT station_id, name, state, {rn(['lat', 'lon'])}, begin_year, end_year FROM stations WHERE country = 'US' AND lat BETWEEN 24 AND 50 AND lon BETWEEN -125 AND -66 AND begin_year <= 2015 AND end_year >= 2024",
         "fixed_width_parse": f"""WITH {LINES} SELECT event_id, {ID('u', 'u % 25')} AS station_id, date_trunc('minute', ts)::VARCHAR AS obs_time, 41.995::DOUBLE AS lat, -87.934::DOUBLE AS lon, 'FM-15' AS report_type, {r('(i * 37 % 360)::DOUBLE')} AS wind_dir,
           {r('(i % 800) / 10.0::DOUBLE')} AS wind_speed_ms, {r('(i * 7 % 160000)::DOUBLE')} AS visibility_m, CASE WHEN k <> 99 THEN {r('(floor(value * 10) - 200) / 10.0::DOUBLE')} END AS temp_c, '1' AS temp_qc, 15.0::DOUBLE AS dewpoint_c, 1013.2::DOUBLE AS slp_hpa FROM e""",
@@ -269,7 +269,14 @@ def oracle_sql() -> dict[str, str]:
         "geo_signal_ablation": geo(variants, 3),
         "centroid_separation": f"WITH {CENT}, p AS (SELECT a.label AS a, b.label AS b, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM cent a JOIN cent b ON a.label < b.label AND a.j = b.j GROUP BY 1, 2) SELECT {r('min(d)')} AS min_separation, {r('avg(d)')} AS mean_separation FROM p",
         "latency_summary": "WITH t AS (SELECT '/api/' || event_type || '/{id}' AS endpoint, value AS ms FROM events), s AS (SELECT endpoint, ms, row_number() OVER (PARTITION BY endpoint ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY endpoint) AS n FROM t) SELECT endpoint, n::BIGINT AS n, round(max(ms) FILTER (WHERE i = n // 2), 2) AS p50, round(max(ms) FILTER (WHERE i = least(n - 1, n * 95 // 100)), 2) AS p95, round(max(ms), 2) AS max FROM s GROUP BY endpoint, n",
-        "ingest_summary": "WITH t AS (SELECT o_orderkey::VARCHAR AS f, CASE WHEN o_orderkey % 97 = 0 THEN 'missing' WHEN o_orderstatus = 'O' THEN 'cached' ELSE 'downloaded' END AS status, floor(o_totalprice)::BIGINT AS b FROM orders) SELECT status, count(*)::BIGINT AS n_files, sum(b)::BIGINT AS bytes, (count(*) FILTER (WHERE status = 'missing'))::INT AS n_missing, coalesce(string_agg(f, ',' ORDER BY f) FILTER (WHERE status = 'missing'), '') AS missing FROM t GROUP BY 1",
+        "ingest_summary": "SELECT status, count(*)::BIGINT AS n_files, sum(b)::BIGINT AS bytes FROM (SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'missing' WHEN o_orderstatus = 'O' THEN 'cached' ELSE 'downloaded' END AS status, floor(o_totalprice)::BIGINT AS b FROM orders) GROUP BY 1",
+        "missing_files": "SELECT o_orderkey::VARCHAR AS file FROM orders WHERE o_orderkey % 97 = 0",
+        "incremental_build": f"WITH {DAILY.replace('FROM events)', 'FROM (SELECT * REPLACE (ts - to_years((event_id % 3)::INT) AS ts) FROM events))')}, "
+        f"h AS (SELECT source_year, count(*)::BIGINT AS n_hours, sum(n_reports)::BIGINT AS n_reports, {r('sum(temp_c)')} AS temp_c, count(DISTINCT station_id)::BIGINT AS n_stations FROM hourly GROUP BY 1), "
+        f"y AS (SELECT source_year, count(*)::BIGINT AS n_days, count(*) FILTER (WHERE valid_day)::BIGINT AS n_valid, {r('sum(temp_mean_c)')} AS temp_mean_c FROM daily GROUP BY 1), "
+        f"c AS (SELECT source_year, count(*)::BIGINT AS n_raw, count(*) FILTER (WHERE NOT {KEPT_TYPE})::BIGINT AS n_dropped, count(DISTINCT report_type)::BIGINT AS n_types, "
+        + ", ".join(f"count(*) FILTER (WHERE {KEPT_TYPE} AND {cond})::BIGINT AS {k}_{n}" for n in ("temp_c", "visibility_m") for k, cond in (("raw", f"{n} IS NOT NULL"), ("qc", FLAG[n]), ("range", f"{WIDE[n]} AND NOT {FLAG[n]}"), ("clean", f"{n} IS NOT NULL AND NOT {FLAG[n]} AND NOT {WIDE[n]}")))
+        + " FROM obs GROUP BY 1) SELECT * FROM h JOIN y USING (source_year) JOIN c USING (source_year)",
         "clipped_scale": f"WITH {FEATS}, x AS (SELECT station_id, {r('annual_mean_temp_f')} AS x FROM kept), s AS (SELECT list_sort(list(x)) AS s FROM x), q AS (SELECT s[1 + floor(0.02::DOUBLE * (len(s) - 1))::INT] AS lo, s[1 + floor(0.98::DOUBLE * (len(s) - 1))::INT] AS hi FROM s) SELECT station_id, {r('greatest(0, least(1, (x - lo) / (CASE WHEN hi = lo THEN 1 ELSE hi - lo END)))')} AS shade FROM x, q",
         "guess_answer": f"WITH {GAPS}, m AS (SELECT guess_id, b.station_id AS target, round({HAV('best.g_lat', 'best.g_lon', 'b.lat', 'b.lon')}, 6) AS mi, a.station_id AS nearest, a.cluster = b.cluster AS same_cluster, b.cluster AS cluster, {dist()} AS cd FROM best JOIN locs a USING (station_id) JOIN t ON true JOIN locs b ON b.station_id = t.t) SELECT guess_id, target, {r('mi')} AS distance_mi, {score('mi')} AS score, nearest, same_cluster, cluster, {r('cd')} AS climate_distance, {r('coalesce(s, 100)')} AS similarity_pct, {r('(SELECT max(z_gap) FROM gap WHERE gap.guess_id = m.guess_id)')} AS widest_gap, {len(PHRASES)}::INT AS n_facts, (SELECT count(*) FROM edges WHERE station_id = m.target)::INT AS n_neighbors FROM m LEFT JOIN ranked ON ranked.a = least(target, nearest) AND ranked.b = greatest(target, nearest)",
         "guess_gaps": f"WITH {GAPS} SELECT guess_id, feature, label, unit, {rn(['guess_value', 'target_value', 'guess_percentile', 'target_percentile', 'z_gap'])} FROM gap",
@@ -283,11 +290,33 @@ def oracle_sql() -> dict[str, str]:
         "history_csv": f"WITH {STATIONS} SELECT station_id, substr(station_id, 1, 6) AS usaf, substr(station_id, 8, 5) AS wban, name, country, state, icao, {rn(['lat', 'lon'])}, CASE WHEN k % 3 <> 0 THEN {r('elev_m')} END AS elev_m, begin_year, end_year FROM stations",
         "gzip_lines": f"WITH {LINES} SELECT year(ts)::INT AS source_year, {ID('u', 'u % 25')} AS station_id, count(*)::BIGINT AS n, count(*) FILTER (WHERE k <> 99)::BIGINT AS n_temp, {r('sum((i * 37 % 360)::DOUBLE)')} AS wind_dir, min(date_trunc('minute', ts))::VARCHAR AS first_time FROM e WHERE i % 10 <> 0 GROUP BY 1, 2",
         "multi_line_json": "SELECT n_nationkey::INT AS n_nationkey, n_name FROM nation",
-        "build_tables": f"WITH {DAILY}, {Z}, c AS (SELECT count(*) AS n FROM kept) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS part, ({q})::BIGINT AS n" for p, q in {
-            "hourly": "SELECT count(*) FROM hourly", "daily": "SELECT count(*) FROM daily", "features": "SELECT count(DISTINCT station_id) FROM daily", "locations": "SELECT n FROM c", "neighbors": "SELECT n * least(10, n - 1) FROM c", "vectors": "SELECT n FROM c",
-            "sweep": "SELECT 12", "diagnostics": "SELECT 29", "quantiles": "SELECT 7", "correlation": "SELECT 105", "f_ratios": "SELECT 14", "ablation": "SELECT 14", "loadings": "SELECT 70", "clustered": "SELECT n FROM c",
-            "stats_n_raw": "SELECT count(*) FROM obs", "stats_variables": f"SELECT {len(QC_OF)}", "told_sweep": "SELECT 12", "told_k_is_clusters": "SELECT 1",
-        }.items()) + ")",
         "station_search": f"WITH {STATIONS} SELECT station_id, name, state FROM stations WHERE contains(lower(name || ' ' || state || ' ' || station_id), 'on_1') ORDER BY station_id LIMIT 12",
         "health": f"WITH {GROUPED} SELECT count(*)::BIGINT AS locations, count(DISTINCT cluster)::BIGINT AS clusters FROM grouped",
     }
+    return found | {"build_tables": build_tables(found)}
+
+
+#: Rules of the build's model that hold whatever its random starts are.
+RULES = [
+    "clusters by mean temperature", "k of the best silhouette", "sweep tries all", "summaries of clusters", "loadings have length 1", "variance falls", "stability between -1 and 1",
+    "ablation of each feature", "f ratios of each feature", "document repeats the sweep", "document repeats the signal",
+]
+
+
+def build_tables(found: dict[str, str]) -> str:
+    """(part, name, value) of everything that the build writes and SQL can work out."""
+
+    def sums(part: str, source: str, names: list[str]) -> list[str]:
+        return [f"SELECT '{part}' AS part, 'rows' AS name, count(*)::DOUBLE AS value FROM {source}"] + [f"SELECT '{part}', '{n}', sum({r(n)})::DOUBLE FROM {source}" for n in names]
+
+    sub = lambda name: f"({found[name]})"
+    parts = sums("hourly", "hourly", ["n_reports", "temp_c", "wind_u"]) + sums("daily", "daily", ["n_hours", "temp_mean_c", "precip_mm"])
+    parts += ["SELECT 'features', 'rows', count(DISTINCT station_id)::DOUBLE FROM daily", "SELECT 'vectors', 'rows', count(*)::DOUBLE FROM kept"]
+    parts += sums("locations", "kept", N) + [f"SELECT 'locations', 'pct_{n}', sum(pct_{n})::DOUBLE FROM ranks" for n in N] + sums("neighbors", "near", ["rank", "climate_distance", "similarity_pct", "geo_distance_mi"])
+    parts += [f"SELECT 'quantiles', printf('%.2f', p), d FROM {sub('pairwise_quantiles')}", f"SELECT 'correlation', x || '|' || y, r FROM {sub('correlation_matrix')}"]
+    parts += [f"SELECT 'geo_signal', variant, round(median_error_mi, 3) FROM {sub(q)}" for q in ("geo_signal_5nn", "geo_signal_ablation")]
+    parts += [f"SELECT 'stats', '{n}', {n}::DOUBLE FROM {sub('cleaning_accounting')}" for n in ("n_raw", "n_dropped", "n_collapsed", "n_clean")] + ["SELECT 'stats', 'n_stations', count(DISTINCT station_id)::DOUBLE FROM daily"]
+    parts += [f"SELECT '{field}', variable, n::DOUBLE FROM {sub(q)}" for field, q in (("qc_nulled", "qc_null_counts"), ("range_nulled", "range_null_counts"), ("clean_values", "clean_value_counts"))]
+    parts += [f"SELECT 'rule', '{x}', 1.0::DOUBLE" for x in RULES]
+    every = " UNION ALL ".join(parts)
+    return f"WITH {DAILY}, {FEATS}, ranks AS {sub('percentile_rank')}, near AS {sub('neighbor_edges')} SELECT part, name, {r('value', 4)} AS value FROM ({every})"

@@ -21,6 +21,7 @@ from nimbora.operators.sphere import nearest_places
 from nimbora.plans import analogs as A
 from nimbora.plans import api
 from nimbora.plans import build as B
+from nimbora.plans import yearly as Y
 from nimbora.sources import records as R
 from nimbora.sources.scratch import Scratch
 
@@ -292,8 +293,15 @@ def latency_summary(spark, sf):
 def ingest_summary(spark, sf):
     o = A.table(spark, sf, "orders")
     status = F.when(F.col("o_orderkey") % 97 == 0, "missing").when(F.col("o_orderstatus") == "O", "cached").otherwise("downloaded")
-    s = R.ingest_summary(o.select(F.col("o_orderkey").cast("string").alias("file"), status.alias("status"), F.floor("o_totalprice").cast("long").alias("bytes")))
-    return s.select("status", "n_files", "bytes", F.size("missing").alias("n_missing"), F.array_join("missing", ",").alias("missing"))
+    root = Scratch(spark, "ingest").dir
+    R.write_ingest(o.select(F.col("o_orderkey").cast("string").alias("file"), status.alias("status"), F.floor("o_totalprice").cast("long").alias("bytes")), root)
+    return R.read_document(spark, f"{root}/summary", "status string, n_files long, bytes long")
+
+
+def missing_files(spark, sf):
+    o = A.table(spark, sf, "orders")
+    status = F.when(F.col("o_orderkey") % 97 == 0, "missing").otherwise("there")
+    return R.missing_files(o.select(F.col("o_orderkey").cast("string").alias("file"), status.alias("status")))
 
 
 def clipped_scale(spark, sf):
@@ -304,7 +312,8 @@ def clipped_scale(spark, sf):
 
 
 def station_search(spark, sf):
-    return api.search(A.stations(spark, sf), "On_1")
+    """By the stored index of character n-grams, as typed."""
+    return api.search(A.stations(spark, sf), "On_1", index=A.search_index(spark, sf))
 
 
 def health(spark, sf):
@@ -425,22 +434,79 @@ def multi_line_json(spark, sf):
     return both.select(F.explode("nations").alias("n")).select("n.*")
 
 
-SMALL = B.Model(ks=(3, 4, 5, 6), restarts=3, final_restarts=5, mixtures=1, repeats=3)
-
-
 def build_tables(spark, sf):
-    """The build end to end: (part, n) of what it writes. The model's part starts from the features of
-    the station-days, as the events make too few days of one station; its sizes are SMALL."""
+    """The build end to end, at its real sizes: (part, name, value) of what it writes, one value for each
+    measure, pair of features, variant and quantile, and for columns of stations their sums. The
+    model's part starts from the features of the station-days, as the events make too few days of
+    one station. What hangs on a random start is told as rules that it keeps (``rule``: 1)."""
     root = Scratch(spark, "build").dir
     B.build_features(A.observations(spark, sf), A.stations(spark, sf), f"{root}/events", A.EVENTS)
     R.write_table(E.with_stations(A.features(spark, sf), A.stations(spark, sf)), f"{root}/model/features")
-    B.build_model(f"{root}/model", spark, A.SPARSE, SMALL)
-    parts = {n: B.table(spark, f"{root}/events", n).count() for n in ("hourly", "daily", "features")}
-    parts |= {n: B.table(spark, f"{root}/model", n).count() for n in ("locations", "neighbors", "vectors", "sweep", "diagnostics", "quantiles", "correlation", "f_ratios", "ablation", "loadings")}
-    clusters = B.table(spark, f"{root}/model", "clusters").agg(F.sum("size"), F.count("*")).first()
-    stats, told = B.stats(spark, f"{root}/events").first(), B.diagnostics(spark, f"{root}/model").first()
-    parts |= {"clustered": clusters[0], "stats_n_raw": stats["n_raw"], "stats_variables": len(stats["clean_values"]), "told_sweep": len(told["sweep"]), "told_k_is_clusters": int(told["k"] == clusters[1])}
-    return spark.createDataFrame([(k, int(v)) for k, v in parts.items()], "part string, n long")
+    B.build_model(f"{root}/model", spark, A.SPARSE)
+    first, model = (lambda n: B.table(spark, f"{root}/events", n)), (lambda n: B.table(spark, f"{root}/model", n))
+
+    def row(part: str, name, value):
+        return F.struct(F.lit(part).alias("part"), (F.lit(name) if isinstance(name, str) else name).alias("name"), value.cast("double").alias("value"))
+
+    five = lambda x: F.round(x + 1.7e-8, 5)
+
+    def told(frame: DataFrame, *cells) -> DataFrame:
+        return frame.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+
+    def sums(part: str, frame: DataFrame, names: list[str]) -> DataFrame:
+        whole = frame.agg(F.count("*").alias("rows"), *[F.sum(five(F.col(n))).alias(n) for n in names])
+        return told(whole, row(part, "rows", F.col("rows")), *[row(part, n, F.col(n)) for n in names])
+
+    pairs = first("hourly"), first("daily"), model("locations"), model("neighbors")
+    out = sums("hourly", pairs[0], ["n_reports", "temp_c", "wind_u"]).union(sums("daily", pairs[1], ["n_hours", "temp_mean_c", "precip_mm"]))
+    out = out.union(sums("features", first("features"), [])).union(sums("locations", pairs[2], FEATURE_NAMES + [f"pct_{n}" for n in FEATURE_NAMES]))
+    out = out.union(sums("neighbors", pairs[3], ["rank", "climate_distance", "similarity_pct", "geo_distance_mi"]))
+    out = out.union(sums("vectors", model("vectors").select(*[F.col("z")[i].cast("double").alias(n) for i, n in enumerate(FEATURE_NAMES)]), []))
+    out = out.union(told(model("quantiles"), row("quantiles", F.format_string("%.2f", "p"), five(F.col("d")))))
+    out = out.union(told(model("correlation"), row("correlation", F.concat_ws("|", "x", "y"), five(F.col("r")))))
+    out = out.union(told(model("diagnostics"), row("geo_signal", F.col("variant"), F.round(F.when(F.col("variant") == "all", F.round(F.col("median_error_mi") + 1.7e-8, 4)).otherwise(F.round(F.col("median_error_mi") + 1.7e-8, 3)), 3))))
+    stats = B.stats(spark, f"{root}/events")
+    out = out.union(told(stats, *[row("stats", n, F.col(n)) for n in ("n_raw", "n_dropped", "n_collapsed", "n_clean", "n_stations")]))
+    for field in ("qc_nulled", "range_nulled", "clean_values"):
+        out = out.union(told(stats.select(F.explode(field).alias("v")), row(field, F.col("v.variable"), F.col("v.n"))))
+    return rounded(out.union(_rules(spark, model, B.diagnostics(spark, f"{root}/model"))), 4)
+
+
+def _rules(spark, model, summary) -> DataFrame:
+    """(part, name, value) of rules that the model keeps, whatever its starts: clusters by mean temperature,
+    the number of groups of the best silhouette, parts that sum to wholes, documents that repeat tables."""
+    groups = {r["cluster"]: r for r in model("locations").groupBy("cluster").agg(F.count("*").alias("n"), F.avg("annual_mean_temp_f").alias("t"), F.avg("silhouette").alias("s")).collect()}  # a row per cluster
+    tried, one = [r.asDict() for r in model("sweep").collect()], summary.first()  # a row per algorithm and k
+    best = max((r for r in tried if r["algorithm"] == "kmeans" and r["k"] >= B.Model().least_k), key=lambda r: (round(r["silhouette"], 12), -r["k"]))
+    told = {r["cluster"]: r for r in model("clusters").collect()}
+    lengths = {r["component"]: r["s"] for r in model("loadings").groupBy("component").agg(F.sum(F.col("loading") * F.col("loading")).alias("s")).collect()}
+    share = [one["explained_variance"][i] for i in range(len(one["explained_variance"]))]
+    near = lambda a, b: abs(a - b) < 1e-9 * max(1, abs(a))
+    rules = {
+        "clusters by mean temperature": [groups[g]["t"] for g in sorted(groups)] == sorted(groups[g]["t"] for g in groups) and sorted(groups) == list(range(one["k"])),
+        "k of the best silhouette": one["k"] == best["k"], "sweep tries all": sorted((r["algorithm"], r["k"]) for r in tried) == sorted((a, k) for a in {r["algorithm"] for r in tried} for k in B.Model().ks) and len(tried) == 30,
+        "summaries of clusters": all(told[g]["size"] == groups[g]["n"] and near(told[g]["silhouette"], groups[g]["s"]) and near(told[g]["annual_mean_temp_f"], groups[g]["t"]) for g in groups),
+        "loadings have length 1": len(lengths) == B.Model().components and all(near(v, 1.0) for v in lengths.values()), "variance falls": share == sorted(share, reverse=True) and 0 < sum(share) <= 1 + 1e-9,
+        "stability between -1 and 1": sorted(s["kind"] for s in one["stability"]) == ["noise", "subsample"] and all(-1 <= s["mean"] <= 1 and s["deviation"] >= 0 for s in one["stability"]),
+        "ablation of each feature": sorted(a["feature"] for a in one["ablation"]) == sorted(FEATURE_NAMES), "f ratios of each feature": sorted(a["feature"] for a in one["f_ratios"]) == sorted(FEATURE_NAMES) and all(a["f"] is None or a["f"] >= 0 for a in one["f_ratios"]),
+        "document repeats the sweep": sorted((r["algorithm"], r["k"]) for r in one["sweep"]) == sorted((r["algorithm"], r["k"]) for r in tried), "document repeats the signal": len(one["geo_signal"]) == model("diagnostics").count() and len(one["quantiles"]) == model("quantiles").count(),
+    }
+    return spark.createDataFrame([("rule", k, float(v)) for k, v in rules.items()], "part string, name string, value double")
+
+
+def incremental_build(spark, sf):
+    """Two years, one of them with a part of its files only, then that one whole and a third: a row per
+    year of what the stored tables and counters hold, as if built at once."""
+    root = Scratch(spark, "yearly").dir
+    every = A.observations(spark, sf, 3)
+    years = [r[0] for r in every.select("source_year").distinct().orderBy("source_year").collect()]  # three
+    Y.add_years(every.filter((F.col("source_year") == years[0]) | ((F.col("source_year") == years[1]) & (F.col("event_id") % 2 == 0))), root, A.EVENTS, 4)
+    Y.add_years(every.filter(F.col("source_year") > years[0]), root, A.EVENTS, 4)
+    hours = Y.table(spark, root, "hourly").groupBy("source_year").agg(F.count("*").alias("n_hours"), F.sum("n_reports").alias("n_reports"), F.sum("temp_c").alias("temp_c"), F.count_distinct("station_id").alias("n_stations"))
+    days = Y.table(spark, root, "daily").groupBy("source_year").agg(F.count("*").alias("n_days"), F.count_if(F.col("valid_day")).alias("n_valid"), F.sum("temp_mean_c").alias("temp_mean_c"))
+    counters = Y.table(spark, root, "counters").select("source_year", "n_raw", "n_dropped", *[f"{k}_{n}" for n in ("temp_c", "visibility_m") for k in ("raw", "qc", "range", "clean")])
+    types = Y.table(spark, root, "report_types").groupBy("source_year").agg(F.count("*").alias("n_types"))
+    return rounded(hours.join(days, "source_year").join(counters, "source_year").join(types, "source_year"))
 
 
 def queries() -> dict:
@@ -449,7 +515,7 @@ def queries() -> dict:
         local_day, daily_aggregate, valid_day_nulling, station_features, precip_gauge_rule, coverage_pct, missing_feature_counts, features_join_stations, keep_filter, zscore, percentile_rank,
         pairwise_quantiles, knn10, similarity_pct, neighbor_edges, haversine_pairs, nearest_station, distance_score_, climate_clue, clue_facts, clue_verify, extremes_high, extremes_low, outliers, climate_twins,
         pair_similarity, guess_report, location_profile, cluster_summary, cluster_states_top6, cluster_traits_top4, silhouette_samples, calinski_harabasz, adjusted_rand, f_ratio, correlation_matrix,
-        geo_signal_5nn, geo_signal_ablation, centroid_separation, latency_summary, ingest_summary, clipped_scale, station_search, health, kmeans_sweep, ward_labels, gmm_bic, pca_scores, stability_ari, feature_ablation,
+        geo_signal_5nn, geo_signal_ablation, centroid_separation, latency_summary, ingest_summary, missing_files, incremental_build, clipped_scale, station_search, health, kmeans_sweep, ward_labels, gmm_bic, pca_scores, stability_ari, feature_ablation,
         guess_answer, guess_gaps, feature_gaps, location_answer, location_neighbors, describe_features, counter_totals, percent_left, vectors_float32, history_csv, gzip_lines, multi_line_json, build_tables,
     ]
     return {f.__name__.rstrip("_"): f for f in found}

@@ -57,9 +57,21 @@ def parse_records(lines: DataFrame) -> DataFrame:
 
 
 def ingest_summary(status: DataFrame) -> DataFrame:
-    """(file, status, bytes) -> per status: files, bytes, and the names of missing files."""
-    missing = F.sort_array(F.collect_list(F.when(F.col("status") == "missing", F.col("file"))))
-    return status.groupBy("status").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), missing.alias("missing"))
+    """(file, status, bytes) -> per status: files and bytes. The names of missing files, which may be many,
+    are ``missing_files``."""
+    return status.groupBy("status").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def missing_files(status: DataFrame) -> DataFrame:
+    """(file) of the files that weren't there, a row each."""
+    return status.filter(F.col("status") == "missing").select("file")
+
+
+def write_ingest(status: DataFrame, root: str) -> None:
+    """Two sinks: ``files``, a table partitioned by status, and ``summary``, its counts as a document. The
+    counts come from the written files, so both tell of the same."""
+    status.write.mode("overwrite").partitionBy("status").option("compression", "zstd").parquet(f"{root}/files")
+    write_document(ingest_summary(status.sparkSession.read.schema(status.schema).parquet(f"{root}/files")), f"{root}/summary")
 
 
 def write_hourly(hourly: DataFrame, path: str) -> None:
@@ -72,6 +84,13 @@ def write_table(table: DataFrame, path: str, files: int = 0) -> None:
     (table.coalesce(files) if files else table).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def write_clustered(table: DataFrame, path: str, key: str, group_kb: int = 1024) -> None:
+    """A Parquet table for lookups of single keys: ranges of ``key`` in files, sorted, in small row groups
+    with statistics and a Bloom filter, so that a reader of one key opens a row group or none."""
+    options = {"compression": "zstd", "parquet.block.size": str(group_kb << 10), "parquet.page.row.count.limit": "1000", f"parquet.bloom.filter.enabled#{key}": "true", f"parquet.bloom.filter.adaptive.enabled#{key}": "true"}
+    table.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").options(**options).parquet(path)
+
+
 def write_document(rows: DataFrame, path: str) -> None:
     """A small nested result as JSON lines."""
     rows.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
