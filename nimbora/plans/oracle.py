@@ -271,6 +271,10 @@ def oracle_sql() -> dict[str, str]:
         "latency_summary": "WITH t AS (SELECT '/api/' || event_type || '/{id}' AS endpoint, value AS ms FROM events), s AS (SELECT endpoint, ms, row_number() OVER (PARTITION BY endpoint ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY endpoint) AS n FROM t) SELECT endpoint, n::BIGINT AS n, round(max(ms) FILTER (WHERE i = n // 2), 2) AS p50, round(max(ms) FILTER (WHERE i = least(n - 1, n * 95 // 100)), 2) AS p95, round(max(ms), 2) AS max FROM s GROUP BY endpoint, n",
         "ingest_summary": "SELECT status, count(*)::BIGINT AS n_files, sum(b)::BIGINT AS bytes FROM (SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'missing' WHEN o_orderstatus = 'O' THEN 'cached' ELSE 'downloaded' END AS status, floor(o_totalprice)::BIGINT AS b FROM orders) GROUP BY 1",
         "missing_files": "SELECT o_orderkey::VARCHAR AS file FROM orders WHERE o_orderkey % 97 = 0",
+        "round_outcomes": "WITH e AS (SELECT user_id::BIGINT AS player, event_id::BIGINT AS i, event_type, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type IN ('view', 'click')), "
+        "n AS (SELECT *, lead(event_type) OVER w AS kind, lead(i) OVER w AS j, lead(ms) OVER w AS later FROM e WINDOW w AS (PARTITION BY player ORDER BY ms, i)), "
+        "o AS (SELECT *, coalesce(kind = 'click' AND later <= ms + 21600000, false) AS hit FROM n WHERE event_type = 'view' AND (j IS NOT NULL OR ms + 21600000 < (SELECT max(ms) FROM e))) "
+        f"SELECT player, i AS round_id, CASE WHEN hit THEN j ELSE -1 END AS guess_id, hit AS answered, CASE WHEN hit THEN {r('(later - ms) / 1000.0::DOUBLE')} END AS seconds FROM o",
         "incremental_build": f"WITH {DAILY.replace('FROM events)', 'FROM (SELECT * REPLACE (ts - to_years((event_id % 3)::INT) AS ts) FROM events))')}, "
         f"h AS (SELECT source_year, count(*)::BIGINT AS n_hours, sum(n_reports)::BIGINT AS n_reports, {r('sum(temp_c)')} AS temp_c, count(DISTINCT station_id)::BIGINT AS n_stations FROM hourly GROUP BY 1), "
         f"y AS (SELECT source_year, count(*)::BIGINT AS n_days, count(*) FILTER (WHERE valid_day)::BIGINT AS n_valid, {r('sum(temp_mean_c)')} AS temp_mean_c FROM daily GROUP BY 1), "

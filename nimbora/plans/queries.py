@@ -24,6 +24,7 @@ from nimbora.plans import build as B
 from nimbora.plans import yearly as Y
 from nimbora.sources import records as R
 from nimbora.sources.scratch import Scratch
+from nimbora.streaming.rounds import OUT, outcomes
 
 DIMS = len(FEATURE_NAMES)
 GUESSES = [(float(lat), float(lon)) for lat in range(25, 50, 4) for lon in range(-124, -66, 8)]
@@ -509,13 +510,24 @@ def incremental_build(spark, sf):
     return rounded(hours.join(days, "source_year").join(counters, "source_year").join(types, "source_year"))
 
 
+def round_outcomes(spark, sf):
+    """The table of events replayed as a stream: a view opens a player's round, a click within six hours answers it
+    (guess -1: none did)."""
+    path, root = f"{sf}/events.parquet", Scratch(spark, "rounds").dir
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/events.parque[t]")  # a pattern may be a file or a folder
+    kind = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "click", "guess")
+    played = outcomes(stream.select(F.col("user_id").cast("long").alias("player"), F.col("event_id").cast("long").alias("event_id"), kind.alias("kind"), "ts"), 6 * 3600.0, "0 seconds")
+    played.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return rounded(spark.read.schema(OUT).parquet(f"{root}/out").withColumn("guess_id", F.coalesce("guess_id", F.lit(-1).cast("long"))))
+
+
 def queries() -> dict:
     found = [
         station_select, fixed_width_parse, regex_sections, report_type_counts, qc_null_counts, range_null_counts, clean_value_counts, cleaning_accounting, hour_collapse, wind_vector_mean, precip_period_max,
         local_day, daily_aggregate, valid_day_nulling, station_features, precip_gauge_rule, coverage_pct, missing_feature_counts, features_join_stations, keep_filter, zscore, percentile_rank,
         pairwise_quantiles, knn10, similarity_pct, neighbor_edges, haversine_pairs, nearest_station, distance_score_, climate_clue, clue_facts, clue_verify, extremes_high, extremes_low, outliers, climate_twins,
         pair_similarity, guess_report, location_profile, cluster_summary, cluster_states_top6, cluster_traits_top4, silhouette_samples, calinski_harabasz, adjusted_rand, f_ratio, correlation_matrix,
-        geo_signal_5nn, geo_signal_ablation, centroid_separation, latency_summary, ingest_summary, missing_files, incremental_build, clipped_scale, station_search, health, kmeans_sweep, ward_labels, gmm_bic, pca_scores, stability_ari, feature_ablation,
+        geo_signal_5nn, geo_signal_ablation, centroid_separation, latency_summary, ingest_summary, missing_files, incremental_build, round_outcomes, clipped_scale, station_search, health, kmeans_sweep, ward_labels, gmm_bic, pca_scores, stability_ari, feature_ablation,
         guess_answer, guess_gaps, feature_gaps, location_answer, location_neighbors, describe_features, counter_totals, percent_left, vectors_float32, history_csv, gzip_lines, multi_line_json, build_tables,
     ]
     return {f.__name__.rstrip("_"): f for f in found}
