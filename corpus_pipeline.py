@@ -71,4 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = store.save(name, docs)
+            if i:
+                store.drop(STAGES[i - 1][0])  # nothing reads it any more
     return docs
