@@ -100,12 +100,20 @@ def station_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple, DataFrame] = {}
+
+
+def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """The application, the table, and the input as it is now: names, sizes and times of what lies in its folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/*.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return spark.sparkContext.applicationId, sf_dir, name, tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table made once per application and input, and read from the shared folder by all lookups."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table made once per application and input, and read from the shared folder by all lookups;
+    made anew where the input has changed."""
+    key = _key(spark, sf_dir, name)
     if key not in _stored:
         _stored[key] = Scratch(spark, "lookup").save(name, make())
     return _stored[key]
@@ -143,7 +151,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character n-grams of the stations' names, stored in their order."""
-    key = (spark.sparkContext.applicationId, sf_dir, "search_index")
+    key = _key(spark, sf_dir, "search_index")
     if key not in _stored:
         path = f"{Scratch(spark, 'lookup').dir}/search_index"
         write_clustered(postings(search_text(stations(spark, sf_dir)), "station_id", "text"), path, "gram")

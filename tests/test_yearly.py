@@ -1,5 +1,7 @@
 """The build year by year against the build at once; layouts that spare exchanges and scans."""
 
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +102,19 @@ def test_a_lookup_reads_one_row_group(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", had)
 
 
+def test_stored_tables_follow_their_input(spark, tmp_path):
+    for name in ("lineitem", "supplier", "nation"):
+        shutil.copy(f"{DATA}/{name}.parquet", tmp_path / f"{name}.parquet")
+    first = A.features(spark, str(tmp_path))
+    n = first.count()
+    assert A.features(spark, str(tmp_path)) is first
+    spark.read.parquet(f"{DATA}/lineitem.parquet").filter("l_suppkey % 2 = 0").coalesce(1).write.parquet(str(tmp_path / "half"))
+    (part,) = (tmp_path / "half").glob("part-*.parquet")
+    (tmp_path / "lineitem.parquet").write_bytes(part.read_bytes())
+    (tmp_path / ".lineitem.parquet.crc").unlink(missing_ok=True)
+    assert 0 < A.features(spark, str(tmp_path)).count() < n
+
+
 def test_ingest_leaves_files_and_their_counts(spark, tmp_path):
     status = spark.createDataFrame([("a", "downloaded", 5), ("b", "missing", None), ("c", "missing", None), ("d", "cached", 7)], "file string, status string, bytes long")
     R.write_ingest(status, str(tmp_path))
