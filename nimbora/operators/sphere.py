@@ -79,8 +79,9 @@ def nearest_places(guesses: DataFrame, places: DataFrame, leaf: int = 64, stats:
         most = spots.groupBy(cell(*map(F.col, AXES), level)).count().agg(F.max("count")).first()[0]
         level += 0 if most <= leaf else STEP
     at = spots.withColumn("cell", cell(*map(F.col, AXES), level))
-    leaves = store.save("leaves", at.groupBy("cell").agg(F.collect_list(F.struct("lat", "lon", "station_id")).alias("places")))  # few in each, by the loop above
-    tree = [store.save(f"nodes{level}", _nodes(at.select("cell", "lat", "lon", *[F.col(a).alias(a + i) for a in AXES for i in "12"]), F.col("cell")))]  # from the last level up
+    leaves = at.groupBy("cell").agg(F.collect_list(F.struct("lat", "lon", "station_id")).alias("places"))  # few in each, by the loop above
+    last_nodes = _nodes(at.select("cell", "lat", "lon", *[F.col(a).alias(a + i) for a in AXES for i in "12"]), F.col("cell"))
+    tree = [store.save(f"nodes{level}", last_nodes) if level > STEP else last_nodes]  # from the last level up; one level alone is read once
     for below in range(level, STEP, -STEP):
         tree.append(store.save(f"nodes{below - STEP}", _nodes(tree[-1].select("node.*"), parent(F.col("cell"), below))))
     g = guesses.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("guess_id", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"))
