@@ -2,21 +2,24 @@
 
 The reference is the whole corpus, cut into blocks at content-defined anchors: of every
 ``width``-word window, the least hash among its ``anchor``-word runs. Two documents that
-share a window share its anchor. Documents that hold an anchor of another document are
-parsed: factor by factor, each the longest run of words that one indexed reference block
-sequence continues. Factors of ``width`` words and more are duplicate spans; windows that
-cross a factor's boundary are looked up on their own, so none is lost where the greedy
-parse changes its reference.
+share a window share its anchor. The blocks of one anchor are factored in the order of their
+documents: at each word the index of all earlier documents' blocks tells a reference whose next
+``width`` words are the same, and the factor goes on for as long as the words agree, word by
+word. Shorter factors are literals. The first window that crosses a factor's end is looked up
+next, so none is lost where the greedy parse changes its reference. A document's factors are then
+strung together over its blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.llm import words as W
@@ -31,6 +34,9 @@ class Factors:
     anchor: int = 25
     #: Ids of documents up to which they are broadcast (8 MB), to leave other texts unshuffled; more are joined.
     broadcast_ids: int = 1_000_000
+    #: Different blocks of one anchor up to which one index holds them; those of more are looked up window by window,
+    #: in a join that spreads them.
+    group_blocks: int = 4096
 
 
 def least_of(values: np.ndarray, span: int) -> np.ndarray:
@@ -114,19 +120,112 @@ def _spots(f: Factors, full: bool):
     return rows
 
 
-def _windows_at(f: Factors):
-    """(doc_id, text, spans of place and n) -> a row per window of the spans: its words' hash, doc_id and place."""
+BLOCK = "window long, doc_id long, place long, anchor long, words binary"
+
+
+def _blocks_at(f: Factors):
+    """(doc_id, text, spans of place, n and anchor) -> a row per span: the words of its windows, joined by one space. Spans
+    without an anchor give a row per window instead: its words' hash."""
 
     def rows(batches):
         for batch in batches:
-            for lo, hi, _, words in _sliced(batch, 1):
+            for lo, hi, data, words in _sliced(batch, 1):
+                raw = data.tobytes()
                 for i in range(hi - lo):
                     first, last = int(words.first[i]), int(words.first[i + 1])
-                    spans = batch.column(2)[lo + i].as_py()
-                    at = np.unique(np.concatenate([np.arange(x["place"], x["place"] + x["n"]) for x in spans]))
-                    at = at[at <= last - first - f.width]  # of rows that repeat a doc_id, another may be longer
-                    windows = W.run_hashes(words.hash, first + at, first + at + f.width, WINDOW)
-                    yield pa.RecordBatch.from_arrays([W.as_long(windows), batch.column(0)[lo + i : lo + i + 1].take(pa.array(np.zeros(len(at), np.int64))), W.as_long(at)], names=["window", "doc_id", "place"])
+                    top = last - first - f.width  # of rows that repeat a doc_id, another may be longer
+                    spans = [x for x in batch.column(2)[lo + i].as_py() if x["place"] <= top]
+                    blocks = [x for x in spans if x["anchor"] is not None]
+                    loose = [np.arange(x["place"], min(x["place"] + x["n"], top + 1)) for x in spans if x["anchor"] is None]
+                    at = np.unique(np.concatenate(loose)) if loose else np.zeros(0, np.int64)
+                    windows = W.run_hashes(words.hash, first + at, first + at + f.width, WINDOW).view(np.int64).tolist()
+                    texts = []
+                    for x in blocks:
+                        a, b = first + x["place"], min(first + x["place"] + x["n"] + f.width - 1, last)
+                        texts.append(b" ".join(raw[s:e] for s, e in zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True)))
+                    none, m = [None], len(blocks)
+                    cols = [
+                        (none * m + windows, pa.int64()),
+                        ([batch.column(0)[lo + i].as_py()] * (m + len(at)), pa.int64()),
+                        ([x["place"] for x in blocks] + at.tolist(), pa.int64()),
+                        ([x["anchor"] for x in blocks] + none * len(at), pa.int64()),
+                        (texts + none * len(at), pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["window", "doc_id", "place", "anchor", "words"])
+
+    return rows
+
+
+class References:
+    """The blocks of one anchor, in the order of their documents, and where each of their windows stands first.
+
+    Windows are found by a hash and compared by their bytes. Blocks of the document that is
+    being parsed wait until it is done, so that a document is no reference of its own.
+    """
+
+    def __init__(self, width: int):
+        self.width = width
+        self.at: dict[int, list[tuple[int, int]]] = {}
+        self.blocks: list[tuple[int, int, list[bytes]]] = []  # document, its first word, words
+        self.doc: int | None = None
+        self.waiting: dict[bytes, tuple[int, list[tuple[int, int, int, int]]]] = {}
+
+    def _windows(self, text: bytes, words: list[bytes]) -> list[bytes]:
+        starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+        return [text[starts[i] : starts[i + self.width] - 1] for i in range(len(words) - self.width + 1)]
+
+    def _find(self, window: bytes) -> tuple[int, int] | None:
+        for block, i in self.at.get(hash(window), ()):
+            if b" ".join(self.blocks[block][2][i : i + self.width]) == window:
+                return block, i
+        return None
+
+    def _take_up(self) -> None:
+        for text, (place, _) in self.waiting.items():
+            words = text.split(b" ")
+            self.blocks.append((self.doc, place, words))
+            for i, window in enumerate(self._windows(text, words)):
+                if self._find(window) is None:
+                    self.at.setdefault(hash(window), []).append((len(self.blocks) - 1, i))
+        self.waiting = {}
+
+    def factors(self, doc: int, place: int, text: bytes) -> list[tuple[int, int, int, int]]:
+        """(first window, windows, reference document, its first word) of a block's factors of ``width`` words and more."""
+        if doc != self.doc:
+            self._take_up()
+            self.doc = doc
+        if text not in self.waiting:
+            words = text.split(b" ")
+            windows = self._windows(text, words) if self.at else []
+            found, i = [], 0
+            while i < len(windows):
+                hit = self._find(windows[i])
+                if hit is None:
+                    i += 1
+                    continue
+                ref, ref_place, source = self.blocks[hit[0]]
+                more = self.width
+                while i + more < len(words) and hit[1] + more < len(source) and words[i + more] == source[hit[1] + more]:
+                    more += 1
+                found.append((i, more - self.width + 1, ref, ref_place + hit[1]))
+                i += more - self.width + 1
+            self.waiting[text] = (place, found)
+        return [(place + i, n, ref, at) for i, n, ref, at in self.waiting[text][1]]
+
+
+def _factor(f: Factors):
+    """(anchor, doc_id, place, words) in this order -> a row per factor of a block."""
+
+    def rows(batches) -> Iterator[pa.RecordBatch]:
+        anchor, known = None, References(f.width)
+        for batch in batches:
+            out: list[tuple] = []
+            for a, doc, place, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if a != anchor:
+                    anchor, known = a, References(f.width)
+                out += [(doc, *x) for x in known.factors(doc, place, words)]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "place", "n", "ref", "ref_place"])
 
     return rows
 
@@ -172,7 +271,8 @@ def remove_repeats(docs: DataFrame, f: Factors = Factors()) -> DataFrame:
 
     Two documents with a window in common have its anchor in common. Runs of windows of one
     anchor with the same words are one class; all but its first document lose them whole.
-    Only the first documents of different classes of one anchor are compared by window.
+    The first documents of different classes of one anchor are factored by their words; where
+    there are more than ``group_blocks`` classes, they meet by window instead, with the same result.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -191,9 +291,10 @@ def remove_repeats(docs: DataFrame, f: Factors = Factors()) -> DataFrame:
     classes = store.save("classes", classes.select(F.col("anchor").alias("ca"), F.col("run").alias("cr"), F.col("low.doc_id").alias("ref"), F.col("low.place").alias("ref_place")))
     same = (F.col("anchor") == F.col("ca")) & (F.col("run") == F.col("cr"))
     whole_runs = spots.join(classes, same).filter("doc_id > ref").select("doc_id", "place", "n", "ref", "ref_place")
-    mixed = classes.groupBy("ca").agg(F.count("*").alias("runs")).filter("runs > 1").select(F.col("ca").alias("ma"))
+    mixed = classes.groupBy("ca").agg(F.count("*").alias("runs")).filter("runs > 1").select(F.col("ca").alias("ma"), "runs")
     heads = spots.join(classes.join(mixed, F.col("ca") == F.col("ma")), same & (F.col("doc_id") == F.col("ref")))
-    wanted = store.save("wanted", heads.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("spans")).withColumnRenamed("doc_id", "head"))
+    indexed = F.when(F.col("runs") <= f.group_blocks, F.col("ca")).alias("anchor")
+    wanted = store.save("wanted", heads.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", indexed)).alias("spans")).withColumnRenamed("doc_id", "head"))
 
     def with_texts(ids: DataFrame, name: str) -> DataFrame:
         """The rows of ``plain`` with these ids: only their texts are shuffled."""
@@ -201,10 +302,13 @@ def remove_repeats(docs: DataFrame, f: Factors = Factors()) -> DataFrame:
         return plain.join(F.broadcast(one) if one.count() <= f.broadcast_ids else one, plain["doc_id"] == one[name], "left_semi")
 
     texts = with_texts(wanted, "head").join(wanted, F.col("doc_id") == F.col("head")).select("doc_id", "text", "spans")
-    single = store.save("single", texts.mapInArrow(_windows_at(f), "window long, doc_id long, place long"))
+    blocks = store.save("blocks", texts.mapInArrow(_blocks_at(f), BLOCK))
+    in_order = blocks.filter("anchor is not null").select("anchor", "doc_id", "place", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "place")
+    factored = in_order.mapInArrow(_factor(f), "doc_id long, place long, n long, ref long, ref_place long")
+    single = blocks.filter("anchor is null").select("window", "doc_id", "place")
     least = single.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("low"))
     least = least.select(F.col("window").alias("w"), F.col("low.doc_id").alias("ref"), F.col("low.place").alias("ref_place"))
-    one_by_one = single.join(least, F.col("window") == F.col("w")).filter("doc_id > ref").select("doc_id", "place", F.lit(1).alias("n"), "ref", "ref_place")
+    one_by_one = single.join(least, F.col("window") == F.col("w")).filter("doc_id > ref").select("doc_id", "place", F.lit(1).cast("long").alias("n"), "ref", "ref_place")
 
     prints = [F.xxhash64("text").alias("ha"), F.xxhash64(F.lit(1), "text").alias("hb"), F.length("text").alias("hl")]
     texts = known.select("doc_id", *prints)
@@ -212,12 +316,21 @@ def remove_repeats(docs: DataFrame, f: Factors = Factors()) -> DataFrame:
     copies = texts.join(firsts, ["ha", "hb", "hl"]).filter("doc_id > ref").select("doc_id", F.lit(0).alias("place"), F.lit(-1).alias("n"), "ref", F.lit(0).alias("ref_place"))
 
     # A document's hits are at most its windows.
-    hits = whole_runs.union(one_by_one).union(copies)
+    hits = whole_runs.union(factored).union(one_by_one).union(copies)
     hits = store.save("hits", hits.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n", "ref", "ref_place")).alias("hits")))
-    store.drop("index", "spots", "classes", "wanted", "single")
+    store.drop("index", "spots", "classes", "wanted", "blocks")
     hits = hits.withColumnRenamed("doc_id", "hit")
     found = with_texts(hits, "hit").join(hits, F.col("doc_id") == F.col("hit")).select("doc_id", "text", "hits")
     ids = hits.select("hit")
     ids = F.broadcast(ids) if ids.count() <= f.broadcast_ids else ids
     rest = plain.join(ids, plain["doc_id"] == ids["hit"], "left_anti").select("doc_id", "text", F.lit(None).cast(hits.schema["hits"].dataType).alias("hits"))
     return found.union(rest).mapInArrow(_apply(f), RESULT)
+
+
+def removed_spans(factors: Column) -> Column:
+    """Stretches of words that factors cover, as ``first:end`` (end exclusive) by place, comma-joined. Factors come in
+    the order of their first words, which is that of their ends."""
+    end = lambda x: x["start"] + x["words"]
+    first = F.filter(factors, lambda x, i: (i == 0) | (x["start"] > end(F.get(factors, i - 1))))
+    last = F.filter(factors, lambda x, i: (i == F.size(factors) - 1) | (F.get(factors, i + 1)["start"] > end(x)))
+    return F.array_join(F.zip_with(first, last, lambda a, b: F.concat_ws(":", a["start"].cast("string"), end(b).cast("string"))), ",")

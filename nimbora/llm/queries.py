@@ -57,7 +57,8 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_factor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _factors.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    found = _factors.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", _factors.removed_spans(F.col("factors")).alias("spans"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +148,11 @@ hit AS (SELECT doc_id, list(i) AS starts FROM win JOIN low USING (h) WHERE m < d
 gone AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform(starts, lambda i: range(i, i + 50)))) AS p FROM hit),
 pos AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d),
 kept AS (SELECT pos.doc_id, count(*) FILTER (WHERE gone.p IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY pos.p) FILTER (WHERE gone.p IS NULL) AS t
-         FROM pos LEFT JOIN gone ON pos.doc_id = gone.doc_id AND pos.p = gone.p GROUP BY 1)
-SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM d LEFT JOIN kept USING (doc_id)
+         FROM pos LEFT JOIN gone ON pos.doc_id = gone.doc_id AND pos.p = gone.p GROUP BY 1),
+part AS (SELECT doc_id, min(p) - 1 AS a, max(p) AS b FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gone) GROUP BY doc_id, g),
+told AS (SELECT doc_id, string_agg(a::VARCHAR || ':' || b::VARCHAR, ',' ORDER BY a) AS spans FROM part GROUP BY 1)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN told USING (doc_id)
 """
 
 

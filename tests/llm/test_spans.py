@@ -17,9 +17,10 @@ from urllib.parse import quote
 import pytest
 from pyspark.sql import functions as F
 
+from nimbora.llm import factor_dedup
 from nimbora.llm import media as M
 from nimbora.llm import secret_scan as S
-from nimbora.llm.factor_dedup import Factors, remove_repeats
+from nimbora.llm.factor_dedup import Factors, References, remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -41,8 +42,8 @@ def brute(docs, width=50):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [0, 10**6])
-def test_factors_equal_brute_force(spark, broadcast):
+@pytest.mark.parametrize(("broadcast", "group"), [(0, 4096), (10**6, 4096), (10**6, 3), (10**6, 1)])
+def test_factors_equal_brute_force(spark, broadcast, group):
     rng = random.Random(4)
     line = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     passages = [line(n) for n in (49, 50, 51, 60, 75, 130, 300)] + [["a"] * 120, ["a", "b"] * 70]
@@ -57,15 +58,44 @@ def test_factors_equal_brute_force(spark, broadcast):
     docs += [(90, docs[5][1]), (91, docs[5][1]), (92, None), (93, ""), (94, " ".join(passages[6] * 3)), (95, "x " * 20_000), (96, "x " * 10_000)]
     rng.shuffle(docs)
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as ref", "'q' as place", "'t' as TEXT")
-    rows = remove_repeats(frame, Factors(broadcast_ids=broadcast)).collect()
+    rows = remove_repeats(frame, Factors(broadcast_ids=broadcast, group_blocks=group)).collect()
     want = brute(docs)
     assert sum(n for _, n, _ in want.values()) > 1000
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == want
     words = {i: WORD.findall(t or "") for i, t in docs}
     for r in rows:
-        for f in r.factors:  # each factor is where it says it is
-            if f.words < len(words[f.ref_doc]) + 1:
-                assert words[r.doc_id][f.start : f.start + 50] == words[f.ref_doc][f.ref_start : f.ref_start + 50]
+        for f in r.factors:  # each factor is where it says it is, whole
+            mine = words[r.doc_id][f.start : f.start + f.words]
+            assert f.ref_doc < r.doc_id and len(mine) == f.words
+            assert mine == words[f.ref_doc][f.ref_start : f.ref_start + f.words]
+
+
+def test_references_are_matched_word_by_word():
+    rng = random.Random(6)
+    for _ in range(200):
+        blocks = [(doc, 100 * k, [b"ab"[i : i + 1] for i in rng.choices([0, 1], k=rng.randrange(5, 30))]) for k, doc in enumerate(sorted(rng.choices(range(6), k=8)))]
+        known, by_doc = References(5), {}
+        for doc, place, words in blocks:
+            earlier = [w for d, w in by_doc.items() if d < doc]
+            have = {tuple(w[i : i + 5]) for ws in earlier for w in ws for i in range(len(w) - 4)}
+            want = {place + i for i in range(len(words) - 4) if tuple(words[i : i + 5]) in have}
+            found = known.factors(doc, place, b" ".join(words))
+            assert {at + i for at, n, _, _ in found for i in range(n)} == want
+            assert len({at + i for at, n, _, _ in found for i in range(n)}) == sum(n for _, n, _, _ in found)
+            for at, n, ref, ref_place in found:
+                source = next(w for d, p, w in blocks if d == ref and p <= ref_place < p + 100)
+                there = ref_place % 100
+                assert ref < doc and words[at - place : at - place + n + 4] == source[there : there + n + 4]
+                more, after = at - place + n + 4, there + n + 4  # no factor ends before it must
+                assert more == len(words) or after == len(source) or words[more] != source[after]
+            by_doc.setdefault(doc, []).append(words)
+
+
+def test_hashes_that_collide_are_told_apart(monkeypatch):
+    monkeypatch.setattr(factor_dedup, "hash", lambda x: 1, raising=False)
+    known = References(2)
+    assert known.factors(1, 0, b"a b c") == []
+    assert known.factors(2, 0, b"x b c y a b") == [(1, 1, 1, 1), (4, 1, 1, 0)]
 
 
 def test_factor_edges(spark):
