@@ -37,10 +37,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
-def line_key(line: Column) -> Column:
-    """Hash of a line without regard to case and white space; null without a word."""
-    plain = F.trim(F.regexp_replace(F.lower(line), SPACES, " "))
-    return F.when(plain != "", F.xxhash64(plain))
+def line_keys(text: Column) -> Column:
+    """Hash of each line without regard to case and white space; null without a word. Case and
+    white space go from the whole text at once, not line by line."""
+    lines = F.split(F.lower(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")), "\n")
+    key = lambda x: F.when(x != "", F.xxhash64(x))
+    return F.transform(lines, lambda x: key(F.trim(x)))
 
 
 def repeated_words(words: Column, width: int = 5) -> Column:
@@ -51,13 +53,13 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     """
 
     def covered(windows: Column) -> Column:
-        order = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        order = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def starts(o: Column) -> Column:
             n = F.size(o)
             same = lambda x, j: (j >= 0) & (j < n) & (F.get(o, j)["h"] == x["h"])
             hit = F.filter(o, lambda x, j: F.coalesce(same(x, j - 1), F.lit(False)) | F.coalesce(same(x, j + 1), F.lit(False)))
-            return F.array_sort(F.transform(hit, lambda x: x["i"]))
+            return F.sort_array(F.transform(hit, lambda x: x["i"]))
 
         first = F.struct(F.lit(-width).alias("last"), F.lit(0).cast("long").alias("n"))
         step = lambda a, s: F.struct(s.alias("last"), (a["n"] + F.least(F.lit(width), s - a["last"])).alias("n"))
@@ -76,7 +78,7 @@ def repeated_words(words: Column, width: int = 5) -> Column:
 def line_counts(docs: DataFrame, host: str, text: Column) -> DataFrame:
     """(host, key, n): documents of each host that hold a line. Each row counts as one document, and
     a line once in it; counts combine before the shuffle, so a hot host or line is no hot task."""
-    keys = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), line_key), lambda k: k.isNotNull()))
+    keys = F.array_distinct(F.filter(line_keys(text), lambda k: k.isNotNull()))
     one = docs.select(F.col(host).alias("host"), keys.alias("keys"))
     # A null key stands for the document itself: one pass counts lines and documents.
     rows = one.select("host", F.explode(F.concat(F.col("keys"), F.array(F.lit(None).cast("long")))).alias("key"))
@@ -117,7 +119,7 @@ def quality_rules(docs: DataFrame, host: str = "source", limits: LineLimits = Li
         marked = docs.join(F.broadcast(per_host), F.col(host).eqNullSafe(F.col(mark + "h")), "left").drop(mark + "h")
     else:
         # More boilerplate than may be broadcast: each text's own frequent lines, found by a join on (host, line).
-        keyed = docs.select(F.col(host).alias("h"), F.xxhash64(text).alias("t"), F.explode(F.array_distinct(F.transform(F.split(text, "\n"), line_key))).alias("k"))
+        keyed = docs.select(F.col(host).alias("h"), F.xxhash64(text).alias("t"), F.explode(F.array_distinct(line_keys(text))).alias("k"))
         found = keyed.join(bad, (F.coalesce(F.col("h"), F.lit("")) == F.coalesce(F.col("host"), F.lit(""))) & F.col("h").eqNullSafe(F.col("host")) & (F.col("k") == F.col("key")))
         per_text = found.groupBy(F.col("h").alias(mark + "h"), F.col("t").alias(mark + "t")).agg(F.collect_set("k").alias(mark))
         marked = docs.join(per_text, (F.xxhash64(text) == F.col(mark + "t")) & F.col(host).eqNullSafe(F.col(mark + "h")), "left").drop(mark + "h", mark + "t")
@@ -125,8 +127,10 @@ def quality_rules(docs: DataFrame, host: str = "source", limits: LineLimits = Li
     lines = F.split(text, "\n")
     with_word = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup_lines = let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-    hit = lambda x: F.coalesce(F.array_contains(F.col(mark), line_key(x)), F.lit(False))
-    parts = F.when(F.col(mark).isNotNull(), F.filter(lines, lambda x: ~hit(x)))
+    gone = lambda keys, i: F.coalesce(F.array_contains(F.col(mark), F.get(keys, i)), F.lit(False))
+    # Lines are looked up one by one only where some line of the text is frequent.
+    some = lambda keys: F.when(F.arrays_overlap(keys, F.col(mark)), F.filter(lines, lambda _, i: ~gone(keys, i)))
+    parts = F.when(F.col(mark).isNotNull(), let(line_keys(text), some))
 
     def fields(words: Column) -> Column:
         n = F.size(words).cast("long")
