@@ -14,6 +14,7 @@ import json
 import re
 import zlib
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -294,9 +295,15 @@ def pack_documents(docs: DataFrame, pack: Pack = Pack()) -> DataFrame:
 
     groups = max(1, -(-int(counts.sum()) // pack.group_rows)) if len(counts) else 1
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sizes.select(F.col("length").alias("len_"), F.col("salt").alias("salt_"), before.alias("base"))
+    # Pieces before a salt: those of the blocks of salts before its own, and those before it in its block. Blocks are as
+    # long as there are blocks, so no window has more rows than the root of the number of salts.
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("salt") / max(1, isqrt(groups))))
+    prior = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.groupBy("length", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select(F.col("length").alias("bl"), F.col("block").alias("bb"), prior(Window.partitionBy("length").orderBy("block")).alias("below"))
+    inside = sizes.select("length", "salt", "block", prior(Window.partitionBy("length", "block").orderBy("salt")).alias("inside"))
+    base = inside.join(blocks, (F.col("length") == F.col("bl")) & (F.col("block") == F.col("bb")))
+    base = base.select(F.col("length").alias("len_"), F.col("salt").alias("salt_"), (F.col("below") + F.col("inside")).alias("base"))
     local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = salted.withColumn("local", local).join(base, (F.col("length") == F.col("len_")) & (F.col("salt") == F.col("salt_")))
     return ranked.select(*cut.columns, (F.col("base") + F.col("local")).alias("rank")).mapInArrow(place(table), PLACED)
