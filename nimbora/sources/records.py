@@ -57,9 +57,17 @@ def parse_records(lines: DataFrame) -> DataFrame:
 
 
 def ingest_summary(status: DataFrame) -> DataFrame:
-    """(file, status, bytes) -> per status: files and bytes. The names of missing files, which may be many,
-    are ``missing_files``."""
-    return status.groupBy("status").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    """(file, status, bytes) -> per status: files, bytes, and how many and which files are missing, by name.
+
+    The names are put in order by range partitions, each of which makes a piece; only whole pieces
+    meet in the row that lists them.
+    """
+    counts = status.groupBy("status").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count_if(F.col("status") == "missing").cast("int").alias("n_missing"))
+    pieces = missing_files(status).filter("file is not null").repartitionByRange("file").groupBy(F.spark_partition_id().alias("piece")).agg(F.sort_array(F.collect_list("file")).alias("names"))
+    # Pieces hold ranges, so they stand in the order of their first names.
+    names = pieces.agg(F.flatten(F.sort_array(F.collect_list("names"))).alias("names")).select(F.lit("missing").alias("of"), "names")
+    met = counts.join(names, F.col("status") == F.col("of"), "left")
+    return met.select("status", "n_files", "bytes", "n_missing", F.coalesce("names", F.array().cast("array<string>")).alias("missing"))
 
 
 def missing_files(status: DataFrame) -> DataFrame:
@@ -68,8 +76,8 @@ def missing_files(status: DataFrame) -> DataFrame:
 
 
 def write_ingest(status: DataFrame, root: str) -> None:
-    """Two sinks: ``files``, a table partitioned by status, and ``summary``, its counts as a document. The
-    counts come from the written files, so both tell of the same."""
+    """Two sinks: ``files``, a table partitioned by status, and ``summary``, its counts and missing files
+    as a document. These come from the written files, so both tell of the same."""
     status.write.mode("overwrite").partitionBy("status").option("compression", "zstd").parquet(f"{root}/files")
     write_document(ingest_summary(status.sparkSession.read.schema(status.schema).parquet(f"{root}/files")), f"{root}/summary")
 

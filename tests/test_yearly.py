@@ -122,6 +122,18 @@ def test_ingest_leaves_files_and_their_counts(spark, tmp_path):
     assert {r.file for r in R.missing_files(spark.read.parquet(f"{tmp_path}/files")).collect()} == {"b", "c"}
 
 
+def test_ingest_summary_lists_all_missing_files_in_order(spark, tmp_path):
+    names = [f"f{i * 7919 % 1000:03}" for i in range(1000)]
+    rows = [(n, "missing" if i % 3 else "cached", i) for i, n in enumerate(names)] + [("f005", "missing", 1)]
+    R.write_ingest(spark.createDataFrame(rows, "file string, status string, bytes long"), str(tmp_path))
+    got = {r.status: r for r in R.read_document(spark, f"{tmp_path}/summary", "status string, n_files long, bytes long, n_missing int, missing array<string>").collect()}
+    want = sorted(n for n, s, _ in rows if s == "missing")
+    assert (got["missing"].n_files, got["missing"].n_missing, got["missing"].missing) == (len(want), len(want), want)
+    assert (got["cached"].n_files, got["cached"].n_missing, got["cached"].missing) == (334, 0, [])
+    none = R.ingest_summary(spark.createDataFrame([("a", "cached", 1)], "file string, status string, bytes long")).first()
+    assert (none.n_missing, none.missing) == (0, [])
+
+
 def test_location_answer_asks_for_single_keys(spark, tmp_path):
     features = [x for i, n in enumerate(FEATURE_NAMES) for x in (f"{i}.5D as {n}", f"{i}.0D as pct_{n}")]
     cover = [f"1 as {c}" for c in api.COVERAGE]
