@@ -1,17 +1,19 @@
-"""A hierarchical Pitman-Yor language model and perplexities of documents.
-
-Symbols: the head words (those with at least 1 / ``head`` of all training tokens, so at
-most ``head`` of them, by count), the end of a text, and one symbol for all other words.
-Restaurants: one per context symbol (what stands before, a text's start being one more),
-all with one parent over the symbols, whose base is uniform; and one for the words of the
-common symbol, whose base is uniform over the words of the training data and one unknown
-word. So the model is a proper distribution over the known words, the unknown word and
-the end. Counts cover all training tokens; what is broadcast is bounded by ``head``.
-
-Seating is sampled by Gibbs moves: a customer leaves a table (tables of a dish weighted
-by their customers) and sits down again, at a table with weight (customers - discount) or
-at a new one with weight (strength + discount * tables) * P(dish | parent); a new table
-sends a customer to the parent. Predictive probabilities are averaged over samples.
+"""A hierarchical Pitman-Yor language model over the whole vocabulary, and probabilities of documents.
+
+Restaurants: one per context, which is any word of the training texts or a text's start; all have one
+parent over all words and the end of a text, whose base is uniform over these and one unknown word. So
+the model is a proper distribution. No word, context or pair is left out or merged with others.
+
+Seating is sampled by Gibbs moves: a customer leaves a table (tables of a dish weighted by their
+customers) and sits down again, at a table with weight (customers - discount) or at a new one with
+weight (strength + discount * tables) * P(dish | parent); a new table sends a customer to the parent.
+Samples are averaged.
+
+Pairs (context, word) are dealt by context to buckets of bounded size and counted there; ``Seating``
+moves a customer of each of a bucket's dishes at a time. A context that holds 1 / ``head`` of all tokens
+is frequent: its pairs are dealt by both words to buckets of their own, whose seatings know the tables of
+the rest of their restaurant as of the round before. Words' tables and probabilities are exchanged
+with the buckets as rows (bucket, word).
 """
 
 from __future__ import annotations
@@ -19,38 +21,48 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.llm import words as W
 from nimbora.llm.store import Scratch, arrow_batches, take
+from nimbora.sources.scratch import shuffles_dropped
+
+
+END, START = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+_PAIR = np.uint64(0xD1B54A32D192ED03)
+PAIRS = "b int, u array<long>, w array<long>, n array<int>"
+TOKENS = "b int, first long, pair array<long>, links array<int>, doc array<short>, times array<int>, ids array<long>, sizes array<int>"
+ANSWERS = "b int, w array<long>, p array<float>, c array<long>"
+SUMS = "row long, doc long, tokens long, known long, base double, score double"
 
 
 @dataclass(frozen=True)
 class Restaurant:
     """``moves``: Gibbs moves per dish and sweep, at most one per customer. ``burn`` sweeps go
-    before the ``samples`` that are averaged; the parent is resampled between ``rounds``."""
+    before the ``samples`` that are averaged; the parent is resampled between ``rounds``.
+    ``head`` tells which contexts are dealt over many buckets, ``bucket`` the tokens of one; neither leaves anything out."""
 
     head: int = 2048
     held_out: int = 7
     remainder: int = 2
     discount: float = 0.8
     strength: float = 5.0
-    parent_discount: float = 0.5
-    parent_strength: float = 1.0
-    rare_discount: float = 0.85
-    rare_strength: float = 10.0
+    parent_discount: float = 0.85
+    parent_strength: float = 10.0
     rounds: int = 2
     burn: int = 2
     samples: int = 3
     moves: int = 8
     seed: int = 11
+    bucket: int = 2_000_000
 
 
 def seat(counts: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> list[list[int]]:
-    """A first seating of each dish's customers, as the sizes of its tables.
+    """A first seating of each dish's customers, as the sizes of its tables. (One restaurant, plainly;
+    ``Seating`` is for many.)
 
     Tables of a dish grow as in the process itself, in blocks of a hundredth of the
     customers so far, so that a dish of n customers takes log n steps.
@@ -120,142 +132,372 @@ def predictive(counts, base, discount, strength, burn, samples, moves, rng):
     return direct / samples, weight / samples, per_dish / samples
 
 
-def _head_table(counts: DataFrame, total: int, model: Restaurant) -> list[tuple[int, int]]:
-    """(hash, count) of the head words: at most ``head`` rows can pass the filter."""
-    return sorted((r["word"], r["c"]) for r in counts.filter(F.col("c") * model.head >= total).collect())
-
-
-class Codes:
-    """Symbols of words: position of its hash among the head's, else ``rare``."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
-        self.rare = len(hashes)
-        self.end = len(hashes) + 1
-        self.size = len(hashes) + 2
-        self.start = self.size  # a context only
-
-    def __call__(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(words), self.rare)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at, self.rare)
+class Seating:
+    """The tables of many restaurants' dishes, moved together: a step moves one customer of each dish.
 
+    ``counts`` and ``base`` of each dish, its restaurant ``of``, and ``others``: tables of a restaurant
+    that are not among these dishes'.
+    """
 
-def _stream(words: W.Words, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, symbol, text) of every token, each text's end last."""
-    texts = len(words.first) - 1
+    def __init__(self, counts, base, of, others, discount: float, strength: float, rng: np.random.Generator):
+        self.n, self.base, self.of, self.rng = counts.astype(np.int64), base, of, rng
+        self.discount, self.strength = discount, strength
+        self.t = np.ones(len(counts), np.int64)
+        self.all = others + np.bincount(of, minlength=len(others))
+        # As in seat(): blocks of a hundredth of the customers so far.
+        sat, live = np.ones(len(counts), np.int64), np.flatnonzero(self.n > 1)
+        while len(live):
+            block = np.minimum(self.n[live] - sat[live], np.maximum(1, sat[live] // 100))
+            fresh = self._fresh(live)
+            more = rng.binomial(block, fresh / (fresh + np.maximum(sat[live] - discount * self.t[live], 1e-9)))
+            self.t[live] += more
+            self.all += np.bincount(of[live], more, len(self.all))
+            sat[live] += block
+            live = live[sat[live] < self.n[live]]
+        self.dish = np.repeat(np.arange(len(counts)), self.t)
+        last = np.cumsum(self.t)
+        first = last - self.t
+        share = rng.standard_gamma(1.0 / (np.arange(len(self.dish)) - first[self.dish] + 1)) + 1e-12
+        up = np.cumsum(share)
+        before = np.append(0.0, up)[first]
+        whole = np.append(0.0, up)[last] - before
+        to = np.rint((up - before[self.dish]) / whole[self.dish] * (self.n - self.t)[self.dish]).astype(np.int64)
+        to[last - 1] = self.n - self.t
+        extra = to.copy()
+        extra[1:] -= to[:-1]
+        extra[first] = to[first]
+        self.size = extra + 1
+
+    def _fresh(self, d):
+        return (self.strength + self.discount * self.all[self.of[d]]) * self.base[d]
+
+    def sweep(self, moves: int) -> None:
+        for step in range(moves):
+            d = np.flatnonzero((self.n > 1) & (self.n > step))
+            if not len(d):
+                return
+            u, v = self.rng.random((2, len(d)))
+            first = np.searchsorted(self.dish, d)
+            last = np.searchsorted(self.dish, d, "right") - 1
+            up = np.cumsum(self.size)
+            left = np.searchsorted(up, up[first] - self.size[first] + (u * self.n[d]).astype(np.int64), "right")
+            self.size[left] -= 1
+            gone = d[self.size[left] == 0]
+            self.t[gone] -= 1
+            self.all -= np.bincount(self.of[gone], minlength=len(self.all))
+            weight = np.where(self.size > 0, self.size - self.discount, 0.0)
+            up = np.cumsum(weight)
+            old, fresh = self.n[d] - 1 - self.discount * self.t[d], self._fresh(d)
+            at = v * (old + fresh)
+            to = np.clip(np.searchsorted(up, up[first] - weight[first] + at, "right"), first, last)
+            new = (at >= old) | (self.size[to] == 0)
+            self.size[to[~new]] += 1
+            self.t[d[new]] += 1
+            self.all += np.bincount(self.of[d[new]], minlength=len(self.all))
+            self.size = np.insert(self.size, last[new] + 1, 1)
+            self.dish = np.insert(self.dish, last[new] + 1, d[new])
+            there = self.size > 0
+            self.size, self.dish = self.size[there], self.dish[there]
+
+    def mean_tables(self, burn: int, samples: int, moves: int) -> np.ndarray:
+        total = np.zeros(len(self.n))
+        for i in range(burn + samples):
+            self.sweep(moves)
+            if i >= burn:
+                total += self.t
+        return total / samples
+
+
+def _stream(words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, text) of every token, as hashes; each text's end last."""
     size = words.counts + 1
     ends = np.cumsum(size) - 1
-    symbol = np.full(int(size.sum()), codes.end)
+    symbol = np.full(int(size.sum()), END)
     inner = np.ones(len(symbol), bool)
     inner[ends] = False
-    symbol[inner] = codes(words.hash.view(np.int64))
+    symbol[inner] = words.hash
     context = np.empty_like(symbol)
     context[1:] = symbol[:-1]
-    context[ends - size + 1] = codes.start
-    return context, symbol, np.repeat(np.arange(texts), size)
+    context[ends - size + 1] = START
+    return context, symbol, np.repeat(np.arange(len(size)), size)
 
 
-def _count_words(batches):
-    for batch in batches:
-        for _, _, data, bounds in W.slices(batch.column(0), 1 << 21):
-            words, n = np.unique(W.find_words(data, bounds, lower=True).hash, return_counts=True)
-            yield pa.RecordBatch.from_arrays([W.as_long(words), pa.array(n)], names=["word", "n"])
+def _key(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return W.mix(W.mix(context * _PAIR) + symbol)
+
+
+def _is_in(hashes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(hashes):
+        return np.zeros(len(x), bool)
+    return hashes[np.minimum(np.searchsorted(hashes, x), len(hashes) - 1)] == x
+
+
+def _bucket(context: np.ndarray, symbol: np.ndarray, frequent: np.ndarray, buckets: int) -> np.ndarray:
+    """By context; a frequent one's pairs by word, and those of two frequent ones by both."""
+    many = _is_in(frequent, context)
+    word = np.where(_is_in(frequent, symbol) | (symbol == END), _key(context, symbol), symbol)
+    return (W.mix(np.where(many, word, context)) % np.uint64(buckets)).astype(np.int64) + many * buckets
+
+
+def _by_bucket(b: np.ndarray) -> np.ndarray:
+    return np.argsort(b.astype(np.uint16) if len(b) and b.max() < 1 << 16 else b, kind="stable")
+
 
+def _list(values: np.ndarray, bounds: np.ndarray, kind=pa.int64()) -> pa.Array:
+    values = values.view(np.int64) if values.dtype == np.uint64 else values
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values).cast(kind))
+
+
+def _flat(column, dtype=np.int64) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+
+
+def _common(head: int):
+    """Words that are frequent in a slice of the texts (so all that are frequent altogether), and a row of totals."""
 
-def _count_pairs(hashes: np.ndarray):
     def rows(batches):
-        codes = Codes(hashes)
-        total = np.zeros((codes.size + 1) * codes.size, np.int32)
-        spilled: list[np.ndarray] = []
-        done = 0
         for batch in batches:
-            for _, _, data, bounds in W.slices(batch.column(0)):
-                context, symbol, _ = _stream(W.find_words(data, bounds, lower=True), codes)
-                np.add.at(total, context * codes.size + symbol, 1)
-                done += len(symbol)
-            if done > 1 << 30:  # before a counter could overflow
-                at = np.flatnonzero(total)
-                spilled.append(np.stack([at, total[at]]))
-                total[:] = 0
-                done = 0
-        at = np.flatnonzero(total)
-        for codes_, n in [*spilled, np.stack([at, total[at]])]:
-            yield pa.RecordBatch.from_arrays([pa.array((codes_ // codes.size).astype(np.int32)), pa.array((codes_ % codes.size).astype(np.int32)), pa.array(n.astype(np.int64))], names=["ctx", "sym", "n"])
+            for lo, hi, data, bounds in W.slices(batch.column(0), 1 << 21):
+                train = batch.column(1)[lo:hi].to_numpy(zero_copy_only=False)
+                words = W.find_words(data, bounds, lower=True)
+                used = int(words.counts[train].sum())
+                h, n = np.unique(words.hash, return_counts=True)
+                some = n * head >= len(words.hash)
+                word = pa.concat_arrays([W.as_long(h[some]), pa.nulls(1, pa.int64())])
+                yield pa.RecordBatch.from_arrays([word, W.as_long(np.append(n[some], len(words.hash) + hi - lo)), W.as_long(np.append(n[some] * 0, used)), W.as_long(np.append(n[some] * 0, int(train.sum())))], names=["word", "n", "used", "texts"])
 
     return rows
 
 
-def _restaurant(parent: np.ndarray, model: Restaurant, round_: int):
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sym")
-        ctx = int(pdf["ctx"].iloc[0])
-        rng = np.random.default_rng([model.seed, round_, ctx])
-        counts, sym = pdf["n"].to_numpy(), pdf["sym"].to_numpy()
-        direct, weight, tables = predictive(counts, parent[sym], model.discount, model.strength, model.burn, model.samples, model.moves, rng)
-        return pd.DataFrame({"ctx": ctx, "sym": sym, "direct": direct, "weight": weight, "tables": tables})
+def _merged(context, symbol, n):
+    """Equal pairs once, with their sums, by context and word."""
+    order = np.lexsort((symbol, context))
+    context, symbol, n = context[order], symbol[order], n[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])
+    first = np.flatnonzero(new)
+    return context[first], symbol[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _count_pairs(frequent: np.ndarray, buckets: int, limit: int = 1 << 21):
+    """Pairs of up to ``limit`` tokens at a time, a row per bucket. A pair of held-out texts only counts 0."""
+
+    def row_batches(held):
+        context, symbol, n = _merged(*map(np.concatenate, zip(*held, strict=True)))
+        b = _bucket(context, symbol, frequent, buckets)
+        order = _by_bucket(b)
+        ids, first = np.unique(b[order], return_index=True)
+        bounds = np.append(first, len(b))
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), _list(context[order], bounds), _list(symbol[order], bounds), _list(n[order], bounds, pa.int32())], names=["b", "u", "w", "n"])
+
+    def rows(batches):
+        held, size = [], 0
+        for batch in batches:
+            for lo, hi, data, bounds in W.slices(batch.column(0)):
+                context, symbol, text = _stream(W.find_words(data, bounds, lower=True))
+                held.append((context, symbol, batch.column(1)[lo:hi].to_numpy(zero_copy_only=False)[text].astype(np.int64)))
+                size += len(text)
+                if size >= limit:
+                    yield from row_batches(held)
+                    held, size = [], 0
+        if held:
+            yield from row_batches(held)
 
     return rows
 
 
-def _by_count(histogram: list[tuple[int, int]], base: float, model: Restaurant, dishes: int = 2000) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Tables of the rare words' restaurant. Its dishes have one base probability, so those of
-    one count are alike: a count's expected tables come from Gibbs samples of up to ``dishes``
-    of its words (all words enter the totals). Returns counts, tables per word, all tables, all customers."""
-    rng = np.random.default_rng([model.seed, 1 << 20])
-    count = np.array([c for c, _ in histogram], np.int64)
-    words = np.array([n for _, n in histogram], np.int64)
-    if not len(count):
-        return count, np.zeros(0), 0.0, 0
-    per = np.ones(len(count))
-    for _ in range(model.rounds):
-        total = float((per * words).sum())
-        for i, (c, n) in enumerate(zip(count.tolist(), words.tolist(), strict=True)):
-            if c < 2:
-                continue
-            k = int(max(1, min(n, dishes // c)))
-            strength = model.rare_strength + model.rare_discount * max(0.0, total - k * per[i])  # the tables of all other dishes
-            sizes = seat(np.full(k, c), np.full(k, base), model.rare_discount, strength, rng)
-            seen = []
-            for s in range(model.burn + model.samples):
-                sweep(np.full(k, c), np.full(k, base), sizes, model.rare_discount, strength, model.moves, rng)
-                if s >= model.burn:
-                    seen.append(np.mean([len(x) for x in sizes]))
-            per[i] = float(np.mean(seen))
-    return count, per, float((per * words).sum()), int((count * words).sum())
-
-
-def _scores(hashes: np.ndarray, head_counts: np.ndarray, texts: int, logp: np.ndarray, denominator: float):
-    """(doc_id, text, row) -> a row per document with what the head gives (word null), and a row
-    per distinct rare word of it (doc null)."""
+def _merge(table: pa.Table) -> pa.Table:
+    context, symbol, n = _merged(_flat(table["u"]).view(np.uint64), _flat(table["w"]).view(np.uint64), _flat(table["n"]))
+    bounds = np.array([0, len(n)])
+    return pa.table([table["b"].combine_chunks()[:1], _list(context, bounds), _list(symbol, bounds), _list(n, bounds, pa.int32())], names=["b", "u", "w", "n"])
+
+
+def _sum_by(keys: np.ndarray, *values):
+    """Distinct keys, and sums of each of ``values`` by them."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, *[np.bincount(at, v, len(found)) for v in values]
+
+
+def _requests(frequent: np.ndarray, buckets: int):
+    """Of each bucket: its words with (contexts, tokens) in training texts, and its frequent contexts (``of_context``)."""
+
+    def rows(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                one = batch.slice(i, 1)
+                b, u, w, n = one.column(0)[0].as_py(), _flat(one.column(1)).view(np.uint64), _flat(one.column(2)).view(np.uint64), _flat(one.column(3))
+                for of_context, (k, x, c) in ((False, _sum_by(w, n > 0, n)), (True, _sum_by(u, n > 0, n))):
+                    if not of_context or b >= buckets:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), b, np.int32)), pa.array(np.full(len(k), of_context)), W.as_long(k), W.as_long(x), W.as_long(c)], names=["b", "of_context", "key", "tables", "c"])
+
+    return rows
+
+
+def _parent(tables: float, share: float, total: int, base: float, model: Restaurant, round_: int):
+    """Mean tables of words (word, c1, c) in the parent; ``tables`` of all words as of the round before, ``share`` a word's."""
+
+    def rows(frames):
+        for i, pdf in enumerate(frames):
+            c1 = pdf["c1"].to_numpy()
+            rng = np.random.default_rng([model.seed, 1 << 21, round_, i, int(c1.sum()), len(pdf)])
+            others = np.array([max(0.0, tables - share * len(pdf))])
+            seating = Seating(c1, np.full(len(c1), base), np.zeros(len(c1), np.int64), others, model.parent_discount, model.parent_strength, rng)
+            pdf["t1"] = seating.mean_tables(model.burn, model.samples, model.moves)
+            yield pdf[["word", "c1", "c", "t1"]]
+
+    return rows
+
+
+def _pack(batches, limit: int = 1 << 19):
+    """Rows (b, w, p, c) -> a row per bucket of up to ``limit`` of them."""
+
+    def row_batches(held):
+        b, w, p, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = _by_bucket(b)
+        ids, first = np.unique(b[order], return_index=True)
+        bounds = np.append(first, len(b))
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), _list(w[order], bounds), _list(p[order], bounds, pa.float32()), _list(c[order], bounds)], names=["b", "w", "p", "c"])
+
+    held, size = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            size += len(batch)
+        if size >= limit:
+            yield from row_batches(held)
+            held, size = [], 0
+    if held:
+        yield from row_batches(held)
+
+
+@dataclass(frozen=True)
+class _Frequent:
+    """Frequent contexts: hashes (sorted), training tokens, and tables after the round before."""
+
+    hashes: np.ndarray
+    tokens: np.ndarray
+    tables: np.ndarray
+
+
+def _seated(b: int, u, w, n, words: pa.Table, unknown: float, frequent: _Frequent, buckets: int, model: Restaurant, round_: int):
+    """(mean tables of each pair, restaurant of each, its tokens, its mean tables among these pairs, P(word), count of
+    the word, contexts) of a bucket."""
+    known = _flat(words["w"]).view(np.uint64)
+    at = np.argsort(known)
+    known = known[at]
+    place = np.minimum(np.searchsorted(known, w), max(0, len(known) - 1))
+    met = known[place] == w if len(known) else np.zeros(len(w), bool)
+    p, c = np.full(len(w), unknown), np.zeros(len(w), np.int64)
+    if len(known):
+        p[met], c[met] = _flat(words["p"], float)[at][place[met]], _flat(words["c"])[at][place[met]]
+    contexts, of = np.unique(u, return_inverse=True)
+    seen = n > 0
+    tokens, others = np.bincount(of, n, len(contexts)), np.zeros(len(contexts))
+    if b >= buckets:
+        i = np.searchsorted(frequent.hashes, contexts)
+        tokens = frequent.tokens[i].astype(float)
+        others = np.maximum(0.0, frequent.tables[i] - np.bincount(of[seen], minlength=len(contexts)))
+    rng = np.random.default_rng([model.seed, round_, b])
+    t = np.zeros(len(n))
+    t[seen] = 1.0
+    more = n > 1  # a single customer has a table always
+    others = others + np.bincount(of[seen & ~more], minlength=len(contexts))
+    if more.any():
+        t[more] = Seating(n[more], p[more], of[more], others, model.discount, model.strength, rng).mean_tables(model.burn, model.samples, model.moves)
+    return t, of, tokens, np.bincount(of, t, len(contexts)), p, c, contexts
+
+
+def _tables(unknown: float, frequent: _Frequent, buckets: int, model: Restaurant, round_: int):
+    """Customers that a bucket sends to the parent, by word, and tables of its frequent contexts (``of_context``)."""
+
+    def rows(key, pairs: pa.Table, words: pa.Table) -> pa.Table:
+        u, w, n = _flat(pairs["u"]).view(np.uint64), _flat(pairs["w"]).view(np.uint64), _flat(pairs["n"])
+        b = key[0].as_py()
+        t, _, _, mine, _, _, contexts = _seated(b, u, w, n, words, unknown, frequent, buckets, model, round_)
+        k, sent = _sum_by(w[n > 0], t[n > 0])
+        if b < buckets:
+            contexts, mine = contexts[:0], mine[:0]
+        of_context = np.append(np.zeros(len(k), bool), np.ones(len(mine), bool))
+        return pa.table([pa.array(of_context), W.as_long(np.append(k, contexts)), pa.array(np.append(sent, mine))], names=["of_context", "key", "tables"])
+
+    return rows
+
+
+def _send_tokens(frequent: np.ndarray, buckets: int, limit: int = 1 << 21):
+    """(doc_id, text, row), rows numbered in turn -> for runs of texts of up to ``limit`` tokens, a row per bucket: its
+    distinct pairs and the texts that have them. A run's first row also has its texts' ids and sizes."""
+
+    def row_batches(held, first, ids):
+        key, b, text = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = np.argsort(key, kind="stable")
+        order = order[_by_bucket(b[order])]
+        key, b, text = key[order], b[order], text[order]
+        pair = np.ones(len(key), bool)
+        pair[1:] = (key[1:] != key[:-1]) | (b[1:] != b[:-1])
+        link = pair.copy()
+        link[1:] |= text[1:] != text[:-1]
+        pairs, links = np.flatnonzero(pair), np.flatnonzero(link)
+        at = np.searchsorted(links, pairs)
+        of, start = np.unique(b[pairs], return_index=True)
+        m = len(of)
+        pair_ends, link_ends = np.append(start, len(pairs)), np.append(at[start], len(links))
+        texts = pa.concat_arrays(ids)
+        once = np.append(0, np.full(m, len(texts)))
+        sizes = np.concatenate([h[3] for h in held])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(of.astype(np.int32)), pa.array(np.full(m, first)), _list(key[pairs], pair_ends), _list(np.diff(np.append(at, len(links))), pair_ends, pa.int32()), _list(text[links], link_ends, pa.int16()),
+            _list(np.diff(np.append(links, len(key))), link_ends, pa.int32()), pa.ListArray.from_arrays(pa.array(once.astype(np.int32)), texts), _list(sizes, once, pa.int32()),
+        ], names=["b", "first", "pair", "links", "doc", "times", "ids", "sizes"])
 
     def rows(batches):
-        codes = Codes(hashes)
-        base = np.log10((np.append(head_counts, [0, texts]) + 1) / denominator)
+        held, ids, first, texts, size = [], [], 0, 0, 0
         for batch in batches:
             for lo, hi, data, bounds in W.slices(batch.column(1)):
+                if held and (size >= limit or texts + hi - lo > 1 << 15):
+                    yield from row_batches(held, first, ids)
+                    held, ids, texts, size = [], [], 0, 0
+                if not held:
+                    first = batch.column(2)[lo].as_py()
                 words = W.find_words(data, bounds, lower=True)
-                context, symbol, text = _stream(words, codes)
-                known = symbol != codes.rare
-                n = hi - lo
-                score = np.bincount(text, logp[context, symbol], n)
-                plain = np.bincount(text[known], base[symbol[known]], n)
-                heads = np.bincount(text[known], minlength=n)
-                # The rare words' hashes, by text; a word stands where its symbol does, ends left out.
-                of = words.text_of()
-                rare = codes(words.hash.view(np.int64)) == codes.rare
-                order = np.lexsort((words.hash[rare], of[rare]))
-                h, t = words.hash[rare][order], of[rare][order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(h)))
-                ids, numbers = batch.column(0)[lo:hi], batch.column(2)[lo:hi]
-                none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([numbers, ids, none, W.as_long(words.counts + 1), W.as_long(heads), pa.array(plain), pa.array(score)], names=["row", "doc", "word", "n", "known", "base", "score"])
-                m = len(first)
-                yield pa.RecordBatch.from_arrays([numbers.take(pa.array(t[first])), pa.nulls(m, pa.int64()), W.as_long(h[first]), W.as_long(times), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=["row", "doc", "word", "n", "known", "base", "score"])
+                context, symbol, text = _stream(words)
+                held.append((_key(context, symbol), _bucket(context, symbol, frequent, buckets), text + texts, words.counts + 1))
+                ids.append(batch.column(0)[lo:hi])
+                texts, size = texts + hi - lo, size + len(text)
+        if held:
+            yield from row_batches(held, first, ids)
+
+    return rows
+
+
+def _score(unknown: float, frequent: _Frequent, totals: np.ndarray, buckets: int, denominator: float, model: Restaurant, round_: int):
+    """Sums of each text's pairs in a bucket; ``totals``: mean tables of the frequent contexts in this very round."""
+
+    def rows(key, pairs: pa.Table, both: pa.Table) -> pa.Table:
+        b = key[0].as_py()
+        words, tokens = both.filter(pc.is_valid(both["w"])).select(["w", "p", "c"]), both.filter(pc.is_valid(both["pair"])).combine_chunks()
+        u, w, n = _flat(pairs["u"]).view(np.uint64), _flat(pairs["w"]).view(np.uint64), _flat(pairs["n"])
+        t, of, customers, tables, p, c, contexts = _seated(b, u, w, n, words, unknown, frequent, buckets, model, round_)
+        if b >= buckets:
+            tables = totals[np.searchsorted(frequent.hashes, contexts)]
+        # A context without customers has its parent's probabilities.
+        all_ = customers + model.strength
+        logp = np.log10((n - model.discount * t) / all_[of] + ((model.strength + model.discount * tables) / all_)[of] * p)
+        base, known = np.log10((c + 1) / denominator), c > 0
+        pair = _key(u, w)
+        order = np.argsort(pair)
+        at = order[np.searchsorted(pair, _flat(tokens["pair"]).view(np.uint64), sorter=order)]
+        at = np.repeat(at, _flat(tokens["links"]))
+        times, row = _flat(tokens["times"]), np.repeat(tokens["first"].to_numpy(), pc.list_value_length(tokens["doc"]).to_numpy()) + _flat(tokens["doc"])
+        k, known, base, score = _sum_by(row, times * known[at], times * base[at], times * logp[at])
+        sizes = pc.list_value_length(tokens["sizes"]).to_numpy()
+        texts = np.repeat(tokens["first"].to_numpy(), sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids = tokens["ids"].combine_chunks().flatten() if len(tokens) else pa.nulls(0, pa.int64())
+        m = len(texts)
+        return pa.table([
+            W.as_long(np.append(texts, k)), pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(len(k), pa.int64())]), W.as_long(np.append(_flat(tokens["sizes"]), np.zeros(len(k), np.int64))),
+            W.as_long(np.append(np.zeros(m), known)), pa.array(np.append(np.zeros(m), base)), pa.array(np.append(np.zeros(m), score)),
+        ], names=["row", "doc", "tokens", "known", "base", "score"])
 
     return rows
 
@@ -269,84 +511,71 @@ def score_documents(docs: DataFrame, model: Restaurant = Restaurant()) -> DataFr
 
     Reads ``doc_id`` and ``text``; other columns don't matter, whatever their names. A null or
     empty text has its end as its only token. Rows that repeat a doc_id get a row each; a null
-    doc_id hashes as an empty string and stays null. Very long texts are scored whole. Words of
-    one count tie in all they get. An empty table gives an empty result; without training rows
-    every token is unknown.
+    doc_id hashes as an empty string and stays null. Very long texts are scored whole. An empty
+    table gives an empty result; without training rows every token is unknown.
     """
+    with shuffles_dropped(docs.sparkSession):
+        return _fit_and_score(docs, model)
+
+
+def _fit_and_score(docs: DataFrame, model: Restaurant) -> DataFrame:
     spark = docs.sparkSession
     arrow_batches(spark)
     store = Scratch(spark, "pitman-yor")
     plain = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    train = plain.filter(~held_out(model))
-    counts = store.save("counts", train.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")))
-    texts = train.count()
-    words_n, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    total, vocabulary = words_n + texts, types + (texts > 0)
+    marked = plain.select("text", (~held_out(model)).alias("train"))
+    common = store.save("common", marked.mapInArrow(_common(model.head), "word long, n long, used long, texts long").groupBy("word").agg(*[F.sum(x).alias(x) for x in ("n", "used", "texts")]))
+    whole = common.filter("word is null").first()
+    tokens, used, texts = (whole["n"], whole["used"], whole["texts"]) if whole else (0, 0, 0)
+    total = used + texts
+    often = [r["word"] for r in common.filter(F.col("word").isNotNull() & (F.col("n") * model.head >= tokens)).collect()]  # at most ``head``
+    hashes = np.unique(np.append(np.array(often, np.int64).view(np.uint64), START))
+    buckets = 1 + tokens // model.bucket
+
+    pairs = store.save("pairs", marked.mapInArrow(_count_pairs(hashes, buckets), PAIRS).groupBy("b").applyInArrow(_merge, PAIRS), key="b", files=2 * buckets)
+    asked = pairs.mapInArrow(_requests(hashes, buckets), "b int, of_context boolean, key long, tables long, c long")
+    words = store.save("words", asked.filter("not of_context").groupBy(F.col("key").alias("word")).agg(F.sum("tables").alias("c1"), F.sum("c").alias("c")).filter("c > 0"))
+    vocabulary = words.count()
     denominator = float(total + vocabulary + 1)
-
-    head = _head_table(counts, total, model)
-    hashes, head_counts = np.array([h for h, _ in head], np.int64), np.array([c for _, c in head], np.int64)
-    codes = Codes(hashes)
-    rare = counts.filter(F.col("c") * model.head < total)
-    # Counts of counts: exact up to 1,000, then in steps of 1 % (a bounded table); a step counts as its mean.
-    step = F.when(F.col("c") <= 1000, F.col("c").cast("double")).otherwise(F.lit(1000.0) + F.floor(F.log(F.col("c") / 1000.0) / 0.00995))
-    histogram = [(int(round(r["c"])), r["n"]) for r in rare.groupBy(step.alias("s")).agg(F.avg("c").alias("c"), F.count("*").alias("n")).collect()]
-    rare_types = sum(n for _, n in histogram)
-    unit = 1.0 / (rare_types + 1)
-    count, per, rare_tables, rare_total = _by_count(sorted(histogram), unit, model)
-
-    pairs = store.save("pairs", train.select("text").mapInArrow(_count_pairs(hashes), "ctx int, sym int, n long").groupBy("ctx", "sym").agg(F.sum("n").alias("n")))
-    parent = np.full(codes.size, 1.0 / codes.size)
-    for r in range(model.rounds):
-        # At most (head + 3) restaurants of at most head + 2 dishes each.
-        seated = pairs.groupBy("ctx").applyInPandas(_restaurant(parent, model, r), "ctx int, sym int, direct double, weight double, tables double")
-        seated = store.save(f"seated{r}", seated)
-        sent = np.zeros(codes.size)
-        for row in seated.groupBy("sym").agg(F.sum("tables").alias("t")).collect():
-            sent[row["sym"]] = row["t"]
-        customers = np.ceil(sent).astype(np.int64)
-        some = customers > 0
-        direct, weight = np.zeros(codes.size), 1.0
-        if some.any():
-            rng = np.random.default_rng([model.seed, 1 << 21, r])
-            direct[some], weight, _ = predictive(customers[some], np.full(int(some.sum()), 1.0 / codes.size), model.parent_discount, model.parent_strength, model.burn, model.samples, model.moves, rng)
-        parent = direct + weight / codes.size
-        parent /= parent.sum()
-    table = np.tile(parent, (codes.size + 1, 1))
-    for ctx, group in seated.toPandas().groupby("ctx"):  # at most (head + 3) * (head + 2) rows
-        table[ctx] *= group["weight"].iloc[0]
-        table[ctx, group["sym"].to_numpy()] += group["direct"].to_numpy()
-    logp = np.log10(table).astype(np.float32)
-
-    # Rows are numbered as they are written, once; nothing reads the number but from that table.
-    numbered_rows = plain.withColumn("row", F.monotonically_increasing_id())
-    lines = numbered_rows.mapInArrow(_scores(hashes, head_counts, texts, logp, denominator), "row long, doc long, word long, n long, known long, base double, score double")
-    lines = store.save("lines", lines)
-    rare_part = lines.filter("word is not null").select("row", "word", "n")
-    met = rare_part.join(rare.select(F.col("word").alias("w"), "c"), F.col("word") == F.col("w"), "left")
-    # Tables of a word by its count: a short piecewise-linear table, in the plan as literals.
-    rate = _tables_of(F.col("c"), count, per)
-    fresh = (model.rare_strength + model.rare_discount * rare_tables) / (rare_total + model.rare_strength)
-    own = F.coalesce(F.greatest(F.col("c") - model.rare_discount * rate, F.lit(0.0)) / (rare_total + model.rare_strength), F.lit(0.0))
-    p = own + F.lit(fresh * unit)
-    part = met.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(denominator))).alias("base"), F.sum(F.col("n") * F.log10(p)).alias("score"))
-    heads = lines.filter("word is null").select("row", "doc", F.col("n").alias("tokens"), "known", "base", "score")
-    every = heads.unionByName(part.withColumns({"doc": F.lit(None).cast("long"), "tokens": F.lit(0).cast("long")}))
-    end_known = F.lit(1 if texts else 0)
-    out = every.groupBy("row").agg(F.max("doc").alias("doc"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    store.drop("pairs", *[f"seated{r}" for r in range(model.rounds)])
-    crc = F.crc32(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary")) % model.held_out == model.remainder
-    return out.select(F.col("doc").alias("doc_id"), crc.alias("held_out"), "n_tokens", F.when(end_known == 1, F.col("n_known")).otherwise(0).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _tables_of(c, count: np.ndarray, per: np.ndarray, knots: int = 24):
-    """Expected tables of a word with ``c`` customers: linear between knots of equal ratio."""
-    if not len(count):
-        return F.lit(0.0)
-    at = np.unique(np.round(np.geomspace(1, count[-1], knots)).astype(np.int64))
-    value = np.interp(at, count, np.maximum.accumulate(per))
-    out = F.lit(float(value[-1]))
-    for i in range(len(at) - 2, -1, -1):
-        slope = (value[i + 1] - value[i]) / (at[i + 1] - at[i])
-        out = F.when(c < int(at[i + 1]), F.lit(float(value[i])) + (c - int(at[i])) * float(slope)).otherwise(out)
-    return out
+    unit = 1.0 / (vocabulary + 1)
+    often_pairs = pairs.filter(F.col("b") >= buckets)
+    often_asked = often_pairs.mapInArrow(_requests(hashes, buckets), asked.schema)
+    frequent = _Frequent(hashes, *_of_contexts(often_asked, hashes, "c", "tables"))
+
+    def probabilities(words: DataFrame, tables: float, round_: int):
+        """Words with P(word) of the parent, that of an unknown word, and all tables."""
+        customers = words.agg(F.coalesce(F.sum("c1"), F.lit(0))).first()[0]
+        sat = store.save(f"parent{round_}", words.mapInPandas(_parent(tables, tables * 1.0 / max(1, vocabulary), customers, unit, model, round_), "word long, c1 long, c long, t1 double"))
+        tables = float(sat.agg(F.coalesce(F.sum("t1"), F.lit(0.0))).first()[0])
+        spread = (model.parent_strength + model.parent_discount * tables) / (customers + model.parent_strength) * unit
+        p = (F.col("c1") - model.parent_discount * F.col("t1")) / F.lit(customers + model.parent_strength) + F.lit(spread)
+        return sat.select("word", "c", p.cast("float").alias("p")), spread, tables
+
+    def answers(asked: DataFrame, words: DataFrame) -> DataFrame:
+        return asked.filter("not of_context").select("b", F.col("key").alias("w")).join(words, F.col("w") == F.col("word")).select("b", "w", "p", "c").mapInArrow(_pack, ANSWERS)
+
+    tables = float(vocabulary)
+    for r in range(model.rounds - 1):
+        known, unknown, tables = probabilities(words, tables, r)
+        sent = store.save(f"sent{r}", pairs.groupBy("b").cogroup(answers(asked, known).groupBy("b")).applyInArrow(_tables(unknown, frequent, buckets, model, r), "of_context boolean, key long, tables double"))
+        frequent = _Frequent(hashes, frequent.tokens, *_of_contexts(sent, hashes, "tables"))
+        counts = sent.filter("not of_context").groupBy(F.col("key").alias("word")).agg(F.ceil(F.sum("tables")).cast("long").alias("c1"))
+        words = store.save(f"words{r}", counts.join(words.select("word", "c"), "word"))
+    last = model.rounds - 1
+    known, unknown, _ = probabilities(words, tables, last)
+    # Frequent contexts' tables of the last round: the same seating as in the scores, whose parts meet here.
+    seated = often_pairs.groupBy("b").cogroup(answers(often_asked, known).groupBy("b")).applyInArrow(_tables(unknown, frequent, buckets, model, last), "of_context boolean, key long, tables double")
+    (totals,) = _of_contexts(seated, hashes, "tables")
+
+    rows = plain.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_send_tokens(hashes, buckets), TOKENS)
+    both = answers(asked, known).unionByName(rows, allowMissingColumns=True)
+    parts = pairs.groupBy("b").cogroup(both.groupBy("b")).applyInArrow(_score(unknown, frequent, totals, buckets, denominator, model, last), SUMS)
+    out = parts.groupBy("row").agg(F.max("doc").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    store.drop("common", *[f"{x}{r}" for r in range(last) for x in ("parent", "sent")])
+    return out.select("doc_id", held_out(model).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _of_contexts(rows: DataFrame, hashes: np.ndarray, *columns: str) -> list[np.ndarray]:
+    """Sums of ``columns`` of the frequent contexts, in the order of ``hashes``: at most ``head`` + 1 rows."""
+    found = {r["key"]: r for r in rows.filter("of_context").groupBy("key").agg(*[F.sum(c).alias(c) for c in columns]).collect()}
+    return [np.array([found[h][c] if h in found else 0 for h in hashes.view(np.int64).tolist()], float) for c in columns]

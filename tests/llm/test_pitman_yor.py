@@ -5,9 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from nimbora.llm.pitman_yor import Restaurant, predictive, score_documents, seat, sweep
+from nimbora.llm.pitman_yor import Restaurant, Seating, _Frequent, _key, _list, _score, predictive, score_documents, seat, sweep
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -74,3 +75,57 @@ def test_edge_rows(spark):
     assert len({(r.score, r.base_score) for r in rows if r.doc_id == 3}) == 1
     long = spark.createDataFrame([(1, "a b " * 150_000), (2, "a b"), (4, "a")], "doc_id long, text string")
     assert {r.doc_id: r.n_tokens for r in score_documents(long).collect()} == {1: 300_001, 2: 3, 4: 2}
+
+
+def test_rare_words_are_contexts_and_symbols(spark):
+    """Both held-out texts have the same words, all too rare for a share of all tokens; only one has them in a known order."""
+    follow = {i: (i * 7 + 3) % 1500 for i in range(1500)}
+    ids = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    docs = [(ids[k], f"a{k % 1500} b{follow[k % 1500]}") for k in range(6000)]
+    out = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 7 == 2][:20]
+    tests = [(out[2 * j], f"a{j} b{follow[j]}") for j in range(10)] + [(out[2 * j + 1], f"a{j} b{follow[j + 1]}") for j in range(10)]
+    got = {r.doc_id: r for r in score_documents(spark.createDataFrame(docs + tests, "doc_id long, text string")).collect()}
+    for j in range(10):
+        right, wrong = got[out[2 * j]], got[out[2 * j + 1]]
+        assert right.base_score == pytest.approx(wrong.base_score)
+        assert right.score > wrong.score + 2
+
+
+def test_many_buckets_give_what_one_gives(spark):
+    docs = corpus()
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    one, many = ({r.doc_id: r for r in score_documents(frame, Restaurant(head=16, bucket=n)).collect()} for n in (1 << 30, 1500))
+    for i, r in one.items():
+        assert (r.n_tokens, r.n_known, r.held_out) == (many[i].n_tokens, many[i].n_known, many[i].held_out)
+        assert many[i].base_score == pytest.approx(r.base_score, rel=1e-9)
+    # Seatings are random, but not what they amount to.
+    assert sum(r.score for r in many.values()) == pytest.approx(sum(r.score for r in one.values()), rel=0.01)
+
+
+def test_seating_of_many_is_that_of_one():
+    counts, base = np.array([60, 9, 3, 2, 1]), np.array([0.3, 0.2, 0.2, 0.1, 0.1])
+    plain = np.mean([predictive(counts, base, 0.8, 5.0, 5, 20, 60, np.random.default_rng(s))[2] for s in range(20)], axis=0)
+    many = Seating(np.tile(counts, 200), np.tile(base, 200), np.repeat(np.arange(200), 5), np.zeros(200), 0.8, 5.0, np.random.default_rng(1))
+    assert many.mean_tables(5, 20, 60).reshape(200, 5).mean(axis=0) == pytest.approx(plain, rel=0.06)
+    assert (np.bincount(many.dish, many.size) == np.tile(counts, 200)).all() and (np.bincount(many.dish) == many.t).all() and (many.size > 0).all()
+    assert many.all == pytest.approx(np.bincount(many.of, many.t))
+
+
+def test_every_context_sums_to_one():
+    words = np.arange(1, 7, dtype=np.uint64)  # the last is unknown
+    u, w = np.repeat(np.array([11, 12, 13], np.uint64), 6), np.tile(words, 3)
+    n = np.array([9, 2, 1, 0, 0, 0, 0, 40, 0, 7, 1, 0, 0, 0, 0, 0, 0, 0])  # the last context has no training tokens
+    p, unknown = np.array([0.3, 0.3, 0.2, 0.1, 0.06]), 0.04
+    whole = np.array([0, 18])
+    pairs = pa.table({"b": pa.array([0], pa.int32()), "u": _list(u, whole), "w": _list(w, whole), "n": _list(n, whole, pa.int32())})
+    known = pa.table({"w": _list(words[:5], np.array([0, 5])), "p": _list(p, np.array([0, 5]), pa.float64()), "c": _list(np.arange(1, 6), np.array([0, 5]))})
+    ones = np.ones(18, np.int64)
+    tokens = pa.table({"first": pa.array([100], pa.int64()), "pair": _list(_key(u, w), whole), "links": _list(ones, whole, pa.int32()), "doc": _list(np.arange(18), whole, pa.int16()), "times": _list(ones, whole, pa.int32()), "ids": _list(np.arange(18), whole), "sizes": _list(ones, whole, pa.int32())})
+    none = _Frequent(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    got = _score(unknown, none, np.zeros(0), 1, 100.0, Restaurant(), 0)((pa.scalar(0),), pairs, pa.concat_tables([known, tokens], promote_options="default")).to_pandas()
+    got = got.groupby("row").sum().loc[range(100, 118)]
+    each = 10 ** got["score"].to_numpy().reshape(3, 6)
+    assert each.sum(axis=1) == pytest.approx(np.ones(3), abs=1e-9)
+    assert each[2] == pytest.approx(np.append(p, unknown))
+    assert got["known"].tolist() == [1, 1, 1, 1, 1, 0] * 3
+    assert got["base"].to_numpy()[:6] == pytest.approx(np.log10(np.array([2, 3, 4, 5, 6, 1]) / 100))
