@@ -9,11 +9,12 @@ customers) and sits down again, at a table with weight (customers - discount) or
 weight (strength + discount * tables) * P(dish | parent); a new table sends a customer to the parent.
 Samples are averaged.
 
-Pairs (context, word) are dealt by context to buckets of bounded size and counted there; ``Seating``
-moves a customer of each of a bucket's dishes at a time. A context that holds 1 / ``head`` of all tokens
-is frequent: its pairs are dealt by both words to buckets of their own, whose seatings know the tables of
-the rest of their restaurant as of the round before. Words' tables and probabilities are exchanged
-with the buckets as rows (bucket, word).
+Pairs (context, word) are dealt by context to buckets of bounded size, once, with the texts that have
+them, and stored there; ``Seating`` moves a customer of each of a bucket's dishes at a time. A context
+that holds 1 / ``head`` of all tokens is frequent: its pairs are dealt by both words to buckets of their
+own, whose seatings know the tables of the rest of their restaurant as of the round before. Words' tables
+and probabilities are exchanged with the buckets as rows (bucket, word). What is dealt and stored are
+Arrow records, compressed, whose pairs are indexes of their distinct words.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -33,8 +35,7 @@ from nimbora.sources.scratch import shuffles_dropped
 
 END, START = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 _PAIR = np.uint64(0xD1B54A32D192ED03)
-PAIRS = "b int, u array<long>, w array<long>, n array<int>"
-TOKENS = "b int, first long, pair array<long>, links array<int>, doc array<short>, times array<int>, ids array<long>, sizes array<int>"
+DEALT = "b int, first long, pairs binary, texts binary, ids array<long>, sizes array<int>"
 ANSWERS = "b int, w array<long>, p array<float>, c array<long>"
 SUMS = "row long, doc long, tokens long, known long, base double, score double"
 
@@ -57,7 +58,7 @@ class Restaurant:
     samples: int = 3
     moves: int = 8
     seed: int = 11
-    bucket: int = 2_000_000
+    bucket: int = 4_000_000
 
 
 def seat(counts: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> list[list[int]]:
@@ -132,6 +133,87 @@ def predictive(counts, base, discount, strength, burn, samples, moves, rng):
     return direct / samples, weight / samples, per_dish / samples
 
 
+class _Few:
+    """Tables of dishes with ``least`` to ``most`` customers: a row per place for a table, 0 where it is free."""
+
+    def __init__(self, d: np.ndarray, n: np.ndarray, least: int, most: int):
+        self.d, self.n, self.least, self.most = d, n, least, most
+        self.every = np.arange(len(d))
+        self.size = np.zeros((most, len(d)), np.int8)
+
+    def leave(self, step: int, rng: np.random.Generator) -> np.ndarray:
+        """A customer of each dish that has more than ``step`` goes; the dishes whose table went with it."""
+        self.on = self.every if step < self.least else np.flatnonzero(self.n > step)
+        x = (rng.random(len(self.on)) * self.n[self.on]).astype(np.int8)
+        up, k = np.zeros(len(x), np.int8), np.zeros(len(x), np.int64)
+        for row in self._places()[:-1]:
+            up += row
+            k += up <= x
+        self.size[k, self.on] -= 1
+        return self.d[self.on[self.size[k, self.on] == 0]]
+
+    def join(self, old: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+        """It sits down again; the dishes with a new table."""
+        at = rng.random(len(old)) * (old + fresh)
+        up, k = np.zeros(len(at)), np.zeros(len(at), np.int64)
+        weight = np.append(0.0, np.arange(1, self.most + 1) - discount)
+        for row in self._places()[:-1]:
+            up += weight[row]
+            k += up <= at
+        new = (at >= old) | (self.size[k, self.on] == 0)
+        k[new] = (self.size[:, self.on[new]] == 0).argmax(axis=0)
+        self.size[k, self.on] += 1
+        return self.d[self.on[new]]
+
+    def _places(self) -> np.ndarray:
+        return self.size if self.on is self.every else self.size[:, self.on]
+
+    def moved(self) -> np.ndarray:
+        return self.d[self.on]
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        place, i = np.nonzero(self.size)
+        return self.d[i], self.size[place, i].astype(np.int64)
+
+
+class _Many:
+    """Tables of dishes with any number of customers, one after another, by dish."""
+
+    most = 1 << 62
+
+    def __init__(self, d: np.ndarray, n: np.ndarray, dish: np.ndarray, size: np.ndarray):
+        self.d, self.n, self.dish, self.size = d, n, dish, size
+
+    def leave(self, step: int, rng: np.random.Generator) -> np.ndarray:
+        self.on = np.flatnonzero(self.n > step)
+        self.first = np.searchsorted(self.dish, self.on)
+        up = np.cumsum(self.size)
+        x = (rng.random(len(self.on)) * self.n[self.on]).astype(np.int64)
+        left = np.searchsorted(up, up[self.first] - self.size[self.first] + x, "right")
+        self.size[left] -= 1
+        return self.d[self.on[self.size[left] == 0]]
+
+    def join(self, old: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+        last = np.searchsorted(self.dish, self.on, "right") - 1
+        weight = np.where(self.size > 0, self.size - discount, 0.0)
+        up = np.cumsum(weight)
+        at = rng.random(len(old)) * (old + fresh)
+        to = np.clip(np.searchsorted(up, up[self.first] - weight[self.first] + at, "right"), self.first, last)
+        new = (at >= old) | (self.size[to] == 0)
+        self.size[to[~new]] += 1
+        self.size = np.insert(self.size, last[new] + 1, 1)
+        self.dish = np.insert(self.dish, last[new] + 1, self.on[new])
+        there = self.size > 0
+        self.size, self.dish = self.size[there], self.dish[there]
+        return self.d[self.on[new]]
+
+    def moved(self) -> np.ndarray:
+        return self.d[self.on]
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.d[self.dish], self.size
+
+
 class Seating:
     """The tables of many restaurants' dishes, moved together: a step moves one customer of each dish.
 
@@ -149,55 +231,79 @@ class Seating:
         while len(live):
             block = np.minimum(self.n[live] - sat[live], np.maximum(1, sat[live] // 100))
             fresh = self._fresh(live)
-            more = rng.binomial(block, fresh / (fresh + np.maximum(sat[live] - discount * self.t[live], 1e-9)))
-            self.t[live] += more
-            self.all += np.bincount(of[live], more, len(self.all))
+            chance = fresh / (fresh + np.maximum(sat[live] - discount * self.t[live], 1e-9))
+            more = (rng.random(len(live)) < chance).astype(np.int64)
+            several = np.flatnonzero(block > 1)
+            more[several] = rng.binomial(block[several], chance[several])
+            self._count(live, more)
             sat[live] += block
             live = live[sat[live] < self.n[live]]
-        self.dish = np.repeat(np.arange(len(counts)), self.t)
+        dish = np.repeat(np.arange(len(counts)), self.t)
         last = np.cumsum(self.t)
         first = last - self.t
-        share = rng.standard_gamma(1.0 / (np.arange(len(self.dish)) - first[self.dish] + 1)) + 1e-12
+        place = np.arange(len(dish)) - first[dish]
+        share = rng.standard_gamma(1.0 / (place + 1)) + 1e-12
         up = np.cumsum(share)
         before = np.append(0.0, up)[first]
         whole = np.append(0.0, up)[last] - before
-        to = np.rint((up - before[self.dish]) / whole[self.dish] * (self.n - self.t)[self.dish]).astype(np.int64)
+        to = np.rint((up - before[dish]) / whole[dish] * (self.n - self.t)[dish]).astype(np.int64)
         to[last - 1] = self.n - self.t
         extra = to.copy()
         extra[1:] -= to[:-1]
         extra[first] = to[first]
-        self.size = extra + 1
+        size = extra + 1
+        # Alike dishes are moved at once: those of few customers place by place.
+        self.kinds = []
+        for least, most in ((2, 2), (3, 3), (4, 4), (5, 8), (9, 16), (17, 1 << 62)):
+            d = np.flatnonzero((self.n >= least) & (self.n <= most))
+            if not len(d):
+                continue
+            mine = (self.n[dish] >= least) & (self.n[dish] <= most)
+            at = np.searchsorted(d, dish[mine])
+            if most < 1 << 62:
+                kind = _Few(d, self.n[d], least, most)
+                kind.size[place[mine], at] = size[mine]
+            else:
+                kind = _Many(d, self.n[d], at, size[mine])
+            self.kinds.append(kind)
 
     def _fresh(self, d):
         return (self.strength + self.discount * self.all[self.of[d]]) * self.base[d]
 
+    def _count(self, d, more) -> None:
+        self.t[d] += more
+        if 8 * len(d) < len(self.all):
+            np.add.at(self.all, self.of[d], more)
+        else:
+            self.all += np.bincount(self.of[d], np.broadcast_to(more, len(d)), len(self.all))
+
     def sweep(self, moves: int) -> None:
         for step in range(moves):
-            d = np.flatnonzero((self.n > 1) & (self.n > step))
-            if not len(d):
-                return
-            u, v = self.rng.random((2, len(d)))
-            first = np.searchsorted(self.dish, d)
-            last = np.searchsorted(self.dish, d, "right") - 1
-            up = np.cumsum(self.size)
-            left = np.searchsorted(up, up[first] - self.size[first] + (u * self.n[d]).astype(np.int64), "right")
-            self.size[left] -= 1
-            gone = d[self.size[left] == 0]
-            self.t[gone] -= 1
-            self.all -= np.bincount(self.of[gone], minlength=len(self.all))
-            weight = np.where(self.size > 0, self.size - self.discount, 0.0)
-            up = np.cumsum(weight)
-            old, fresh = self.n[d] - 1 - self.discount * self.t[d], self._fresh(d)
-            at = v * (old + fresh)
-            to = np.clip(np.searchsorted(up, up[first] - weight[first] + at, "right"), first, last)
-            new = (at >= old) | (self.size[to] == 0)
-            self.size[to[~new]] += 1
-            self.t[d[new]] += 1
-            self.all += np.bincount(self.of[d[new]], minlength=len(self.all))
-            self.size = np.insert(self.size, last[new] + 1, 1)
-            self.dish = np.insert(self.dish, last[new] + 1, d[new])
-            there = self.size > 0
-            self.size, self.dish = self.size[there], self.dish[there]
+            kinds = [kind for kind in self.kinds if kind.most > step]
+            for kind in kinds:
+                self._count(kind.leave(step, self.rng), -1)
+            joined = []
+            for kind in kinds:
+                d = kind.moved()
+                joined.append(kind.join(self.n[d] - 1 - self.discount * self.t[d], self._fresh(d), self.discount, self.rng))
+            for d in joined:
+                self._count(d, 1)
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        single = np.flatnonzero(self.n == 1)
+        dish, size = (np.concatenate(x) for x in zip((single, np.ones(len(single), np.int64)), *[kind.tables() for kind in self.kinds], strict=True))
+        order = np.argsort(dish, kind="stable")
+        return dish[order], size[order]
+
+    @property
+    def dish(self) -> np.ndarray:
+        """The dish of each table."""
+        return self._tables()[0]
+
+    @property
+    def size(self) -> np.ndarray:
+        """The customers of each table."""
+        return self._tables()[1]
 
     def mean_tables(self, burn: int, samples: int, moves: int) -> np.ndarray:
         total = np.zeros(len(self.n))
@@ -208,18 +314,14 @@ class Seating:
         return total / samples
 
 
-def _stream(words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, word, text) of every token, as hashes; each text's end last."""
+def _symbols(words: W.Words) -> np.ndarray:
+    """Hashes of every text's words and its end."""
     size = words.counts + 1
-    ends = np.cumsum(size) - 1
     symbol = np.full(int(size.sum()), END)
     inner = np.ones(len(symbol), bool)
-    inner[ends] = False
+    inner[np.cumsum(size) - 1] = False
     symbol[inner] = words.hash
-    context = np.empty_like(symbol)
-    context[1:] = symbol[:-1]
-    context[ends - size + 1] = START
-    return context, symbol, np.repeat(np.arange(len(size)), size)
+    return symbol
 
 
 def _key(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -270,81 +372,164 @@ def _common(head: int):
     return rows
 
 
-def _merged(context, symbol, n):
-    """Equal pairs once, with their sums, by context and word."""
-    order = np.lexsort((symbol, context))
-    context, symbol, n = context[order], symbol[order], n[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])
-    first = np.flatnonzero(new)
-    return context[first], symbol[first], np.add.reduceat(n, first) if len(first) else n
+def _record(**columns: np.ndarray) -> bytes:
+    """Columns of any lengths as one compressed Arrow record."""
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in columns.values()], names=list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def _count_pairs(frequent: np.ndarray, buckets: int, limit: int = 1 << 21):
-    """Pairs of up to ``limit`` tokens at a time, a row per bucket. A pair of held-out texts only counts 0."""
+def _columns(record: pa.Scalar) -> list[np.ndarray]:
+    with pa.ipc.open_stream(record.as_buffer()) as lines:
+        return [column.flatten().to_numpy(zero_copy_only=False) for column in lines.read_next_batch().columns]
 
-    def row_batches(held):
-        context, symbol, n = _merged(*map(np.concatenate, zip(*held, strict=True)))
-        b = _bucket(context, symbol, frequent, buckets)
+
+def _dealt(b: list[int], first: list, pairs: list, texts: list, ids: list, sizes: list) -> pa.Table:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    return pa.table([pa.array(x, kind) for x, kind in zip((b, first, pairs, texts, ids, sizes), kinds, strict=True)], names=["b", "first", "pairs", "texts", "ids", "sizes"])
+
+
+def _deal(frequent: np.ndarray, buckets: int, limit: int = 1 << 21):
+    """(doc_id, text, train, row), rows numbered in turn -> for runs of texts of about ``limit`` tokens, a row per
+    bucket: its distinct words, its pairs as indexes of them with their training tokens (0 where only held-out texts
+    have one), and the texts that have them. A run's first row also has its texts' ids and sizes."""
+
+    def row_batches(held, first, ids):
+        symbol, train, sizes = ([h[i] for h in held] for i in range(3))
+        held.clear()
+        symbol, train, sizes = np.concatenate([*symbol, [START]]), np.concatenate(train), np.concatenate(sizes)
+        # Words by their place among the run's, so that pairs and texts are sorted as one number.
+        words, at = np.unique(symbol, return_inverse=True)
+        del symbol
+        both = np.empty(len(at) - 1, np.int64)
+        both[1:] = at[:-2]
+        both[np.cumsum(sizes) - sizes] = at[-1]
+        wide, low = max(1, (len(words) - 1).bit_length()), (len(train) - 1).bit_length()
+        both <<= wide
+        both |= at[:-1]
+        del at
+        both <<= low
+        both |= np.repeat(np.arange(len(sizes)), sizes)
+        both.sort()
+        link = np.ones(len(both), bool)
+        link[1:] = both[1:] != both[:-1]
+        links = np.flatnonzero(link)
+        times = np.diff(np.append(links, len(both))).astype(np.int32)
+        code, doc = both[links] >> low, (both[links] & ((1 << low) - 1)).astype(np.int16)
+        del both, link
+        pair = np.ones(len(code), bool)
+        pair[1:] = code[1:] != code[:-1]
+        pairs = np.flatnonzero(pair)
+        n = np.add.reduceat(times * train[doc], pairs)
+        u, w = (code[pairs] >> wide).astype(np.int32), (code[pairs] & ((1 << wide) - 1)).astype(np.int32)
+        del code, pair, links
+        ends = np.append(pairs, len(doc))
+        b = _bucket(words[u], words[w], frequent, buckets)
         order = _by_bucket(b)
-        ids, first = np.unique(b[order], return_index=True)
-        bounds = np.append(first, len(b))
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), _list(context[order], bounds), _list(symbol[order], bounds), _list(n[order], bounds, pa.int32())], names=["b", "u", "w", "n"])
+        of, start = np.unique(b[order], return_index=True)
+        rank = np.empty(len(words), np.int32)
+        for i, (bucket, lo, hi) in enumerate(zip(of.tolist(), start.tolist(), np.append(start[1:], len(order)).tolist(), strict=True)):
+            mine = order[lo:hi]
+            some = np.unique(np.concatenate([u[mine], w[mine]]))
+            rank[some] = np.arange(len(some))
+            each = ends[mine + 1] - ends[mine]
+            own = np.repeat(ends[mine] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            record = _record(words=words[some], u=rank[u[mine]], w=rank[w[mine]], n=n[mine].astype(np.int32))
+            texts = _record(links=each.astype(np.int32), doc=doc[own], times=times[own])
+            none = i > 0
+            yield _dealt([bucket], [first], [record], [texts], [None if none else pa.concat_arrays(ids).to_pylist()], [None if none else sizes]).to_batches()[0]
 
     def rows(batches):
-        held, size = [], 0
+        held, ids, first, texts, size = [], [], 0, 0, 0
         for batch in batches:
-            for lo, hi, data, bounds in W.slices(batch.column(0)):
-                context, symbol, text = _stream(W.find_words(data, bounds, lower=True))
-                held.append((context, symbol, batch.column(1)[lo:hi].to_numpy(zero_copy_only=False)[text].astype(np.int64)))
-                size += len(text)
+            for lo, hi, data, bounds in W.slices(batch.column(1)):
+                words = W.find_words(data, bounds, lower=True)
+                symbol = _symbols(words)
+                # A very long text stays alone.
+                if held and (size + len(symbol) > limit + (1 << 20) or texts + hi - lo > 1 << 15):
+                    yield from row_batches(held, first, ids)
+                    held, ids, texts, size = [], [], 0, 0
+                if not held:
+                    first = batch.column(3)[lo].as_py()
+                held.append((symbol, batch.column(2)[lo:hi].to_numpy(zero_copy_only=False), words.counts + 1))
+                ids.append(batch.column(0)[lo:hi])
+                texts, size = texts + hi - lo, size + len(symbol)
                 if size >= limit:
-                    yield from row_batches(held)
-                    held, size = [], 0
+                    yield from row_batches(held, first, ids)
+                    held, ids, texts, size = [], [], 0, 0
         if held:
-            yield from row_batches(held)
+            yield from row_batches(held, first, ids)
 
     return rows
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    context, symbol, n = _merged(_flat(table["u"]).view(np.uint64), _flat(table["w"]).view(np.uint64), _flat(table["n"]))
-    bounds = np.array([0, len(n)])
-    return pa.table([table["b"].combine_chunks()[:1], _list(context, bounds), _list(symbol, bounds), _list(n, bounds, pa.int32())], names=["b", "u", "w", "n"])
-
-
-def _sum_by(keys: np.ndarray, *values):
-    """Distinct keys, and sums of each of ``values`` by them."""
-    found, at = np.unique(keys, return_inverse=True)
-    return found, *[np.bincount(at, v, len(found)) for v in values]
-
-
-def _requests(frequent: np.ndarray, buckets: int):
+def _merge(rows: pa.Table) -> pa.Table:
+    """A bucket's rows -> first one of its distinct pairs, by context and word, then for each run its texts, with their
+    pairs' places there (as steps)."""
+    parts = [_columns(x) for x in rows["pairs"]]
+    words, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    codes, first, wide = [], 0, max(1, (len(words) - 1).bit_length())
+    for own, u, w, _ in parts:
+        here = at[first : first + len(own)]
+        codes.append(here[u] << wide | here[w])
+        first += len(own)
+    found, place = np.unique(np.concatenate(codes), return_inverse=True)
+    n = np.bincount(place, np.concatenate([x[3] for x in parts]), len(found))
+    u, w = found >> wide, found & ((1 << wide) - 1)
+    kind = np.int32 if n.max() < 1 << 31 else np.int64
+    pairs = _record(words=words, u=u.astype(np.int32), w=w.astype(np.int32), n=n.astype(kind))
+    texts, first = [], 0
+    for x, code in zip(rows["texts"], codes, strict=True):
+        links, doc, times = _columns(x)
+        steps = np.diff(place[first : first + len(code)], prepend=0)
+        texts.append(_record(steps=steps.astype(np.int32), links=links, doc=doc, times=times))
+        first += len(code)
+    b, none = rows["b"].to_pylist(), [None] * len(rows)
+    head = _dealt(b[:1], [None], [pairs], [None], [None], [None])
+    rest = _dealt(b, rows["first"].to_pylist(), none, texts, rows["ids"].to_pylist(), rows["sizes"].to_pylist())
+    return pa.concat_tables([head, rest])
+
+
+def _requests(buckets: int):
     """Of each bucket: its words with (contexts, tokens) in training texts, and its frequent contexts (``of_context``)."""
 
     def rows(batches):
         for batch in batches:
-            for i in range(len(batch)):
-                one = batch.slice(i, 1)
-                b, u, w, n = one.column(0)[0].as_py(), _flat(one.column(1)).view(np.uint64), _flat(one.column(2)).view(np.uint64), _flat(one.column(3))
-                for of_context, (k, x, c) in ((False, _sum_by(w, n > 0, n)), (True, _sum_by(u, n > 0, n))):
-                    if not of_context or b >= buckets:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), b, np.int32)), pa.array(np.full(len(k), of_context)), W.as_long(k), W.as_long(x), W.as_long(c)], names=["b", "of_context", "key", "tables", "c"])
+            for b, record in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words, u, w, n = _columns(record)
+                for of_context, index in ((False, w), (True, u)):
+                    if of_context and b < buckets:
+                        continue
+                    x, c = np.bincount(index, n > 0, len(words)), np.bincount(index, n, len(words))
+                    k = np.flatnonzero(np.bincount(index, minlength=len(words)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), b, np.int32)), pa.array(np.full(len(k), of_context)), W.as_long(words[k]), W.as_long(x[k]), W.as_long(c[k])], names=["b", "of_context", "key", "tables", "c"])
 
     return rows
 
 
-def _parent(tables: float, share: float, total: int, base: float, model: Restaurant, round_: int):
-    """Mean tables of words (word, c1, c) in the parent; ``tables`` of all words as of the round before, ``share`` a word's."""
+def _parent(tables: float, share: float, base: float, model: Restaurant, round_: int, limit: int = 1 << 18):
+    """Mean tables of words (word, c1, c) in the parent, up to ``limit`` of them (and a frame) together; ``tables`` of
+    all words as of the round before, ``share`` a word's."""
+
+    def seated(pdf: pd.DataFrame, i: int) -> pd.DataFrame:
+        c1 = pdf["c1"].to_numpy()
+        rng = np.random.default_rng([model.seed, 1 << 21, round_, i, int(c1.sum()), len(pdf)])
+        others = np.array([max(0.0, tables - share * len(pdf))])
+        seating = Seating(c1, np.full(len(c1), base), np.zeros(len(c1), np.int64), others, model.parent_discount, model.parent_strength, rng)
+        return pdf[["word", "c1", "c"]].assign(t1=seating.mean_tables(model.burn, model.samples, model.moves))
 
     def rows(frames):
-        for i, pdf in enumerate(frames):
-            c1 = pdf["c1"].to_numpy()
-            rng = np.random.default_rng([model.seed, 1 << 21, round_, i, int(c1.sum()), len(pdf)])
-            others = np.array([max(0.0, tables - share * len(pdf))])
-            seating = Seating(c1, np.full(len(c1), base), np.zeros(len(c1), np.int64), others, model.parent_discount, model.parent_strength, rng)
-            pdf["t1"] = seating.mean_tables(model.burn, model.samples, model.moves)
-            yield pdf[["word", "c1", "c", "t1"]]
+        held, size, i = [], 0, 0
+        for pdf in frames:
+            held.append(pdf)
+            size += len(pdf)
+            if size >= limit:
+                yield seated(pd.concat(held, ignore_index=True), i)
+                held, size, i = [], 0, i + 1
+        if size:
+            yield seated(pd.concat(held, ignore_index=True), i)
 
     return rows
 
@@ -380,18 +565,15 @@ class _Frequent:
     tables: np.ndarray
 
 
-def _seated(b: int, u, w, n, words: pa.Table, unknown: float, frequent: _Frequent, buckets: int, model: Restaurant, round_: int):
-    """(mean tables of each pair, restaurant of each, its tokens, its mean tables among these pairs, P(word), count of
-    the word, contexts) of a bucket."""
-    known = _flat(words["w"]).view(np.uint64)
-    at = np.argsort(known)
-    known = known[at]
-    place = np.minimum(np.searchsorted(known, w), max(0, len(known) - 1))
-    met = known[place] == w if len(known) else np.zeros(len(w), bool)
-    p, c = np.full(len(w), unknown), np.zeros(len(w), np.int64)
-    if len(known):
-        p[met], c[met] = _flat(words["p"], float)[at][place[met]], _flat(words["c"])[at][place[met]]
-    contexts, of = np.unique(u, return_inverse=True)
+def _seated(b: int, words, u, w, n, known: pa.Table, unknown: float, frequent: _Frequent, buckets: int, model: Restaurant, round_: int):
+    """(mean tables of each pair, restaurant of each, its tokens, its mean tables among these pairs, P of each of
+    ``words``, their counts, contexts) of a bucket; ``u`` and ``w`` are places in ``words``, which are sorted."""
+    p, c = np.full(len(words), unknown), np.zeros(len(words), np.int64)
+    place = np.searchsorted(words, _flat(known["w"]).view(np.uint64))
+    p[place], c[place] = _flat(known["p"], float), _flat(known["c"])
+    context = np.zeros(len(words), bool)
+    context[u] = True
+    contexts, of = words[context], (np.cumsum(context) - 1)[u]
     seen = n > 0
     tokens, others = np.bincount(of, n, len(contexts)), np.zeros(len(contexts))
     if b >= buckets:
@@ -404,100 +586,83 @@ def _seated(b: int, u, w, n, words: pa.Table, unknown: float, frequent: _Frequen
     more = n > 1  # a single customer has a table always
     others = others + np.bincount(of[seen & ~more], minlength=len(contexts))
     if more.any():
-        t[more] = Seating(n[more], p[more], of[more], others, model.discount, model.strength, rng).mean_tables(model.burn, model.samples, model.moves)
+        t[more] = Seating(n[more], p[w[more]], of[more], others, model.discount, model.strength, rng).mean_tables(model.burn, model.samples, model.moves)
     return t, of, tokens, np.bincount(of, t, len(contexts)), p, c, contexts
 
 
 def _tables(unknown: float, frequent: _Frequent, buckets: int, model: Restaurant, round_: int):
     """Customers that a bucket sends to the parent, by word, and tables of its frequent contexts (``of_context``)."""
 
-    def rows(key, pairs: pa.Table, words: pa.Table) -> pa.Table:
-        u, w, n = _flat(pairs["u"]).view(np.uint64), _flat(pairs["w"]).view(np.uint64), _flat(pairs["n"])
+    def rows(key, pairs: pa.Table, known: pa.Table) -> pa.Table:
+        words, u, w, n = _columns(pairs["pairs"][0])
         b = key[0].as_py()
-        t, _, _, mine, _, _, contexts = _seated(b, u, w, n, words, unknown, frequent, buckets, model, round_)
-        k, sent = _sum_by(w[n > 0], t[n > 0])
+        t, _, _, mine, _, _, contexts = _seated(b, words, u, w, n, known, unknown, frequent, buckets, model, round_)
+        sent = np.bincount(w, t, len(words))
+        some = np.flatnonzero(sent)
         if b < buckets:
             contexts, mine = contexts[:0], mine[:0]
-        of_context = np.append(np.zeros(len(k), bool), np.ones(len(mine), bool))
-        return pa.table([pa.array(of_context), W.as_long(np.append(k, contexts)), pa.array(np.append(sent, mine))], names=["of_context", "key", "tables"])
+        of_context = np.append(np.zeros(len(some), bool), np.ones(len(mine), bool))
+        return pa.table([pa.array(of_context), W.as_long(np.append(words[some], contexts)), pa.array(np.append(sent[some], mine))], names=["of_context", "key", "tables"])
 
     return rows
 
 
-def _send_tokens(frequent: np.ndarray, buckets: int, limit: int = 1 << 21):
-    """(doc_id, text, row), rows numbered in turn -> for runs of texts of up to ``limit`` tokens, a row per bucket: its
-    distinct pairs and the texts that have them. A run's first row also has its texts' ids and sizes."""
+def _sums(b: int, words, u, w, n, known: pa.Table, runs, unknown: float, frequent: _Frequent, totals: np.ndarray, buckets: int, denominator: float, model: Restaurant, round_: int):
+    """Sums of each text's pairs in a bucket; ``totals``: mean tables of the frequent contexts in this very round;
+    ``runs``: (first row, ids, sizes, places of the pairs, texts of each, which, how often)."""
+    t, of, customers, tables, p, c, contexts = _seated(b, words, u, w, n, known, unknown, frequent, buckets, model, round_)
+    if b >= buckets:
+        tables = totals[np.searchsorted(frequent.hashes, contexts)]
+    # A context without customers has its parent's probabilities.
+    all_ = customers + model.strength
+    logp = np.log10((n - model.discount * t) / all_[of] + ((model.strength + model.discount * tables) / all_)[of] * p[w])
+    base, met = np.log10((c + 1) / denominator)[w], (c > 0)[w]
+    sums = []
+    for first, ids, sizes, at, links, doc, times in runs:
+        m = max(len(sizes), int(doc.max()) + 1)
+        known_, base_, score = (np.bincount(doc, times * np.repeat(x[at], links), m) for x in (met, base, logp))
+        if len(sizes):  # the row that tells of all of the run's texts
+            here = np.arange(m)
+        else:
+            here, ids, sizes = np.unique(doc).astype(np.int64), pa.nulls(0, pa.int64()), np.zeros(0, np.int64)
+        pad = len(here) - len(sizes)
+        sums.append(pa.table([
+            W.as_long(first + here), pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(pad, pa.int64())]), W.as_long(np.append(sizes, np.zeros(pad, np.int64))),
+            W.as_long(known_[here]), pa.array(base_[here]), pa.array(score[here]),
+        ], names=["row", "doc", "tokens", "known", "base", "score"]))
+    return pa.concat_tables(sums)
+
+
+def _score_stored(*scoring):
+    """The sums of a bucket as it is stored."""
+
+    def rows(key, stored: pa.Table, known: pa.Table) -> pa.Table:
+        (record,) = (x for x in stored["pairs"] if x.is_valid)
+        rest = stored.filter(pc.is_valid(stored["texts"]))
+        runs = ((f.as_py(), *_told(i, s), np.cumsum(steps), links, doc, times) for f, i, s, (steps, links, doc, times) in zip(rest["first"], rest["ids"], rest["sizes"], map(_columns, rest["texts"]), strict=True))
+        return _sums(key[0].as_py(), *_columns(record), known, runs, *scoring)
 
-    def row_batches(held, first, ids):
-        key, b, text = (np.concatenate([h[i] for h in held]) for i in range(3))
-        order = np.argsort(key, kind="stable")
-        order = order[_by_bucket(b[order])]
-        key, b, text = key[order], b[order], text[order]
-        pair = np.ones(len(key), bool)
-        pair[1:] = (key[1:] != key[:-1]) | (b[1:] != b[:-1])
-        link = pair.copy()
-        link[1:] |= text[1:] != text[:-1]
-        pairs, links = np.flatnonzero(pair), np.flatnonzero(link)
-        at = np.searchsorted(links, pairs)
-        of, start = np.unique(b[pairs], return_index=True)
-        m = len(of)
-        pair_ends, link_ends = np.append(start, len(pairs)), np.append(at[start], len(links))
-        texts = pa.concat_arrays(ids)
-        once = np.append(0, np.full(m, len(texts)))
-        sizes = np.concatenate([h[3] for h in held])
-        yield pa.RecordBatch.from_arrays([
-            pa.array(of.astype(np.int32)), pa.array(np.full(m, first)), _list(key[pairs], pair_ends), _list(np.diff(np.append(at, len(links))), pair_ends, pa.int32()), _list(text[links], link_ends, pa.int16()),
-            _list(np.diff(np.append(links, len(key))), link_ends, pa.int32()), pa.ListArray.from_arrays(pa.array(once.astype(np.int32)), texts), _list(sizes, once, pa.int32()),
-        ], names=["b", "first", "pair", "links", "doc", "times", "ids", "sizes"])
+    return rows
 
-    def rows(batches):
-        held, ids, first, texts, size = [], [], 0, 0, 0
-        for batch in batches:
-            for lo, hi, data, bounds in W.slices(batch.column(1)):
-                if held and (size >= limit or texts + hi - lo > 1 << 15):
-                    yield from row_batches(held, first, ids)
-                    held, ids, texts, size = [], [], 0, 0
-                if not held:
-                    first = batch.column(2)[lo].as_py()
-                words = W.find_words(data, bounds, lower=True)
-                context, symbol, text = _stream(words)
-                held.append((_key(context, symbol), _bucket(context, symbol, frequent, buckets), text + texts, words.counts + 1))
-                ids.append(batch.column(0)[lo:hi])
-                texts, size = texts + hi - lo, size + len(text)
-        if held:
-            yield from row_batches(held, first, ids)
 
-    return rows
+def _told(ids: pa.Scalar, sizes: pa.Scalar) -> tuple[pa.Array, np.ndarray]:
+    if not sizes.is_valid:
+        return pa.nulls(0, pa.int64()), np.zeros(0, np.int64)
+    return ids.values, sizes.values.to_numpy()
 
 
-def _score(unknown: float, frequent: _Frequent, totals: np.ndarray, buckets: int, denominator: float, model: Restaurant, round_: int):
-    """Sums of each text's pairs in a bucket; ``totals``: mean tables of the frequent contexts in this very round."""
+def _score(*scoring):
+    """The sums of pairs (u, w, n) and texts (first, pair, links, doc, times, ids, sizes) that are given by hashes."""
 
     def rows(key, pairs: pa.Table, both: pa.Table) -> pa.Table:
-        b = key[0].as_py()
-        words, tokens = both.filter(pc.is_valid(both["w"])).select(["w", "p", "c"]), both.filter(pc.is_valid(both["pair"])).combine_chunks()
+        known, tokens = both.filter(pc.is_valid(both["w"])).select(["w", "p", "c"]), both.filter(pc.is_valid(both["pair"]))
         u, w, n = _flat(pairs["u"]).view(np.uint64), _flat(pairs["w"]).view(np.uint64), _flat(pairs["n"])
-        t, of, customers, tables, p, c, contexts = _seated(b, u, w, n, words, unknown, frequent, buckets, model, round_)
-        if b >= buckets:
-            tables = totals[np.searchsorted(frequent.hashes, contexts)]
-        # A context without customers has its parent's probabilities.
-        all_ = customers + model.strength
-        logp = np.log10((n - model.discount * t) / all_[of] + ((model.strength + model.discount * tables) / all_)[of] * p)
-        base, known = np.log10((c + 1) / denominator), c > 0
+        words, at = np.unique(np.append(u, w), return_inverse=True)
         pair = _key(u, w)
         order = np.argsort(pair)
-        at = order[np.searchsorted(pair, _flat(tokens["pair"]).view(np.uint64), sorter=order)]
-        at = np.repeat(at, _flat(tokens["links"]))
-        times, row = _flat(tokens["times"]), np.repeat(tokens["first"].to_numpy(), pc.list_value_length(tokens["doc"]).to_numpy()) + _flat(tokens["doc"])
-        k, known, base, score = _sum_by(row, times * known[at], times * base[at], times * logp[at])
-        sizes = pc.list_value_length(tokens["sizes"]).to_numpy()
-        texts = np.repeat(tokens["first"].to_numpy(), sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        ids = tokens["ids"].combine_chunks().flatten() if len(tokens) else pa.nulls(0, pa.int64())
-        m = len(texts)
-        return pa.table([
-            W.as_long(np.append(texts, k)), pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(len(k), pa.int64())]), W.as_long(np.append(_flat(tokens["sizes"]), np.zeros(len(k), np.int64))),
-            W.as_long(np.append(np.zeros(m), known)), pa.array(np.append(np.zeros(m), base)), pa.array(np.append(np.zeros(m), score)),
-        ], names=["row", "doc", "tokens", "known", "base", "score"])
+        find = lambda x: order[np.searchsorted(pair, x.values.to_numpy().view(np.uint64), sorter=order)]
+        runs = ((r[0].as_py(), *_told(r[1], r[2]), find(r[3]), *[x.values.to_numpy() for x in r[4:]]) for r in zip(*[tokens[x] for x in ("first", "ids", "sizes", "pair", "links", "doc", "times")], strict=True))
+        return _sums(key[0].as_py(), words, at[: len(u)], at[len(u) :], n, known, runs, *scoring)
 
     return rows
 
@@ -532,20 +697,22 @@ def _fit_and_score(docs: DataFrame, model: Restaurant) -> DataFrame:
     hashes = np.unique(np.append(np.array(often, np.int64).view(np.uint64), START))
     buckets = 1 + tokens // model.bucket
 
-    pairs = store.save("pairs", marked.mapInArrow(_count_pairs(hashes, buckets), PAIRS).groupBy("b").applyInArrow(_merge, PAIRS), key="b", files=2 * buckets)
-    asked = pairs.mapInArrow(_requests(hashes, buckets), "b int, of_context boolean, key long, tables long, c long")
+    numbered = plain.withColumn("train", ~held_out(model)).withColumn("row", F.monotonically_increasing_id())
+    stored = store.save("pairs", numbered.mapInArrow(_deal(hashes, buckets), DEALT).groupBy("b").applyInArrow(_merge, DEALT), key="b", files=1 + buckets // 2)
+    pairs = stored.filter("pairs is not null").select("b", "pairs")
+    asked = pairs.mapInArrow(_requests(buckets), "b int, of_context boolean, key long, tables long, c long")
     words = store.save("words", asked.filter("not of_context").groupBy(F.col("key").alias("word")).agg(F.sum("tables").alias("c1"), F.sum("c").alias("c")).filter("c > 0"))
     vocabulary = words.count()
     denominator = float(total + vocabulary + 1)
     unit = 1.0 / (vocabulary + 1)
     often_pairs = pairs.filter(F.col("b") >= buckets)
-    often_asked = often_pairs.mapInArrow(_requests(hashes, buckets), asked.schema)
+    often_asked = often_pairs.mapInArrow(_requests(buckets), asked.schema)
     frequent = _Frequent(hashes, *_of_contexts(often_asked, hashes, "c", "tables"))
 
     def probabilities(words: DataFrame, tables: float, round_: int):
         """Words with P(word) of the parent, that of an unknown word, and all tables."""
         customers = words.agg(F.coalesce(F.sum("c1"), F.lit(0))).first()[0]
-        sat = store.save(f"parent{round_}", words.mapInPandas(_parent(tables, tables * 1.0 / max(1, vocabulary), customers, unit, model, round_), "word long, c1 long, c long, t1 double"))
+        sat = store.save(f"parent{round_}", words.mapInPandas(_parent(tables, tables * 1.0 / max(1, vocabulary), unit, model, round_), "word long, c1 long, c long, t1 double"))
         tables = float(sat.agg(F.coalesce(F.sum("t1"), F.lit(0.0))).first()[0])
         spread = (model.parent_strength + model.parent_discount * tables) / (customers + model.parent_strength) * unit
         p = (F.col("c1") - model.parent_discount * F.col("t1")) / F.lit(customers + model.parent_strength) + F.lit(spread)
@@ -567,9 +734,7 @@ def _fit_and_score(docs: DataFrame, model: Restaurant) -> DataFrame:
     seated = often_pairs.groupBy("b").cogroup(answers(often_asked, known).groupBy("b")).applyInArrow(_tables(unknown, frequent, buckets, model, last), "of_context boolean, key long, tables double")
     (totals,) = _of_contexts(seated, hashes, "tables")
 
-    rows = plain.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_send_tokens(hashes, buckets), TOKENS)
-    both = answers(asked, known).unionByName(rows, allowMissingColumns=True)
-    parts = pairs.groupBy("b").cogroup(both.groupBy("b")).applyInArrow(_score(unknown, frequent, totals, buckets, denominator, model, last), SUMS)
+    parts = stored.groupBy("b").cogroup(answers(asked, known).groupBy("b")).applyInArrow(_score_stored(unknown, frequent, totals, buckets, denominator, model, last), SUMS)
     out = parts.groupBy("row").agg(F.max("doc").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     store.drop("common", *[f"{x}{r}" for r in range(last) for x in ("parent", "sent")])
     return out.select("doc_id", held_out(model).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
