@@ -10,7 +10,7 @@ weight (strength + discount * tables) * P(dish | parent); a new table sends a cu
 Samples are averaged.
 
 Pairs (context, word) are dealt by context to buckets of bounded size, once, with the texts that have
-them, and stored there; ``Seating`` moves a customer of each of a bucket's dishes at a time. A context
+them, and stored there, from where the pairs' values go back to their runs of texts; ``Seating`` moves a customer of each of a bucket's dishes at a time. A context
 that holds 1 / ``head`` of all tokens is frequent: its pairs are dealt by both words to buckets of their
 own, whose seatings know the tables of the rest of their restaurant as of the round before. Words' tables
 and probabilities are exchanged with the buckets as rows (bucket, word). What is dealt and stored are
@@ -37,7 +37,8 @@ END, START = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 _PAIR = np.uint64(0xD1B54A32D192ED03)
 DEALT = "b int, first long, pairs binary, texts binary, ids array<long>, sizes array<int>"
 ANSWERS = "b int, w array<long>, p array<float>, c array<long>"
-SUMS = "row long, doc long, tokens long, known long, base double, score double"
+ANSWERED = "b int, first long, ids array<long>, sizes array<int>, texts binary"
+SUMS = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 @dataclass(frozen=True)
@@ -401,8 +402,14 @@ def _deal(frequent: np.ndarray, buckets: int, limit: int = 1 << 21):
         held.clear()
         symbol, train, sizes = np.concatenate([*symbol, [START]]), np.concatenate(train), np.concatenate(sizes)
         # Words by their place among the run's, so that pairs and texts are sorted as one number.
-        words, at = np.unique(symbol, return_inverse=True)
+        order = np.argsort(symbol)
+        symbol = symbol[order]
+        new = np.ones(len(symbol), bool)
+        new[1:] = symbol[1:] != symbol[:-1]
+        words, at = symbol[new], np.empty(len(symbol), np.int32)
         del symbol
+        at[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order, new
         both = np.empty(len(at) - 1, np.int64)
         both[1:] = at[:-2]
         both[np.cumsum(sizes) - sizes] = at[-1]
@@ -426,7 +433,8 @@ def _deal(frequent: np.ndarray, buckets: int, limit: int = 1 << 21):
         u, w = (code[pairs] >> wide).astype(np.int32), (code[pairs] & ((1 << wide) - 1)).astype(np.int32)
         del code, pair, links
         ends = np.append(pairs, len(doc))
-        b = _bucket(words[u], words[w], frequent, buckets)
+        part = range(0, len(u), 1 << 18)
+        b = np.concatenate([_bucket(words[u[i : i + part.step]], words[w[i : i + part.step]], frequent, buckets) for i in part])
         order = _by_bucket(b)
         of, start = np.unique(b[order], return_index=True)
         rank = np.empty(len(words), np.int32)
@@ -607,62 +615,73 @@ def _tables(unknown: float, frequent: _Frequent, buckets: int, model: Restaurant
     return rows
 
 
-def _sums(b: int, words, u, w, n, known: pa.Table, runs, unknown: float, frequent: _Frequent, totals: np.ndarray, buckets: int, denominator: float, model: Restaurant, round_: int):
-    """Sums of each text's pairs in a bucket; ``totals``: mean tables of the frequent contexts in this very round;
-    ``runs``: (first row, ids, sizes, places of the pairs, texts of each, which, how often)."""
+def _values(b: int, words, u, w, n, known: pa.Table, unknown: float, frequent: _Frequent, totals: np.ndarray, buckets: int, model: Restaurant, round_: int):
+    """(log10 P, count of the word) of each pair of a bucket; ``totals``: mean tables of the frequent contexts in this very round."""
     t, of, customers, tables, p, c, contexts = _seated(b, words, u, w, n, known, unknown, frequent, buckets, model, round_)
     if b >= buckets:
         tables = totals[np.searchsorted(frequent.hashes, contexts)]
     # A context without customers has its parent's probabilities.
     all_ = customers + model.strength
-    logp = np.log10((n - model.discount * t) / all_[of] + ((model.strength + model.discount * tables) / all_)[of] * p[w])
-    base, met = np.log10((c + 1) / denominator)[w], (c > 0)[w]
-    sums = []
-    for first, ids, sizes, at, links, doc, times in runs:
-        m = max(len(sizes), int(doc.max()) + 1)
-        known_, base_, score = (np.bincount(doc, times * np.repeat(x[at], links), m) for x in (met, base, logp))
-        if len(sizes):  # the row that tells of all of the run's texts
-            here = np.arange(m)
-        else:
-            here, ids, sizes = np.unique(doc).astype(np.int64), pa.nulls(0, pa.int64()), np.zeros(0, np.int64)
-        pad = len(here) - len(sizes)
-        sums.append(pa.table([
-            W.as_long(first + here), pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(pad, pa.int64())]), W.as_long(np.append(sizes, np.zeros(pad, np.int64))),
-            W.as_long(known_[here]), pa.array(base_[here]), pa.array(score[here]),
-        ], names=["row", "doc", "tokens", "known", "base", "score"]))
-    return pa.concat_tables(sums)
+    return np.log10((n - model.discount * t) / all_[of] + ((model.strength + model.discount * tables) / all_)[of] * p[w]), c[w]
 
 
-def _score_stored(*scoring):
-    """The sums of a bucket as it is stored."""
+def _answer(*scoring):
+    """A bucket as it is stored -> for each run its texts there, with the values of their pairs. So what is sent is in
+    proportion to the pairs of the runs, however many buckets a text meets."""
 
     def rows(key, stored: pa.Table, known: pa.Table) -> pa.Table:
         (record,) = (x for x in stored["pairs"] if x.is_valid)
+        logp, c = _values(key[0].as_py(), *_columns(record), known, *scoring)
+        logp, c = logp.astype(np.float32), c.astype(np.int32 if c.max() < 1 << 31 else np.int64)
         rest = stored.filter(pc.is_valid(stored["texts"]))
-        runs = ((f.as_py(), *_told(i, s), np.cumsum(steps), links, doc, times) for f, i, s, (steps, links, doc, times) in zip(rest["first"], rest["ids"], rest["sizes"], map(_columns, rest["texts"]), strict=True))
-        return _sums(key[0].as_py(), *_columns(record), known, runs, *scoring)
+        texts = []
+        for steps, links, doc, times in map(_columns, rest["texts"]):
+            at = np.cumsum(steps)
+            texts.append(_record(links=links, doc=doc, times=times, logp=logp[at], c=c[at]))
+        return rest.select(["b", "first", "ids", "sizes"]).append_column("texts", pa.array(texts, pa.binary()))
 
     return rows
 
 
-def _told(ids: pa.Scalar, sizes: pa.Scalar) -> tuple[pa.Array, np.ndarray]:
-    if not sizes.is_valid:
-        return pa.nulls(0, pa.int64()), np.zeros(0, np.int64)
-    return ids.values, sizes.values.to_numpy()
+def _add_up(texts: int, parts, denominator: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Known tokens, base and score of each of a run's texts, from parts (links, doc, times, log10 P, count)."""
+    known, base, score = np.zeros((3, texts))
+    for links, doc, times, logp, c in parts:
+        for total, x in ((known, c > 0), (base, np.log10((c + 1) / denominator)), (score, logp)):
+            total += np.bincount(doc, times * np.repeat(x, links), texts)
+    return known.astype(np.int64), base, score
+
+
+def _sums(denominator: float):
+    """What a run's buckets answered -> a row per text."""
+
+    def rows(answered: pa.Table) -> pa.Table:
+        answered = answered.take(pc.sort_indices(answered["b"]))
+        one = answered.filter(pc.is_valid(answered["sizes"])).combine_chunks()
+        ids, sizes = one["ids"].combine_chunks().flatten(), _flat(one["sizes"])
+        sums = _add_up(len(sizes), map(_columns, answered["texts"]), denominator)
+        return pa.table([ids, W.as_long(sizes), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return rows
 
 
-def _score(*scoring):
-    """The sums of pairs (u, w, n) and texts (first, pair, links, doc, times, ids, sizes) that are given by hashes."""
+def _score(unknown: float, frequent: _Frequent, totals: np.ndarray, buckets: int, denominator: float, model: Restaurant, round_: int):
+    """Both steps, for one bucket's pairs (u, w, n) and runs (first, pair, links, doc, times, sizes) given by hashes."""
 
     def rows(key, pairs: pa.Table, both: pa.Table) -> pa.Table:
-        known, tokens = both.filter(pc.is_valid(both["w"])).select(["w", "p", "c"]), both.filter(pc.is_valid(both["pair"]))
+        known, runs = both.filter(pc.is_valid(both["w"])).select(["w", "p", "c"]), both.filter(pc.is_valid(both["pair"]))
         u, w, n = _flat(pairs["u"]).view(np.uint64), _flat(pairs["w"]).view(np.uint64), _flat(pairs["n"])
         words, at = np.unique(np.append(u, w), return_inverse=True)
+        logp, c = _values(key[0].as_py(), words, at[: len(u)], at[len(u) :], n, known, unknown, frequent, totals, buckets, model, round_)
         pair = _key(u, w)
         order = np.argsort(pair)
-        find = lambda x: order[np.searchsorted(pair, x.values.to_numpy().view(np.uint64), sorter=order)]
-        runs = ((r[0].as_py(), *_told(r[1], r[2]), find(r[3]), *[x.values.to_numpy() for x in r[4:]]) for r in zip(*[tokens[x] for x in ("first", "ids", "sizes", "pair", "links", "doc", "times")], strict=True))
-        return _sums(key[0].as_py(), words, at[: len(u)], at[len(u) :], n, known, runs, *scoring)
+        tables = []
+        for i in range(len(runs)):
+            run, links, doc, times, sizes = (_flat(runs[x][i : i + 1]) for x in ("pair", "links", "doc", "times", "sizes"))
+            at = order[np.searchsorted(pair, run.view(np.uint64), sorter=order)]
+            sums = _add_up(len(sizes), [(links, doc, times, logp[at], c[at])], denominator)
+            tables.append(pa.table([W.as_long(runs["first"][i].as_py() + np.arange(len(sizes))), *map(pa.array, sums)], names=["row", "known", "base", "score"]))
+        return pa.concat_tables(tables)
 
     return rows
 
@@ -734,8 +753,8 @@ def _fit_and_score(docs: DataFrame, model: Restaurant) -> DataFrame:
     seated = often_pairs.groupBy("b").cogroup(answers(often_asked, known).groupBy("b")).applyInArrow(_tables(unknown, frequent, buckets, model, last), "of_context boolean, key long, tables double")
     (totals,) = _of_contexts(seated, hashes, "tables")
 
-    parts = stored.groupBy("b").cogroup(answers(asked, known).groupBy("b")).applyInArrow(_score_stored(unknown, frequent, totals, buckets, denominator, model, last), SUMS)
-    out = parts.groupBy("row").agg(F.max("doc").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    answered = stored.groupBy("b").cogroup(answers(asked, known).groupBy("b")).applyInArrow(_answer(unknown, frequent, totals, buckets, model, last), ANSWERED)
+    out = answered.groupBy("first").applyInArrow(_sums(denominator), SUMS)
     store.drop("common", *[f"{x}{r}" for r in range(last) for x in ("parent", "sent")])
     return out.select("doc_id", held_out(model).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from nimbora.llm import pitman_yor as P
 from nimbora.llm.pitman_yor import Restaurant, Seating, _Frequent, _key, _list, _score, predictive, score_documents, seat, sweep
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -129,3 +130,41 @@ def test_every_context_sums_to_one():
     assert each[2] == pytest.approx(np.append(p, unknown))
     assert got["known"].tolist() == [1, 1, 1, 1, 1, 0] * 3
     assert got["base"].to_numpy()[:6] == pytest.approx(np.log10(np.array([2, 3, 4, 5, 6, 1]) / 100))
+
+
+def test_dealt_records_hold_all_pairs_and_texts_in_few_bytes():
+    """Pairs with their texts take under 12 bytes each to be dealt (two exchanges of hashes took 38), whatever the buckets."""
+    docs = [(i, " ".join(f"w{int(x)}" for x in np.random.default_rng(i).zipf(1.3, 400) % 5000) if i % 50 else None) for i in range(500)]
+    train = [i % 3 > 0 for i, _ in docs]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs]), pa.array(train), pa.array(range(100, 600))], names=["doc_id", "text", "train", "row"])
+    hashes = P.W.find_words(np.frombuffer(b"w1 w2", np.uint8), np.array([0, 5])).hash
+    hash_of = {w: int(h) for w in {w for _, t in docs for w in tokens(t)} - {None} for h in P.W.find_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])).hash}
+    hash_of[None] = int(P.END)
+    want, of_text = Counter(), Counter()
+    for i, text in docs:
+        before = int(P.START)
+        for w in tokens(text):
+            pair = (before, hash_of[w])
+            want[pair] += train[i]
+            of_text[i, pair] += 1
+            before = pair[1]
+    dealt = pa.Table.from_batches(list(P._deal(np.sort(hashes), 3, limit=50_000)(batch.slice(i, 100) for i in range(0, 500, 100))))
+    assert len(set(dealt["first"].to_pylist())) > 2 and len(set(dealt["b"].to_pylist())) == 6
+    links = 0
+    for b in set(dealt["b"].to_pylist()):
+        stored = P._merge(dealt.filter(pa.compute.equal(dealt["b"], b))).to_pylist()
+        words, u, w, n = P._columns(pa.scalar(stored[0]["pairs"]))
+        pairs = list(zip(words[u].tolist(), words[w].tolist(), strict=True))
+        assert len(set(pairs)) == len(pairs)
+        for pair, count in zip(pairs, n.tolist(), strict=True):
+            assert want.pop(pair) == count
+        for r in stored[1:]:
+            steps, each, doc, times = P._columns(pa.scalar(r["texts"]))
+            for at, d, k in zip(np.repeat(np.cumsum(steps), each).tolist(), doc.tolist(), times.tolist(), strict=True):
+                assert of_text.pop((r["first"] - 100 + d, pairs[at])) == k
+                links += 1
+    assert not want and not of_text
+    sizes = {r["first"]: (r["ids"], r["sizes"]) for r in dealt.to_pylist() if r["sizes"]}
+    assert [x for f in sorted(sizes) for x in sizes[f][0]] == [i for i, _ in docs]
+    assert [x for f in sorted(sizes) for x in sizes[f][1]] == [len(tokens(t)) for _, t in docs]
+    assert sum(len(x.as_py()) for name in ("pairs", "texts") for x in dealt[name]) < 12 * links
