@@ -59,7 +59,7 @@ class Restaurant:
     samples: int = 3
     moves: int = 8
     seed: int = 11
-    bucket: int = 4_000_000
+    bucket: int = 2_500_000
 
 
 def seat(counts: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> list[list[int]]:
@@ -483,17 +483,16 @@ def _merge(rows: pa.Table) -> pa.Table:
         here = at[first : first + len(own)]
         codes.append(here[u] << wide | here[w])
         first += len(own)
-    found, place = np.unique(np.concatenate(codes), return_inverse=True)
-    n = np.bincount(place, np.concatenate([x[3] for x in parts]), len(found))
+    found = np.unique(np.concatenate(codes))
+    n, texts = np.zeros(len(found), np.int64), []
+    for x, code, part in zip(rows["texts"], codes, parts, strict=True):
+        place = np.searchsorted(found, code)
+        n[place] += part[3]
+        links, doc, times = _columns(x)
+        texts.append(_record(steps=np.diff(place, prepend=0).astype(np.int32), links=links, doc=doc, times=times))
     u, w = found >> wide, found & ((1 << wide) - 1)
     kind = np.int32 if n.max() < 1 << 31 else np.int64
     pairs = _record(words=words, u=u.astype(np.int32), w=w.astype(np.int32), n=n.astype(kind))
-    texts, first = [], 0
-    for x, code in zip(rows["texts"], codes, strict=True):
-        links, doc, times = _columns(x)
-        steps = np.diff(place[first : first + len(code)], prepend=0)
-        texts.append(_record(steps=steps.astype(np.int32), links=links, doc=doc, times=times))
-        first += len(code)
     b, none = rows["b"].to_pylist(), [None] * len(rows)
     head = _dealt(b[:1], [None], [pairs], [None], [None], [None])
     rest = _dealt(b, rows["first"].to_pylist(), none, texts, rows["ids"].to_pylist(), rows["sizes"].to_pylist())
