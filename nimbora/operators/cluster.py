@@ -139,7 +139,7 @@ def sweep(points: DataFrame, id_: str, vector: str, dims: int, ks: list[int], re
         groups, names = [*groups, *ks], names + [("ward", k) for k in ks]
     table = table.persist()
     try:
-        outlines = silhouette_means(table, id_, vector, dims, [None] * len(groups))
+        outlines = silhouette_means(table, id_, vector, dims, [None] * len(groups), groups)
         found = {x: (s, c, w) for x, s, (w, c) in zip(names, outlines, spread(table, vector, groups), strict=True)}
     finally:
         table.unpersist()
@@ -200,7 +200,7 @@ def feature_ablation(points: DataFrame, id_: str, vector: str, names: list[str],
     best = [min(found[i * restarts : (i + 1) * restarts], key=lambda f: f[1])[0] for i in range(len(uses))]
     table = labelled(points, vector, [by_centers(c, u) for c, u in zip(best, uses, strict=True)]).persist()
     try:
-        outlines = silhouette_means(table, id_, vector, dims, [list(u) if u else None for u in uses])
+        outlines = silhouette_means(table, id_, vector, dims, [list(u) if u else None for u in uses], [k] * len(uses))
         cells = table.select(F.col("labels")[0].alias("one"), F.posexplode("labels").alias("which", "two")).groupBy("which", "one", "two").agg(F.count("*").alias("n")).collect()  # k * k per feature at most
     finally:
         table.unpersist()

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,10 @@ from pyspark.sql import functions as F
 from nimbora.sources.scratch import ship
 
 
+#: Numbers in the partial sums of a pass that the driver may add up by itself (32 MB).
+FEW = 1 << 22
+
+
 @dataclass(frozen=True)
 class Fit:
     """``share``: of the points that take part; ``noise``: deviation of what is added to them."""
@@ -41,14 +47,26 @@ def _draw(h: np.ndarray, seed: int, stream: int = 0) -> np.ndarray:
     return _mixed(_mixed(h + np.uint64((seed * 0x9E3779B97F4A7C15) % (1 << 64))) + np.uint64(stream * 0xD1342543DE82EF95 % (1 << 64)))
 
 
+@cache
+def _normals() -> np.ndarray:
+    """Quantiles of the normal distribution at the middles of 65,536 equal shares, of deviation 1."""
+    table = np.array([NormalDist().inv_cdf((i + 0.5) / 65_536) for i in range(65_536)])
+    return table / table.std()
+
+
+def deviates(h: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """Normal deviates of points with hashes ``h``; a draw of 64 bits gives four of them."""
+    draws = _draw(h[:, None] + np.arange(-(-dims // 4), dtype=np.uint64), seed, 1)
+    return _normals()[draws.view(np.uint16)[:, :dims]]
+
+
 def seen(fit: Fit, x: np.ndarray, h: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """What ``fit`` sees of points ``x`` with hashes ``h``, and its hashes; ``limit`` bounds the top 16 bits of its draw."""
     if fit.share < 1:
         ok = (_draw(h, fit.seed) >> np.uint64(48)).astype(np.int64) < limit
         x, h = x[ok], h[ok]
     if fit.noise:
-        u, w = (((_draw(h[:, None] + np.arange(x.shape[1], dtype=np.uint64), fit.seed, s) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53) for s in (1, 2))
-        x = x + fit.noise * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * w)  # Box and Muller's normal deviates
+        x = x + fit.noise * deviates(h, x.shape[1], fit.seed)
     return (x if fit.dims is None else x[:, fit.dims]), h
 
 
@@ -56,8 +74,8 @@ def view(fit: Fit, x: np.ndarray, h: np.ndarray, limit: int) -> np.ndarray:
     return seen(fit, x, h, limit)[0]
 
 
-def reduced(data: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
-    """Sum of ``fold(vectors, hashes)`` over all rows of ``data`` (v, h); partial sums meet in a tree."""
+def reduced(data: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.ndarray], few: bool = False) -> np.ndarray | None:
+    """Sum of ``fold(vectors, hashes)`` over all rows of ``data`` (v, h); partial sums meet in a tree, or, if they are ``few``, on the driver."""
 
     def rows(batches):
         total = None
@@ -69,13 +87,20 @@ def reduced(data: DataFrame, fold: Callable[[np.ndarray, np.ndarray], np.ndarray
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
+    if few:
+        each = [np.frombuffer(x.as_buffer()) for x in data.mapInArrow(rows, "sums binary").toArrow().column(0)]
+        return np.sum(each, 0) if each else None
     parts = data.mapInArrow(rows, "sums binary").rdd.map(lambda r: np.frombuffer(bytes(r[0])))
-    return None if parts.isEmpty() else parts.treeReduce(lambda a, b: a + b)
+    both = lambda a, b: b if a is None else a if b is None else a + b
+    return parts.treeAggregate(None, both, both)
 
 
 def hashed(points: DataFrame, id_: str, vector: str) -> DataFrame:
-    ship(points.sparkSession)
-    return points.select(F.col(vector).cast("array<double>").alias("v"), F.xxhash64(id_).alias("h"))
+    spark = points.sparkSession
+    ship(spark)
+    rows = points.select(F.col(vector).cast("array<double>").alias("v"), F.xxhash64(id_).alias("h"))
+    few = 2 * spark.sparkContext.defaultParallelism
+    return rows.repartition(few, "h") if rows.rdd.getNumPartitions() < few else rows  # each pass is work for all cores
 
 
 def limits(data: DataFrame, fits: list[Fit]) -> list[int]:
@@ -174,6 +199,53 @@ def _reduced_to(x: np.ndarray, weight: np.ndarray, k: int, seed: int, steps: int
     return best
 
 
+def _steps(jobs: list[tuple[Fit, int, np.ndarray]], x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each (fit, limit, centers) the sizes of its groups, their sums and the cost, one after the other.
+
+    Fits that look at the points as they are share two products, with the centers of all of them in a row: dimensions
+    that a fit leaves out are 0 in its centers. Those with noise have products of their own."""
+    dims, out = x.shape[1], [np.zeros(len(c) * (c.shape[1] + 1) + 1) for _, _, c in jobs]
+    plain = [j for j, (f, _, _) in enumerate(jobs) if not f.noise]
+    at = np.concatenate([[0], np.cumsum([len(jobs[j][2]) for j in plain])]).astype(int)
+    centers, masks = np.zeros((at[-1], dims)), np.ones((dims, len(plain)))
+    for i, j in enumerate(plain):
+        f, _, c = jobs[j]
+        centers[at[i] : at[i + 1], slice(None) if f.dims is None else list(f.dims)] = c
+        if f.dims is not None:
+            masks[:, i] = 0
+            masks[list(f.dims), i] = 1
+    length = (centers * centers).sum(1)
+    for lo in range(0, len(x), 2_048):
+        y, g = x[lo : lo + 2_048], h[lo : lo + 2_048]
+        each = np.arange(len(y))
+        if plain:
+            norm, d = (y * y) @ masks, length - 2 * (y @ centers.T)
+            one = np.zeros(d.shape)
+            for i, j in enumerate(plain):
+                f, lim, _ = jobs[j]
+                part = d[:, at[i] : at[i + 1]]
+                label = part.argmin(1)
+                near = np.maximum(part[each, label] + norm[:, i], 0)
+                rows = each if f.share >= 1 else np.flatnonzero((_draw(g, f.seed) >> np.uint64(48)).astype(np.int64) < lim)
+                one[rows, at[i] + label[rows]] = 1
+                out[j][-1] += near[rows].sum()
+            sizes, sums = one.sum(0), one.T @ y
+            for i, j in enumerate(plain):
+                f, k = jobs[j][0], at[i + 1] - at[i]
+                part = sums[at[i] : at[i + 1]]
+                out[j][:k] += sizes[at[i] : at[i + 1]]
+                out[j][k:-1] += (part if f.dims is None else part[:, list(f.dims)]).ravel()
+        for j, (f, lim, c) in enumerate(jobs):
+            if f.noise:
+                z = view(f, y, g, lim)
+                d = _squares(z, c)
+                label = d.argmin(1) if len(z) else np.zeros(0, int)
+                one = np.zeros((len(z), len(c)))
+                one[np.arange(len(z)), label] = 1
+                out[j] += np.concatenate([one.sum(0), (one.T @ z).ravel(), [d[np.arange(len(z)), label].sum()]])
+    return np.concatenate(out)
+
+
 def kmeans_fits(points: DataFrame, id_: str, vector: str, fits: list[Fit], steps: int = 100, tol: float = 1e-6, rounds: int = 4) -> list[tuple[np.ndarray, float]]:
     """(centers, cost) of each fit: Lloyd's iterations from k-means|| starts of so many rounds; each
     round and each iteration is one pass over all points for all fits. A center without points stays."""
@@ -181,24 +253,13 @@ def kmeans_fits(points: DataFrame, id_: str, vector: str, fits: list[Fit], steps
     try:
         if data.isEmpty():
             return [(np.zeros((0, 0)), 0.0) for _ in fits]
-        bounds = limits(data, fits)
+        parts, bounds = data.rdd.getNumPartitions(), limits(data, fits)
         centers = _starts(data, fits, bounds, rounds)
         cost, live = [0.0] * len(fits), list(range(len(fits)))
         for _ in range(steps):
             now = [(fits[j], bounds[j], centers[j]) for j in live]
 
-            def fold(x: np.ndarray, h: np.ndarray, now=now) -> np.ndarray:
-                out = []
-                for f, lim, c in now:
-                    y = view(f, x, h, lim)
-                    d = _squares(y, c)
-                    label = d.argmin(1) if len(y) else np.zeros(0, int)
-                    one = np.zeros((len(y), len(c)))
-                    one[np.arange(len(y)), label] = 1
-                    out += [one.sum(0), (one.T @ y).ravel(), [d[np.arange(len(y)), label].sum()]]
-                return np.concatenate(out)
-
-            sums, at, going = reduced(data, fold), 0, []
+            sums, at, going = reduced(data, lambda x, h, now=now: _steps(now, x, h), parts * sum(c.size + len(c) + 1 for _, _, c in now) < FEW), 0, []
             for j in live:
                 k, d = centers[j].shape
                 n, total, cost[j] = sums[at : at + k], sums[at + k : at + k + k * d].reshape(k, d), float(sums[at + k + k * d])
@@ -230,6 +291,14 @@ def mixture_score(weights: np.ndarray, means: np.ndarray, covariances: np.ndarra
     return score
 
 
+def _products(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sum of the outer products of points with weights; those of no weight take no part."""
+    some = w > 0
+    if not some.all():
+        x, w = x[some], w[some]
+    return ((x * w[:, None]).T @ x).ravel()
+
+
 def mixture_fits(points: DataFrame, id_: str, vector: str, fits: list[Fit], steps: int = 100, tol: float = 1e-3, ridge: float = 1e-6) -> list[tuple[float, tuple]]:
     """(log-likelihood, (weights, means, covariances)) of each fit with full covariances: expectation
     and maximization from k-means groups until the mean log-likelihood gains less than ``tol``, in
@@ -250,7 +319,7 @@ def mixture_fits(points: DataFrame, id_: str, vector: str, fits: list[Fit], step
                 x, out = x - center, []
                 for score, c in now:
                     r, fit = score(x) if score else (np.eye(len(c))[_squares(x, c).argmin(1)], 0.0)
-                    out += [r.sum(0), (r.T @ x).ravel(), *[((x * w[:, None]).T @ x).ravel() for w in r.T], [fit]]
+                    out += [r.sum(0), (r.T @ x).ravel(), *[_products(x, w) for w in r.T], [fit]]
                 return np.concatenate(out)
 
             sums, at, going = reduced(data, fold), 0, []

@@ -1,23 +1,22 @@
 """All pairs of points and sums over them, without a single-task step.
 
-Points are dealt into blocks of about ``BLOCK``; each pair of blocks is one row of a join, and
-a task reduces its distances at once (sums by label), so that pairs are rows only where all
-pairs are the result. What bounds can settle is in ``metric`` and ``distance_ranks``.
+Points are dealt into blocks; a task reduces the distances of a pair of blocks at once (sums by
+label), so that pairs are rows only where all pairs are the result. What bounds can settle is in
+``metric`` and ``distance_ranks``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nimbora.operators.metric import strips as _strips
 from nimbora.sources.scratch import Scratch, ship
 
-BLOCK = 1_000
+#: Points of a block where there are few, blocks that are enough for tasks, most tasks.
+BLOCK, MOST, TASKS = 1_000, 24, 1_024
 
 
 def squared(a: Column, b: Column, dims: int) -> Column:
@@ -42,86 +41,172 @@ def all_pairs(points: DataFrame, id_: str, vector: str, dims: int, ordered: bool
     return met.select("a", "b", F.sqrt(squared(F.col("va"), F.col("vb"), dims)).alias("d"))
 
 
-def block_pairs(points: DataFrame, id_: str, vector: str, *more: str) -> DataFrame:
-    """(same, a, b): a row per pair of blocks; a and b are arrays of structs (id, v, *more) in the order of id."""
-    ship(points.sparkSession)
-    blocks = max(1, -(-points.count() // BLOCK))
-    one = F.struct(F.col(id_).alias("id"), F.col(vector).alias("v"), *[F.col(m).alias(m) for m in more])
-    grouped = points.groupBy(F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(one)).alias("rows"))
-    left = grouped.select(F.col("block").alias("i"), F.col("rows").alias("a"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"))
-    right = grouped.select(F.col("block").alias("j"), F.col("rows").alias("b"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
-    return left.join(right, ["i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "a", "b")
-
-
-def _sides(batches, dims: int) -> Iterator[tuple[bool, list, list]]:
-    """Of each pair of blocks: same, then per side [ids, matrix, further fields ...]."""
-    for batch in batches:
-        for r in range(batch.num_rows):
-            sides = []
-            for c in (1, 2):
-                rows = batch.column(c).slice(r, 1).flatten()
-                fields = [rows.field(k) for k in range(rows.type.num_fields)]
-                fields = [f.slice(rows.offset, len(rows)) if len(f) != len(rows) else f for f in fields]
-                sides.append([fields[0], fields[1].flatten().to_numpy(zero_copy_only=False).reshape(-1, dims), *fields[2:]])
-            yield batch.column(0)[r].as_py(), *sides
-
-
-def label_means(points: DataFrame, id_: str, vector: str, label: str, dims: int) -> DataFrame:
-    """(a, lb, mean): mean distance of each point to the others of each label."""
-
-    def rows(batches):
-        for same, (ids_a, a, la), (ids_b, b, lb) in _sides(batches, dims):
-            for own, x, other, y in ([(ids_a, a, lb, b)] if same else [(ids_a, a, lb, b), (ids_b, b, la, a)]):
-                names = other.dictionary_encode()
-                at = names.indices.to_numpy()
-                n = np.bincount(at, minlength=len(names.dictionary))
-                one = np.zeros((len(at), len(n)))
-                one[np.arange(len(at)), at] = 1
-                for lo, d in _strips(x, y):
-                    total, times = d @ one, np.tile(n, (len(d), 1))
-                    if same:  # the point itself adds a distance of nothing, but counts
-                        times[np.arange(len(d)), at[lo : lo + len(d)]] -= 1
-                    r, c = np.nonzero(times)
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(lo + r)), names.dictionary.take(pa.array(c)), pa.array(total[r, c]), pa.array(times[r, c].astype(np.int64))], names=["a", "lb", "s", "n"])
-
-    kinds = [points.schema[c].dataType.simpleString() for c in (id_, label)]
-    sums = block_pairs(points, id_, vector, label).mapInArrow(rows, f"a {kinds[0]}, lb {kinds[1]}, s double, n long")
-    return sums.groupBy("a", "lb").agg((F.sum("s") / F.sum("n")).alias("mean"))
-
-
-def silhouette_means(points: DataFrame, id_: str, vector: str, dims: int, use: list[list[int] | None]) -> list[float]:
-    """Mean silhouette of each entry of ``labels`` (array), by the dimensions in ``use`` (none: all), in
-    one pass over the pairs. 0 for a point alone in its group or with one group."""
-
-    def rows(batches):
-        for same, (ids_a, a, la), (ids_b, b, lb) in _sides(batches, dims):
-            width = len(use)
-            la, lb = (x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for x in (la, lb))
-            for own, x, other, y in ([(ids_a, a, lb, b)] if same else [(ids_a, a, lb, b), (ids_b, b, la, a)]):
-                known: tuple = (None, None)
-                for i, some in enumerate(use):
-                    n = np.bincount(other[:, i])
-                    one = np.eye(len(n))[other[:, i]]
-                    if known[0] != (some,):
-                        known = ((some,), [d for _, d in _strips(x[:, some] if some else x, y[:, some] if some else y)])
-                    at = 0
-                    for d in known[1]:
-                        total, times = d @ one, np.tile(n, (len(d), 1))
-                        if same:
-                            times[np.arange(len(d)), other[at : at + len(d), i]] -= 1
-                        r, c = np.nonzero(times)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), i, np.int32)), own.take(pa.array(at + r)), pa.array(c.astype(np.int32)), pa.array(total[r, c]), pa.array(times[r, c].astype(np.int64))], names=["which", "a", "lb", "s", "n"])
-                        at += len(d)
+def block_rows(dims: int, columns: int) -> int:
+    """Most points of a block, so that its vectors and its sums by label take some ten MB each."""
+    return max(256, min(32_768, (1 << 21) // max(1, dims), (1 << 22) // max(1, columns)))
+
 
+def _packed(points: DataFrame, id_: str, vector: str, labels: str, blocks: int) -> DataFrame:
+    """(block, ids, x, labels): a row per block; vectors as bytes, in single precision where that loses nothing."""
     kind = points.schema[id_].dataType.simpleString()
-    sums = block_pairs(points, id_, vector, "labels").mapInArrow(rows, f"which int, a {kind}, lb int, s double, n long")
-    mean = sums.groupBy("which", "a", "lb").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    own = points.select(F.col(id_).alias("a"), F.posexplode("labels").alias("which", "la"))
-    met = own.join(mean, ["which", "a"], "left")
-    both = met.groupBy("which", "a", "la").agg(F.max(F.when(F.col("lb") == F.col("la"), F.col("mean"))).alias("within"), F.min(F.when(F.col("lb") != F.col("la"), F.col("mean"))).alias("beside"))
-    s = F.coalesce(F.try_divide(F.col("beside") - F.col("within"), F.greatest("within", "beside")), F.lit(0.0))
-    s = F.when(F.col("within").isNull() | F.col("beside").isNull(), 0.0).otherwise(s)
-    found = {r["which"]: r["m"] for r in both.groupBy("which").agg(F.avg(s).alias("m")).collect()}
+    rows = points.select(F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("block"), F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(labels).cast("array<int>").alias("labels"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        table = table.take(pc.sort_indices(table.column("id")))
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        short = v.astype(np.float32)
+        data = short if (short == v).all() else v
+        mark = table.column("labels").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column("id").combine_chunks())
+        return pa.table({"block": table.column("block")[:1], "ids": ids, "x": pa.array([data.tobytes()], pa.binary()), "labels": pa.array([mark.tobytes()], pa.binary())})
+
+    return rows.groupBy("block").applyInArrow(pack, f"block int, ids array<{kind}>, x binary, labels binary")
+
+
+def _near(a: np.ndarray, b: np.ndarray, d: np.ndarray, scale: float) -> np.ndarray:
+    """Squared distances ``d`` that came from products: those that cancellation may have spoilt are worked out by differences."""
+    r, c = np.nonzero(d < 1e-7 * scale)
+    for lo in range(0, len(r), 8_192):
+        i, j = r[lo : lo + 8_192], c[lo : lo + 8_192]
+        d[i, j] = ((a[i] - b[j]) ** 2).sum(1)
+    return d
+
+
+def _label_sums(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, use: list[list[int] | None], groups: list[int], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the distances of each point of ``a`` to those of ``b`` by label, and of ``b`` to ``a``; a column per group of each
+    grouping. Distances come from products, once for all groupings; one left-out dimension is taken away from them."""
+    dims, at = a.shape[1], np.concatenate([[0], np.cumsum(groups)])
+    middle = a.mean(0)
+    a, b = a - middle, b - middle
+    norm_a, norm_b = (a * a).sum(1), (b * b).sum(1)
+    scale = float(norm_a.max() + norm_b.max())
+    marks = []
+    for labels in (la, lb):
+        one = np.zeros((len(labels), at[-1]))
+        for i in range(len(groups)):
+            rows = np.flatnonzero(labels[:, i] >= 0)
+            one[rows, at[i] + labels[rows, i]] = 1
+        marks.append(one)
+    runs: list[tuple[list[int] | None, int, int]] = []  # groupings next to each other that use the same dimensions
+    for i, some in enumerate(use):
+        if runs and runs[-1][0] == some:
+            runs[-1] = (some, runs[-1][1], int(at[i + 1]))
+        else:
+            runs.append((some, int(at[i]), int(at[i + 1])))
+    across = np.ascontiguousarray(b.T)
+    to_b, to_a = np.zeros((len(a), at[-1])), np.zeros((len(b), at[-1]))
+    step = max(16, (1 << 17) // max(1, len(b)))  # about what a core's cache holds
+    for lo in range(0, len(a), step):
+        x, rows = a[lo : lo + step], slice(lo, lo + step)
+        whole = norm_a[rows, None] + norm_b[None] - 2 * (x @ b.T)
+        for some, left, right in runs:
+            gone = sorted(set(range(dims)) - set(some)) if some is not None else []
+            y, z = (x, b) if some is None else (x[:, some], b[:, some]) if len(gone) > 2 else (None, None)
+            if len(gone) > 2:
+                d = (y * y).sum(1)[:, None] + (z * z).sum(1)[None] - 2 * (y @ z.T)
+            else:
+                d = whole.copy()
+                for j in gone:
+                    off = x[:, j, None] - across[j][None]
+                    d -= np.multiply(off, off, out=off)
+            if d.min(initial=np.inf) < 1e-7 * scale:
+                d = _near(*((y, z) if y is not None else (x[:, some], b[:, some])), d, scale)
+            np.sqrt(np.maximum(d, 0, out=d), out=d)
+            to_b[rows, left:right] = d @ marks[1][:, left:right]
+            if not same:
+                to_a[:, left:right] += d.T @ marks[0][rows, left:right]
+    return to_b, to_a
+
+
+def silhouettes(points: DataFrame, id_: str, vector: str, dims: int, use: list[list[int] | None], groups: list[int], means: bool = False) -> DataFrame:
+    """(id, s): the silhouettes of each point by each entry of ``labels`` (numbers from 0 up to ``groups`` less one; below 0:
+    no label), by the dimensions in ``use`` (none: all). 0 for a point alone in its group, without a label or with one group.
+    With ``means`` (which, s, n) instead: sums over the points of a task.
+
+    Blocks of points meet in pairs, each unordered one once; what leaves it is a matrix for each of its blocks, points by
+    groups, and the matrices of a block meet in one task, so neither pairs nor sums by point are rows.
+    """
+    spark, total = points.sparkSession, sum(groups)
+    ship(spark)
+    store = Scratch(spark, "silhouettes")
+    n = points.count()
+    blocks = max(-(-n // block_rows(dims, total)), min(MOST, -(-n // BLOCK)), 1)
+    packed = store.save("blocks", _packed(points, id_, vector, "labels", blocks))
+    kind, many = points.schema[id_].dataType.simpleString(), len(use)
+    sizes = np.zeros(total)
+    at = np.concatenate([[0], np.cumsum(groups)])
+    marks = points.select(F.posexplode("labels").alias("which", "label")).filter("label >= 0").groupBy("which", "label").agg(F.count("*").alias("n")).collect()  # a row per grouping and group
+    for r in marks:
+        sizes[at[r["which"]] + r["label"]] = r["n"]
+
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j"))))
+    tasks = min(blocks * (blocks + 1) // 2, TASKS)
+    met = packed.select(pairs.alias("p"), "block", "x", "labels").select("p.*", "block", "x", "labels").repartition(tasks, "i", "j").sortWithinPartitions("i", "j", "block")
+
+    def wide(row_x, row_l):
+        mark = np.frombuffer(row_l.as_py(), np.int32).reshape(-1, many)
+        raw = row_x.as_py()
+        x = np.frombuffer(raw, np.float32 if len(raw) == 4 * dims * len(mark) else np.float64).reshape(-1, dims)
+        return x.astype(float), mark
+
+    def meet(batches):
+        first = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                i, j, block = (batch.column(c)[r].as_py() for c in ("i", "j", "block"))
+                one = wide(batch.column("x")[r], batch.column("labels")[r])
+                if i < j and (first is None or first[0] != (i, j)):
+                    first = ((i, j), *one)
+                    continue
+                a, la = one if i == j else first[1:]
+                out = _label_sums(a, la, *one, use, groups, i == j)
+                for name, sums in ((i, out[0]), (j, out[1]))[: 1 if i == j else 2]:
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([name], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
+                first = None
+
+    sums = met.mapInArrow(meet, "block int, sums binary").select("block", "sums", F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("binary").alias("labels"))
+    heads = packed.select("block", F.lit(None).cast("binary").alias("sums"), "ids", "labels")
+    rows = heads.unionByName(sums).repartition(min(blocks, TASKS), "block").sortWithinPartitions("block", F.col("ids").isNull())
+
+    def told(ids, mark, held):
+        out = np.zeros(mark.shape)
+        for g in range(many):
+            n, s, own = sizes[at[g] : at[g + 1]], held[:, at[g] : at[g + 1]], mark[:, g]
+            each = np.arange(len(own))
+            safe = np.maximum(own, 0)
+            within = s[each, safe] / np.maximum(n[safe] - 1, 1)
+            mean = np.where(n > 0, s / np.maximum(n, 1), np.inf)
+            mean[each, safe] = np.inf
+            beside = mean.min(1, initial=np.inf)
+            ok = (own >= 0) & (n[safe] > 1) & np.isfinite(beside)
+            most = np.maximum(within, np.where(ok, beside, 0))
+            out[:, g] = np.where(ok & (most > 0), (np.where(ok, beside, 0) - within) / np.where(most > 0, most, 1), 0)
+        if means:
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(many, dtype=np.int32)), pa.array(out.sum(0)), pa.array(np.full(many, len(out), np.int64))], names=["which", "s", "n"])
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * many), pa.array(out.ravel()))], names=["id", "s"])
+
+    def close(batches):
+        ids, mark, held = None, None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                if batch.column("ids")[r].is_valid:  # a block's points, before its sums
+                    if ids is not None:
+                        yield told(ids, mark, held)
+                    ids = batch.column("ids").slice(r, 1).flatten()
+                    mark, held = np.frombuffer(batch.column("labels")[r].as_py(), np.int32).reshape(-1, many), np.zeros((len(ids), total))
+                    continue
+                held += np.frombuffer(batch.column("sums")[r].as_py()).reshape(-1, total)
+        if ids is not None:
+            yield told(ids, mark, held)
+
+    return rows.mapInArrow(close, "which int, s double, n long" if means else f"id {kind}, s array<double>")
+
+
+def silhouette_means(points: DataFrame, id_: str, vector: str, dims: int, use: list[list[int] | None], groups: list[int]) -> list[float]:
+    """Mean silhouette of each entry of ``labels``, as in ``silhouettes``."""
+    one = silhouettes(points, id_, vector, dims, use, groups, means=True).groupBy("which").agg((F.sum("s") / F.sum("n")).alias("m"))
+    found = {r["which"]: r["m"] for r in one.collect()}  # a row per grouping
     return [float(found.get(i, 0.0)) for i in range(len(use))]
 
 
