@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nimbora.operators.fits import Fit, by_centers, by_mixture, hashed, kmeans_fits, labelled, limits, mixture_fits, reduced, spread, view
+from nimbora.operators.fits import Fit, _mixed, by_centers, by_mixture, hashed, kmeans_fits, labelled, limits, mixture_fits, reduced, spread, view
 from nimbora.operators.pairs import silhouette_means
+from nimbora.sources.scratch import ship
 
 
 def _vectors(points: DataFrame, vector: str) -> DataFrame:
@@ -45,32 +47,87 @@ def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     return cut_tree(ward_merges(x), len(x), k)
 
 
-def ward_merges(x: np.ndarray) -> list[tuple[float, int, int]]:
-    """Ward's agglomeration by nearest-neighbour chains with Lance-Williams updates: (height, a, b)."""
+#: Pairs of clusters that the driver compares by itself; more of them are a job.
+ALONE = 1 << 26
+
+
+def _closest(rows: np.ndarray, c: np.ndarray, size: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """For each of ``rows`` the other cluster (center, size, name) of least Ward distance. Among equals, up to rounding, a
+    hash of the names decides, the same for both of its sides, so that many of them choose each other."""
+    norm = (c * c).sum(1)
+    slack = 1e-15 * c.shape[1] * float(norm.max(initial=0))
+    found, step = np.zeros(len(rows), np.int64), max(1, (1 << 20) // max(1, len(c)))
+    for lo in range(0, len(rows), step):
+        some = rows[lo : lo + step]
+        d = norm[some, None] + norm[None] - 2 * (c[some] @ c.T)
+        np.maximum(d, 0, out=d)
+        d[np.arange(len(some)), some] = np.inf
+        d *= size / (size[some, None] + size)  # twice the row's own size is left out, as it is the same for a row
+        least = d.min(1)
+        limit = least * (1 + 1e-12) + slack
+        near = d <= limit[:, None]
+        found[lo : lo + step] = d.argmin(1)
+        many = np.flatnonzero(near.sum(1) > 1)
+        r, j = np.nonzero(near[many])
+        if len(r):
+            i, k = names[some[many[r]]], names[j]
+            mark = _mixed((np.minimum(i, k).astype(np.uint64) << np.uint64(32)) ^ np.maximum(i, k).astype(np.uint64))
+            order = np.lexsort((mark, r))
+            first = order[np.concatenate([[True], np.diff(r[order]) > 0])]
+            found[lo + many[r[first]]] = j[first]
+    return found
+
+
+def _closest_of(rows: np.ndarray, c: np.ndarray, size: np.ndarray, names: np.ndarray, spark: SparkSession | None) -> np.ndarray:
+    if spark is None or len(rows) * len(c) <= ALONE:
+        return _closest(rows, c, size, names)
+    ship(spark)
+    sent = spark.sparkContext.broadcast((c, size, names))  # a center per cluster
+    try:
+        parts = np.array_split(rows, max(spark.sparkContext.defaultParallelism, min(len(rows), -(-len(rows) * len(c) // (ALONE << 3)))))
+        return np.concatenate(spark.sparkContext.parallelize(parts, len(parts)).map(lambda part: _closest(part, *sent.value)).collect())
+    finally:
+        sent.destroy()
+
+
+def ward_merges(x: np.ndarray, spark: SparkSession | None = None) -> list[tuple[float, int, int]]:
+    """Ward's agglomeration: (height, a, b). In each round all pairs of clusters that are each other's nearest are merged;
+    they would be sooner or later, as no merge brings a third cluster nearer. A cluster is its center and size, so
+    memory is in proportion to the points; only clusters that are new or have lost their nearest look for it again."""
+    x = np.asarray(x, float)
     n = len(x)
-    x = x - x.mean(0)
-    norm = (x * x).sum(1)
-    d = np.maximum(norm[:, None] + norm[None] - 2 * (x @ x.T), 0)  # Gram matrix: n x n, whatever the dimensions
-    np.fill_diagonal(d, np.inf)
-    size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    if n < 2:
+        return []
+    c, size, height, merges = x - x.mean(0), np.ones(n), np.zeros(n), []
+    _, first, at = np.unique(c, axis=0, return_index=True, return_inverse=True)
+    rep = first[at.ravel()]
+    merges += [(0.0, int(rep[i]), int(i)) for i in np.flatnonzero(rep != np.arange(n))]  # copies
+    size = np.bincount(rep, minlength=n).astype(float)
+    alive = size > 0
+    nearest, stale = np.full(n, -1), alive.copy()
     while alive.sum() > 1:
-        if not chain:
-            chain = [int(np.flatnonzero(alive)[0])]
-        while True:
-            a = chain[-1]
-            row = np.where(alive, d[a], np.inf)
-            b = int(row.argmin())
-            if len(chain) > 1 and row[chain[-2]] <= row[b]:
-                b = chain[-2]
-                break
-            chain.append(b)
-        chain = chain[:-2]
-        merges.append((float(d[a, b]), a, b))
-        total = size[a] + size[b] + size
-        new = ((size[a] + size) * d[a] + (size[b] + size) * d[b] - size * d[a, b]) / total
-        d[a], d[:, a], alive[b] = new, new, False
-        d[a, a] = np.inf
+        here = np.flatnonzero(alive)
+        where = np.full(n, -1)
+        where[here] = np.arange(len(here))
+        rows = np.flatnonzero(stale)
+        nearest[rows] = here[_closest_of(where[rows], c[here], size[here], here, spark)]
+        stale[:] = False
+        a = here[(nearest[nearest[here]] == here) & (here < nearest[here])]
+        far = lambda i, j: 2 * size[i] * size[j] / (size[i] + size[j]) * ((c[i] - c[j]) ** 2).sum(-1)
+        if not len(a):  # rounding made a circle of equals
+            i = here[[int(far(here, nearest[here]).argmin())]]
+            a = np.minimum(i, nearest[i])
+            b = np.maximum(i, nearest[i])
+        else:
+            b = nearest[a]
+        h = np.maximum(far(a, b), np.maximum(height[a], height[b]))
+        merges += list(zip(h.tolist(), a.tolist(), b.tolist(), strict=True))
+        c[a] = (size[a, None] * c[a] + size[b, None] * c[b]) / (size[a] + size[b])[:, None]
         size[a] += size[b]
+        height[a], alive[b] = h, False
+        gone = np.zeros(n, bool)
+        gone[a] = gone[b] = True
+        stale = alive & (gone | gone[nearest])
     return merges
 
 
@@ -90,20 +147,24 @@ def cut_tree(merges: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray
     return label
 
 
-def ward_many(points: DataFrame, id_: str, vector: str, ks: list[int], most: int = 5_000) -> DataFrame:
-    """(id, labels): the groups for each k, of one tree. The method needs all distances at once: more
-    than ``most`` points (an n x n matrix of 200 MB) are refused."""
-    rows = points.select(id_, vector).orderBy(id_).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"Ward's method is quadratic in memory; {most} points at most")
-    if not rows:
+def ward_many(points: DataFrame, id_: str, vector: str, ks: list[int], most: int | None = None) -> DataFrame:
+    """(id, labels): the groups for each k, of one tree. The driver keeps a center per cluster; which clusters are nearest
+    to each other is worked out by all executors. With ``most``, more points than that are refused."""
+    rows = points.select(id_, F.col(vector).cast("array<double>").alias("v"))
+    if most is not None and rows.limit(most + 1).count() > most:
+        raise ValueError(f"Ward's method takes time in the square of the points; {most} points at most")
+    table = rows.orderBy(id_).toArrow().combine_chunks()  # the points themselves
+    n = table.num_rows
+    if not n:
         return points.select(id_, F.array(F.lit(0)).alias("labels")).limit(0)
-    merges = ward_merges(np.array([r[1] for r in rows], float))
-    labels = np.stack([cut_tree(merges, len(rows), k) for k in ks], 1)
-    return points.sparkSession.createDataFrame([(r[0], [int(v) for v in x]) for r, x in zip(rows, labels, strict=True)], f"{id_} {points.schema[id_].dataType.simpleString()}, labels array<int>")
+    x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    merges = ward_merges(x, points.sparkSession)
+    labels = np.stack([cut_tree(merges, n, k) for k in ks], 1).astype(np.int32)
+    cells = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(ks)), pa.array(labels.ravel()))
+    return points.sparkSession.createDataFrame(pa.table({id_: table.column(id_), "labels": cells}))
 
 
-def ward(points: DataFrame, id_: str, vector: str, k: int, most: int = 5_000) -> DataFrame:
+def ward(points: DataFrame, id_: str, vector: str, k: int, most: int | None = None) -> DataFrame:
     """(id, label) of ``k`` groups by Ward's method."""
     return ward_many(points, id_, vector, [k], most).select(id_, F.col("labels")[0].alias("label"))
 
@@ -118,14 +179,14 @@ def principal_components(points: DataFrame, id_: str, vector: str, k: int) -> tu
     return scores.select(id_, *[(F.col("p")[i] * float(sign[i])).alias(f"pc{i + 1}") for i in range(k)]), [float(v) for v in model.explainedVariance], loadings * sign
 
 
-def sweep(points: DataFrame, id_: str, vector: str, dims: int, ks: list[int], restarts: int = 10, seed: int = 42, mixtures: int = 3, most: int = 5_000) -> list[tuple]:
+def sweep(points: DataFrame, id_: str, vector: str, dims: int, ks: list[int], restarts: int = 10, seed: int = 42, mixtures: int = 3, most: int | None = None) -> list[tuple]:
     """(algorithm, k, silhouette, calinski_harabasz, inertia, bic) for k-means, Ward and mixtures,
-    the best of ``restarts`` and ``mixtures`` fits; Ward's values are null where it refuses the points.
+    the best of ``restarts`` and ``mixtures`` fits; with ``most``, Ward's values are null where there are more points.
 
     All fits of a kind share their passes, and all groupings one pass over the pairs."""
     points = points.select(id_, vector)
     n = points.count()
-    refused = n > most
+    refused = most is not None and n > most
     jobs = [(k, i) for k in ks for i in range(restarts)]
     means = kmeans_fits(points, id_, vector, [Fit(k, seed + i) for k, i in jobs])
     mixed = mixture_fits(points, id_, vector, [Fit(k, seed + i) for k in ks for i in range(mixtures)])
