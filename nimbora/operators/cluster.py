@@ -189,7 +189,8 @@ def sweep(points: DataFrame, id_: str, vector: str, dims: int, ks: list[int], re
     refused = most is not None and n > most
     jobs = [(k, i) for k in ks for i in range(restarts)]
     means = kmeans_fits(points, id_, vector, [Fit(k, seed + i) for k, i in jobs])
-    mixed = mixture_fits(points, id_, vector, [Fit(k, seed + i) for k in ks for i in range(mixtures)])
+    begun = [means[a * restarts + i] for a in range(len(ks)) for i in range(mixtures)] if mixtures <= restarts else None  # the same fits
+    mixed = mixture_fits(points, id_, vector, [Fit(k, seed + i) for k in ks for i in range(mixtures)], starts=begun)
     best = [min(means[i * restarts : (i + 1) * restarts], key=lambda f: f[1])[0] for i in range(len(ks))]
     likely = [max(mixed[i * mixtures : (i + 1) * mixtures], key=lambda f: f[0]) for i in range(len(ks))]
     table = labelled(points, vector, [by_centers(c) for c in best] + [by_mixture(m) for _, m in likely])

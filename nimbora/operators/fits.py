@@ -276,19 +276,31 @@ def kmeans_fits(points: DataFrame, id_: str, vector: str, fits: list[Fit], steps
         data.unpersist()
 
 
-def mixture_score(weights: np.ndarray, means: np.ndarray, covariances: np.ndarray):
-    """A batch's (responsibilities, log-likelihood), by logarithms, so that many dimensions don't underflow."""
-    roots = np.stack([np.linalg.inv(np.linalg.cholesky(c)).T for c in covariances])
-    ground = np.log(weights) + np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(1) - means.shape[1] / 2 * np.log(2 * np.pi)
-
-    def score(x):
-        logs = np.stack([g - (((x - m) @ root) ** 2).sum(1) / 2 for g, m, root in zip(ground, means, roots, strict=True)], 1)
+@dataclass(frozen=True)
+class Mixture:
+    """A mixture's inverse roots, constants and means; called, a batch's (responsibilities, log-likelihood), by
+    logarithms, so that many dimensions don't underflow."""
+
+    roots: np.ndarray
+    ground: np.ndarray
+    means: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        logs = np.zeros((len(x), len(self.ground)))
+        for lo in range(0, len(x), 512):  # what a core's cache holds
+            y = x[lo : lo + 512]
+            for i, (g, m, root) in enumerate(zip(self.ground, self.means, self.roots, strict=True)):
+                z = (y - m) @ root
+                logs[lo : lo + 512, i] = g - np.einsum("ij,ij->i", z, z) / 2
         top = logs.max(1, keepdims=True)
         likely = np.exp(logs - top)
         each = likely.sum(1, keepdims=True)
         return likely / each, float((top + np.log(each)).sum())
 
-    return score
+
+def mixture_score(weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> Mixture:
+    roots = np.stack([np.linalg.inv(np.linalg.cholesky(c)).T for c in covariances])
+    return Mixture(roots, np.log(weights) + np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(1) - means.shape[1] / 2 * np.log(2 * np.pi), means)
 
 
 def _products(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -299,11 +311,12 @@ def _products(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return ((x * w[:, None]).T @ x).ravel()
 
 
-def mixture_fits(points: DataFrame, id_: str, vector: str, fits: list[Fit], steps: int = 100, tol: float = 1e-3, ridge: float = 1e-6) -> list[tuple[float, tuple]]:
+def mixture_fits(points: DataFrame, id_: str, vector: str, fits: list[Fit], steps: int = 100, tol: float = 1e-3, ridge: float = 1e-6, starts: list | None = None) -> list[tuple[float, tuple]]:
     """(log-likelihood, (weights, means, covariances)) of each fit with full covariances: expectation
     and maximization from k-means groups until the mean log-likelihood gains less than ``tol``, in
-    one pass a step for all fits."""
-    starts = kmeans_fits(points, id_, vector, fits)
+    one pass a step for all fits. ``starts``: what ``kmeans_fits`` found for the same fits, if it is known."""
+    starts = kmeans_fits(points, id_, vector, fits) if starts is None else starts
+    context = points.sparkSession.sparkContext
     data = hashed(points, id_, vector).persist()
     try:
         first = reduced(data, lambda x, h: np.append(x.sum(0), len(x)))
@@ -313,16 +326,17 @@ def mixture_fits(points: DataFrame, id_: str, vector: str, fits: list[Fit], step
         models: list = [None] * len(fits)
         fitted, live = [-np.inf] * len(fits), list(range(len(fits)))
         for step in range(steps + 1):
-            now = [(mixture_score(*models[j]) if step else None, near[j]) for j in live]
+            sent = context.broadcast([(mixture_score(*models[j]) if step else None, near[j]) for j in live])
 
-            def fold(x: np.ndarray, h: np.ndarray, now=now) -> np.ndarray:
+            def fold(x: np.ndarray, h: np.ndarray, sent=sent) -> np.ndarray:
                 x, out = x - center, []
-                for score, c in now:
+                for score, c in sent.value:
                     r, fit = score(x) if score else (np.eye(len(c))[_squares(x, c).argmin(1)], 0.0)
                     out += [r.sum(0), (r.T @ x).ravel(), *[_products(x, w) for w in r.T], [fit]]
                 return np.concatenate(out)
 
             sums, at, going = reduced(data, fold), 0, []
+            sent.destroy()  # else the models of all steps stay on the driver
             for j in live:
                 k = fits[j].k
                 part = sums[at : at + k + k * d + k * d * d + 1]

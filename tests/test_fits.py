@@ -60,3 +60,28 @@ def test_few_and_equal_points(spark):
     assert V.kmeans_fits(frame.filter(F.col("id") < 0), "id", "v", [V.Fit(3)])[0][0].shape == (0, 0)
     ((centers, _),) = V.kmeans_fits(frame.limit(1), "id", "v", [V.Fit(2, share=0.01)])
     assert centers.shape == (2, 2)
+
+
+def test_mixtures_from_known_starts(spark, monkeypatch):
+    """A sweep's mixtures start from its k-means; they are not fitted again, and come out the same."""
+    from nimbora.operators import cluster as K
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 6, (3, 2))[rng.integers(0, 3, 120)] + rng.normal(size=(120, 2))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    fits = [V.Fit(k, 42 + i) for k in (2, 3) for i in range(2)]
+    anew, known = V.mixture_fits(frame, "id", "v", fits), V.mixture_fits(frame, "id", "v", fits, starts=V.kmeans_fits(frame, "id", "v", fits))
+    assert all(abs(a[0] - b[0]) < 1e-6 * abs(a[0]) for a, b in zip(anew, known, strict=True))
+    calls = []
+    whole = V.kmeans_fits
+    monkeypatch.setattr(K, "kmeans_fits", lambda *a, **b: calls.append(1) or whole(*a, **b))
+    monkeypatch.setattr(V, "kmeans_fits", lambda *a, **b: calls.append(2) or whole(*a, **b))
+    K.sweep(frame, "id", "v", 2, [2, 3], restarts=2, mixtures=2)
+    assert calls == [1]
+
+
+def test_deviates_are_normal():
+    h = np.random.default_rng(0).integers(0, 1 << 63, 20_000).astype(np.uint64)
+    one = V.deviates(h, 6, 5)
+    assert one.shape == (20_000, 6) and abs(one.mean()) < 0.02 and abs(one.std() - 1) < 0.02 and np.abs(np.corrcoef(one.T) - np.eye(6)).max() < 0.04
+    assert abs((np.abs(one) > 1.96).mean() - 0.05) < 0.005 and (one == V.deviates(h, 6, 5)).all() and not (one == V.deviates(h, 6, 6)).all()
