@@ -14,7 +14,7 @@ from nimbora.functions.geo import distance_score, haversine_mi
 from nimbora.operators.diagnostics import top_per_group
 from nimbora.operators.distance_ranks import shares, similarity_of
 from nimbora.operators.features import percentile_ranks
-from nimbora.operators.metric import knn
+from nimbora.operators.metric import distances, knn
 from nimbora.operators.pairs import squared
 from nimbora.operators.sphere import nearest_places
 from nimbora.operators.text_index import holders
@@ -78,7 +78,7 @@ def pair_similarity(points: DataFrame, places: DataFrame, a: str, b: str) -> Dat
     spark = points.sparkSession
     if lo == hi or len(found) < 2:
         return spark.createDataFrame([], "a string, b string, climate_distance double, similarity_pct double, geo_distance_mi double")
-    d = float(np.sqrt(((np.array(found[lo]) - np.array(found[hi])) ** 2).sum()))
+    d = float(distances(np.array([found[lo]], float), np.array([found[hi]], float))[0, 0])  # summed as in the ranks
     limit = spark.createDataFrame([(lo, hi, d)], "a string, b string, climate_distance double")
     share = (100 * (1 - F.col("below") / F.col("total"))).alias("similarity_pct")
     one = limit.join(F.broadcast(shares(points, "station_id", "z", limit, "climate_distance").select("d", share)), F.col("climate_distance") == F.col("d"))  # one row

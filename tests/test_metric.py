@@ -180,3 +180,18 @@ def test_cells_and_their_parents(spark, level):
     at = lambda n: S.cell(F.col("x"), F.col("y"), F.col("z"), n)
     assert f.filter(S.parent(at(level), level) != at(level - 3)).count() == 0
     assert f.select(at(level).alias("c")).filter((F.col("c") < 0) | (F.col("c") >= F.lit(6 << (2 * level)).cast("decimal(20,0)"))).count() == 0
+
+
+def test_gaps_are_those_of_a_search():
+    rng = np.random.default_rng(3)
+    for limits in (np.sort(rng.normal(5, 1, 500)), np.sort(np.concatenate([rng.uniform(0, 1e-6, 300), [3.0, 900.0]])), np.array([2.0]), np.array([0.0, 5e-324, 1e-320])):
+        values = np.abs(np.concatenate([limits, np.nextafter(limits, 0), np.nextafter(limits, np.inf), rng.uniform(0, 10, 1_000), [0.0]]))
+        values = values[values < limits[-1]]
+        assert (R.Gaps(limits)(values) == np.searchsorted(limits, values, "right")).all()
+
+
+def test_quantiles_open_a_pair_once_a_round(spark):
+    x = clouds(np.random.default_rng(4), 300, 6)
+    p = R._pieces(frame(spark, x), "id", "v", SMALL)
+    _, work = R.distance_at(p, [100, 5_000, 20_000, 40_000])
+    assert all(w["opened"] <= w["pairs"] for w in work) and len(work) <= 4
